@@ -60,7 +60,7 @@ def exact_quantiles(
     for i, name in enumerate(names):
         p, mode = probs[name]
         at = (F.col("n") - 1) * F.lit(float(p)) if mode == "linear" else F.greatest(
-            F.lit(0.0), F.ceil(F.round(F.col("n") * F.lit(float(p)), 9)).cast("double") - 1.0
+            F.lit(0.0), F.ceil(F.col("n") * F.lit(float(p))).cast("double") - 1.0
         )
         pos = F.when(F.col("q") == i, at).otherwise(pos)
     w = Window.partitionBy(*keys, "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

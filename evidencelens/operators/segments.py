@@ -124,3 +124,69 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
         .agg(F.min_by(F.struct(*keep), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__best"))
         .select(*keys, "__best.*")
     )
+
+
+def adjacent_summary(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    payload: Sequence[str],
+    *,
+    pair_sums: dict | None = None,
+    pair_maxes: dict | None = None,
+    row_aggs: dict[str, tuple[str, Column]] | None = None,
+    block: int = FRAME_BLOCK,
+) -> DataFrame:
+    """One row per key over consecutive rows in ``order``.
+
+    ``pair_sums``/``pair_maxes`` map a name to ``fn(previous, current)`` on payload structs (NULL is
+    skipped); ``row_aggs`` map a name to ``('sum' | 'max' | 'min', column)``. Blocks are reduced first,
+    then only each block's first and last row meet its neighbour, so a long key is never one task.
+    """
+    pair_sums, pair_maxes, row_aggs = pair_sums or {}, pair_maxes or {}, row_aggs or {}
+    here = F.struct(order, *payload)
+    base = df.withColumns({"__blk": segment_of(order, block), "__cur": here})
+    w = Window.partitionBy(*keys, "__blk").orderBy(order)
+    base = base.withColumn("__prev", F.lag("__cur").over(w))
+    aggs = [
+        F.min_by("__cur", order).alias("__first"),
+        F.max_by("__cur", order).alias("__last"),
+        F.count(F.lit(1)).alias("__rows"),
+    ]
+    value = lambda fn: fn(F.col("__prev"), F.col("__cur"))
+    aggs += [F.sum(F.when(F.col("__prev").isNotNull(), value(fn))).alias(f"s_{n}") for n, fn in pair_sums.items()]
+    aggs += [F.max(F.when(F.col("__prev").isNotNull(), value(fn))).alias(f"m_{n}") for n, fn in pair_maxes.items()]
+    aggs += [getattr(F, kind)(c).alias(f"r_{n}") for n, (kind, c) in row_aggs.items()]
+    blocks = base.groupBy(*keys, "__blk").agg(*aggs)
+    wb = Window.partitionBy(*keys).orderBy("__blk")
+    edge = blocks.withColumn("__before", F.lag("__last").over(wb))
+    cross = lambda fn: F.when(F.col("__before").isNotNull(), fn(F.col("__before"), F.col("__first")))
+    final = [
+        F.min(f"__first.{order}").alias(f"first_{order}"),
+        F.max(f"__last.{order}").alias(f"last_{order}"),
+        F.sum("__rows").alias("n_rows"),
+    ]
+    for n, fn in pair_sums.items():
+        inside, between = F.col(f"s_{n}"), cross(fn)
+        final.append(F.sum(F.when(inside.isNull(), between).otherwise(inside + F.coalesce(between, F.lit(0)))).alias(n))
+    for n, fn in pair_maxes.items():
+        final.append(F.max(F.greatest(F.col(f"m_{n}"), cross(fn))).alias(n))
+    final += [getattr(F, kind)(f"r_{n}").alias(n) for n, (kind, _) in row_aggs.items()]
+    return edge.groupBy(*keys).agg(*final)
+
+
+def gap_summary(present: DataFrame, keys: Sequence[str], frame: str, block: int = FRAME_BLOCK) -> DataFrame:
+    """Per key over its present frames: absences strictly between two of them."""
+    gap = lambda p, c: c[frame] - p[frame] - 1
+    when = lambda test: (lambda p, c: F.when(test(gap(p, c)), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    return adjacent_summary(
+        present, keys, frame, [],
+        pair_sums={
+            "bounded_gaps": when(lambda g: g > 0),
+            "bounded_frames": lambda p, c: gap(p, c),
+            "short_gaps": when(lambda g: (g >= 1) & (g <= 2)),
+            "long_gaps": when(lambda g: g >= 3),
+        },
+        pair_maxes={"max_gap": gap},
+        block=block,
+    )

@@ -34,13 +34,13 @@ SQL_VIEWS = {
  FROM embeddings""",
     "v_keypoints": """
  SELECT o_orderkey // 300 AS sequence_id, o_orderkey % 300 AS frame_index, pos, name,
-        o_totalprice / 1000.0 + 10 * pos AS x_px, (o_orderkey % 97) + 5.0 * pos AS y_px,
-        ((o_orderkey * (pos + 3)) % 11) - 5.0 AS z,
+        o_totalprice / 1000.0 + 10 * pos AS x_px, (o_orderkey % 97) + 5::DOUBLE * pos AS y_px,
+        ((o_orderkey * (pos + 3)) % 11) - 5::DOUBLE AS z,
         ((o_orderkey * (pos + 7) + o_custkey) % 10) / 10.0 AS score,
         CASE WHEN (o_custkey + pos) % 17 = 0 THEN 'camera' ELSE 'world' END AS coordinate_frame
  FROM orders CROSS JOIN (VALUES (0,'nose'),(1,'left_paw'),(2,'right_paw'),(3,'tail_tip')) n(pos, name)""",
     "v_track": """
- SELECT event_id // 250 AS sequence_id, event_id % 250 AS frame_index, value AS x, (event_id * 13 % 100) * 1.0 AS y,
+ SELECT event_id // 250 AS sequence_id, event_id % 250 AS frame_index, value AS x, (event_id * 13 % 100)::DOUBLE AS y,
         event_type <> 'error' AS visible, event_type AS state FROM events""",
     "v_scores": """
  SELECT vec_id // 10 AS event_id, vec_id % 10 AS frame_index, u.i - 1 AS class_pos, abs(embedding[u.i]::DOUBLE) AS score
@@ -59,7 +59,7 @@ SQL_VIEWS = {
  FROM events""",
     "v_boxes": """
  SELECT event_id // 200 AS sequence_id, (event_id % 200) // 5 AS frame_index, event_id % 5 AS instance_id,
-        value AS bx, (event_id * 13 % 100) * 1.0 AS by, (event_id % 40) - 2.0 AS bw, 30.0 + event_id % 9 AS bh,
+        value AS bx, (event_id * 13 % 100)::DOUBLE AS by, ((event_id % 40) - 2)::DOUBLE AS bw, (30 + event_id % 9)::DOUBLE AS bh,
         event_type <> 'error' AS visible
  FROM events""",
     "v_turns": """
