@@ -271,7 +271,7 @@ def region_track_summary(spark, sf):
 
 
 CURVES = """cv AS (SELECT o_orderkey // 8 AS curve_id, (o_orderkey // 8) // 20 AS sequence_id, (o_orderkey // 8) % 20 AS frame_index, o_orderkey % 8 AS pos, (o_orderkey % 8) / 7.0 AS u,
-  10.0 * (o_orderkey % 8) + floor(o_totalprice / 1000) / 128 AS x, (o_custkey % 50)::DOUBLE AS y, CASE WHEN o_custkey % 40 = 3 THEN 'occluded' ELSE 'visible' END AS visibility,
+  10.0 * (o_orderkey % 8) + floor(o_totalprice / 1000) / 64 AS x, (o_custkey % 50)::DOUBLE AS y, CASE WHEN o_custkey % 40 = 3 THEN 'occluded' ELSE 'visible' END AS visibility,
   10.0 * (o_orderkey % 8) + o_custkey % 7 AS px, (o_custkey % 50)::DOUBLE + 2 AS py, CASE WHEN o_custkey % 30 = 4 THEN 'occluded' ELSE 'partially_visible' END AS pvis FROM orders)"""
 RESAMPLE = """{n}s AS (SELECT curve_id, pos, {x} AS x, {y} AS y, lead({x}) OVER w AS nx, lead({y}) OVER w AS ny FROM cv WINDOW w AS (PARTITION BY curve_id ORDER BY pos)),
 {n}d AS (SELECT *, coalesce(sqrt((nx - x)**2 + (ny - y)**2), 0) AS d FROM {n}s),
@@ -284,16 +284,16 @@ RESAMPLE = """{n}s AS (SELECT curve_id, pos, {x} AS x, {y} AS y, lead({x}) OVER
 def curves(spark, sf):
     c = table(spark, sf, "orders").selectExpr(
         "o_orderkey div 8 AS curve_id", "(o_orderkey div 8) div 20 AS sequence_id", "(o_orderkey div 8) % 20 AS frame_index", "o_orderkey % 8 AS pos", "(o_orderkey % 8) / 7.0D AS u",
-        "10.0D * (o_orderkey % 8) + floor(o_totalprice / 1000) / 128 AS x", "(o_custkey % 50) * 1.0D AS y", "IF(o_custkey % 40 = 3, 'occluded', 'visible') AS visibility",
+        "10.0D * (o_orderkey % 8) + floor(o_totalprice / 1000) / 64 AS x", "(o_custkey % 50) * 1.0D AS y", "IF(o_custkey % 40 = 3, 'occluded', 'visible') AS visibility",
         "10.0D * (o_orderkey % 8) + o_custkey % 7 AS px", "(o_custkey % 50) + 2.0D AS py", "IF(o_custkey % 30 = 4, 'occluded', 'partially_visible') AS pvis")
     pred = c.selectExpr("curve_id", "sequence_id", "frame_index", "pos", "u", "px AS x", "py AS y", "pvis AS visibility")
     return c.drop("px", "py", "pvis"), pred
 
 
-@query("resample_curve", "E12", "WITH " + CURVES + ", " + RESAMPLE.format(n="r", x="x", y="y") + " SELECT curve_id, j, round(x, 5) AS x, round(y, 5) + 0.0 AS y FROM rr")
+@query("resample_curve", "E12", "WITH " + CURVES + ", " + RESAMPLE.format(n="r", x="x", y="y") + " SELECT curve_id, j, round(x, 6) AS x, round(y, 6) + 0.0 AS y FROM rr")
 def resample_curve(spark, sf):
     ref, _ = curves(spark, sf)
-    return ins.resample_curve(ref, ["curve_id"]).withColumns({"x": r6("x", 5), "y": r6("y", 5)})
+    return ins.resample_curve(ref, ["curve_id"]).withColumns({"x": r6("x"), "y": r6("y")})
 
 
 CURVE_ERR = CURVES + ", " + RESAMPLE.format(n="r", x="x", y="y") + ", " + RESAMPLE.format(n="p", x="px", y="py") + """,
