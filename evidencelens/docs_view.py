@@ -45,6 +45,8 @@ ARRAYS = {
         "artifact_sha256": "CASE WHEN (event_id + i) % 11 = 0 THEN 'bad' ELSE $sha(CAST(event_id * 10 + i AS STRING)$256) END",
         "package_event": "CASE WHEN (event_id + i) % 13 = 0 THEN event_id + 1 ELSE event_id END",
         "sample_count": "(event_id + i) % 17",
+        "captured_us": "$us + CASE WHEN (event_id + i) % 8 = 0 THEN 1 ELSE 0 END",
+        "location": "CASE WHEN event_id % 14 = 3 THEN 'moved' WHEN event_id % 12 = 0 THEN NULL ELSE event_type END",
     }),
     "hypotheses": ("(1 + event_id % 3)", {
         "hypothesis_id": "'h' || CAST(i % (CASE WHEN event_id % 31 = 0 THEN 1 ELSE 9 END) AS STRING)",
