@@ -41,7 +41,7 @@ ARRAYS = {
         "modality": "CASE (event_id + i) % 3 WHEN 0 THEN 'visual_pose' WHEN 1 THEN 'audio_vocalisation' ELSE 'object_environment' END",
         "schema_ref": "CASE WHEN event_id % 5 = 0 THEN 'other' ELSE 'pose-package-v1' END",
         "start_offset_ms": "i * 1000 * (CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END)",
-        "end_offset_ms": "i * 1000 + (event_id * 7) % 5500 - 100",
+        "end_offset_ms": "i * 1000 + (event_id * 7) % 5500 - (CASE WHEN event_id % 22 = 0 THEN 2000 ELSE 0 END)",
         "artifact_sha256": "CASE WHEN (event_id + i) % 11 = 0 THEN 'bad' ELSE $sha(CAST(event_id * 10 + i AS STRING)$256) END",
         "package_event": "CASE WHEN (event_id + i) % 13 = 0 THEN event_id + 1 ELSE event_id END",
         "sample_count": "(event_id + i) % 17",
@@ -59,17 +59,17 @@ ARRAYS = {
     }),
     "interventions": ("(1 + event_id % 2)", {
         "intervention_id": "'x' || CAST(CASE WHEN event_id % 41 = 1 THEN 0 ELSE i END AS STRING)",
-        "action_ref": "'a' || CAST((event_id + i) % 3 AS STRING)",
-        "candidates": "$list('h0', 'h' || CAST(event_id % 4 AS STRING))",
-        "predictions": "$list('h0', 'h' || CAST(event_id % 5 AS STRING))",
+        "action_ref": "'a' || CAST(CASE WHEN event_id % 27 = 0 THEN 9 ELSE i % (1 + event_id % 2) END AS STRING)",
+        "candidates": "$list('h0', 'h' || CAST(event_id % (1 + event_id % 3) + (CASE WHEN event_id % 25 = 0 THEN 5 ELSE 0 END) AS STRING))",
+        "predictions": "$list('h0', 'h' || CAST(event_id % (1 + event_id % 3) + (CASE WHEN event_id % 21 = 0 THEN 3 ELSE 0 END) AS STRING))",
     }),
     "outcomes": ("(1 + event_id % 2)", {
         "outcome_id": "'r' || CAST(CASE WHEN event_id % 43 = 1 THEN 0 ELSE i END AS STRING)",
         "outcome_type": "CASE WHEN event_id % 9 = 0 THEN 'unknown' WHEN event_id % 9 = 5 THEN 'other' ELSE 'signalling_termination' END",
-        "signalling_terminated": "CASE WHEN (event_id + i) % 10 = 0 THEN NULL ELSE (event_id % 6 < 3 AND (i = 0 OR event_id % 7 > 0)) END",
+        "signalling_terminated": "CASE WHEN (event_id + i) % 10 = 0 THEN NULL ELSE (event_id % 6 < 4 AND (i = 0 OR event_id % 7 > 0)) END",
         "start_offset_ms": "CASE WHEN event_id % 3 = 0 THEN 60000 ELSE 1000 * (event_id % 60) END",
-        "end_offset_ms": "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 60000 ELSE 1000 * (event_id % 63) END",
-        "supports": "$list('h' || CAST(event_id % 4 AS STRING))",
+        "end_offset_ms": "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 60000 WHEN event_id % 33 = 1 THEN -1000 ELSE 1000 * (event_id % 60 + event_id % 4) END",
+        "supports": "$list('h' || CAST(CASE WHEN event_id % 26 = 0 THEN 7 ELSE 0 END AS STRING))",
     }),
     "objects": ("(1 + event_id % 3)", {
         "object_type": "CASE (event_id + i) % 5 WHEN 0 THEN 'Door' WHEN 1 THEN 'soft toy' WHEN 2 THEN 'shelf' WHEN 3 THEN 'food-bowl' ELSE 'chair' END",

@@ -40,14 +40,15 @@ def id_set_digest(df: DataFrame, keys: Sequence[str], id_col: str, exact_up_to:
     exact = on(small).groupBy(*keys).agg(F.max("n_ids").alias("n_ids"), joined("__id").alias("digest"))
     bucket = on(large).groupBy(*keys, "__b").agg(F.max("n_ids").alias("n_ids"), joined("__id").alias("d"))
     tree = bucket.groupBy(*keys).agg(F.max("n_ids").alias("n_ids"), F.concat(F.lit("tree:"), joined(F.concat("__b", F.lit(":"), "d"))).alias("digest"))
-    return exact.unionByName(tree)
+    # Without keys both branches are global aggregates; the one without ids drops out here.
+    return exact.unionByName(tree).where(F.col("n_ids").isNotNull())
 
 
 def package_counts(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Observation counts in total and by class, tier and quality as tidy rows."""
     kinds = F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")), *[
         F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("observation_class", "evidence_tier", "quality")])
-    return obs.select(*keys, F.explode(kinds).alias("k")).groupBy(*keys, "k.kind", "k.value").agg(F.count(F.lit(1)).alias("n"))
+    return obs.select(*keys, F.explode(kinds).alias("__k")).select(*keys, "__k.*").groupBy(*keys, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- cohort --------------------------------------------------------------------------------------
