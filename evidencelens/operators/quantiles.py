@@ -21,10 +21,12 @@ def exact_quantiles(
     value: str,
     probs: dict[str, tuple[float, str]],
     accuracy: int = ACCURACY,
+    small_keys: bool = False,
 ) -> DataFrame:
     """``probs`` maps an output name to ``(p, 'linear' | 'nearest')``.
 
-    'linear' interpolates like NumPy; 'nearest' returns the ``ceil(p * n)``-th value.
+    'linear' interpolates like NumPy; 'nearest' returns the ``ceil(p * n)``-th value. ``small_keys`` states
+    that the caller bounds the number of keys, so the bracket table is broadcast.
     """
     keys = list(keys)
     names = list(probs)
@@ -42,7 +44,10 @@ def exact_quantiles(
     )
     low = lambda i: F.col("__lo") if edges[2 * i] <= 0.0 else F.col("__b")[2 * i]
     high = lambda i: F.col("__hi") if edges[2 * i + 1] >= 1.0 else F.col("__b")[2 * i + 1]
-    joined = data.join(stats, keys) if keys else data.crossJoin(F.broadcast(stats))
+    if keys:
+        joined = data.join(F.broadcast(stats) if small_keys else stats, keys)
+    else:
+        joined = data.crossJoin(F.broadcast(stats))
     marks = F.array(*[
         F.struct(
             F.lit(i).alias("q"),
