@@ -8,7 +8,7 @@ from evidencelens.catalog.contracts import CAPTURE
 from evidencelens.docs_view import documents
 from evidencelens.functions import r6
 from evidencelens.operators import clusters as cl
-from evidencelens.operators import context, contracts
+from evidencelens.plans.instrumentation import instrumentation_report
 from evidencelens.views import table
 
 EMB = """v AS (SELECT vec_id, label, vec_id % 21 AS subject, vec_id % 4 AS household, (vec_id * 7 + label) % 3 AS context, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE label % 2 END AS outcome,
@@ -141,17 +141,11 @@ c AS (SELECT household_id, count(*) AS received, count(*) FILTER (WHERE ok) AS v
 au AS (SELECT household_id, received, valid, received - valid AS invalid, labelled, labelled / nullif(valid, 0) AS label_rate, prevalence, CASE WHEN isnan(rho) THEN NULL ELSE rho END AS rho, ni, md, mn, mx FROM c LEFT JOIN dp USING (household_id) LEFT JOIN ti USING (household_id))"""
 
 
-def audit(spark, sf):
-    value, _, _ = context.termination_before()
-    d = documents(spark, sf).select("event_id", "household_id", "start_us", (F.size(contracts.capture_errors()) == 0).alias("ok"), value.alias("y"))
-    return cl.instrumentation_audit(d, "household_id", "start_us", "event_id", "y", "ok")
-
-
 @query("instrumentation_audit", "A17 A13 A14 A15", AUDIT + f""" SELECT household_id, received, valid, invalid, labelled, round(label_rate, 6) AS label_rate, round(prevalence, 6) AS prevalence, round(rho, 6) + 0.0 AS rho, round({DE}, 6) AS design_effect,
  CASE WHEN ni > 0 THEN ni END AS n_intervals, round(md, 6) AS median_s, round(mn, 6) AS min_s, round(mx, 6) AS max_s, valid >= 10 AS target_reached, concat_ws(';', CASE WHEN valid < 10 THEN 'too_few_valid_events' END,
  CASE WHEN labelled = 0 THEN 'no_labels' END, CASE WHEN rho IS NULL THEN 'dependence_not_estimable' END, CASE WHEN greatest(rho, 0) >= 0.95 THEN 'dependence_too_high' END) AS limitations FROM au""")
 def instrumentation_audit(spark, sf):
-    out = audit(spark, sf)
+    out = instrumentation_report(documents(spark, sf))
     return out.withColumns({c: r6(c) for c in ("label_rate", "prevalence", "rho", "design_effect", "median_s", "min_s", "max_s")}).withColumn("limitations", F.array_join("limitations", ";"))
 
 

@@ -59,8 +59,9 @@ def event_support(docs: DataFrame, checked_capture: bool = False) -> DataFrame:
     label, label_errors = context.termination_label()
     v = context.evidence_window("visual_pose", checked=True)
     a = context.evidence_window("audio_vocalisation")
-    d = docs.withColumns({
-        "__e": contracts.capture_errors() if checked_capture else contracts.episode_errors(), "__l": label, "__le": label_errors,
+    checked = contracts.with_capture_errors(docs, "__e") if checked_capture else contracts.with_episode_errors(docs, "__e")
+    d = checked.withColumns({
+        "__l": label, "__le": label_errors,
         "__v": v["eligible"], "__vi": v["invalid"], "__a": a["eligible"],
         "__c": F.array_sort(F.array_intersect(F.transform("observations", lambda o: o["modality"]), "missing_modalities"))})
     ok = F.size("__e") == 0

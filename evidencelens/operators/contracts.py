@@ -57,19 +57,23 @@ def require_valid(df: DataFrame) -> DataFrame:
 # ---- episodes ------------------------------------------------------------------------------------
 
 
-def episode_errors() -> Column:
+def with_episode_errors(docs: DataFrame, name: str = "errors") -> DataFrame:
+    """Structure first; a structural failure suppresses the deeper rules.
+
+    Parsed times, id lists and structure errors are columns of their own, so each is evaluated once.
+    """
     end = F.col("end_offset_ms")
-    structure = rules(
-        rule("schema_version", F.col("schema_version") != "0.1.0"), rule("event_id_missing", F.col("event_id").isNull()),
-        rule("modality_unknown", F.exists("observations", lambda o: ~o["modality"].isin(*MODALITIES))),
-        rule("time_malformed", iso_micros("start_time").isNull() | iso_micros("end_time").isNull()))
-    hyp = F.transform("hypotheses", lambda h: h["hypothesis_id"])
-    acts = F.transform("human_actions", lambda a: a["action_id"])
+    hyp, acts = F.col("__hyp"), F.col("__acts")
+    staged = docs.withColumns({
+        "__t0": iso_micros("start_time"), "__t1": iso_micros("end_time"), "__hyp": F.transform("hypotheses", lambda h: h["hypothesis_id"]),
+        "__acts": F.transform("human_actions", lambda a: a["action_id"])})
+    staged = staged.withColumn("__structure", rules(
+        rule("event_id_missing", F.col("event_id").isNull()), rule("modality_unknown", F.exists("observations", lambda o: ~o["modality"].isin(*MODALITIES))),
+        rule("schema_version", F.col("schema_version") != "0.1.0"), rule("time_malformed", F.col("__t0").isNull() | F.col("__t1").isNull())))
+    unique = lambda ids: F.size(F.array_distinct(ids)) < F.size(ids)
     deeper = merge(
-        rules(rule("time_end_before_start", iso_micros("end_time") < iso_micros("start_time")), rule("offsets_reversed", end < 0),
-              rule("hypothesis_ids_not_unique", not_unique("hypotheses", lambda h: h["hypothesis_id"])),
-              rule("action_ids_not_unique", not_unique("human_actions", lambda a: a["action_id"])),
-              rule("intervention_ids_not_unique", not_unique("interventions", lambda i: i["intervention_id"])),
+        rules(rule("time_end_before_start", F.col("__t1") < F.col("__t0")), rule("offsets_reversed", end < 0), rule("hypothesis_ids_not_unique", unique(hyp)),
+              rule("action_ids_not_unique", unique(acts)), rule("intervention_ids_not_unique", not_unique("interventions", lambda i: i["intervention_id"])),
               rule("outcome_ids_not_unique", not_unique("outcomes", lambda o: o["outcome_id"]))),
         item_rule("observations", "observation_reversed", lambda o: o["observation_ref"], lambda o: o["end_offset_ms"] < o["start_offset_ms"]),
         item_rule("observations", "observation_after_episode", lambda o: o["observation_ref"], lambda o: o["end_offset_ms"] > end),
@@ -82,28 +86,28 @@ def episode_errors() -> Column:
         item_rule("outcomes", "outcome_after_episode", lambda o: o["outcome_id"], lambda o: F.coalesce(o["end_offset_ms"], o["start_offset_ms"]) > end),
         item_rule("outcomes", "outcome_hypothesis_unknown", lambda o: o["outcome_id"], lambda o: F.size(F.array_except(o["supports"], hyp)) > 0),
     )
-    return F.when(F.size(structure) > 0, F.array_sort(structure)).otherwise(deeper)
+    errors = F.when(F.size("__structure") > 0, F.col("__structure")).otherwise(deeper)
+    return staged.withColumn(name, errors).drop("__t0", "__t1", "__hyp", "__acts", "__structure")
 
 
 def validate_episodes(docs: DataFrame) -> DataFrame:
-    """Structure first; a structural failure suppresses the deeper rules."""
-    return docs.withColumn("errors", episode_errors())
+    return with_episode_errors(docs)
 
 
-def capture_errors(modality: str = "object_environment") -> Column:
-    shots = F.filter("observations", lambda o: o["modality"] == modality)
-    shot = F.get(shots, F.lit(0))
-    one = F.size(shots) == 1
-    return F.array_sort(F.array_distinct(F.concat(episode_errors(), rules(
-        rule("snapshot_count_not_one", ~one),
-        rule("snapshot_not_at_zero", one & ((shot["start_offset_ms"] != 0) | (shot["end_offset_ms"] != 0))),
-        rule("captured_at_differs", one & (shot["captured_us"] != F.col("start_us"))),
-        rule("snapshot_location_differs", one & ~shot["location"].eqNullSafe(F.col("location")))))))
+def with_capture_errors(docs: DataFrame, name: str = "errors", modality: str = "object_environment") -> DataFrame:
+    """Episode rules plus exactly one time-zero snapshot that equals the context field by field."""
+    staged = with_episode_errors(docs, "__episode").withColumn("__shots", F.filter("observations", lambda o: o["modality"] == modality))
+    staged = staged.withColumn("__shot", F.when(F.size("__shots") == 1, F.col("__shots")[0]))
+    shot = F.col("__shot")
+    own = rules(
+        rule("captured_at_differs", shot["captured_us"] != F.col("start_us")), rule("snapshot_count_not_one", shot.isNull()),
+        rule("snapshot_location_differs", shot.isNotNull() & ~shot["location"].eqNullSafe(F.col("location"))),
+        rule("snapshot_not_at_zero", (shot["start_offset_ms"] != 0) | (shot["end_offset_ms"] != 0)))
+    return staged.withColumn(name, F.array_sort(F.concat("__episode", own))).drop("__episode", "__shots", "__shot")
 
 
 def validate_capture(docs: DataFrame) -> DataFrame:
-    """Episode rules plus exactly one time-zero snapshot that equals the context field by field."""
-    return docs.withColumn("errors", capture_errors())
+    return with_capture_errors(docs)
 
 
 def validate_plans(plans: DataFrame) -> DataFrame:

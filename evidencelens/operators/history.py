@@ -73,14 +73,16 @@ def timeline(
         events, ["household"], segment_of("t", segment_us), ["t", "kind", "event_id"],
         sums=sums, maxes=maxes, lasts=lasts,
     )
-    probes = ran.where("kind = 1")
-    now = F.col("tag") == "now"
-    outs = [F.first(F.when(now, F.col("previous")), ignorenulls=True).alias("previous")]
-    outs += [F.max(F.when(now, F.col(k))).alias(k) for k in maxes]
-    for name in windows:
-        before = F.max(F.when(now, F.col("earlier"))) - F.max(F.when(F.col("tag") == name, F.col("earlier")))
-        outs.append(before.alias(f"episodes_last_{name}"))
-    return probes.groupBy("household", "event_id").agg(F.max("at").alias("start_us"), *outs)
+    now = ran.where("kind = 1 AND tag = 'now'").select("household", "event_id", F.col("at").alias("start_us"), "previous", *maxes)
+    if not windows:
+        return now
+    # Signed running counts per look-back: only these short rows meet again by event.
+    probes = ran.where("kind = 1").select("event_id", "tag", "earlier")
+    counts = [
+        F.sum(F.when(F.col("tag") == "now", F.col("earlier")).when(F.col("tag") == name, -F.col("earlier")).otherwise(long(0))).alias(f"episodes_last_{name}")
+        for name in windows
+    ]
+    return now.join(probes.groupBy("event_id").agg(*counts), "event_id")
 
 
 def previous_episode(episodes: DataFrame, household: str = "household_id") -> DataFrame:

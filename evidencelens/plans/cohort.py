@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from evidencelens.operators import cohorts, contracts
 from evidencelens.operators.contracts import COUNT_METRICS, merge, rule, rules
+from evidencelens.session import cut_lineage
 
 
 def cohort_manifest(docs: DataFrame) -> DataFrame:
     """One row per ablation row: support counts, duplicate ids and the one shared primary cohort digest."""
-    s = cohorts.event_support(docs)
+    # Counts and cohort both read the support flags; written once, the contract rules run once.
+    s = cut_lineage(cohorts.event_support(docs).select("episode_id", "b0", "v1", "a1", "target", "conflict", "eligible"))
     counts = cohorts.cohort_support(s)
     dup = lambda c: docs.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"duplicate_{c}s"))
     primary = cohorts.complete_case(s)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LOCK_SUFFIX = "lock.json"
 
@@ -21,29 +20,26 @@ EPISODE_DDL = """
  missing_modalities array<string>,
  provenance struct<source_ids: array<string>, lineage: array<string>, annotation_source: string, software_versions: map<string, string>>,
  privacy struct<contains_human_audio: boolean, contains_human_image: boolean>,
- notes string
-"""
-EPISODE = T.StructType.fromDDL(EPISODE_DDL)
+ notes string"""
 
 
-def read_episodes(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+def read_episodes(spark: SparkSession, path: str, schema: str = EPISODE_DDL, multi_line: bool = True) -> DataFrame:
     """Episode objects: one object or an array per file, or one object per line (``multi_line`` off).
 
     Line files are split between tasks; a multi-line file is read by one task, so large collections belong
     in many files or in lines.
     """
-    return spark.read.schema(schema or EPISODE).option("multiLine", multi_line).json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
-def discover_episodes(spark: SparkSession, path: str, composer: str, schema: T.StructType | None = None, version: str = "0.1.0",
+def discover_episodes(spark: SparkSession, path: str, composer: str, schema: str = EPISODE_DDL, version: str = "0.1.0",
                       glob: str = "*.json", multi_line: bool = True) -> DataFrame:
     """Readable canonical and derived documents below ``path`` with their file and a ``derived`` flag.
 
     Lock files and unreadable JSON are skipped; a document needs the schema version and an event id. Capture
     folders hold one document per file; exports with one document per line set ``multi_line`` off.
     """
-    fields = T.StructType([*(schema or EPISODE).fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.schema(fields).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("mode", "PERMISSIVE")
+    raw = (spark.read.schema(f"{schema}, _corrupt_record string").option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("mode", "PERMISSIVE")
            .option("multiLine", multi_line).json(path).select("*", F.col("_metadata.file_path").alias("file_path")))
     good = raw.where(~F.col("file_path").endswith(LOCK_SUFFIX) & F.col("_corrupt_record").isNull() & (F.col("schema_version") == version) & (F.coalesce("event_id", F.lit("")) != ""))
     stamp = F.try_element_at(F.col("provenance.software_versions"), F.lit(composer))
