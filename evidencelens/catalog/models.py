@@ -79,13 +79,13 @@ def chronological(spark, sf):
 
 @query("cluster_stability", "L10 J15 A10 A11 L11")
 def stability(spark, sf):
-    return cluster_stability(views.clips(spark, sf), "path", FEATURES, ["context", "group_id", "owner_id"], [2, 3], repeats=3)
+    return cluster_stability(views.clips(spark, sf), "path", FEATURES, ["context", "group_id", "owner_id"], [2, 3], repeats=2, restarts=2)
 
 
 @query("latent_discovery", "L12 L13 E19 A12")
 def discovery(spark, sf):
     c = views.clips(spark, sf)
-    report, labels = latent_discovery(c.select("path", *FEATURES), "path", {"f1": "pitch", "f2": "pitch", "f3": "energy", "f4": "energy"}, [2, 3], repeats=2)
+    report, labels = latent_discovery(c.select("path", *FEATURES), "path", {"f1": "pitch", "f2": "pitch", "f3": "energy", "f4": "energy"}, [2, 3], repeats=2, restarts=1)
     audit = confound_report(labels, c.select("path", F.col("group_id").alias("subject"), F.col("owner_id").alias("household"), "session", "context"), "path", ["subject", "household", "session", "context"])
     extra = audit.select("k", F.lit("identity_max_ami").alias("metric"), F.lit("").alias("detail"), F.col("identity_max_ami").alias("value"))
     return report.unionByName(extra)

@@ -23,6 +23,12 @@ def _prepared(rows: DataFrame, row_id: str, features: Sequence[str], keep: Seque
     return x.withColumn("vec", array_to_vector(F.array(*features)))
 
 
+def _fit(x: DataFrame, k: int, seed: int, restarts: int, max_iter: int):
+    """Best of several seeded k-means runs by training cost."""
+    models = [KMeans(k=k, seed=seed + 7919 * i, featuresCol="vec", maxIter=max_iter).fit(x) for i in range(restarts)]
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
 def _subset(x: DataFrame, row_id: str, seed: int, fraction: float, k: int, n: int) -> DataFrame:
     """Exactly max(k+1, floor(fraction*n)) rows, the first by hash."""
     size = min(n, max(k + 1, int(fraction * n)))
@@ -46,19 +52,21 @@ def _label(model, x: DataFrame, name: str, mapping: dict[int, int] | None = None
     return out.drop("prediction")
 
 
-def _stability(x: DataFrame, row_id: str, k: int, n: int, repeats: int, fraction: float, seed: int, max_iter: int) -> DataFrame:
+def _stability(x: DataFrame, row_id: str, k: int, n: int, repeats: int, fraction: float, seed: int, restarts: int, max_iter: int) -> DataFrame:
     """Mean pairwise ARI of models fitted on hash subsets and applied to all rows."""
     labelled, names = x, []
     for r in range(repeats):
         s = seed + 1000 * k + r
-        model = KMeans(k=k, seed=s, featuresCol="vec", maxIter=max_iter).fit(_subset(x, row_id, s, fraction, k, n))
+        part = _subset(x, row_id, s, fraction, k, n).persist()
+        model = _fit(part, k, s, restarts, max_iter)
+        part.unpersist()
         names.append(f"rep{r}")
         labelled = model.transform(labelled).withColumnRenamed("prediction", names[-1])
     return cl.mean_pairwise_ari(labelled.select(row_id, *names), row_id, names)
 
 
 def cluster_stability(rows: DataFrame, row_id: str, features: Sequence[str], metadata: Sequence[str], k_values: Sequence[int], *, repeats: int = 20, fraction: float = 0.8,
-                      seed: int = 20260821, max_iter: int = 20) -> DataFrame:
+                      seed: int = 20260821, restarts: int = 20, max_iter: int = 20) -> DataFrame:
     """Per k: silhouette (squared distance), stability, AMI with each metadata column, sizes; tidy rows."""
     x = cut_lineage(_prepared(rows, row_id, features))
     n = x.count()
@@ -66,10 +74,10 @@ def cluster_stability(rows: DataFrame, row_id: str, features: Sequence[str], met
     for k in k_values:
         if n <= k:
             continue
-        model = KMeans(k=k, seed=seed + k, featuresCol="vec", maxIter=max_iter).fit(x)
+        model = _fit(x, k, seed + k, restarts, max_iter)
         lab = _label(model, x, "cluster")
         parts.append(cl.silhouette_squared(lab, "cluster", features).select(F.lit(k).alias("k"), F.lit("silhouette").alias("metric"), F.lit("").alias("detail"), F.col("silhouette").alias("value")))
-        parts.append(_stability(x, row_id, k, n, repeats, fraction, seed, max_iter).select(F.lit(k).alias("k"), F.lit("stability").alias("metric"), F.lit("").alias("detail"), F.col("stability").alias("value")))
+        parts.append(_stability(x, row_id, k, n, repeats, fraction, seed, restarts, max_iter).select(F.lit(k).alias("k"), F.lit("stability").alias("metric"), F.lit("").alias("detail"), F.col("stability").alias("value")))
         j = lab.select(row_id, "cluster").join(rows.select(row_id, *metadata), row_id)
         long = j.select("cluster", F.explode(F.array(*[F.struct(F.lit(c).alias("detail"), F.col(c).cast("string").alias("b")) for c in metadata])).alias("r")).select("cluster", "r.*")
         parts.append(cl.contingency_ami(long, ["detail"], "cluster", "b").select(F.lit(k).alias("k"), F.lit("ami").alias("metric"), "detail", F.col("ami").alias("value")))
@@ -78,7 +86,7 @@ def cluster_stability(rows: DataFrame, row_id: str, features: Sequence[str], met
 
 
 def latent_discovery(fit_features: DataFrame, row_id: str, families: dict[str, str], k_values: Sequence[int] = tuple(range(2, 9)), *, repeats: int = 20, fraction: float = 0.8,
-                     seed: int = 20260821, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+                     seed: int = 20260821, restarts: int = 20, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
     """(metric rows per k, canonical cluster id per row and k) from predictor columns alone.
 
     The input holds the row id and the manifest's features; audit columns live in another DataFrame and
@@ -94,13 +102,13 @@ def latent_discovery(fit_features: DataFrame, row_id: str, families: dict[str, s
     for k in k_values:
         if n <= k:
             continue
-        fit = lambda cols, s: KMeans(k=k, seed=s, featuresCol="vec", maxIter=max_iter).fit(x.withColumn("vec", array_to_vector(F.array(*cols))))  # noqa: B023,E731
+        fit = lambda cols, s: _fit(x.withColumn("vec", array_to_vector(F.array(*cols))), k, s, restarts, max_iter)  # noqa: B023,E731
         model = fit(features, seed + k)
         lab = _label(model, x, "cluster", _centres(model, k))
         labels.append(lab.select(row_id, F.lit(k).alias("k"), F.format_string(f"Z{k:02d}-c%d", "cluster").alias("cluster_id")))
         put = lambda df, metric, col, detail=None: df.select(F.lit(k).alias("k"), F.lit(metric).alias("metric"), F.lit(detail or "").alias("detail"), F.col(col).cast("double").alias("value"))  # noqa: B023,E731
         parts.append(put(cl.silhouette_squared(lab, "cluster", features), "silhouette", "silhouette"))
-        parts.append(put(_stability(x, row_id, k, n, repeats, fraction, seed, max_iter), "stability", "stability"))
+        parts.append(put(_stability(x, row_id, k, n, repeats, fraction, seed, restarts, max_iter), "stability", "stability"))
         shape = cl.cluster_shape(lab, [], "cluster")
         parts += [put(shape, c, c) for c in ("smallest_fraction", "largest_fraction", "normalized_entropy")]
         for family in sorted(set(families.values())):

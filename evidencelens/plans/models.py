@@ -11,6 +11,7 @@ from evidencelens.functions import finite_double
 from evidencelens.operators import metrics as m
 from evidencelens.operators.keypoints import stack
 from evidencelens.operators.quantiles import exact_quantiles
+from evidencelens.session import cut_lineage
 from evidencelens.plans.logistic import Fit, fit_all, group_moments, predict, prepare
 
 PROBS = lambda k: [f"p{i}" for i in range(k)]
@@ -224,10 +225,12 @@ def chronological_evaluation(rows: DataFrame, household: str, time: str, tie: st
 
     A training part with one class yields status ``unsupported``. Families: name -> (categorical, numeric).
     """
-    split = m.chronological_split(rows, [household], time, tie, label, fraction).withColumn("y", F.col(label).cast("int"))
-    train, test = split.where("part = 'train'"), split.where("part = 'test'")
     cats = sorted({c for c, _ in families.values() for c in c})
     nums = sorted({c for _, n in families.values() for c in n})
+    # Feature rows are costly and feed the split, the vocabulary and every pass; they are written once.
+    rows = cut_lineage(rows.select(*dict.fromkeys([household, time, tie, label, *cats, *nums])))
+    split = m.chronological_split(rows, [household], time, tie, label, fraction).withColumn("y", F.col(label).cast("int"))
+    train, test = split.where("part = 'train'"), split.where("part = 'test'")
     x, names = one_hot_dict(split, cats, nums, vocabulary(train, cats))
     at = {}
     for i, n in enumerate(names):
