@@ -272,7 +272,7 @@ def region_track_summary(spark, sf):
 
 CURVES = """cv AS (SELECT o_orderkey // 8 AS curve_id, (o_orderkey // 8) // 20 AS sequence_id, (o_orderkey // 8) % 20 AS frame_index, o_orderkey % 8 AS pos, (o_orderkey % 8) / 7.0 AS u,
   10.0 * (o_orderkey % 8) + floor(o_totalprice / 1000) / 64 AS x, (o_custkey % 50)::DOUBLE AS y, CASE WHEN o_custkey % 40 = 3 THEN 'occluded' ELSE 'visible' END AS visibility,
-  10.0 * (o_orderkey % 8) + o_custkey % 7 AS px, (o_custkey % 50)::DOUBLE + 2 AS py, CASE WHEN o_custkey % 30 = 4 THEN 'occluded' ELSE 'partially_visible' END AS pvis FROM orders)"""
+  10.0 * (o_orderkey % 8) + o_custkey % 7 AS px, (o_custkey % 50)::DOUBLE + 2 AS py, CASE WHEN o_custkey % 30 = 4 THEN 'occluded' ELSE 'partially_visible' END AS pvis, max(o_orderkey % 8) OVER (PARTITION BY o_orderkey // 8) AS mp FROM orders)"""
 RESAMPLE = """{n}s AS (SELECT curve_id, pos, {x} AS x, {y} AS y, lead({x}) OVER w AS nx, lead({y}) OVER w AS ny FROM cv WINDOW w AS (PARTITION BY curve_id ORDER BY pos)),
 {n}d AS (SELECT *, coalesce(sqrt((nx - x)**2 + (ny - y)**2), 0) AS d FROM {n}s),
 {n}c AS (SELECT *, sum(d) OVER (PARTITION BY curve_id ORDER BY pos) AS c1, sum(d) OVER (PARTITION BY curve_id) AS total FROM {n}d),
@@ -300,7 +300,7 @@ CURVE_ERR = CURVES + ", " + RESAMPLE.format(n="r", x="x", y="y") + ", " + RESAMP
 ce AS (SELECT curve_id, avg(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)) AS m, max(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)) AS mx FROM rr a JOIN pr b USING (curve_id, j) GROUP BY 1),
 en AS (SELECT curve_id, any_value(sequence_id) AS sequence_id, any_value(frame_index) AS frame_index, avg((visibility = 'visible')::DOUBLE) AS f,
   max(CASE WHEN pos = 0 AND visibility = 'visible' AND pvis <> 'occluded' THEN sqrt((x-px)**2 + (y-py)**2) END) AS be,
-  max(CASE WHEN pos = 7 AND visibility = 'visible' AND pvis <> 'occluded' THEN sqrt((x-px)**2 + (y-py)**2) END) AS te FROM cv GROUP BY 1),
+  max(CASE WHEN pos = mp AND visibility = 'visible' AND pvis <> 'occluded' THEN sqrt((x-px)**2 + (y-py)**2) END) AS te FROM cv GROUP BY 1),
 cr AS (SELECT en.*, CASE WHEN f = 1 THEN m / 800 END AS cm, CASE WHEN f = 1 THEN mx / 800 END AS cx FROM en JOIN ce USING (curve_id))"""
 
 

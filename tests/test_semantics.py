@@ -238,7 +238,7 @@ def test_planted_clusters_are_found(spark):
     from evidencelens.plans.discovery import latent_discovery
 
     rng = np.random.default_rng(1)
-    rows = [(i, float(rng.normal(8 * (i % 3), 0.5)), float(rng.normal(-8 * (i % 3), 0.5)), float("nan") if i % 17 == 0 else float(rng.normal())) for i in range(90)]
+    rows = [(i, float(rng.normal(8 * (i % 3), 0.5)), float(rng.normal(-8 * (i % 3), 0.5)), float("nan") if i % 17 == 0 else float(rng.normal(6 * ((i + 1) % 3), 0.5))) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double")
     report, labels = latent_discovery(df, "id", {"a": "x", "b": "x", "c": "y"}, [3], repeats=2, restarts=4)
     truth = labels.withColumn("truth", F.col("id") % 3)
