@@ -6,7 +6,7 @@ from evidencelens import views
 from evidencelens.catalog import query
 from evidencelens.docs_view import SQL_DOCS, array_of, documents
 from evidencelens.operators import contracts as ct
-from evidencelens.views import table
+from evidencelens.views import spread, table
 
 
 def text(df, *keys):
@@ -93,7 +93,7 @@ PLANS_SQL = "WITH pl AS (SELECT " + _plan("duckdb") + " FROM events), ph AS (SEL
     ("'policy_reserved_for_phase_2'", "pl WHERE policy = 'expected_information_gain' AND phase <> 'I1.2'"), ("'policy_not_before_phase_1'", "pl WHERE policy = 'randomized_safe_set' AND phase = 'I1.0'"),
 ]))
 def validate_plans(spark, sf):
-    p = table(spark, sf, "events").selectExpr("*").selectExpr(*_split(_plan("spark")))
+    p = table(spark, sf, "events").selectExpr(*_split(_plan("spark")))
     return text(ct.validate_plans(p), "event_id")
 
 
@@ -162,7 +162,7 @@ cm AS (SELECT event_id, unnest(class_map) AS x FROM pk), lg AS (SELECT *, lag(x.
     ("'score_not_finite'", "fr WHERE len(list_filter(x.scores, lambda s: isnan(s))) > 0"),
 ]))
 def validate_score_packets(spark, sf):
-    return text(ct.validate_score_packets(table(spark, sf, "events").selectExpr(*_split(_packet("spark")))), "event_id")
+    return text(ct.validate_score_packets(spread(table(spark, sf, "events")).selectExpr(*_split(_packet("spark")))), "event_id")
 
 
 # ---- pose packages -------------------------------------------------------------------------------
@@ -201,7 +201,7 @@ def validate_pose_packages(spark, sf):
 
 
 def packages(spark, sf):
-    return table(spark, sf, "events").selectExpr(*_split(_package("spark")))
+    return spread(table(spark, sf, "events")).selectExpr(*_split(_package("spark")))
 
 
 # ---- sidecars ------------------------------------------------------------------------------------

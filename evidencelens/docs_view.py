@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidencelens.views import table
+from evidencelens.views import spread, table
 
 
 def _render(dialect: str, text: str) -> str:
@@ -104,7 +104,7 @@ def projection(dialect: str) -> list[str]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*projection("spark"))
+    return spread(table(spark, sf_dir, "events")).selectExpr(*projection("spark"))
 
 
 SQL_DOCS = "WITH v_docs AS (SELECT " + ",\n ".join(projection("duckdb")) + " FROM events)"

@@ -115,7 +115,8 @@ def silhouette_squared(df: DataFrame, label: str, features: Sequence[str], keys:
     q = sum((F.col(f) * F.col(f) for f in features), F.lit(0.0))
     stats = df.groupBy(*k, F.col(label).alias("__c")).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f).alias(f"__s_{f}") for f in features], F.sum(q).alias("__q"))
     per_key = stats.groupBy(*k).agg(F.collect_list(F.struct("__c", "__n", F.array(*[F.col(f"__s_{f}") for f in features]).alias("s"), "__q")).alias("__cs"))
-    j = df.join(F.broadcast(per_key), k) if k else df.crossJoin(F.broadcast(per_key))
+    # Keys may be many, so their table is left to the join; without keys it is one row.
+    j = df.join(per_key, k) if k else df.crossJoin(F.broadcast(per_key))
     x = [F.col(f) for f in features]
     xx = sum((c * c for c in x), F.lit(0.0))
 

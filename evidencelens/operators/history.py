@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelens.functions import ACTION_KEYWORDS, MISSING_LABEL, SENTINEL
@@ -73,16 +73,17 @@ def timeline(
         events, ["household"], segment_of("t", segment_us), ["t", "kind", "event_id"],
         sums=sums, maxes=maxes, lasts=lasts,
     )
-    now = ran.where("kind = 1 AND tag = 'now'").select("household", "event_id", F.col("at").alias("start_us"), "previous", *maxes)
-    if not windows:
-        return now
-    # Signed running counts per look-back: only these short rows meet again by event.
-    probes = ran.where("kind = 1").select("event_id", "tag", "earlier")
-    counts = [
-        F.sum(F.when(F.col("tag") == "now", F.col("earlier")).when(F.col("tag") == name, -F.col("earlier")).otherwise(long(0))).alias(f"episodes_last_{name}")
+    probes = ran.where("kind = 1")
+    # The few probes of one episode meet again by event; signed running counts give the look-backs.
+    own = Window.partitionBy("event_id")
+    counts = {
+        f"episodes_last_{name}": F.sum(
+            F.when(F.col("tag") == "now", F.col("earlier")).when(F.col("tag") == name, -F.col("earlier")).otherwise(long(0))
+        ).over(own)
         for name in windows
-    ]
-    return now.join(probes.groupBy("event_id").agg(*counts), "event_id")
+    }
+    probes = probes.withColumns(counts) if counts else probes
+    return probes.where("tag = 'now'").select("household", "event_id", F.col("at").alias("start_us"), "previous", *maxes, *counts)
 
 
 def previous_episode(episodes: DataFrame, household: str = "household_id") -> DataFrame:

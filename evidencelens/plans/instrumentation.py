@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelens.operators import clusters, context, contracts
-from evidencelens.session import cut_lineage
+from evidencelens.session import materialise
 
 
 def audit_rows(docs: DataFrame, household: str = "household_id") -> DataFrame:
@@ -18,4 +18,4 @@ def audit_rows(docs: DataFrame, household: str = "household_id") -> DataFrame:
 
 def instrumentation_report(docs: DataFrame, household: str = "household_id") -> DataFrame:
     """One row per household. The short rows feed several passes and are written once, so the contract rules run once."""
-    return clusters.instrumentation_audit(cut_lineage(audit_rows(docs, household)), household, "start_us", "event_id", "y", "ok")
+    return clusters.instrumentation_audit(materialise(audit_rows(docs, household), "audit"), household, "start_us", "event_id", "y", "ok")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelens.operators import keypoints as kp
+from evidencelens.session import materialise
 
 
 def validate_sequences(frames: DataFrame, width: str, height: str, keys: Sequence[str] = kp.SEQ) -> DataFrame:
@@ -24,7 +25,8 @@ def validate_sequences(frames: DataFrame, width: str, height: str, keys: Sequenc
 def sequence_scorecard(points: DataFrame, frames: DataFrame, *, diagonal: float, edges, depth_pairs, required,
                        keys: Sequence[str] = kp.SEQ, min_score: float = kp.MIN_SCORE) -> DataFrame:
     """Coverage, dropout, curvature, bones, depth flips, topology and latency, keyed by sequence."""
-    kept = kp.confident_keypoints(points, min_score, keys)
+    kept = materialise(kp.confident_keypoints(points, min_score, keys), "keypoints")
+    frames = materialise(frames, "frames")
     cov = kp.coverage(kept, frames, keys)
     edge_name = F.concat_ws("--", "a", "b")
     parts = [

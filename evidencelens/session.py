@@ -19,6 +19,7 @@ def local_session(cores: str | int = "*", app: str = "evidencelens", shuffle: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -51,3 +52,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared folder and restart its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as a columnar table in the shared folder and read back.
+
+    For a wide intermediate that several branches read in part: each branch then scans only its columns,
+    and the work above is neither repeated nor lost with an executor.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan yields fewer tasks than the session has.
+
+    For costly row-local work on a small table (one file, one row group). A large scan has more tasks than
+    cores and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 SQL_VIEWS = {
     "v_episodes": """
  SELECT event_id, user_id AS subject_id, user_id % 10 AS household_id, event_type AS location, value,
