@@ -209,17 +209,22 @@ def ablation(spark, sf):
     digest = co.id_set_digest(episodes.distinct(), ["report_id", "row_id"], "episode_id").select("report_id", "row_id", "digest")
     rows = ids.select("report_id", sp.alias("s")).select("report_id", "s.*").join(digest, ["report_id", "row_id"], "left").where("NOT (report_id = 9 AND row_id = 'VA')").selectExpr(
         "report_id", "row_id", "IF(report_id = 11 AND row_id = 'BVA-V', 'predictive', mode) AS mode", "IF(report_id = 13 AND row_id = 'B0', array('V1'), inputs) AS inputs",
-        "IF(report_id = 15 AND row_id = 'V', 'x', concat('split-manifest-', report_id)) AS split_sha256", "IF(report_id = 17 AND row_id = 'A', 'x', digest) AS declared_sha256")
+        "IF(report_id = 15 AND row_id = 'V', 'x', concat('split-manifest-', report_id)) AS split_sha256", "CASE row_id WHEN 'BVA-V' THEN 'BVA/V1' WHEN 'BVA-A' THEN IF(report_id = 31, 'BVA/V1', 'BVA/A1') END AS stress",
+        "IF(report_id = 33 AND row_id = 'B0', 'other/60', 'signalling_terminated/60') AS row_target", "IF(report_id = 17 AND row_id = 'A', 'x', digest) AS declared_sha256")
     metrics = ids.select("report_id", sp.alias("s")).select("report_id", "s.row_id", "s.i", F.explode(F.array(*[F.lit(x) for x in co.REQUIRED_METRICS])).alias("metric"))
     value = F.expr("""CASE WHEN report_id = 4 AND row_id = 'BV' AND metric = 'ece' THEN NULL ELSE CASE metric WHEN 'log_loss' THEN 0.5D + ((i * 7 + report_id) % 10) / 20.0D - IF(row_id = 'BVA' AND report_id % 3 > 0, 0.4D, 0D)
       WHEN 'ece' THEN 0.05D + IF(row_id = 'BVA' AND report_id % 4 = 1, 0.06D, 0D) ELSE 0.4D END END""")
     metrics = metrics.select("report_id", "row_id", "metric", value.alias("value"))
     reports = ids.selectExpr("report_id", "IF(report_id = 19, 'v9', 'v0') AS contract_version", "IF(report_id = 21, 'true_intent', 'signalling_terminated') AS target_name", "60 AS horizon_s",
                              "concat('split-manifest-', report_id) AS split_sha256", "report_id % 5 > 0 AS uncertainty_supported", "IF(report_id = 23, 'clip', 'household') AS resampling_unit",
-                             "IF(report_id % 2 = 0, 'reported', 'not_applicable') AS abstention_status", "report_id % 8 > 0 AS threshold_frozen")
+                             "IF(report_id % 2 = 0, 'reported', 'not_applicable') AS abstention_status", "report_id % 8 > 0 AS threshold_frozen", "IF(report_id = 35, '', 'held-out households') AS claim_scope",
+                             "IF(report_id = 10, NULL, 'too few units') AS uncertainty_reason", "IF(report_id = 37, NULL, 'nothing to abstain from') AS abstention_reason", "IF(report_id = 39, NULL, true) AS advancement_requested")
     probes = ids.select("report_id", F.explode(F.array(*[F.lit(p) for p in co.PROBES])).alias("probe")).where("NOT (report_id = 25 AND probe = 'location')").selectExpr(
         "report_id", "probe", "CASE WHEN report_id = 27 AND probe = 'location' THEN 'skipped' WHEN report_id = 29 AND probe = 'location' THEN 'unsupported' ELSE 'reported' END AS status", "CAST(NULL AS string) AS reason")
-    return reports, rows, metrics, episodes, probes
+    diagnostics = ids.select("report_id", F.explode(F.array(*[F.lit(p) for p in co.DIAGNOSTICS])).alias("diagnostic")).where("NOT (report_id = 12 AND diagnostic = 'visual_dropout')").selectExpr(
+        "report_id", "diagnostic", "CASE WHEN report_id = 14 AND diagnostic = 'visual_dropout' THEN 'lost' WHEN diagnostic = 'audio_dropout' THEN 'not_present' ELSE 'reported' END AS status",
+        "IF(report_id = 18, NULL, 'no recordings') AS reason")
+    return reports, rows, metrics, episodes, probes, diagnostics
 
 
 @query("validate_ablation_reports", "V7 T4 A21", ABL + """, b AS (SELECT d.report_id, d.row_id, d.d <> a.d AS x FROM dg d JOIN dg a ON a.report_id = d.report_id AND a.row_id = 'B0'),
@@ -229,6 +234,9 @@ er AS (SELECT report_id, 'cohort_differs:' || row_id AS c FROM b WHERE x
  UNION ALL SELECT report_id, 'episode_digest_differs:A' FROM rp WHERE report_id = 17 UNION ALL SELECT report_id, 'metric_' || metric || ':' || row_id FROM mt WHERE value IS NULL
  UNION ALL SELECT report_id, 'contract_version' FROM rp WHERE report_id = 19 UNION ALL SELECT report_id, unnest(['target_differs', 'forbidden_target']) FROM rp WHERE report_id = 21
  UNION ALL SELECT report_id, 'resampling_unit_not_allowed' FROM rp WHERE report_id = 23 UNION ALL SELECT report_id, 'threshold_not_frozen' FROM rp WHERE report_id % 8 = 0
+ UNION ALL SELECT report_id, 'stress_differs:BVA-A' FROM rp WHERE report_id = 31 UNION ALL SELECT report_id, 'row_target_differs:B0' FROM rp WHERE report_id = 33 UNION ALL SELECT report_id, 'claim_scope_missing' FROM rp WHERE report_id = 35
+ UNION ALL SELECT report_id, 'uncertainty_reason_missing' FROM rp WHERE report_id = 10 UNION ALL SELECT report_id, 'abstention_reason_missing' FROM rp WHERE report_id = 37 UNION ALL SELECT report_id, 'advancement_not_declared' FROM rp WHERE report_id = 39
+ UNION ALL SELECT report_id, 'diagnostic_missing' FROM rp WHERE report_id = 12 UNION ALL SELECT report_id, 'diagnostic_status' FROM rp WHERE report_id = 14 UNION ALL SELECT report_id, 'diagnostic_reason_missing' FROM rp WHERE report_id = 18
  UNION ALL SELECT report_id, 'probe_missing' FROM rp WHERE report_id = 25 UNION ALL SELECT report_id, 'probe_status' FROM rp WHERE report_id = 27 UNION ALL SELECT report_id, 'probe_reason_missing' FROM rp WHERE report_id = 29)
 SELECT report_id, coalesce(string_agg(DISTINCT c, ';' ORDER BY c), '') AS errors FROM rp LEFT JOIN er USING (report_id) GROUP BY 1""")
 def validate_ablation_reports(spark, sf):
@@ -247,7 +255,7 @@ d AS (SELECT f.report_id, st, f.ll - se.ll AS delta, concat_ws(';', CASE WHEN f.
   CASE WHEN f.ece - se.ece > 0.02 AND f.report_id % 8 <> 1 THEN 'ece_degradation_undisclosed' END, CASE WHEN f.report_id % 5 = 0 THEN 'uncertainty_not_supported' END) AS e FROM f JOIN se USING (report_id))
 SELECT report_id, st AS strongest, round(delta, 6) + 0.0 AS delta_log_loss, e = '' AS advances, e AS errors FROM d""")
 def advancement_decision(spark, sf):
-    reports, _, metrics, _, _ = ablation(spark, sf)
+    reports, _, metrics, *_ = ablation(spark, sf)
     metrics = metrics.withColumn("value", F.round("value", 9))
     best = co.strongest_constituent(metrics)
     full = metrics.where("row_id = 'BVA' AND metric = 'log_loss'").select("report_id", F.col("value").alias("ll"))

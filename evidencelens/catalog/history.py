@@ -175,8 +175,11 @@ def outcome_state(spark, sf):
     return documents(spark, sf).select("event_id", context.outcome_state(F.expr("event_id % 4 <> 3")).alias("state"))
 
 
-PROV = ("o.schema_ref = 'pose-package-v1' AND regexp_full_match(o.artifact_sha256, '[0-9a-fA-F]{64}') "
-        "AND o.package_event = event_id AND o.sample_count >= 1 AND o.start_offset_ms <= o.end_offset_ms")
+HEX = "regexp_full_match(o.{}, '[0-9a-fA-F]{{64}}')"
+PROV = "coalesce(o.schema_ref = 'pose-package-v1' AND o.sidecar_version = 'v0' AND o.artifact_kind = 'pose_features_json' AND NOT o.local_path_included AND " + " AND ".join(
+    HEX.format(c) for c in ("artifact_sha256", "reservation_sha256", "sealed_record_sha256", "producer_sha256")) + (
+    " AND o.package_version = 'v0' AND o.package_event = event_id AND o.package_episode = episode_id AND o.package_subject = subject_id AND o.package_sequence <> ''"
+    " AND o.window_start_ms = o.start_offset_ms AND o.window_end_ms = o.end_offset_ms AND o.observation_count >= 1 AND o.sample_count >= 1 AND o.source_media_count >= 1, false)")
 
 
 def duck_refs(cond):
@@ -203,11 +206,11 @@ def evidence_window(spark, sf):
     return documents(spark, sf).select("event_id", *[F.array_join(c, ",").alias(k) for k, c in cols.items()])
 
 
-@query("snapshot_context", "P9", SQL_DOCS + """
-SELECT event_id, (list_filter(observations, lambda o: o.modality = 'object_environment' AND o.start_offset_ms = 0))[1].observation_ref AS snapshot_ref
-FROM v_docs""")
+@query("snapshot_context", "P9", SQL_DOCS + """, s AS (SELECT event_id, list_filter(observations, lambda o: o.modality = 'object_environment') AS s FROM v_docs),
+x AS (SELECT event_id, CASE WHEN len(s) = 1 AND s[1].start_offset_ms = 0 AND s[1].end_offset_ms >= 0 THEN s[1] END AS x FROM s)
+SELECT event_id, x.observation_ref AS snapshot_ref, x.location AS location, CASE WHEN x IS NULL THEN 'no_single_snapshot_at_zero' ELSE '' END AS errors FROM x""")
 def snapshot_context(spark, sf):
-    return context.snapshot_context(documents(spark, sf)).select("event_id", "snapshot_ref")
+    return context.snapshot_context(documents(spark, sf)).select("event_id", "snapshot_ref", "location", F.array_join("errors", ";").alias("errors"))
 
 
 @query("redistribution_gate", "P6", """

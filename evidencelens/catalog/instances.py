@@ -270,6 +270,17 @@ def region_track_summary(spark, sf):
     return out.withColumns({c: r6(c) for c in ("coverage", "mean_step", "max_step", "mean_jsd", "max_jsd")})
 
 
+@query("flag_track_frames", "A30 A31", "WITH " + TRACKS + """, j AS (SELECT * FROM tk JOIN sd USING (sequence_id))
+SELECT 'curve' AS profile, sequence_id, frame_index, 'failed' AS flag FROM j WHERE NOT ok UNION ALL SELECT 'curve', sequence_id, frame_index, 'degenerate' FROM j WHERE ok AND x < 8.0
+UNION ALL SELECT 'curve', sequence_id, frame_index, 'expansion' FROM j WHERE area > greatest(0.01, seed_area * 4) UNION ALL SELECT 'region', sequence_id, frame_index, 'expansion' FROM j WHERE area > greatest(0.15, seed_area * 4)
+UNION ALL SELECT 'region', sequence_id, frame_index, 'collapse' FROM j WHERE area > 0 AND area < seed_area * 0.12 UNION ALL SELECT 'region', sequence_id, frame_index, 'empty' FROM j WHERE area = 0""")
+def flag_track_frames(spark, sf):
+    t, seeds = tracks(spark, sf)
+    f = t.selectExpr("*", "x AS curve_length", "CAST(area_fraction * 480000 AS BIGINT) AS area_px")
+    one = lambda p: ins.flag_track_frames(f, seeds, 800.0, p).select(F.lit(p).alias("profile"), "*")
+    return one("curve").unionByName(one("region"))
+
+
 CURVES = """cv AS (SELECT o_orderkey // 8 AS curve_id, (o_orderkey // 8) // 20 AS sequence_id, (o_orderkey // 8) % 20 AS frame_index, o_orderkey % 8 AS pos, (o_orderkey % 8) / 7.0 AS u,
   10.0 * (o_orderkey % 8) + floor(o_totalprice / 1000) / 64 AS x, (o_custkey % 50)::DOUBLE AS y, CASE WHEN o_custkey % 40 = 3 THEN 'occluded' ELSE 'visible' END AS visibility,
   10.0 * (o_orderkey % 8) + o_custkey % 7 AS px, (o_custkey % 50)::DOUBLE + 2 AS py, CASE WHEN o_custkey % 30 = 4 THEN 'occluded' ELSE 'partially_visible' END AS pvis, max(o_orderkey % 8) OVER (PARTITION BY o_orderkey // 8) AS mp FROM orders)"""

@@ -45,6 +45,20 @@ ARRAYS = {
         "artifact_sha256": "CASE WHEN (event_id + i) % 11 = 0 THEN 'bad' ELSE $sha(CAST(event_id * 10 + i AS STRING)$256) END",
         "package_event": "CASE WHEN (event_id + i) % 13 = 0 THEN event_id + 1 ELSE event_id END",
         "sample_count": "(event_id + i) % 17",
+        "sidecar_version": "CASE WHEN (event_id + i) % 19 = 0 THEN 'v9' ELSE 'v0' END",
+        "artifact_kind": "CASE WHEN (event_id + i) % 23 = 0 THEN 'audio_wav' ELSE 'pose_features_json' END",
+        "local_path_included": "(event_id + i) % 29 = 0",
+        "reservation_sha256": "CASE WHEN (event_id + i) % 31 = 0 THEN 'bad' ELSE $sha('r'$256) END",
+        "sealed_record_sha256": "CASE WHEN (event_id + i) % 37 = 0 THEN NULL ELSE $sha('s'$256) END",
+        "producer_sha256": "CASE WHEN (event_id + i) % 41 = 0 THEN 'zz' ELSE $sha('p'$256) END",
+        "package_version": "CASE WHEN (event_id + i) % 43 = 0 THEN 'v9' ELSE 'v0' END",
+        "package_episode": "CASE WHEN (event_id + i) % 47 = 0 THEN 'ep' ELSE 'ep' || CAST(event_id AS STRING) END",
+        "package_subject": "CASE WHEN (event_id + i) % 53 = 0 THEN user_id + 1 ELSE user_id END",
+        "package_sequence": "CASE WHEN (event_id + i) % 59 = 0 THEN '' ELSE 's1' END",
+        "window_start_ms": "i * 1000 * (CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END) + (CASE WHEN (event_id + i) % 61 = 0 THEN 1 ELSE 0 END)",
+        "window_end_ms": "i * 1000 + (event_id * 7) % 5500 - (CASE WHEN event_id % 22 = 0 THEN 2000 ELSE 0 END)",
+        "observation_count": "(event_id + i) % 67",
+        "source_media_count": "(event_id + i) % 71",
         "captured_us": "$us + CASE WHEN (event_id + i) % 8 = 0 THEN 1 ELSE 0 END",
         "location": "CASE WHEN event_id % 14 = 3 THEN 'moved' WHEN event_id % 12 = 0 THEN NULL ELSE event_type END",
     }),

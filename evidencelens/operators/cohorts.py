@@ -21,6 +21,8 @@ ABLATION_ROWS = {
 CONSTITUENTS = ("B0", "V", "A", "BV", "BA", "VA")
 REQUIRED_METRICS = ("log_loss", "brier", "ece", "balanced_accuracy", "macro_f1")
 PROBES = ("subject_identity", "household_owner", "time_routine", "location", "device_source", "modality_presence_missingness")
+DIAGNOSTICS = ("complete_modality", "naturally_missing", "visual_dropout", "audio_dropout", "missingness_target_probe")
+STRESS = {"BVA-V": ("BVA", "V1"), "BVA-A": ("BVA", "A1")}
 RESAMPLING_UNITS = ("subject", "household", "day", "session")
 
 
@@ -202,10 +204,10 @@ def strongest_constituent(metrics: DataFrame) -> DataFrame:
     return best.select("report_id", F.col("b.row_id").alias("strongest"), F.col("b.value").alias("log_loss"))
 
 
-def validate_ablation_reports(reports: DataFrame, rows: DataFrame, metrics: DataFrame, episodes: DataFrame, probes: DataFrame) -> DataFrame:
+def validate_ablation_reports(reports: DataFrame, rows: DataFrame, metrics: DataFrame, episodes: DataFrame, probes: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Errors per report from long tables; cohorts are compared by count and digest, never as lists."""
-    spec = F.array(*[F.struct(F.lit(r).alias("row_id"), F.lit(mode).alias("want_mode"), F.lit(",".join(sorted(inputs))).alias("want_inputs"))
-                     for r, (mode, inputs) in ABLATION_ROWS.items()])
+    spec = F.array(*[F.struct(F.lit(r).alias("row_id"), F.lit(mode).alias("want_mode"), F.lit(",".join(sorted(inputs))).alias("want_inputs"),
+                              F.lit("/".join(STRESS[r]) if r in STRESS else None).cast("string").alias("want_stress")) for r, (mode, inputs) in ABLATION_ROWS.items()])
     want = reports.select("report_id", "split_sha256", F.explode(spec).alias("w")).select("report_id", "split_sha256", "w.*")
     counts = episodes.groupBy("report_id", "row_id", "episode_id").agg(F.count(F.lit(1)).alias("c")).groupBy("report_id", "row_id").agg(
         F.bool_or(F.col("c") > 1).alias("dup"))
@@ -217,6 +219,8 @@ def validate_ablation_reports(reports: DataFrame, rows: DataFrame, metrics: Data
     here = F.col("present").isNotNull()
     item = rules(
         rule("row_missing", ~here), rule("mode_differs", here & (F.col("mode") != F.col("want_mode"))), rule("inputs_differ", here & (F.array_join(F.array_sort("inputs"), ",") != F.col("want_inputs"))),
+        rule("stress_differs", here & F.col("want_stress").isNotNull() & ~F.col("stress").eqNullSafe(F.col("want_stress"))),
+        rule("row_target_differs", here & ~F.col("row_target").eqNullSafe(F.lit("signalling_terminated/60"))),
         rule("split_differs", here & ~F.col("row_split").eqNullSafe(F.col("split_sha256"))), rule("episodes_empty", here & F.col("dup").isNull()), rule("episodes_repeated", here & F.col("dup")),
         rule("episode_digest_differs", here & ~F.coalesce("dup", F.lit(True)) & ~F.col("declared_sha256").eqNullSafe(F.col("digest"))),
         *[rule(f"metric_{x}", here & ~finite(x)) for x in REQUIRED_METRICS])
@@ -225,19 +229,31 @@ def validate_ablation_reports(reports: DataFrame, rows: DataFrame, metrics: Data
     per = row_level.groupBy("report_id").agg(F.flatten(F.collect_list("e")).alias("row_errors"), F.collect_list(F.struct("row_id", "digest")).alias("d"))
     anchor = F.get(F.filter("d", lambda x: x["row_id"] == "B0"), F.lit(0))["digest"]
     differ = F.transform(F.filter("d", lambda x: x["digest"].isNotNull() & anchor.isNotNull() & (x["digest"] != anchor)), lambda x: F.concat_ws(":", F.lit("cohort_differs"), x["row_id"]))
-    need = F.array(*[F.lit(p) for p in PROBES])
-    pr = probes.groupBy("report_id").agg(F.collect_set("probe").alias("have"), F.bool_or(~F.col("status").isin("reported", "unsupported")).alias("bad_status"),
-                                         F.bool_or((F.col("status") == "unsupported") & (F.coalesce("reason", F.lit("")) == "")).alias("no_reason"))
-    k = reports.join(per, "report_id").join(pr, "report_id", "left")
+    k = reports.join(per, "report_id").join(_reported(probes, "probe", PROBES, ("reported", "unsupported")), "report_id", "left")
+    k = k.join(_reported(diagnostics, "diagnostic", DIAGNOSTICS, ("reported", "not_present", "unsupported")), "report_id", "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     head = rules(
         rule("contract_version", F.col("contract_version") != "v0"), rule("target_differs", (F.col("target_name") != "signalling_terminated") | (F.col("horizon_s") != 60)),
-        rule("forbidden_target", F.col("target_name") == "true_intent"), rule("split_digest_unstable", F.coalesce(F.length("split_sha256"), F.lit(0)) < 16),
-        rule("probe_missing", F.size(F.array_except(need, F.coalesce("have", F.array().cast("array<string>")))) > 0), rule("probe_status", F.col("bad_status")), rule("probe_reason_missing", F.col("no_reason")),
+        rule("forbidden_target", F.col("target_name") == "true_intent"), rule("split_digest_unstable", F.coalesce(F.length("split_sha256"), F.lit(0)) < 16), rule("claim_scope_missing", blank("claim_scope")),
+        *[rule(f"{t}_{c}", F.coalesce(f"{t}_{c}", F.lit(c == "missing"))) for t in ("probe", "diagnostic") for c in ("missing", "status", "reason_missing")],
         rule("resampling_unit_not_allowed", F.col("uncertainty_supported") & ~F.col("resampling_unit").isin(*RESAMPLING_UNITS)),
-        rule("threshold_not_frozen", (F.col("abstention_status") == "reported") & ~F.coalesce("threshold_frozen", F.lit(False))))
+        rule("uncertainty_reason_missing", ~F.col("uncertainty_supported") & blank("uncertainty_reason")), rule("uncertainty_not_declared", F.col("uncertainty_supported").isNull()),
+        rule("abstention_status", ~F.coalesce(F.col("abstention_status").isin("reported", "not_applicable", "unsupported"), F.lit(False))),
+        rule("abstention_reason_missing", F.col("abstention_status").isin("not_applicable", "unsupported") & blank("abstention_reason")),
+        rule("threshold_not_frozen", (F.col("abstention_status") == "reported") & ~F.coalesce("threshold_frozen", F.lit(False))),
+        rule("advancement_not_declared", F.col("advancement_requested").isNull()))
     return k.select("report_id", merge(head, F.col("row_errors"), differ).alias("errors"))
 
 
+def _reported(items: DataFrame, name: str, needed: Sequence[str], statuses: Sequence[str]) -> DataFrame:
+    """Per report: a needed item is missing, has an unknown status, or lacks the reason its status requires."""
+    want = F.array(*[F.lit(p) for p in needed])
+    g = items.where(F.col(name).isin(*needed)).groupBy("report_id").agg(
+        F.collect_set(name).alias("have"), F.bool_or(~F.col("status").isin(*statuses)).alias(f"{name}_status"),
+        F.bool_or(F.col("status").isin(*[s for s in statuses if s != "reported"]) & (F.coalesce("reason", F.lit("")) == "")).alias(f"{name}_reason_missing"))
+    return g.select("report_id", (F.size(F.array_except(want, "have")) > 0).alias(f"{name}_missing"), f"{name}_status", f"{name}_reason_missing")
+
+
 def advancement_decision(reports: DataFrame, metrics: DataFrame, max_ece_loss: float = 0.02) -> DataFrame:
     """Whether the full model may advance: strictly better log loss, supported uncertainty, declared delta, ECE."""
     m = metrics_wide(metrics)

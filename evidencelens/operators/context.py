@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +93,20 @@ def outcome_state(finalized: Column, outcomes: str = "outcomes") -> Column:
     )
 
 
-def provenance_valid(o: Column, event_id: Column | str = "event_id", schema_ref: str = "pose-package-v1") -> Column:
-    """All-of predicate on one observation of the event; the field list follows the document view."""
-    event_id = F.col(event_id) if isinstance(event_id, str) else event_id
+def provenance_valid(o: Column, schema_ref: str = "pose-package-v1", sidecar_version: str = "v0", package_version: str = "v0",
+                     kind: str = "pose_features_json") -> Column:
+    """All-of predicate on one observation: markers, digests, identity with the event, window and counts.
+
+    Event columns: event_id, episode_id, subject_id.
+    """
+    digests = [is_sha256(o[c]) for c in ("artifact_sha256", "reservation_sha256", "sealed_record_sha256", "producer_sha256")]
     ok = (
-        (o["schema_ref"] == schema_ref)
-        & is_sha256(o["artifact_sha256"])
-        & (o["package_event"] == event_id)
-        & (o["sample_count"] >= 1)
-        & (o["start_offset_ms"] <= o["end_offset_ms"])
+        (o["schema_ref"] == schema_ref) & (o["sidecar_version"] == sidecar_version) & (o["artifact_kind"] == kind) & ~o["local_path_included"]
+        & digests[0] & digests[1] & digests[2] & digests[3]
+        & (o["package_version"] == package_version) & (o["package_event"] == F.col("event_id")) & (o["package_episode"] == F.col("episode_id"))
+        & (o["package_subject"] == F.col("subject_id")) & (o["package_sequence"] != "")
+        & (o["window_start_ms"] == o["start_offset_ms"]) & (o["window_end_ms"] == o["end_offset_ms"])
+        & (o["observation_count"] >= 1) & (o["sample_count"] >= 1) & (o["source_media_count"] >= 1)
     )
     return F.coalesce(ok, F.lit(False))
 
@@ -118,10 +125,18 @@ def evidence_window(modality: str, *, observations: str = "observations", cutoff
     }
 
 
-def snapshot_context(df: DataFrame, *, modality: str = "object_environment") -> DataFrame:
-    """Top-level context replaced by the validated time-zero snapshot observation; routine dropped."""
-    shot = F.get(F.filter("observations", lambda o: (o["modality"] == modality) & (o["start_offset_ms"] == 0)), F.lit(0))
-    return df.withColumn("snapshot_ref", shot["observation_ref"]).drop("routine")
+def snapshot_context(df: DataFrame, fields: Sequence[str] = ("location",), *, modality: str = "object_environment") -> DataFrame:
+    """Top-level context fields replaced by the one time-zero snapshot observation; routine dropped.
+
+    Without exactly one snapshot at offset 0 the fields are NULL and ``errors`` says so.
+    """
+    staged = df.withColumn("__shots", F.filter("observations", lambda o: o["modality"] == modality))
+    one = F.when(F.size("__shots") == 1, F.col("__shots")[0])
+    staged = staged.withColumn("__shot", F.when((one["start_offset_ms"] == 0) & (one["end_offset_ms"] >= 0), one))
+    shot = F.col("__shot")
+    errors = F.array_compact(F.array(F.when(shot.isNull(), F.lit("no_single_snapshot_at_zero"))))
+    out = staged.withColumns({**{f: shot[f] for f in fields}, "snapshot_ref": shot["observation_ref"], "errors": errors})
+    return out.drop("routine", "__shots", "__shot")
 
 
 def redistribution_gate(kind: Column, redistribution: Column) -> tuple[Column, Column]:

@@ -94,14 +94,14 @@ def validate_episodes(docs: DataFrame) -> DataFrame:
     return with_episode_errors(docs)
 
 
-def with_capture_errors(docs: DataFrame, name: str = "errors", modality: str = "object_environment") -> DataFrame:
+def with_capture_errors(docs: DataFrame, name: str = "errors", modality: str = "object_environment", fields: Sequence[str] = ("location",)) -> DataFrame:
     """Episode rules plus exactly one time-zero snapshot that equals the context field by field."""
     staged = with_episode_errors(docs, "__episode").withColumn("__shots", F.filter("observations", lambda o: o["modality"] == modality))
     staged = staged.withColumn("__shot", F.when(F.size("__shots") == 1, F.col("__shots")[0]))
     shot = F.col("__shot")
     own = rules(
         rule("captured_at_differs", shot["captured_us"] != F.col("start_us")), rule("snapshot_count_not_one", shot.isNull()),
-        rule("snapshot_location_differs", shot.isNotNull() & ~shot["location"].eqNullSafe(F.col("location"))),
+        *[rule(f"snapshot_{f}_differs", shot.isNotNull() & ~shot[f].eqNullSafe(F.col(f))) for f in sorted(fields)],
         rule("snapshot_not_at_zero", (shot["start_offset_ms"] != 0) | (shot["end_offset_ms"] != 0)))
     return staged.withColumn(name, F.array_sort(F.concat("__episode", own))).drop("__episode", "__shots", "__shot")
 

@@ -310,6 +310,18 @@ def curve_track_summary(frames: DataFrame, seeds: DataFrame, diagonal: float, ke
                     F.when(ok, "pass").otherwise("revise").alias("feasibility"))
 
 
+def flag_track_frames(frames: DataFrame, seeds: DataFrame, diagonal: float, profile: str, keys: Sequence[str] = SEQ) -> DataFrame:
+    """One row per frame and flag behind the two summaries: failed, degenerate, expansion, collapse, empty."""
+    f = frames.join(seeds, list(keys))
+    a = F.col("area_fraction")
+    if profile == "curve":
+        tests = {"failed": ~F.col("ok"), "degenerate": F.col("ok") & (F.col("curve_length") < diagonal * 0.01), "expansion": a > F.greatest(F.lit(0.01), F.col("seed_area") * 4)}
+    else:
+        tests = {"expansion": a > F.greatest(F.lit(0.15), F.col("seed_area") * 4), "collapse": (a > 0) & (a < F.col("seed_area") * 0.12), "empty": F.col("area_px") == 0}
+    flags = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
+    return f.select(*keys, "frame_index", F.explode(flags).alias("flag"))
+
+
 def region_track_summary(frames: DataFrame, seeds: DataFrame, diagonal: float, keys: Sequence[str] = SEQ) -> DataFrame:
     """Non-empty coverage, expansion, collapse, empty frames, centroid steps and appearance drift.
 
