@@ -6,7 +6,6 @@ from evidencelens import views
 from evidencelens.catalog import query
 from evidencelens.functions import image_diagonal, r6
 from evidencelens.operators import keypoints as kp
-from evidencelens.operators.context import predictors_only  # noqa: F401
 from evidencelens.plans.scorecards import sequence_scorecard, validate_sequences
 from evidencelens.sources.pose_tables import detections_to_keypoints, wide_pose3d_to_long, wide_pose_to_long
 from evidencelens.views import table
@@ -56,11 +55,11 @@ def confident(spark, sf):
     return kp.confident_keypoints(raw).select("sequence_id", "frame_index", "name", r6("x_px").alias("x_px"), "pos")
 
 
-@query("stride_sample", "P4", "WITH " + FRAMES_SQL + """
-SELECT sequence_id, frame_index // 7 AS frame_index, frame_index AS source_frame, round(frame_index / 30.0, 6) AS timestamp_s
-FROM v_frames WHERE frame_index % 7 = 0 AND frame_index // 7 < 20""")
+@query("stride_sample", "P4", "WITH " + FRAMES_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) - 1 AS i FROM v_frames WHERE frame_index % 7 = 0 AND NOT (frame_index % 49 = 14 AND sequence_id % 2 = 0))
+SELECT sequence_id, i AS frame_index, frame_index AS source_frame, round(frame_index / 30.0, 6) AS timestamp_s FROM k WHERE i < 20""")
 def stride_sample(spark, sf):
-    out = kp.stride_sample(frames(spark, sf), 7, 20, 30.0)
+    f = frames(spark, sf).where("NOT (frame_index % 49 = 14 AND sequence_id % 2 = 0)")
+    out = kp.stride_sample(f, 7, 20, 30.0)
     return out.select("sequence_id", "frame_index", "source_frame", r6("timestamp_s").alias("timestamp_s"))
 
 

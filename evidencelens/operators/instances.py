@@ -143,11 +143,11 @@ def instance_sequence_stats(boxes: DataFrame, keys: Sequence[str] = SEQ, cell: f
 def rank_sequences(stats: DataFrame, key: str = "sequence_id", min_instances: int = 2) -> DataFrame:
     """Sequences by (instances, co-visible, gap, overlap, visible) descending, then id; global rank.
 
-    Ranked inside coarse buckets of the leading criterion, offsets carried over, so no single-task sort.
+    Ranked inside buckets of the leading criteria, offsets carried over, so no single-task sort.
     """
     s = stats.where(F.col("instances") >= min_instances)
     neg = lambda c: (-F.col(c)).cast("long")
-    bucket = F.struct(neg("instances").alias("a"), neg("co_visible_frames").alias("b"))
+    bucket = F.struct(*[neg(c).alias(c) for c in ("instances", "co_visible_frames", "max_internal_gap", "overlap_frames")])
     order = [neg("instances"), neg("co_visible_frames"), neg("max_internal_gap"), neg("overlap_frames"), neg("visible_track_frames"), F.col(key)]
     return ranked(s.withColumn("__all", F.lit(0)), ["__all"], bucket, order, "selection_rank").drop("__all")
 

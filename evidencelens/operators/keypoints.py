@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evidencelens.functions import dist2, dist3
 from evidencelens.operators.quantiles import exact_quantiles
-from evidencelens.operators.segments import adjacent_summary, first_per_key, gap_summary, running, segment_of, with_neighbours
+from evidencelens.operators.segments import FRAME_BLOCK, adjacent_summary, first_per_key, gap_summary, ranked, running, segment_of, with_neighbours
 
 SEQ = ("sequence_id",)
 MIN_SCORE = 0.2
@@ -36,19 +36,14 @@ def confident_keypoints(df: DataFrame, min_score: float = MIN_SCORE, keys: Seque
 
 def stride_sample(frames: DataFrame, stride: int, max_frames: int | None, fps: float, keys: Sequence[str] = SEQ,
                   frame: str = "frame_index") -> DataFrame:
-    """Every ``stride``-th source frame, re-indexed from 0, original timestamp kept.
-
-    Source indices are contiguous from 0, so the new index is the quotient and needs no window.
-    """
+    """Every ``stride``-th source frame, re-indexed from 0 without gaps, original timestamp kept."""
     if stride < 1:
         raise ValueError("stride must be at least 1")
     if fps <= 0:
         raise ValueError("fps must be positive")
-    out = frames.where(F.col(frame) % stride == 0).withColumns({
-        "source_frame": F.col(frame),
-        "timestamp_s": F.col(frame) / F.lit(float(fps)),
-        frame: F.floor(F.col(frame) / stride).cast("long"),
-    })
+    kept = frames.where(F.col(frame) % stride == 0).withColumns({"source_frame": F.col(frame), "timestamp_s": F.col(frame) / F.lit(float(fps))})
+    out = ranked(kept, keys, segment_of("source_frame", FRAME_BLOCK * stride), ["source_frame"], "__rank")
+    out = out.withColumn(frame, F.col("__rank") - 1).drop("__rank")
     return out.where(F.col(frame) < max_frames) if max_frames is not None else out
 
 

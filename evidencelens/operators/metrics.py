@@ -126,7 +126,7 @@ def align_long_probabilities(df: DataFrame, keys: Sequence[str], classes: Sequen
     return df.groupBy(*keys).agg(*cols)
 
 
-def risk_coverage(df: DataFrame, keys: Sequence[str], confidence: str, correct: str, steps: int = 1000) -> DataFrame:
+def risk_coverage(df: DataFrame, keys: Sequence[str], confidence: str, correct: str, steps: int = 10_000) -> DataFrame:
     """Accuracy against the fraction retained when low-confidence rows abstain.
 
     Equal confidences are reduced first; segments are confidence blocks, so no key is one task.
@@ -244,7 +244,7 @@ def pseudo_groups(rows: DataFrame, seed: int, fold: Sequence[str], repeat: Colum
     base = base.withColumn("__d", F.sha2(parts(*fold, "repeat", path), 256))
     keys = [*fold, "repeat"]
     ranked_rows = hash_ranked(base, keys, F.col("__d"), [path], "__rank").select(*keys, path, F.col(group).alias("true_group"), "__rank")
-    slots = running(base, keys, F.struct(F.col(group).alias("g"), F.substring("__d", 1, 2).alias("h")), [group, "__d", path], sums={"__rank": F.lit(1).cast("long")})
+    slots = running(base, keys, F.struct(F.col(group).alias("g"), F.substring("__d", 1, 3).alias("h")), [group, "__d", path], sums={"__rank": F.lit(1).cast("long")})
     return ranked_rows.join(slots.select(*keys, "__rank", F.col(group).alias("pseudo_group")), [*keys, "__rank"]).drop("__rank")
 
 

@@ -76,10 +76,10 @@ def ranked(df: DataFrame, keys: Sequence[str], segment: Column, order: Sequence[
     return running(df, keys, segment, order, sums={name: F.lit(1).cast("long")})
 
 
-def hash_ranked(df: DataFrame, keys: Sequence[str], digest: Column, ties: Sequence[Column | str], name: str) -> DataFrame:
-    """Rank by a uniformly spread hex digest; segments are its 256 two-digit prefixes."""
+def hash_ranked(df: DataFrame, keys: Sequence[str], digest: Column, ties: Sequence[Column | str], name: str, digits: int = 3) -> DataFrame:
+    """Rank by a uniformly spread hex digest; segments are its prefixes (16^digits equal shares of a key)."""
     base = df.withColumn("__h", digest)
-    return ranked(base, keys, F.substring("__h", 1, 2), ["__h", *ties], name).drop("__h")
+    return ranked(base, keys, F.substring("__h", 1, digits), ["__h", *ties], name).drop("__h")
 
 
 def previous_row(

@@ -11,14 +11,19 @@ classes present. Two classes use one coefficient vector. The intercept is free u
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The helpers below travel with the task, so executors need NumPy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BATCH_VALUES = 4_000_000
 
 
