@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from evidencelens import views
 from evidencelens.catalog import query
+from evidencelens.catalog.scores import multi_sql
 from evidencelens.docs_view import documents
 from evidencelens.functions import r6
+from evidencelens.operators import metrics as mt
 from evidencelens.plans import models as md
 from evidencelens.plans.discovery import cluster_stability, confound_report, latent_discovery
 from evidencelens.plans.history import history_feature_rows
@@ -52,6 +54,20 @@ def one_hot_dict(spark, sf):
     return out.select("event_id", F.array_join(F.transform(F.slice("x", 1, k), lambda v: v.cast("int").cast("string")), ",").alias("hot"), r6(F.col("x")[k]).alias("value"))
 
 
+PRIOR = CL + """, n AS (SELECT group_id, count(*) AS n, count(*) FILTER (WHERE context = 0) AS a, count(*) FILTER (WHERE context = 1) AS b, count(*) FILTER (WHERE context = 2) AS c FROM v_clips GROUP BY 1),
+t AS (SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM n),
+pv AS (SELECT v.group_id AS fold, context AS y, (t.a - n.a) / (t.n - n.n) AS p0, (t.b - n.b) / (t.n - n.n) AS p1, (t.c - n.c) / (t.n - n.n) AS p2 FROM v_clips v JOIN n USING (group_id), t)"""
+
+
+@query("prior_evaluation", "L5 L7 M8", PRIOR + f" SELECT fold, * EXCLUDE (fold) FROM {multi_sql('pv', 'fold')} UNION ALL SELECT NULL, * FROM {multi_sql('pv', '')}")
+def prior_evaluation(spark, sf):
+    c = views.clips(spark, sf)
+    prior = mt.prior_baselines(c, "group_id", "context", [0, 1, 2])
+    rows = c.select(F.col("group_id").alias("fold"), F.col("context").alias("y")).join(prior, "fold")
+    out = mt.metric_bundle(rows, "y", ["p0", "p1", "p2"], [["fold"], []])
+    return out.withColumns({m: r6(m) for m in mt.METRICS})
+
+
 @query("grouped_evaluation", "L7 L3 L5 M8")
 def grouped_evaluation(spark, sf):
     return md.grouped_evaluation(gappy(spark, sf), "group_id", "context", {"first_two": ["f1", "f2"], "all_four": FEATURES}, 3)
