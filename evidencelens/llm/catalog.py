@@ -36,3 +36,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return digest_rows(scan_secrets(docs, F.col("doc_id"), F.col("text"), repository=F.col("doc_id"), owner=F.col("source")))
+
+
+@query("op9_bpe_round_trip")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), public_tokenizers.path("word_bpe_49k.json"))
