@@ -45,3 +45,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, predictor
+
+    docs = table(spark, sf_dir, "documents")
+    predicted = predictor(fit(docs))("text")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted.alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
