@@ -54,3 +54,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     predicted = predictor(fit(docs))("text")
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted.alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query("op10_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import component_rows, near_duplicates
+
+    return component_rows(near_duplicates(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")))
