@@ -61,3 +61,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import component_rows, near_duplicates
 
     return component_rows(near_duplicates(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")))
+
+
+@query(
+    "op2_decontamination",
+    r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), lambda w: w <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, shared, n_item, shared / n_item AS containment FROM c JOIN n USING (item_id) WHERE 100 * shared >= 80 * n_item
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contained
+
+    items = table(spark, sf_dir, "benchmark")
+    return contained(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of every length that occurs, with its sums for that context limit."""
+    import public_tokenizers
+
+    from .token_counts import length_histogram, token_length
+
+    length = token_length(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return length_histogram(table(spark, sf_dir, "documents").select(length("text").alias("length")))

@@ -136,3 +136,16 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
     end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"]))
     return F.when(F.size(live) > 0, F.aggregate(live, start, step, end)).otherwise(text)
+
+
+def redact(docs: DataFrame, text: str, repository: Column, owner: Column) -> DataFrame:
+    """``docs`` with the live spans of column ``text`` replaced, all columns and rows kept.
+
+    The spans of a text depend on the text and the corpus alone, so they are joined back by the text's hash.
+    """
+    key = F.xxhash64(F.col(text), F.length(text))
+    found = scan_secrets(docs, key, F.col(text), repository, owner).filter("exists(spans, s -> s.verdict = 'live')")
+    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("spans").alias("__spans"))  # equal texts have equal spans
+    joined = docs.withColumn("__text", key).join(found, F.col("__text") == F.col("__key"), "left")
+    clean = F.when(F.col("__spans").isNotNull(), redacted(F.col(text), F.col("__spans"))).otherwise(F.col(text))
+    return joined.withColumn(text, clean).drop("__text", "__key", "__spans")
