@@ -91,3 +91,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     length = token_length(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return length_histogram(table(spark, sf_dir, "documents").select(length("text").alias("length")))
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trusted target is what ``labels`` calls of good quality."""
+    from .quality_rules import judged
+
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return judged(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), trusted)
