@@ -139,3 +139,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"), F.col("html"))
+
+
+def _op4_sql() -> str:
+    from .licence_templates import TEMPLATES
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))
+    words = r"list_filter(string_split_regex(lower({}), '[\x00-/:-@\[-`{{-\x7f]+'), lambda w: w <> '')"
+    pairs = "SELECT DISTINCT {0}, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM {1})"
+    return f"""
+WITH t AS (SELECT k, name, {words.format("body")} AS w FROM (VALUES {values}) v(k, name, body)),
+l AS (SELECT doc_id, n, line, len({words.format("line")}) = 0 AS blank FROM (SELECT doc_id, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+b AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM l),
+p AS (SELECT doc_id, run, string_agg(line, ' ' ORDER BY n) AS body, count(*) AS n, dense_rank() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS position FROM b WHERE NOT blank GROUP BY doc_id, run),
+u AS (SELECT doc_id, 0 AS kind, n AS position, {words.format("line")} AS w FROM l
+  UNION ALL SELECT doc_id, 1, position, {words.format("body")} FROM p WHERE n > 1 UNION ALL SELECT doc_id, 2, 0, {words.format("coalesce(text, '')")} FROM documents),
+ug AS ({pairs.format("doc_id, kind, position", "u")}), tg AS ({pairs.format("k, name", "t")}),
+a AS (SELECT doc_id, kind, position, count(*) AS a FROM ug GROUP BY ALL), c AS (SELECT k, count(*) AS b FROM tg GROUP BY ALL),
+s AS (SELECT doc_id, kind, position, k, name, count(*) AS shared FROM ug JOIN tg USING (g) GROUP BY ALL),
+m AS (SELECT doc_id, name AS license, kind, position, 2 * shared / (a + b) AS dice FROM s JOIN a USING (doc_id, kind, position) JOIN c USING (k) WHERE 200 * shared >= 80 * (a + b))
+SELECT doc_id, license, dice, ['line', 'paragraph', 'text'][kind + 1] AS unit, position::BIGINT AS position FROM m
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, kind, position) = 1
+"""
+
+
+@query("op4_license_scans", _op4_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licence_scans import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
