@@ -3,7 +3,7 @@
 Bytes are embedded, convolved with filters of several widths, max-pooled over a fixed-length window and classified by a
 softmax. A whole text is cut into consecutive windows; its probabilities are the mean over its windows, weighted by
 their bytes. The network is fitted on the driver from a bounded, hash-ordered sample of windows of labelled rows
-(``per_language`` windows a language, ``max_rows`` in all, both parameters); its parameters are a few kB and travel
+(about ``per_language`` windows a language, ``max_rows`` in all, both parameters); its parameters are a few kB and travel
 with the tasks, which evaluate all windows of a batch together.
 
 At prediction a filter over bytes is a sum of table entries: the tables of byte pairs are computed once a worker.
@@ -25,8 +25,10 @@ UNKNOWN = "und"
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS, DIMENSIONS = 16, 8
-PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 1500, 12_000, 1_000
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 3_000, 12_000, 1_000
+STEPS, BATCH, RATE = 1_200, 64, 0.01
+#: Windows taken from a sampled document.
+SPOTS = 2
 #: Windows evaluated at a time, so that their activations stay in the processor's cache.
 BLOCK_WINDOWS = 48
 SLICE_BYTES = 1 << 20
@@ -79,7 +81,7 @@ def train(samples: list[tuple[str, bytes]], seed: int = 7) -> Network:
     params += [rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))).astype(f32), np.zeros(len(languages), f32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     k, step = len(WIDTHS), 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(samples))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
@@ -187,11 +189,12 @@ def sample_windows(labelled: DataFrame, key: Column, lang: Column, text: Column,
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return []
-    wanted = min(per_language, max_rows // len(counts))
+    wanted = max(1, min(per_language, max_rows // len(counts)) // SPOTS)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (wanted << 30) // n + 1))))
     chosen = rows.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")])
-    start = F.lit(1) + F.pmod("g", F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int")
-    found = chosen.select("lang", F.substring("text", start, F.lit(WINDOW)).alias("piece"), "h").filter(F.col("piece").rlike(r"\p{L}")).orderBy("h", "lang", "piece").limit(max_rows).collect()
+    start = lambda spot: F.lit(1) + F.pmod(F.xxhash64("g", spot), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int")
+    pieces = F.explode(F.array(*(F.substring("text", start(F.lit(spot)), F.lit(WINDOW)) for spot in range(SPOTS))))
+    found = chosen.select("lang", pieces.alias("piece"), "h").filter(F.col("piece").rlike(r"\p{L}")).orderBy("h", "lang", "piece").limit(max_rows).collect()
     return [(r["lang"], r["piece"].lower().encode()) for r in found]
 
 

@@ -114,14 +114,17 @@ def listed(spans: Column) -> Column:
 def digest_rows(scanned: DataFrame) -> DataFrame:
     """The counts, digest and span list of each document."""
     base = F.filter("spans", lambda s: s["order"] < 3)
-    count = lambda test: F.size(F.filter("spans", test)).cast("long")
+
+    def count(field: str, value: int | str) -> Column:
+        return F.size(F.filter("spans", lambda s: s[field] == value)).cast("long")
+
     return scanned.select(
         "doc_id",
-        *(count(lambda s, k=k: s["order"] == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        *(count("order", k).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
-        count(lambda s: s["verdict"] == "live").alias("n_live"),
-        count(lambda s: s["verdict"] == "example").alias("n_example"),
+        count("verdict", "live").alias("n_live"),
+        count("verdict", "example").alias("n_example"),
     )
 
 
