@@ -71,7 +71,8 @@ def repeated_words(hashes: Column) -> Column:
 def weights(docs: DataFrame, doc_id: Column, text: Column, trusted: DataFrame) -> DataFrame:
     """One row with ``w``, the weight of every bucket. ``trusted`` has the ids of the target in its column ``doc_id``."""
     target = trusted.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct().withColumn("trusted", F.lit(1))
-    rows = docs.select(doc_id.alias("doc_id"), text.alias("text")).join(target, F.col("doc_id") == F.col("id"), "left")
+    # Labels grow with the documents, so they are never broadcast; the texts pass one shuffle, without a sort.
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text")).join(target.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
     grams = let(hashes_of(words_of(F.col("text"))), grams_of)
     counted = rows.select(F.coalesce("trusted", F.lit(0)).alias("t"), F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     buckets = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
