@@ -20,16 +20,20 @@ import hashlib
 import itertools
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
 #: Words that a worker remembers at most, and the longest remembered.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
 #: Tokens handed to the digests at a time.
 BLOCK = 8192
+#: Documents whose ids are returned at a time.
+ROWS = 256
 # White space of the vocabulary's normaliser.
 SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # blanks for str.split, not for the normaliser
@@ -138,7 +142,7 @@ class Transducer:
 
     def _judge(self, before: int, token: int) -> bool:
         """``allowed`` for a pair that is not remembered; -1 stands for the start of the word."""
-        if len(self.allowed) > 4 * REMEMBERED:
+        if len(self.allowed) > REMEMBERED:
             self.allowed.clear()
         ok = self.allowed[before, token] = self._stands(token) and (before < 0 or self.follows(before, token))
         return ok
@@ -328,31 +332,32 @@ def round_trip(docs: DataFrame, doc_id: Column, text: Column, path: str, with_id
     blocks.
     """
 
+    def one(text: str, tool: Tokenizer) -> tuple[int, str, str, array]:
+        n, ids_hash, text_hash, decode, kept = 0, hashlib.sha256(), hashlib.sha256(), tool.decoder(), array("i")
+        for ids in tool.blocks(text):
+            if ids:
+                ids_hash.update(((" " if n else "") + " ".join(map(tool.digits.__getitem__, ids))).encode())
+                text_hash.update(decode.feed(ids).encode())
+                n += len(ids)
+                if with_ids:
+                    kept.extend(ids)
+        text_hash.update(decode.close().encode())
+        return n, ids_hash.hexdigest(), text_hash.hexdigest(), kept
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tokenizer(path)
-        digits = tool.digits.__getitem__
         for batch in batches:
-            counts, ids_sha, text_sha, kept = [], [], [], []
-            for value in batch.column(1):
-                n, ids_hash, text_hash, decode, all_ids = 0, hashlib.sha256(), hashlib.sha256(), tool.decoder(), []
-                for ids in tool.blocks(value.as_py() or ""):
-                    if ids:
-                        ids_hash.update(((" " if n else "") + " ".join(map(digits, ids))).encode())
-                        text_hash.update(decode.feed(ids).encode())
-                        n += len(ids)
-                        if with_ids:
-                            all_ids += ids
-                text_hash.update(decode.close().encode())
-                counts.append(n)
-                ids_sha.append(ids_hash.hexdigest())
-                text_sha.append(text_hash.hexdigest())
-                kept.append(all_ids)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows = [one(value.as_py() or "", tool) for value in part.column(1)]
+                columns = [part.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
+                if with_ids:
+                    ends = pa.array(itertools.accumulate((r[0] for r in rows), initial=0), pa.int32())
+                    ids = array("i")
+                    for r in rows:
+                        ids.extend(r[3])
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.array(ids, np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, schema)
