@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from evidencelens import views
 from evidencelens.catalog import query
-from evidencelens.docs_view import SQL_DOCS, array_of, documents
+from evidencelens.docs_view import ABSENT, SQL_DOCS, SQL_NESTED, SQL_SPARSE, array_of, documents, sparse_documents
 from evidencelens.operators import contracts as ct
 from evidencelens.views import spread, table
 
@@ -48,6 +48,20 @@ def validate_episodes(spark, sf):
     return text(ct.validate_episodes(documents(spark, sf)), "event_id")
 
 
+MISSING = " UNION ALL ".join(f"SELECT event_id, 'missing:{c}' AS code FROM v_docs WHERE {c} IS NULL" for c in ABSENT if c not in ("objects", "social"))
+
+
+def absent_errors(docs_sql):
+    """Errors of documents with absent arrays: structure errors stand alone, deeper ones need a sound structure."""
+    return docs_sql + UN + f""", st AS (SELECT event_id, 'schema_version' AS code FROM v_docs WHERE schema_version <> '0.1.0' UNION ALL {MISSING}), deep AS ({DEEP_SQL}),
+ee AS (SELECT * FROM st UNION ALL SELECT event_id, code FROM deep WHERE event_id NOT IN (SELECT event_id FROM st))"""
+
+
+@query("validate_episodes_absent", "V1", absent_errors(SQL_SPARSE) + " SELECT d.event_id, coalesce(string_agg(DISTINCT code, ';' ORDER BY code), '') AS errors FROM v_docs d LEFT JOIN ee USING (event_id) GROUP BY 1")
+def validate_episodes_absent(spark, sf):
+    return text(ct.validate_episodes(sparse_documents(spark, sf)), "event_id")
+
+
 CAPTURE = EPISODE_ERRORS + """, sn AS (SELECT event_id, list_filter(observations, lambda o: o.modality = 'object_environment') AS s, start_us, location FROM v_docs),
 o1 AS (SELECT event_id, s[1] AS x, start_us, location FROM sn WHERE len(s) = 1),
 ce AS (SELECT * FROM ee UNION ALL SELECT event_id, 'snapshot_count_not_one' FROM sn WHERE len(s) <> 1 UNION ALL SELECT event_id, 'snapshot_not_at_zero' FROM o1 WHERE x.start_offset_ms <> 0 OR x.end_offset_ms <> 0

@@ -4,10 +4,14 @@ from pyspark.sql import functions as F
 
 from evidencelens import views
 from evidencelens.catalog import query
-from evidencelens.docs_view import SQL_DOCS, documents
+from evidencelens.docs_view import SQL_DOCS, SQL_NESTED, SQL_NESTED_EMPTY, SQL_SPARSE_EMPTY, documents, sparse_documents
 from evidencelens.functions import cyclic_hour, iso_micros, keyword_category, keyword_flags, local_hour, norm_token, r6
 from evidencelens.operators import context, history
+from evidencelens.catalog.contracts import absent_errors
+from evidencelens.operators import contracts as ct
 from evidencelens.plans.history import history_feature_rows
+from evidencelens.session import scratch_path
+from evidencelens.sources.documents import flatten_episodes, read_episodes
 
 EP = views.with_views("v_episodes")
 
@@ -267,6 +271,48 @@ def history_rows(spark, sf):
     return out.drop("household_id", "start_us", "source_event_ids", "max_source_us").withColumns({c: r6(c) for c in rounded})
 
 
+def rounded_rows(out):
+    rounded = [c for c in out.columns if c.startswith(("seconds_since", "local_hour")) and not c.endswith("missing")]
+    return out.drop("household_id", "start_us", "source_event_ids", "max_source_us").withColumns({c: r6(c) for c in rounded})
+
+
+@query("history_feature_rows_absent", "L16", L16_SQL.replace(SQL_DOCS, SQL_SPARSE_EMPTY))
+def history_rows_absent(spark, sf):
+    """Episodes whose arrays are absent keep their row."""
+    return rounded_rows(history_feature_rows(sparse_documents(spark, sf)))
+
+
+def nested_json(docs):
+    """The flat documents in the nested form of episode files."""
+    items = lambda c, f: F.transform(c, f)
+    return docs.select(
+        "schema_version", F.col("event_id").cast("string").alias("event_id"), "episode_id", F.col("subject_id").cast("string").alias("subject_id"), F.col("household_id").cast("string").alias("household_id"), "missing_modalities",
+        F.struct("start_time", "end_time", F.lit(0).alias("start_offset_ms"), "end_offset_ms").alias("time"), "hypotheses", "human_actions",
+        items("observations", lambda o: F.struct(*[o[c].alias(c) for c in ("observation_ref", "modality", "schema_ref", "start_offset_ms", "end_offset_ms")])).alias("observations"),
+        items("interventions", lambda i: F.struct(i["intervention_id"].alias("intervention_id"), i["action_ref"].alias("action_ref"), i["candidates"].alias("candidate_hypotheses"),
+                                                  F.transform(i["predictions"], lambda p: F.struct(p.alias("hypothesis_ref"))).alias("predictions"))).alias("interventions"),
+        items("outcomes", lambda o: F.struct(*[o[c].alias(c) for c in ("outcome_id", "outcome_type", "signalling_terminated", "start_offset_ms", "end_offset_ms")], o["supports"].alias("supports_hypotheses"))).alias("outcomes"),
+        F.struct("location", items("objects", lambda o: F.struct(o["object_type"].alias("object_type"), o["object_id"].alias("object_id"), F.create_map(F.lit("open"), o["open"].cast("string")).alias("state"))).alias("objects"), "social").alias("context"))
+
+
+def read_nested(spark, sf):
+    path = scratch_path(spark, "nested")
+    nested_json(sparse_documents(spark, sf)).write.json(path)
+    flat = flatten_episodes(read_episodes(spark, path, multi_line=False))
+    return flat.withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@query("history_rows_from_files", "L16 S3", L16_SQL.replace(SQL_DOCS, SQL_NESTED_EMPTY))
+def history_rows_from_files(spark, sf):
+    """Nested files with absent arrays, read, flattened and turned into history rows."""
+    return rounded_rows(history_feature_rows(read_nested(spark, sf)))
+
+
+@query("episode_errors_from_files", "V1 S3", absent_errors(SQL_NESTED) + " SELECT d.event_id, coalesce(string_agg(DISTINCT code, ';' ORDER BY code), '') AS errors FROM v_docs d LEFT JOIN ee USING (event_id) GROUP BY 1")
+def episode_errors_from_files(spark, sf):
+    return ct.validate_episodes(read_nested(spark, sf)).select("event_id", F.array_join("errors", ";").alias("errors"))
+
+
 @query("history_features", "L16 J2 J3 E5 E20", EP + f""", a AS ({ACT_SQL}), p AS ({PREV_SQL}), r AS ({ROLL_SQL}),
 ap AS (SELECT e.event_id, {ACT_COLS} FROM v_episodes e JOIN a USING (event_id) GROUP BY e.event_id, e.start_us)
 SELECT ap.*, r.* EXCLUDE (event_id), coalesce(p_loc, '__missing__') AS previous_location,

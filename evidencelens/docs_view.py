@@ -121,4 +121,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "events")).selectExpr(*projection("spark"))
 
 
+#: Rows on which an array is absent, as readers leave it.
+ABSENT = {
+    "observations": "event_id % 13 = 5", "hypotheses": "event_id % 17 = 3", "human_actions": "event_id % 2 = 1", "interventions": "event_id % 11 = 4", "outcomes": "event_id % 7 = 2",
+    "missing_modalities": "event_id % 23 = 6", "objects": "event_id % 9 = 1", "social": "event_id % 8 = 2",
+}
+
+
+def sparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with absent arrays."""
+    return documents(spark, sf_dir).selectExpr("* EXCEPT (" + ", ".join(ABSENT) + ")", *(f"CASE WHEN NOT ({test}) THEN {c} END AS {c}" for c, test in ABSENT.items()))
+
+
 SQL_DOCS = "WITH v_docs AS (SELECT " + ",\n ".join(projection("duckdb")) + " FROM events)"
+_FULL = "WITH v_full AS (SELECT " + ",\n ".join(projection("duckdb")) + " FROM events), v_docs AS (SELECT * REPLACE ("
+_SPARSE = ", ".join(f"CASE WHEN NOT ({test}) THEN {c} END AS {c}" for c, test in ABSENT.items())
+SQL_SPARSE = f"{_FULL}{_SPARSE}) FROM v_full)"
+#: Nested files carry start times to the second.
+SQL_NESTED = f"{_FULL}{_SPARSE}, start_us // 1000000 * 1000000 AS start_us) FROM v_full)"
+#: The same for feature rows, which take an absent array as an empty one.
+_EMPTY = ", ".join(f"CASE WHEN {test} THEN {c}[1:0] ELSE {c} END AS {c}" for c, test in ABSENT.items())
+SQL_SPARSE_EMPTY = f"{_FULL}{_EMPTY}) FROM v_full)"
+SQL_NESTED_EMPTY = f"{_FULL}{_EMPTY}, start_us // 1000000 * 1000000 AS start_us) FROM v_full)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidencelens.functions import MISSING_LABEL, SENTINEL, is_sha256, keyword_flags
 
+# The outcome horizon and the evidence cutoff of the contracts.
 HORIZON_MS = 60_000
 CUTOFF_MS = 5_000
 # Columns of the current episode that may never become predictors.
@@ -24,14 +25,15 @@ def context_features(objects: str = "objects", social: str = "social", location:
                      peer_type: str = "peer") -> dict[str, Column]:
     flags = lambda o: keyword_flags(F.concat_ws(" ", o["object_type"], o["object_id"]))
     any_object = lambda test: F.coalesce(F.exists(objects, test), F.lit(False)).cast("double")
-    count = lambda kind: F.size(F.filter(social, lambda s: s["entity_type"] == kind)).cast("double")
+    sized = lambda items: F.coalesce(F.size(items), F.lit(0)).cast("double")  # noqa: E731 an absent array has no elements
+    count = lambda kind: sized(F.filter(social, lambda s: s["entity_type"] == kind))
     nearest = F.array_min(F.transform(
         F.filter(social, lambda s: (s["entity_type"] == "human") & s["distance_m"].isNotNull()),
         lambda s: s["distance_m"],
     ))
     return {
         "location_value": F.coalesce(F.nullif(F.col(location), F.lit("")), F.lit(MISSING_LABEL)),
-        "n_objects": F.size(objects).cast("double"),
+        "n_objects": sized(F.col(objects)),
         "n_humans": count("human"),
         "n_peers": count(peer_type),
         "nearest_human_m": F.coalesce(nearest, F.lit(SENTINEL)),
@@ -79,7 +81,7 @@ def termination_before(start_us: str = "start_us", outcomes: str = "outcomes", c
         stamped = F.filter(stamped, lambda s: s["t"] <= cutoff)
     values = F.array_distinct(F.transform(stamped, lambda s: s["v"]))
     latest = F.when(F.size(values) == 1, F.array_max(F.transform(stamped, lambda s: s["t"])))
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0))), latest, F.size(values) > 1
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0))), latest, F.coalesce(F.size(values) > 1, F.lit(False))
 
 
 def outcome_state(finalized: Column, outcomes: str = "outcomes") -> Column:
@@ -115,7 +117,8 @@ def evidence_window(modality: str, *, observations: str = "observations", cutoff
                     checked: bool = False) -> dict[str, Column]:
     """Sorted observation refs split into eligible, late and invalid-provenance."""
     own = F.filter(observations, lambda o: o["modality"] == modality)
-    refs = lambda test: F.array_sort(F.transform(F.filter(own, test), lambda o: o["observation_ref"]))
+    none = F.array().cast("array<string>")
+    refs = lambda test: F.coalesce(F.array_sort(F.transform(F.filter(own, test), lambda o: o["observation_ref"])), none)
     late = lambda o: o["end_offset_ms"] > cutoff_ms
     good = (lambda o: provenance_valid(o)) if checked else (lambda o: F.lit(True))
     return {

@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from evidencelens.functions import is_sha256, iso_micros
 
 # Enumerations and tokens of the contracts.
-MODALITIES = ("visual_pose", "audio_vocalisation", "object_environment")
+MODALITIES = (
+    "visual_pose", "visual_microstate", "audio_vocalisation", "audio_environment", "object_environment", "temporal_routine", "social_proxemic", "physiology", "human_input",
+    "intervention", "outcome", "other",
+)
+EPISODE_ARRAYS = ("observations", "hypotheses", "human_actions", "interventions", "outcomes", "missing_modalities")
+NON_EMPTY_ARRAYS = ("observations", "hypotheses")
+NON_EMPTY_IDS = ("event_id", "episode_id")
 ALLOWED_CLASSES = ("surface_landmark", "surface_curve", "derived_temporal")
 PROSPECTIVE_TIERS = ("G2", "G3", "S1", "S2")
 FORBIDDEN_FIT_TOKENS = (
@@ -36,7 +42,12 @@ def rules(*items: Column) -> Column:
 def item_rule(items: Column | str, code: str, ref: Callable[[Column], Column], bad: Callable[[Column], Column]) -> Column:
     """``code:ref`` for every array element where ``bad`` holds."""
     hits = F.filter(items, lambda x: F.coalesce(bad(x), F.lit(False)))
-    return F.transform(hits, lambda x: F.concat_ws(":", F.lit(code), ref(x)))
+    return listed(F.transform(hits, lambda x: F.concat_ws(":", F.lit(code), ref(x))))
+
+
+def listed(strings: Column) -> Column:
+    """An absent array of strings as an empty one."""
+    return F.coalesce(strings, F.array().cast("array<string>"))
 
 
 def not_unique(items: Column | str, key: Callable[[Column], Column]) -> Column:
@@ -65,10 +76,11 @@ def with_episode_errors(docs: DataFrame, name: str = "errors") -> DataFrame:
     end = F.col("end_offset_ms")
     hyp, acts = F.col("__hyp"), F.col("__acts")
     staged = docs.withColumns({
-        "__t0": iso_micros("start_time"), "__t1": iso_micros("end_time"), "__hyp": F.transform("hypotheses", lambda h: h["hypothesis_id"]),
-        "__acts": F.transform("human_actions", lambda a: a["action_id"])})
+        "__t0": iso_micros("start_time"), "__t1": iso_micros("end_time"), "__hyp": listed(F.transform("hypotheses", lambda h: h["hypothesis_id"])),
+        "__acts": listed(F.transform("human_actions", lambda a: a["action_id"]))})
     staged = staged.withColumn("__structure", rules(
-        rule("event_id_missing", F.col("event_id").isNull()), rule("modality_unknown", F.exists("observations", lambda o: ~o["modality"].isin(*MODALITIES))),
+        rule("event_id_missing", F.col("event_id").isNull()), *[rule(f"missing:{c}", F.col(c).isNull()) for c in EPISODE_ARRAYS], *[rule(f"empty:{c}", F.size(c) == 0) for c in NON_EMPTY_ARRAYS],
+        *[rule(f"empty:{c}", F.col(c).cast("string") == "") for c in NON_EMPTY_IDS], rule("offset_negative", F.exists("observations", lambda o: o["start_offset_ms"] < 0)), rule("modality_unknown", F.exists("observations", lambda o: ~o["modality"].isin(*MODALITIES))),
         rule("schema_version", F.col("schema_version") != "0.1.0"), rule("time_malformed", F.col("__t0").isNull() | F.col("__t1").isNull())))
     unique = lambda ids: F.size(F.array_distinct(ids)) < F.size(ids)
     deeper = merge(
@@ -79,14 +91,14 @@ def with_episode_errors(docs: DataFrame, name: str = "errors") -> DataFrame:
         item_rule("observations", "observation_after_episode", lambda o: o["observation_ref"], lambda o: o["end_offset_ms"] > end),
         item_rule("hypotheses", "probability_not_finite", lambda h: h["hypothesis_id"], lambda h: F.isnan(h["probability"]) | (F.abs(h["probability"]) == float("inf"))),
         item_rule("interventions", "action_unknown", lambda i: i["intervention_id"], lambda i: ~F.array_contains(acts, i["action_ref"])),
-        item_rule("interventions", "candidate_unknown", lambda i: i["intervention_id"], lambda i: F.size(F.array_except(i["candidates"], hyp)) > 0),
-        item_rule("interventions", "prediction_not_candidate", lambda i: i["intervention_id"], lambda i: F.size(F.array_except(i["predictions"], i["candidates"])) > 0),
-        item_rule("interventions", "candidate_without_prediction", lambda i: i["intervention_id"], lambda i: F.size(F.array_except(i["candidates"], i["predictions"])) > 0),
+        item_rule("interventions", "candidate_unknown", lambda i: i["intervention_id"], lambda i: F.size(F.array_except(listed(i["candidates"]), hyp)) > 0),
+        item_rule("interventions", "prediction_not_candidate", lambda i: i["intervention_id"], lambda i: F.size(F.array_except(listed(i["predictions"]), listed(i["candidates"]))) > 0),
+        item_rule("interventions", "candidate_without_prediction", lambda i: i["intervention_id"], lambda i: F.size(F.array_except(listed(i["candidates"]), listed(i["predictions"]))) > 0),
         item_rule("outcomes", "outcome_reversed", lambda o: o["outcome_id"], lambda o: o["end_offset_ms"] < o["start_offset_ms"]),
         item_rule("outcomes", "outcome_after_episode", lambda o: o["outcome_id"], lambda o: F.coalesce(o["end_offset_ms"], o["start_offset_ms"]) > end),
         item_rule("outcomes", "outcome_hypothesis_unknown", lambda o: o["outcome_id"], lambda o: F.size(F.array_except(o["supports"], hyp)) > 0),
     )
-    errors = F.when(F.size("__structure") > 0, F.col("__structure")).otherwise(deeper)
+    errors = F.when(F.size("__structure") > 0, F.array_sort("__structure")).otherwise(deeper)
     return staged.withColumn(name, errors).drop("__t0", "__t1", "__hyp", "__acts", "__structure")
 
 
@@ -97,7 +109,7 @@ def validate_episodes(docs: DataFrame) -> DataFrame:
 def with_capture_errors(docs: DataFrame, name: str = "errors", modality: str = "object_environment", fields: Sequence[str] = ("location",)) -> DataFrame:
     """Episode rules plus exactly one time-zero snapshot that equals the context field by field."""
     staged = with_episode_errors(docs, "__episode").withColumn("__shots", F.filter("observations", lambda o: o["modality"] == modality))
-    staged = staged.withColumn("__shot", F.when(F.size("__shots") == 1, F.col("__shots")[0]))
+    staged = staged.withColumn("__shot", F.when(F.size("__shots") == 1, F.get("__shots", F.lit(0))))
     shot = F.col("__shot")
     own = rules(
         rule("captured_at_differs", shot["captured_us"] != F.col("start_us")), rule("snapshot_count_not_one", shot.isNull()),
@@ -112,15 +124,16 @@ def validate_capture(docs: DataFrame) -> DataFrame:
 
 def validate_plans(plans: DataFrame) -> DataFrame:
     """Prospective plans: order in time, probabilities, one prediction per hypothesis, action and policy rules."""
-    ids = F.transform("hypotheses", lambda h: h["hypothesis_id"])
+    ids = listed(F.transform("hypotheses", lambda h: h["hypothesis_id"]))
     total = F.aggregate("hypotheses", F.lit(0.0), lambda a, h: a + h["probability"])
     brief = F.col("action_type") == "brief_no_action_observation"
     return plans.withColumn("errors", merge(rules(
+        *[rule(f"missing:{c}", F.col(c).isNull()) for c in ("hypotheses", "predictions")],
         rule("recorded_after_action", F.col("recorded_offset_ms") >= F.col("scheduled_offset_ms")),
         rule("hypothesis_ids_not_unique", not_unique("hypotheses", lambda h: h["hypothesis_id"])),
         rule("probabilities_do_not_sum_to_one", F.abs(total - 1.0) > 1e-6),
-        rule("prediction_unknown", F.size(F.array_except("predictions", ids)) > 0),
-        rule("prediction_missing", F.size(F.array_except(ids, "predictions")) > 0),
+        rule("prediction_unknown", F.size(F.array_except(listed(F.col("predictions")), ids)) > 0),
+        rule("prediction_missing", F.size(F.array_except(ids, listed(F.col("predictions")))) > 0),
         rule("prediction_repeated", F.size(F.array_distinct("predictions")) < F.size("predictions")),
         rule("feeding_not_due", (F.col("action_type") == "continue_due_feeding_routine") & ~F.coalesce("feeding_due", F.lit(False))),
         rule("care_pending", brief & F.coalesce("care_pending", F.lit(True))),

@@ -52,9 +52,12 @@ def timeline(
     if categories:
         marks = F.concat(
             marks,
-            F.transform(
-                F.filter("actions", lambda a: a["category"].isin(*categories)),
-                lambda a: row(F.greatest(a["action_us"], start + long(1)), 0, "", action=a),
+            F.coalesce(
+                F.transform(
+                    F.filter("actions", lambda a: a["category"].isin(*categories)),
+                    lambda a: row(F.greatest(a["action_us"], start + long(1)), 0, "", action=a),
+                ),
+                F.slice(marks, 1, 0),  # an absent array has no actions; the episode itself stays
             ),
         )
     events = episodes.select(

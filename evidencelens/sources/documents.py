@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidencelens.functions import iso_micros
+
 LOCK_SUFFIX = "lock.json"
 
 EPISODE_DDL = """
@@ -32,6 +34,32 @@ def read_episodes(spark: SparkSession, path: str, schema: str = EPISODE_DDL, mul
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
+def flatten_episodes(docs: DataFrame) -> DataFrame:
+    """Rows of ``read_episodes`` in the flat shape that validators and feature operators take; one row each.
+
+    Absent arrays stay NULL, so the contract can name them. A door's state is its ``open`` entry; the snapshot's own time and
+    location are taken from an observation's features.
+    """
+    flag = lambda state: F.lower(F.try_element_at(state, F.lit("open"))).try_cast("boolean")
+    stamp = lambda o: iso_micros(F.try_element_at(o["features"], F.lit("captured_at")))
+    named = lambda x, *names: [x[n].alias(n) for n in names]
+    return docs.select(
+        "schema_version", "event_id", "episode_id", "subject_id", "household_id", "session_id", "missing_modalities",
+        F.col("time.start_time").alias("start_time"), F.col("time.end_time").alias("end_time"), F.col("time.end_offset_ms").alias("end_offset_ms"),
+        iso_micros(F.col("time.start_time")).alias("start_us"), F.col("context.location").alias("location"),
+        F.transform("observations", lambda o: F.struct(*named(o, "observation_ref", "modality", "schema_ref", "start_offset_ms", "end_offset_ms"), stamp(o).alias("captured_us"),
+                                                       F.try_element_at(o["features"], F.lit("location")).alias("location"))).alias("observations"),
+        F.transform("hypotheses", lambda h: F.struct(*named(h, "hypothesis_id", "probability"))).alias("hypotheses"),
+        F.transform("human_actions", lambda a: F.struct(*named(a, "action_id", "action_type", "offset_ms"))).alias("human_actions"),
+        F.transform("interventions", lambda i: F.struct(*named(i, "intervention_id", "action_ref"), i["candidate_hypotheses"].alias("candidates"),
+                                                        F.transform(i["predictions"], lambda p: p["hypothesis_ref"]).alias("predictions"))).alias("interventions"),
+        F.transform("outcomes", lambda o: F.struct(*named(o, "outcome_id", "outcome_type", "signalling_terminated", "start_offset_ms", "end_offset_ms"),
+                                                   F.array_compact(F.array_union(F.coalesce(o["supports_hypotheses"], F.array().cast("array<string>")), F.coalesce(o["contradicts_hypotheses"], F.array().cast("array<string>")))).alias("supports"))).alias("outcomes"),
+        F.transform("context.objects", lambda o: F.struct(*named(o, "object_type", "object_id"), flag(o["state"]).alias("open"))).alias("objects"),
+        F.transform("context.social", lambda s: F.struct(*named(s, "entity_type", "distance_m"))).alias("social"),
+    )
+
+
 def discover_episodes(spark: SparkSession, path: str, composer: str, schema: str = EPISODE_DDL, version: str = "0.1.0",
                       glob: str = "*.json", multi_line: bool = True) -> DataFrame:
     """Readable canonical and derived documents below ``path`` with their file and a ``derived`` flag.

@@ -15,13 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan yields fewer tasks than the session has.
+    """Rows dealt evenly over the session's shuffle partitions, at every size.
 
-    For costly row-local work on a small table (one file, one row group). A large scan has more tasks than
-    cores and passes unchanged, without a shuffle.
+    For costly row-local work on a narrow table whose files may be few: one shuffle of the narrow rows before they grow.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 SQL_VIEWS = {
