@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 RANGE = 1024
 _encoders: dict = {}
 
@@ -49,7 +51,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     ``tokens_below + limit * docs_from`` of the next larger length (``at_limits``).
     """
     counts = lengths.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("range", F.floor(F.col("length") / RANGE))
-    counts = counts.withColumn("tokens", F.col("length") * F.col("n_docs"))
+    # Written once: both levels read the counts, and documents are encoded a single time.
+    counts = materialise(counts.withColumn("tokens", F.col("length") * F.col("n_docs")), "lengths")
     whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     ranges = counts.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
