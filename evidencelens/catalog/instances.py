@@ -88,14 +88,15 @@ def mask_stats(spark, sf):
 
 
 @query("mask_iou", "A28", PIX + """,
-a AS (SELECT sequence_id, frame_index, p FROM d WHERE instance_id = 0), b AS (SELECT sequence_id, frame_index, p FROM d WHERE instance_id = 1),
-j AS (SELECT coalesce(a.sequence_id, b.sequence_id) AS sequence_id, coalesce(a.frame_index, b.frame_index) AS frame_index,
-  a.p IS NOT NULL AND b.p IS NOT NULL AS hit FROM a FULL JOIN b ON a.sequence_id = b.sequence_id AND a.frame_index = b.frame_index AND a.p = b.p)
-SELECT sequence_id, frame_index, count(*) FILTER (WHERE hit) AS intersection, round(count(*) FILTER (WHERE hit) / count(*), 6) AS iou FROM j GROUP BY 1, 2""")
+a AS (SELECT sequence_id, frame_index, instance_id, p FROM d), b AS (SELECT sequence_id, frame_index, (instance_id + 4) % 5 AS instance_id, p FROM d),
+j AS (SELECT coalesce(a.sequence_id, b.sequence_id) AS sequence_id, coalesce(a.frame_index, b.frame_index) AS frame_index, coalesce(a.instance_id, b.instance_id) AS instance_id,
+  a.p IS NOT NULL AND b.p IS NOT NULL AS hit FROM a FULL JOIN b ON a.sequence_id = b.sequence_id AND a.frame_index = b.frame_index AND a.instance_id = b.instance_id AND a.p = b.p)
+SELECT sequence_id, frame_index, instance_id, count(*) FILTER (WHERE hit) AS intersection, round(count(*) FILTER (WHERE hit) / count(*), 6) AS iou FROM j GROUP BY 1, 2, 3""")
 def mask_iou(spark, sf):
+    """Every instance against the next one of its frame."""
     r = views.runs(spark, sf)
-    one = lambda i: r.where(F.col("instance_id") == i)
-    return ins.mask_iou(one(0), one(1), ["sequence_id", "frame_index"]).withColumn("iou", r6("iou"))
+    following = r.withColumn("instance_id", (F.col("instance_id") + 4) % 5)
+    return ins.mask_iou(r, following, ["sequence_id", "frame_index", "instance_id"]).withColumn("iou", r6("iou"))
 
 
 @query("stable_instance_ids", "E18", """
@@ -150,13 +151,14 @@ def seed_divergence(spark, sf):
 
 
 @query("js_divergence", "A26", "WITH " + PIXELS + """,
-a AS (SELECT sequence_id, bin, share AS p FROM h WHERE region < 10), b AS (SELECT sequence_id, bin, share AS q FROM h WHERE region BETWEEN 10 AND 19),
-j AS (SELECT coalesce(a.sequence_id, b.sequence_id) AS sequence_id, coalesce(p, 0.0) AS p, coalesce(q, 0.0) AS q FROM a FULL JOIN b ON a.sequence_id = b.sequence_id AND a.bin = b.bin)
-SELECT sequence_id, round((sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2, 6) AS jsd
-FROM j GROUP BY 1""")
+a AS (SELECT sequence_id, region // 20 AS pair, bin, share AS p FROM h WHERE region % 20 < 10), b AS (SELECT sequence_id, region // 20 AS pair, bin, share AS q FROM h WHERE region % 20 >= 10),
+j AS (SELECT coalesce(a.sequence_id, b.sequence_id) AS sequence_id, coalesce(a.pair, b.pair) AS pair, coalesce(p, 0.0) AS p, coalesce(q, 0.0) AS q FROM a FULL JOIN b ON a.sequence_id = b.sequence_id AND a.pair = b.pair AND a.bin = b.bin)
+SELECT sequence_id, pair, round((sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2, 6) AS jsd
+FROM j GROUP BY 1, 2""")
 def js_divergence(spark, sf):
-    h = ins.quantised_histogram(pixels(spark, sf), ["sequence_id", "region"], 4)
-    return ins.js_divergence(h.where("region < 10"), h.where("region BETWEEN 10 AND 19"), ["sequence_id"]).withColumn("jsd", r6("jsd"))
+    """Of every twenty regions the first ten against the other ten."""
+    h = ins.quantised_histogram(pixels(spark, sf), ["sequence_id", "region"], 4).withColumn("pair", F.expr("region div 20"))
+    return ins.js_divergence(h.where("region % 20 < 10"), h.where("region % 20 >= 10"), ["sequence_id", "pair"]).withColumn("jsd", r6("jsd"))
 
 
 @query("assign_target", "K8 A25 A26 E6", "WITH " + PIXELS + JSD + """,
@@ -185,7 +187,7 @@ def seed_box(spark, sf):
 
 @query("prompt_hits", "K2", PIX + """,
 pt AS (SELECT event_id // 200 AS sequence_id, (event_id % 200) // 10 AS frame_index, event_id AS point_id, event_id % 2 = 0 AS positive,
-  (event_id * 7) % 25 AS x, (event_id * 11) % 40 AS y FROM events WHERE event_id % 10 < 4),
+  (event_id * 7) % 25 AS x, (event_id * 11) % 40 AS y FROM events),
 off AS (SELECT a.d AS dx, b.d AS dy FROM (VALUES (-2),(-1),(0),(1),(2)) a(d), (VALUES (-2),(-1),(0),(1),(2)) b(d)),
 hit AS (SELECT DISTINCT pt.sequence_id, pt.frame_index, point_id, positive, instance_id FROM pt JOIN off ON abs(dx) <= CASE WHEN positive THEN 2 ELSE 1 END AND abs(dy) <= CASE WHEN positive THEN 2 ELSE 1 END
   JOIN d ON d.sequence_id = pt.sequence_id AND d.frame_index = pt.frame_index AND x + dx BETWEEN 0 AND 24 AND y + dy BETWEEN 0 AND 39 AND d.p = (x + dx) * 40 + y + dy),
@@ -194,7 +196,7 @@ h AS (SELECT sequence_id, frame_index, instance_id, count(*) FILTER (WHERE posit
 SELECT m.sequence_id, m.frame_index, m.instance_id, round(coalesce(hp, 0) / np, 6) AS positive_inside, round((nn - coalesce(hn, 0)) / nn, 6) AS negative_outside
 FROM (SELECT DISTINCT sequence_id, frame_index, instance_id FROM v_runs) m JOIN n USING (sequence_id, frame_index) LEFT JOIN h USING (sequence_id, frame_index, instance_id)""")
 def prompt_hits(spark, sf):
-    points = table(spark, sf, "events").where("event_id % 10 < 4").selectExpr(
+    points = table(spark, sf, "events").selectExpr(
         "event_id div 200 AS sequence_id", "(event_id % 200) div 10 AS frame_index", "event_id AS point_id", "event_id % 2 = 0 AS positive",
         "(event_id * 7) % 25 * 1.0D AS x", "(event_id * 11) % 40 * 1.0D AS y")
     out = ins.prompt_hits(points, views.runs(spark, sf), 40, 25, ["sequence_id", "frame_index"], ["instance_id"], 2, 1, cell=64)

@@ -248,7 +248,7 @@ SELECT sequence_id, frame_index, individual, round(mean_score, 6) AS mean_score,
   round(y1, 6) AS y1, round(cx, 6) AS cx, round(cy, 6) AS cy, row_number() OVER (PARTITION BY sequence_id, frame_index
   ORDER BY n_confident DESC, mean_score DESC, individual DESC) AS rank FROM g""")
 def frame_candidates(spark, sf):
-    out = kp.frame_candidates(individuals(spark, sf).where("NOT isnan(score)"))
+    out = kp.frame_candidates(individuals(spark, sf))
     return out.withColumns({c: r6(c) for c in ("mean_score", "x0", "y0", "x1", "y1", "cx", "cy")})
 
 
@@ -258,7 +258,7 @@ SELECT sequence_id, count(*) FILTER (WHERE n >= 2) AS frames_multiple, count(*)
  count(*) FILTER (WHERE n IS NULL) AS frames_none, count(*) FILTER (WHERE n >= 2) > 0 AS feasible FROM f LEFT JOIN n USING (sequence_id, frame_index) GROUP BY 1""")
 def candidate_layer_summary(spark, sf):
     k = individuals(spark, sf)
-    return kp.candidate_layer_summary(kp.frame_candidates(k.where("NOT isnan(score)")), k)
+    return kp.candidate_layer_summary(kp.frame_candidates(k), k)
 
 
 @query("detector_availability", "A36", "WITH " + INDIV + """,

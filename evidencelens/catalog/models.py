@@ -30,10 +30,10 @@ def median_impute(spark, sf):
     return out.select("path", r6("f1").alias("f1"), r6("f2").alias("f2"))
 
 
-@query("fold_medians", "L1 J4", GAPPY + """, f AS (SELECT DISTINCT group_id AS fold FROM v_clips WHERE group_id < 12)
+@query("fold_medians", "L1 J4", GAPPY + """, f AS (SELECT DISTINCT group_id AS fold FROM v_clips)
 SELECT fold, 'f1' AS feature, round(median(f1), 6) + 0.0 AS median FROM f JOIN v_clips ON group_id <> fold GROUP BY 1 UNION ALL SELECT fold, 'f2', round(median(f2), 6) + 0.0 FROM f JOIN v_clips ON group_id <> fold GROUP BY 1""")
 def fold_medians(spark, sf):
-    return md.fold_medians(gappy(spark, sf), "group_id", ["f1", "f2"], list(range(12))).withColumn("median", r6("median"))
+    return md.fold_medians(gappy(spark, sf), "group_id", ["f1", "f2"], list(range(21))).withColumn("median", r6("median"))
 
 
 @query("standardise", "L2", CL + """, s AS (SELECT avg(f1) AS a, stddev_pop(f1) AS d, avg(f2) AS a2, stddev_pop(f2) AS d2 FROM v_clips WHERE session < 4)

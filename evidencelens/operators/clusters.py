@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -10,10 +11,9 @@ from pyspark.sql import functions as F
 
 from evidencelens.functions import lgamma
 from evidencelens.operators.quantiles import exact_quantiles
+from evidencelens.session import cut_lineage
 from evidencelens.operators.segments import HOUR_US, adjacent_summary, running, segment_of
 
-EUCLIDEAN_ROWS = 20_000
-
 
 def contingency(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Counts per (key, a, b); rows with a NULL label are left out."""
@@ -50,8 +50,10 @@ def contingency_ari(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataF
 def contingency_ami(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Adjusted mutual information (arithmetic mean): NULL below two pairs, 0 for one distinct ``b``.
 
-    Everything after the contingency counts works on distinct marginal sizes. The hypergeometric sum keeps
-    the terms within 40 standard deviations of the mean; the rest is below double precision.
+    Everything after the contingency counts works on distinct marginal sizes. The hypergeometric sum runs over all feasible
+    counts that Bernstein's inequality does not rule out: a count lies further than t from the mean mu with a probability of at most
+    2 exp(-t^2 / (2 (v + t / 3))), with v = mu (1 - max(a, b) / N) the binomial variance, which bounds the hypergeometric one (Hoeffding). With
+    L = ln(2e20), t = L / 3 + sqrt(L^2 / 9 + 2 L v) leaves out less than 1e-20, and each term is at most ln N times its probability.
     """
     k = list(keys)
     cells = contingency(df, k, a, b)
@@ -65,7 +67,8 @@ def contingency_ami(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataF
     p = sizes_a.join(sizes_b, k).join(total, k)
     A, B, N = (F.col(c).cast("double") for c in ("ai", "bj", "total"))
     mu = A * B / N
-    spread = 40.0 * F.sqrt(mu * (N - A) * (N - B) / (N * F.greatest(N - 1.0, F.lit(1.0)))) + 40.0
+    left_out = math.log(2e20)
+    spread = left_out / 3 + F.sqrt(left_out * left_out / 9 + 2 * left_out * mu * (1.0 - F.greatest(A, B) / N))
     lo = F.greatest(F.lit(1.0), A + B - N, F.floor(mu - spread).cast("double"))
     hi = F.least(A, B, F.ceil(mu + spread).cast("double"))
     terms = p.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long")}).where("lo <= hi").withColumn("n", F.explode(F.sequence("lo", "hi")))
@@ -132,25 +135,26 @@ def silhouette_squared(df: DataFrame, label: str, features: Sequence[str], keys:
     return d.groupBy(*k).agg(F.avg(F.when(F.col("__b").isNotNull(), F.coalesce(s, F.lit(0.0)))).alias("silhouette"))
 
 
-def silhouette_euclidean(df: DataFrame, label: str, features: Sequence[str], max_rows: int = EUCLIDEAN_ROWS) -> DataFrame:
-    """Exact Euclidean silhouette for inputs whose counted size allows one broadcast copy.
+def silhouette_euclidean(df: DataFrame, label: str, features: Sequence[str], block: int = 512) -> DataFrame:
+    """Exact Euclidean silhouette over all pairs, at every size; ``silhouette_squared`` is the linear form.
 
-    Quadratic by definition; a larger input stops with an error that names ``silhouette_squared``.
+    Quadratic by definition. Points are dealt into blocks of about ``block``; every point meets every block's points by an equi-join on the
+    block number, so a task holds one block, nothing is broadcast, and only sums per point and cluster are shuffled.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    over = F.raise_error(F.lit(f"more than {max_rows} rows: use silhouette_squared")).cast("boolean")
-    bounded = df.crossJoin(F.broadcast(n)).where(F.when(F.col("n") > max_rows, over).otherwise(F.lit(True)))
-    pts = bounded.groupBy(label).agg(F.collect_list(F.array(*[F.col(f) for f in features])).alias("p")).agg(F.collect_list(F.struct(F.col(label).alias("c"), "p")).alias("__cs"))
-    x = F.array(*[F.col(f) for f in features])
-    dist = lambda p: F.sqrt(F.aggregate(F.zip_with(p, x, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, t: s + t))
-    j = df.crossJoin(F.broadcast(pts))
-    sums = F.transform("__cs", lambda c: F.struct(c["c"].alias("c"), F.size(c["p"]).alias("n"), F.aggregate(c["p"], F.lit(0.0), lambda s, p: s + dist(p)).alias("t")))
-    d = j.select(label, sums.alias("s"))
-    own = F.get(F.filter("s", lambda c: c["c"] == F.col(label)), F.lit(0))
-    b = F.array_min(F.transform(F.filter("s", lambda c: c["c"] != F.col(label)), lambda c: c["t"] / c["n"]))
-    d = d.select(own.alias("o"), b.alias("b"))
-    a = F.col("o.t") / (F.col("o.n") - 1)
-    return d.agg(F.avg(F.when(F.col("b").isNotNull(), F.when(F.col("o.n") == 1, 0.0).otherwise(F.coalesce((F.col("b") - a) / F.nullif(F.greatest(a, F.col("b")), F.lit(0.0)), F.lit(0.0))))).alias("silhouette"))
+    n = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    blocks = max(1, -(-n // block))
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    points = cut_lineage(df.select(F.col(label).alias("c"), x.alias("x")).withColumn("id", F.monotonically_increasing_id()))
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")
+    packed = points.select(part, F.col("c").alias("c2"), "x").groupBy("b", "c2").agg(F.collect_list("x").alias("p"), F.count(F.lit(1)).alias("m"))
+    dist = lambda p: F.sqrt(F.aggregate(F.zip_with(p, "x", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, t: s + t))
+    met = points.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "b")
+    sums = met.select("id", "c", "c2", "m", F.aggregate("p", F.lit(0.0), lambda s, p: s + dist(p)).alias("t")).groupBy("id", "c", "c2").agg(F.sum("t").alias("t"), F.sum("m").alias("m"))
+    own = F.col("c").eqNullSafe(F.col("c2"))
+    d = sums.groupBy("id").agg(F.max(F.when(own, F.struct("t", "m"))).alias("o"), F.min(F.when(~own, F.col("t") / F.col("m"))).alias("b"))
+    a = F.when(F.col("o.m") > 1, F.col("o.t") / F.nullif(F.col("o.m") - 1, F.lit(0)))
+    score = F.when(F.col("o.m") == 1, 0.0).otherwise(F.coalesce((F.col("b") - a) / F.nullif(F.greatest(a, F.col("b")), F.lit(0.0)), F.lit(0.0)))
+    return d.agg(F.avg(F.when(F.col("b").isNotNull(), score)).alias("silhouette"))
 
 
 def canonical_clusters(centres: DataFrame, k: int, centre: str = "centre", raw: str = "raw") -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidencelens.operators import context, contracts
 from evidencelens.operators.contracts import merge, rule, rules
 
-EXACT_IDS = 100_000
-
 # The ablation rows, their inputs and modes.
 ABLATION_ROWS = {
     "B0": ("predictive", ("context_routine",)), "V": ("predictive", ("V1",)), "A": ("predictive", ("A1",)),
@@ -26,24 +27,64 @@ STRESS = {"BVA-V": ("BVA", "V1"), "BVA-A": ("BVA", "A1")}
 RESAMPLING_UNITS = ("subject", "household", "day", "session")
 
 
-def id_set_digest(df: DataFrame, keys: Sequence[str], id_col: str, exact_up_to: int = EXACT_IDS) -> DataFrame:
-    """SHA-256 of the sorted ids joined by newlines, per key.
+def id_set_digest(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """Count and SHA-256 of the sorted ids joined by newlines, per key, in one form at every size.
 
-    That digest needs all ids in one string, so it is used only where the counted ids stay within
-    ``exact_up_to``. Larger sets get ``tree:`` + SHA-256 over 65 536 bucket digests (bucket = first four
-    digits of the id's own SHA-256). Equal sets give equal digests either way.
+    Ids are dealt and sorted by ranges of (key, id), so a large set fills many tasks, each of which joins its ids into blocks of text.
+    Only the digest itself is sequential: one task per key takes the finished blocks in order, in constant memory.
     """
     keys = list(keys)
-    ids = df.select(*keys, F.col(id_col).cast("string").alias("__id")).withColumn("__b", F.substring(F.sha2(F.col("__id"), 256), 1, 4))
-    n = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ids"))
-    small, large = n.where(F.col("n_ids") <= exact_up_to), n.where(F.col("n_ids") > exact_up_to)
-    on = (lambda d: ids.join(d.select(*keys, "n_ids"), keys)) if keys else (lambda d: ids.crossJoin(F.broadcast(d)))
-    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    exact = on(small).groupBy(*keys).agg(F.max("n_ids").alias("n_ids"), joined("__id").alias("digest"))
-    bucket = on(large).groupBy(*keys, "__b").agg(F.max("n_ids").alias("n_ids"), joined("__id").alias("d"))
-    tree = bucket.groupBy(*keys).agg(F.max("n_ids").alias("n_ids"), F.concat(F.lit("tree:"), joined(F.concat("__b", F.lit(":"), "d"))).alias("digest"))
-    # Without keys both branches are global aggregates; the one without ids drops out here.
-    return exact.unionByName(tree).where(F.col("n_ids").isNotNull())
+    ids = df.select(*keys, F.col(id_col).cast("string").alias("__id")).where(F.col("__id").isNotNull())
+    order = [*keys, "__id"]
+    kept = [(k, ids.schema[k].dataType.simpleString()) for k in keys]
+    width = len(keys)
+
+    def blocks(batches):
+        """Sorted rows to (keys, task, part, n, text) blocks of at most about 1 MB."""
+        task, part, key, rows, size = TaskContext.get().partitionId(), 0, None, [], 0
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and (row[:width] != key or size >= 1 << 20):
+                    out.append((*key, task, part, len(rows), "\n".join(rows)))
+                    part, rows, size = part + 1, [], 0
+                key = row[:width]
+                rows.append(row[width])
+                size += len(row[width])
+            yield table(out, schema)
+        if rows:
+            yield table([(*key, task, part, len(rows), "\n".join(rows))], schema)
+
+    def table(rows, schema):
+        types = [schema.field(i).type for i in range(width)] + [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [*keys, "__task", "__part", "__n", "__text"])
+
+    def digests(batches):
+        key, state, schema, done = None, None, None, []
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is not None and row[:width] != key:
+                    done.append((*key, state[0], state[1].hexdigest()))
+                    state = None
+                if state is None:
+                    key, state = row[:width], [0, hashlib.sha256()]
+                else:
+                    state[1].update(b"\n")
+                state[0] += row[width + 2]
+                state[1].update(row[width + 3].encode())
+        if state is not None:
+            done.append((*key, state[0], state[1].hexdigest()))
+        if done:
+            types = [schema.field(i).type for i in range(width)] + [pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], [*keys, "n_ids", "digest"])
+
+    columns = "".join(f"`{k}` {t}, " for k, t in kept)
+    cut = ids.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, f"{columns}__task long, __part long, __n long, __text string")
+    dealt = cut.repartition(*keys) if keys else cut.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, "__task", "__part").mapInArrow(digests, f"{columns}n_ids long, digest string")
 
 
 def package_counts(obs: DataFrame, keys: Sequence[str]) -> DataFrame:

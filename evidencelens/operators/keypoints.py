@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidencelens.functions import dist2, dist3
+from evidencelens.functions import dist2, dist3, finite_double
 from evidencelens.operators.quantiles import exact_quantiles
 from evidencelens.operators.segments import FRAME_BLOCK, adjacent_summary, first_per_key, gap_summary, ranked, running, segment_of, with_neighbours
 
@@ -28,8 +28,8 @@ def canonical_names(df: DataFrame, mapping: dict[str, str], native: str = "nativ
 
 
 def confident_keypoints(df: DataFrame, min_score: float = MIN_SCORE, keys: Sequence[str] = SEQ) -> DataFrame:
-    """Score at or above the threshold (missing score counts 1.0); the last kept duplicate wins."""
-    kept = df.where(F.coalesce("score", F.lit(1.0)) >= min_score)
+    """Score at or above the threshold (missing score counts 1.0, NaN is below any); the last kept duplicate wins."""
+    kept = df.where((F.coalesce("score", F.lit(1.0)) >= min_score) & ~F.isnan(F.coalesce("score", F.lit(1.0))))
     rest = [c for c in df.columns if c not in (*keys, "frame_index", "name")]
     return first_per_key(kept, [*keys, "frame_index", "name"], [-F.col("pos")], rest)
 
@@ -268,9 +268,10 @@ def frame_candidates(kp: DataFrame, keys: Sequence[str] = SEQ, min_score: float
 
     The rank window covers the few individuals of one frame.
     """
-    high = F.col("score") >= min_score
+    score = finite_double("score")
+    high = F.coalesce(score >= min_score, F.lit(False))
     g = kp.groupBy(*keys, "frame_index", "individual").agg(
-        F.avg("score").alias("mean_score"), F.count_if(high).alias("n_confident"),
+        F.avg(score).alias("mean_score"), F.count_if(high).alias("n_confident"),
         *[f(F.when(high, F.col(c))).alias(a) for f, c, a in (
             (F.min, "x_px", "x0"), (F.min, "y_px", "y0"), (F.max, "x_px", "x1"), (F.max, "y_px", "y1"),
             (F.avg, "x_px", "cx"), (F.avg, "y_px", "cy"))],

@@ -1,6 +1,7 @@
 """Small hand-computed cases, leakage and fail-closed checks."""
 
 import datetime as dt
+import hashlib
 import itertools
 import math
 import random
@@ -139,12 +140,27 @@ def test_pseudo_groups_keep_sizes(spark):
     assert sizes("true_group") == sizes("pseudo_group") and p.where("true_group <> pseudo_group").count() > 0
 
 
-def test_digest_tree_for_large_sets(spark):
-    df = spark.createDataFrame([(k, f"id{i}") for k in ("x", "y") for i in range(50)] + [("z", "id0")], "k string, id string")
-    got = {r["k"]: r["digest"] for r in cohorts.id_set_digest(df.repartition(7), ["k"], "id", exact_up_to=10).collect()}
-    assert got["x"] == got["y"] and got["x"].startswith("tree:") and not got["z"].startswith("tree:")
-    other = cohorts.id_set_digest(df.where("NOT (k = 'x' AND id = 'id3')"), ["k"], "id", exact_up_to=10).where("k = 'x'").first()["digest"]
-    assert other != got["x"]
+def test_digest_has_one_form_at_every_size(spark):
+    sets = {"x": [f"id{i}" * 40 for i in range(30_000)], "y": [f"id{i}" for i in range(50)], "z": ["id0"], None: ["n\u00e9", "b"]}
+    df = spark.createDataFrame([(k, i) for k, ids in sets.items() for i in ids], "k string, id string")
+    got = {r["k"]: (r["n_ids"], r["digest"]) for r in cohorts.id_set_digest(df.repartition(7), ["k"], "id").collect()}
+    assert got == {k: (len(ids), hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()) for k, ids in sets.items()}
+    whole = cohorts.id_set_digest(df, [], "id").first()
+    assert whole["digest"] == hashlib.sha256("\n".join(sorted(i for ids in sets.values() for i in ids)).encode()).hexdigest()
+    assert cohorts.id_set_digest(df.limit(0), ["k"], "id").count() == 0
+
+
+def test_ami_tail_bound_on_skewed_marginals(spark):
+    from math import comb, log
+
+    rows = [(0, "a" if i < 3 else "b", "p" if i < 990 else "q") for i in range(1000)]
+    got = clusters.contingency_ami(spark.createDataFrame(rows, "k long, a string, b string"), ["k"], "a", "b").first()["ami"]
+    n, ai, bj = 1000, (3, 997), (990, 10)
+    emi = sum(x / n * log(n * x / (a * b)) * comb(a, x) * comb(n - a, b - x) / comb(n, b) for a in ai for b in bj for x in range(max(1, a + b - n), min(a, b) + 1))
+    h = lambda parts: -sum(p / n * log(p / n) for p in parts)
+    cells = {(3, 990): 3, (997, 990): 987, (997, 10): 10}
+    mi = sum(c / n * log(n * c / (a * b)) for (a, b), c in cells.items())
+    assert abs(got - (mi - emi) / ((h(ai) + h(bj)) / 2 - emi)) < 1e-7
 
 
 def test_require_valid_fails_the_job(spark):
