@@ -28,8 +28,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
-#: Words that a worker remembers at most, and the longest remembered.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
+#: Words and runs that a worker remembers at most, and the longest remembered.
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+#: Places of the table that tells a second occurrence from a first.
+SEEN = 1 << 21
+#: Signs that end a run of letters and are a word of their own.
+SINGLE = frozenset(".,;:!?")
 #: Tokens handed to the digests at a time.
 BLOCK = 8192
 #: Documents whose ids are returned at a time.
@@ -259,8 +263,7 @@ class Tokenizer:
             self.pieces[i] = name.encode()
         self.digits = [str(i) for i in range(len(self.pieces))]
         self.alphabet = byte_alphabet()
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.chunks = Chunks(self)
+        self.known = Known(self)
 
     def word(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
@@ -268,10 +271,7 @@ class Tokenizer:
             symbols = "".join(map(self.alphabet.__getitem__, word.encode()))
             step = max(self.core.lookahead, 256)  # pieces of a long word
             found = self.core.short(symbols) if len(symbols) <= step else tuple(self.core.stream(symbols[i : i + step] for i in range(0, len(symbols), step)))
-            if len(word) <= LONGEST_REMEMBERED:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = found
+            self.known.keep(word, found)
         return found
 
     def blocks(self, text: str) -> Iterator[list[int]]:
@@ -284,8 +284,8 @@ class Tokenizer:
             part = unicodedata.normalize("NFC", part)
             chunks = [c for c in SPACE.split(part) if c] if ODD_SPACE.search(part) else part.split()
             for i in range(0, len(chunks), BLOCK):
-                yield list(itertools.chain.from_iterable(map(self.chunks.__getitem__, chunks[i : i + BLOCK])))
-                self.chunks.trim()
+                yield list(itertools.chain.from_iterable(map(self.known.__getitem__, chunks[i : i + BLOCK])))
+                self.known.trim()
 
     def encode(self, text: str) -> list[int]:
         return list(itertools.chain.from_iterable(self.blocks(text)))
@@ -294,24 +294,40 @@ class Tokenizer:
         return Decoder(self.pieces)
 
 
-class Chunks(dict):
-    """Ids of runs without white space; forgets all of them when there are too many."""
+class Known(dict):
+    """Ids of words and of runs without white space that came twice or more; forgets all of them when there are too many."""
 
     def __init__(self, owner: Tokenizer):
         super().__init__()
         self.owner = owner
+        self.once = bytearray(SEEN)
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        lowered = chunk.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        owner = self.owner
-        ids = tuple(itertools.chain.from_iterable(map(owner.word, owner.words.findall(lowered))))
-        if len(chunk) <= LONGEST_REMEMBERED:
-            self[chunk] = ids
+    def keep(self, run: str, ids: tuple[int, ...]) -> None:
+        if len(run) <= LONGEST_REMEMBERED:
+            place = hash(run) % SEEN
+            if self.once[place]:
+                self[run] = ids
+            else:
+                self.once[place] = 1
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        lowered = run.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        word = self.owner.word
+        if lowered.isalpha():
+            ids = word(lowered)
+            if lowered == run:
+                return ids
+        elif lowered[-1] in SINGLE and lowered[:-1].isalpha():
+            ids = word(lowered[:-1]) + word(lowered[-1])
+        else:
+            ids = tuple(itertools.chain.from_iterable(map(word, self.owner.words.findall(lowered))))
+        self.keep(run, ids)
         return ids
 
     def trim(self) -> None:
         if len(self) > REMEMBERED:
             self.clear()
+            self.once = bytearray(SEEN)
 
 
 _tokenizers: dict[str, Tokenizer] = {}

@@ -117,8 +117,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch, unless the session says otherwise: long texts make large rows.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, for sessions started without ``--py-files``."""
+    """Sends this package to the executors once a session, for sessions started without ``--py-files``, and bounds their batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
