@@ -75,12 +75,12 @@ def grouped_evaluation(spark, sf):
 
 @query("identity_invariance", "L9 E9 E10 A9")
 def identity_invariance(spark, sf):
-    return md.identity_invariance(views.clips(spark, sf), "group_id", "context", "path", FEATURES, 3, repeats=2, seed=7)
+    return md.identity_invariance(gappy(spark, sf), "group_id", "context", "path", FEATURES, 3, repeats=2, seed=7)
 
 
 @query("personalisation_evaluation", "L8 E8 E11 A1 A18 A19")
 def personalisation(spark, sf):
-    return md.personalisation_evaluation(views.clips(spark, sf), "group_id", "session", "context", "path", FEATURES, 3, budgets=[1, 4], repeats=3, seed=11)
+    return md.personalisation_evaluation(gappy(spark, sf), "group_id", "session", "context", "path", FEATURES, 3, budgets=[1, 4], repeats=3, seed=11)
 
 
 @query("chronological_evaluation", "L14 L4 L6 E16")

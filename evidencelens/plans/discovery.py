@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidencelens.functions import finite_double
 from evidencelens.operators import clusters as cl
 from evidencelens.operators.segments import hash_ranked
 from evidencelens.plans.models import median_impute, standardise
@@ -23,6 +24,16 @@ def _prepared(rows: DataFrame, row_id: str, features: Sequence[str], keep: Seque
     return x.withColumn("vec", array_to_vector(F.array(*features)))
 
 
+def _usable(rows: DataFrame, features: Sequence[str]) -> list[str]:
+    """Features with at least one value; a column without any says nothing and cannot be imputed."""
+    seen = rows.agg(*[F.count(finite_double(f)).alias(f) for f in features]).first()
+    return [f for f in features if seen[f]]
+
+
+def _ineligible(like: DataFrame, k: int, reason: str) -> DataFrame:
+    return like.sparkSession.range(1).select(F.lit(k).alias("k"), F.lit("ineligible").alias("metric"), F.lit(reason).alias("detail"), F.lit(None).cast("double").alias("value"))
+
+
 def _fit(x: DataFrame, k: int, seed: int, restarts: int, max_iter: int):
     """Best of several seeded k-means runs by training cost."""
     models = [KMeans(k=k, seed=seed + 7919 * i, featuresCol="vec", maxIter=max_iter).fit(x) for i in range(restarts)]
@@ -52,11 +63,29 @@ def _label(model, x: DataFrame, name: str, mapping: dict[int, int] | None = None
     return out.drop("prediction")
 
 
-def _stability(x: DataFrame, row_id: str, k: int, n: int, repeats: int, fraction: float, seed: int, restarts: int, max_iter: int) -> DataFrame:
-    """Mean pairwise ARI of models fitted on hash subsets and applied to all rows."""
+def _refitted(raw: DataFrame, row_id: str, features: Sequence[str], k: int, n: int, fraction: float, seed: int, restarts: int, max_iter: int, name: str) -> DataFrame:
+    """Labels of all rows from imputer, scaler and k-means that saw the subset only."""
+    part = cut_lineage(_subset(raw, row_id, seed, fraction, k, n))
+    known = _usable(part, features)
+    vec = array_to_vector(F.array(*known))
+    filled = median_impute(part, part, known)
+    model = _fit(standardise(filled, filled, known).withColumn("vec", vec).persist(), k, seed, restarts, max_iter)
+    every = standardise(filled, median_impute(part, raw, known), known).withColumn("vec", vec)
+    return model.transform(every).select(row_id, F.col("prediction").alias(name))
+
+
+def _stability(x: DataFrame, row_id: str, k: int, n: int, repeats: int, fraction: float, seed: int, restarts: int, max_iter: int, raw: DataFrame | None = None, features: Sequence[str] = ()) -> DataFrame:
+    """Mean pairwise ARI of models fitted on hash subsets and applied to all rows.
+
+    With ``raw`` rows the imputer and the scaler are fitted on each subset too; otherwise ``x`` is used as prepared.
+    """
     labelled, names = x, []
     for r in range(repeats):
         s = seed + 1000 * k + r
+        if raw is not None:
+            names.append(f"rep{r}")
+            labelled = labelled.join(_refitted(raw, row_id, features, k, n, fraction, s, restarts, max_iter, names[-1]), row_id)
+            continue
         part = _subset(x, row_id, s, fraction, k, n).persist()
         model = _fit(part, k, s, restarts, max_iter)
         part.unpersist()
@@ -68,11 +97,13 @@ def _stability(x: DataFrame, row_id: str, k: int, n: int, repeats: int, fraction
 def cluster_stability(rows: DataFrame, row_id: str, features: Sequence[str], metadata: Sequence[str], k_values: Sequence[int], *, repeats: int = 20, fraction: float = 0.8,
                       seed: int = 20260821, restarts: int = 20, max_iter: int = 20) -> DataFrame:
     """Per k: silhouette (squared distance), stability, AMI with each metadata column, sizes; tidy rows."""
+    features = _usable(rows, features)
     x = cut_lineage(_prepared(rows, row_id, features))
     n = x.count()
     parts = []
     for k in k_values:
         if n <= k:
+            parts.append(_ineligible(x, k, "too_few_rows"))
             continue
         model = _fit(x, k, seed + k, restarts, max_iter)
         lab = _label(model, x, "cluster")
@@ -96,28 +127,36 @@ def latent_discovery(fit_features: DataFrame, row_id: str, families: dict[str, s
     extra = set(fit_features.columns) - {row_id, *features}
     if extra:
         raise ValueError(f"columns outside the feature manifest: {sorted(extra)}")
-    x = cut_lineage(_prepared(fit_features, row_id, features))
+    features = _usable(fit_features, features)
+    raw = cut_lineage(fit_features.select(row_id, *features))
+    x = cut_lineage(_prepared(raw, row_id, features))
     n = x.count()
     parts, labels = [], []
     for k in k_values:
         if n <= k:
+            parts.append(_ineligible(x, k, "too_few_rows"))
             continue
         fit = lambda cols, s: _fit(x.withColumn("vec", array_to_vector(F.array(*cols))), k, s, restarts, max_iter)  # noqa: B023,E731
         model = fit(features, seed + k)
         lab = _label(model, x, "cluster", _centres(model, k))
         labels.append(lab.select(row_id, F.lit(k).alias("k"), F.format_string(f"Z{k:02d}-c%d", "cluster").alias("cluster_id")))
         put = lambda df, metric, col, detail=None: df.select(F.lit(k).alias("k"), F.lit(metric).alias("metric"), F.lit(detail or "").alias("detail"), F.col(col).cast("double").alias("value"))  # noqa: B023,E731
-        parts.append(put(cl.silhouette_squared(lab, "cluster", features), "silhouette", "silhouette"))
-        parts.append(put(_stability(x, row_id, k, n, repeats, fraction, seed, restarts, max_iter), "stability", "stability"))
+        whole = cl.silhouette_squared(lab, "cluster", features)
+        parts.append(put(whole, "silhouette", "silhouette"))
+        parts.append(put(_stability(x.select(row_id), row_id, k, n, repeats, fraction, seed, restarts, max_iter, raw, features), "stability", "stability"))
         shape = cl.cluster_shape(lab, [], "cluster")
         parts += [put(shape, c, c) for c in ("smallest_fraction", "largest_fraction", "normalized_entropy")]
         for family in sorted(set(families.values())):
             left = [f for f in features if families[f] != family]
             if not left:
+                parts.append(_ineligible(x, k, f"no_feature_without:{family}"))
                 continue
             reduced = fit(left, seed + 10_000 + k)
             lab2 = _label(reduced, x.withColumn("vec", array_to_vector(F.array(*left))), "cluster")
-            parts.append(put(cl.silhouette_squared(lab2, "cluster", left), "silhouette_without_family", "silhouette", family))
+            without = cl.silhouette_squared(lab2, "cluster", left)
+            parts.append(put(without, "silhouette_without_family", "silhouette", family))
+            both = without.crossJoin(F.broadcast(whole.withColumnRenamed("silhouette", "full")))  # one row each
+            parts.append(put(both.withColumn("delta", F.col("silhouette") - F.col("full")), "delta_vs_full", "delta", family))
     return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, labels)
 
 

@@ -12,6 +12,7 @@ classes present. Two classes use one coefficient vector. The intercept is free u
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -46,6 +47,7 @@ class Fit:
     class_weight: np.ndarray = field(default=None)
     beta: np.ndarray = field(default=None)
     supported: bool = True
+    converged: bool = False
 
 
 def group_moments(rows: DataFrame, dim: int, classes: int) -> dict:
@@ -200,7 +202,7 @@ def _solve(f: Fit, packed: np.ndarray, c: float, penalise_intercept: bool) -> tu
     return c * packed[0] + 0.5 * float(np.sum(ridge * beta * beta)), step, float(np.abs(grad).max())
 
 
-def fit_all(rows: DataFrame, fits: Sequence[Fit], moments: dict, *, leave_out: bool, c: float = 1.0, penalise_intercept: bool = False, max_iter: int = 25,
+def fit_all(rows: DataFrame, fits: Sequence[Fit], moments: dict, *, leave_out: bool, c: float = 1.0, penalise_intercept: bool = False, max_iter: int = 100,
             tol: float = 1e-7) -> None:
     """Fills ``beta`` of every supported fit. ``rows``: g, y, x; persisted for the passes."""
     todo = [f for f in fits if f.supported]
@@ -237,6 +239,7 @@ def _newton(rows: DataFrame, fits: list[Fit], moments: dict, leave_out: bool, c:
                 still.append(f)
                 continue
             if size < tol:
+                f.converged = True
                 continue
             f.beta = f.beta - step
             state[id(f)] = (objective, step, 1.0)
@@ -244,6 +247,7 @@ def _newton(rows: DataFrame, fits: list[Fit], moments: dict, leave_out: bool, c:
         active = still
         if not active:
             return
+    warnings.warn(f"{len(active)} of {len(fits)} fits stopped after {max_iter} Newton steps: {[(f.model, f.group) for f in active]}", stacklevel=3)
 
 
 def predict(rows: DataFrame, fits: Sequence[Fit], keep: Sequence[str], classes: int) -> DataFrame:

@@ -34,7 +34,7 @@ def fold_medians(rows: DataFrame, group: str, features: Sequence[str], folds: Se
 
 
 def median_impute(train: DataFrame, apply: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact training medians put in place of missing values; a column without any value is dropped."""
+    """Exact training medians put in place of missing values; a column without any training value stays NULL where it is missing."""
     out, k = apply, list(keys)
     long = train.select(*k, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), finite_double(f).alias("v")) for f in features])).alias("r")).select(*k, "r.*")
     med = exact_quantiles(long, [*k, "feature"], "v", {"median": (0.5, "linear")})
@@ -81,6 +81,23 @@ def _groups(rows: DataFrame, group: str) -> list:
     return sorted(r[0] for r in rows.select(group).distinct().collect())
 
 
+def _median_table(rows: DataFrame, group: str, features: Sequence[str], folds: Sequence) -> DataFrame | None:
+    """One row per fold with the training medians ``md_<feature>``; None when no feature has missing values."""
+    missing = rows.agg(*[F.count_if(finite_double(f).isNull()).alias(f) for f in features]).first()
+    if not any(missing):
+        return None
+    table = fold_medians(rows, group, features, folds)
+    return cut_lineage(table.groupBy(F.col("fold").alias("__fold")).agg(*[F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"md_{f}") for f in features]))
+
+
+def _imputed(rows: DataFrame, medians: DataFrame | None, fold: str, features: Sequence[str]) -> DataFrame:
+    """Missing features hold the training median of the row's fold (0 where the fold has none), before anything is centred."""
+    if medians is None:
+        return rows
+    filled = rows.join(medians, F.col(fold) == F.col("__fold"), "left")
+    return filled.withColumns({f: F.coalesce(finite_double(f), F.col(f"md_{f}"), F.lit(0.0)) for f in features}).drop("__fold", *[f"md_{f}" for f in features])
+
+
 def _fill(rows: DataFrame, group: str, features: Sequence[str], folds: Sequence) -> dict | None:
     """Training medians per fold, only when some feature has missing values."""
     missing = rows.agg(*[F.count_if(finite_double(f).isNull()).alias(f) for f in features]).first()
@@ -112,11 +129,21 @@ def grouped_evaluation(rows: DataFrame, group: str, label: str, families: dict[s
     return m.metric_bundle(every, "y", PROBS(classes), [["model", "fold"], ["model"]])
 
 
-def _fold_means(rows: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
-    """Population mean per fold: total minus own group."""
-    own = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f"s_{f}") for f in features])
-    tot = rows.agg(F.count(F.lit(1)).alias("tn"), *[F.sum(f).alias(f"t_{f}") for f in features])
-    return own.crossJoin(F.broadcast(tot)).select(group, *[((F.col(f"t_{f}") - F.col(f"s_{f}")) / (F.col("tn") - F.col("n"))).alias(f"pm_{f}") for f in features])
+def _fold_means(rows: DataFrame, group: str, features: Sequence[str], medians: DataFrame | None = None) -> DataFrame:
+    """Population mean per fold over its imputed training rows: total minus own group, the missing ones at the fold's median."""
+    facts = lambda t: [F.count(F.lit(1)).alias(f"{t}n"), *[a for f in features for a in (F.sum(finite_double(f)).alias(f"{t}s_{f}"), F.count(finite_double(f)).alias(f"{t}c_{f}"))]]
+    own = rows.groupBy(group).agg(*facts("o"))
+    j = own.crossJoin(F.broadcast(rows.agg(*facts("t"))))
+    if medians is not None:
+        j = j.join(medians, F.col(group) == F.col("__fold"), "left")
+    size = F.col("tn") - F.col("on")
+
+    def mean(f: str) -> Column:
+        total = F.coalesce(F.col(f"ts_{f}"), F.lit(0.0)) - F.coalesce(F.col(f"os_{f}"), F.lit(0.0))
+        gaps = size - (F.col(f"tc_{f}") - F.col(f"oc_{f}"))
+        return total + gaps * F.coalesce(F.col(f"md_{f}"), F.lit(0.0)) if medians is not None else total
+
+    return j.select(group, *[(mean(f) / F.nullif(size, F.lit(0))).alias(f"pm_{f}") for f in features])
 
 
 def _variant_fits(rows: DataFrame, group: str, label: str, features: Sequence[str], classes: int, tau: float) -> list[Fit]:
@@ -140,8 +167,10 @@ def identity_invariance(rows: DataFrame, group: str, label: str, path: str, feat
     Pseudo-centred controls repeat the whole fit with permuted group labels per fold and repeat.
     """
     fits = _variant_fits(rows, group, label, features, classes, tau)
-    pm = _fold_means(rows, group, features)
-    test = rows.join(pm, group)
+    folds = _groups(rows, group)
+    medians = _median_table(rows, group, features, folds)
+    pm = _fold_means(rows, group, features, medians)
+    test = _imputed(rows, medians, group, features).join(pm, group)
     zero = F.array(*[F.col(f) - F.col(f"pm_{f}") for f in features])
     raw = F.array(*[F.col(f) for f in features])
     base = test.select(path, F.col(group).alias("g"), F.col(label).cast("int").alias("y"), raw.alias("raw"), zero.alias("zero"))
@@ -150,9 +179,9 @@ def identity_invariance(rows: DataFrame, group: str, label: str, path: str, feat
     scored = stack([
         predict(base.withColumn("x", F.col("raw")), [f for f in fits if f.model == "raw"], keep, classes),
         predict(base.withColumn("x", F.col("zero")), [f for f in fits if f.model != "raw"], keep, classes)])
-    folds = _groups(rows, group)
-    # Permuted labels within each fold's training pool.
+    # Permuted labels within each fold's training pool; the control refits multiply rows by folds and repeats, written once.
     pool = rows.select(path, group, label, *features).withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds]))).where(F.col("fold") != F.col(group))
+    pool = _imputed(pool, medians, "fold", features)
     pseudo = m.pseudo_groups(pool, seed, ["fold"], F.explode(F.array(*[F.lit(r) for r in range(repeats)])), group, path)
     joined = pool.join(pseudo.select("fold", "repeat", path, "pseudo_group"), ["fold", path])
     pmeans = joined.groupBy("fold", "repeat", "pseudo_group").agg(*[F.avg(f).alias(f"__g_{f}") for f in features])
@@ -181,7 +210,9 @@ def personalisation_evaluation(rows: DataFrame, group: str, session: str, label:
     """
     fits = _variant_fits(rows, group, label, features, classes, tau)
     feasible = m.fold_feasibility(rows, [1], list(budgets), group, session, label).where("primary_feasible").select(group, F.col(session).alias("test_session"), "n_adaptation")
-    pm = _fold_means(rows, group, features)
+    medians = _median_table(rows, group, features, _groups(rows, group))
+    pm = _fold_means(rows, group, features, medians)
+    rows = _imputed(rows, medians, group, features)
     adaptation = rows.join(feasible, group).where(F.col(session) != F.col("test_session"))
     order = m.stable_order(adaptation.select(path, group, "test_session", *features), seed, F.explode(F.array(*[F.lit(r) for r in range(repeats)])), [group], "test_session", path)
     means = order.groupBy(group, "test_session", "repeat").agg(*[
