@@ -61,11 +61,26 @@ u AS (SELECT event_id, c, unnest(range(1, len(c) + 1)) AS p FROM c)
 SELECT event_id, CAST(coalesce(list_sum(c[1:p-1]), 0) AS BIGINT) AS start, c[p] AS len FROM u WHERE p % 2 = 0 AND c[p] > 0
 UNION ALL SELECT event_id, CAST(list_sum(c) AS BIGINT), 1000 - CAST(list_sum(c) AS BIGINT) FROM c WHERE len(c) % 2 = 1""")
 def interval_mask_runs(spark, sf):
+    return ins.interval_mask_runs(interval_masks(spark, sf), ["event_id"])[0]
+
+
+def interval_masks(spark, sf):
     c = table(spark, sf, "events").selectExpr("event_id", f"{COUNTS['spark']} AS c")
-    total = "aggregate(c, 0L, (a, x) -> a + x)"
-    masks = c.selectExpr("event_id", "40 AS height", "25 AS width",
-                         f"IF(event_id % 23 = 0, c, concat(c, array(1000 - {total}))) AS counts")
-    return ins.interval_mask_runs(masks, ["event_id"])[0]
+    return c.selectExpr("event_id", "40 AS height", "25 AS width", "IF(event_id % 23 = 0, c, concat(c, array(1000 - aggregate(c, 0L, (a, x) -> a + x)))) AS counts")
+
+
+@query("interval_mask_errors", "S12", f"""
+SELECT event_id, 'runs_do_not_fill_mask' AS errors FROM (SELECT event_id, {COUNTS['duckdb']} AS c FROM events WHERE event_id % 23 = 0) WHERE list_sum(c) <> 1000""")
+def interval_mask_errors(spark, sf):
+    return ins.interval_mask_runs(interval_masks(spark, sf), ["event_id"])[1].withColumn("errors", F.array_join("errors", ";"))
+
+
+@query("overlapping_mask_conflicts", "J7", RUN + """,
+m AS (SELECT b.sequence_id, b.frame_index, b.instance_id, b.start, max({'stop': a.start + a.len, 'owner': a.instance_id}) AS o FROM v_runs b JOIN v_runs a
+ ON a.sequence_id = b.sequence_id AND a.frame_index = b.frame_index AND (a.start < b.start OR (a.start = b.start AND a.instance_id < b.instance_id)) GROUP BY ALL)
+SELECT sequence_id, frame_index, instance_id, start, o.owner AS conflict_with FROM m WHERE o.stop > start AND o.owner <> instance_id""")
+def overlapping_mask_conflicts(spark, sf):
+    return ins.overlapping_masks(views.runs(spark, sf))
 
 
 @query("overlapping_masks", "J7", RUN + """

@@ -348,12 +348,20 @@ SELECT vec_id, i AS pos, CASE i WHEN 0 THEN 'nose' WHEN 1 THEN 'left_paw' ELSE '
  round(e[2*i+2], 6) + 0.0 AS y_px, CASE WHEN m = 1 THEN 1.0 ELSE round(abs(e[i+1]), 6) END AS score
 FROM d CROSS JOIN (VALUES (0),(1),(2)) k(i) WHERE m <> 2""")
 def detections(spark, sf):
+    return detection_tables(spark, sf)[0].withColumns({c: r6(c) for c in ("x_px", "y_px", "score")})
+
+
+@query("detection_errors", "S8", "SELECT vec_id, 'score_count_differs_from_keypoints' AS errors FROM embeddings WHERE vec_id % 5 = 2")
+def detection_errors(spark, sf):
+    return detection_tables(spark, sf)[1].withColumn("errors", F.array_join("errors", ";"))
+
+
+def detection_tables(spark, sf):
     v = "transform(embedding, x -> CAST(x AS DOUBLE))"
     raw = table(spark, sf, "embeddings").selectExpr("vec_id", f"{v} AS e").selectExpr(
         "vec_id", "array(array(e[0], e[1]), array(e[2], e[3]), array(e[4], e[5])) AS keypoints",
         "CASE vec_id % 5 WHEN 1 THEN array() WHEN 2 THEN array(0.5D) ELSE array(abs(e[0]), abs(e[1]), abs(e[2])) END AS keypoint_scores")
-    rows, _ = detections_to_keypoints(raw, ["nose", "left_paw", "tail_tip"], ["vec_id"])
-    return rows.withColumns({c: r6(c) for c in ("x_px", "y_px", "score")})
+    return detections_to_keypoints(raw, ["nose", "left_paw", "tail_tip"], ["vec_id"])
 
 
 @query("best_instance", "K6", """

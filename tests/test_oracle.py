@@ -8,8 +8,6 @@ from evidencelens.compare import TABLES, compare_query
 from tests.conftest import SMALL
 
 catalog.load()
-# Jobs of many fits run once, in their own tests.
-HEAVY = {"grouped_evaluation", "identity_invariance", "personalisation_evaluation", "chronological_evaluation", "cluster_stability", "latent_discovery"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +18,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in HEAVY])
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     result = compare_query(spark, duck, catalog.QUERIES[name], catalog.SQL.get(name), SMALL)
     assert result.startswith("ok") or (result == "EMPTY" and name in {"complete_case", "capture_status_stream"}), result
