@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,11 +58,26 @@ def manifest_from_paths(paths: DataFrame, column: str = "path") -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Path, byte length and SHA-256 of every file; one file is one row and must stay below 2 GB."""
+    """Path, byte length and SHA-256 of every file, read in pieces of 8 MB by the task that has it: any size, constant memory."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", F.col("length").alias("byte_length"), F.sha2("content", 256).alias("sha256"))
+    files = reader.load(path).select("path", F.col("length").alias("byte_length"))  # the content column is not read
+
+    def digests(batches):
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                local = re.sub("^file:/+", "/", name)
+                fs, at = pafs.FileSystem.from_uri(local) if "://" in local else (pafs.LocalFileSystem(), local)
+                state = hashlib.sha256()
+                with fs.open_input_stream(at, compression=None) as stream:
+                    while piece := stream.read(8 << 20):
+                        state.update(piece)
+                out.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["path", "byte_length", "sha256"])
+
+    return files.mapInArrow(digests, "path string, byte_length long, sha256 string")
 
 
 def verify_digests(declared: DataFrame, actual: DataFrame, key: str = "path") -> DataFrame:
