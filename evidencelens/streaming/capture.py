@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,17 +60,17 @@ def track_state_stream(frames: DataFrame, gate: str = "accepted") -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, was = state.get if state.exists else (-1, "target")
         pdf = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
-        rows = []
-        for frame, ok in zip(pdf["frame_index"].tolist(), pdf[gate].tolist()):
-            if frame <= last:
-                rows.append((key[0], frame, None, "late"))
-                continue
-            now = "target" if ok else "lost"
-            move = ("tracked" if was == "target" else "reacquired") if ok else ("lost" if was == "target" else "remain_lost")
-            rows.append((key[0], frame, now, move))
-            last, was = frame, now
+        frame, ok = pdf["frame_index"].to_numpy(), pdf[gate].to_numpy(bool)
+        fresh = frame > np.maximum(np.concatenate(([last], frame[:-1])), last)
+        seen = ok[fresh]
+        before = np.concatenate(([was == "target"], seen))[: len(seen)]
+        out = pd.DataFrame({"sequence_id": key[0], "frame_index": frame, "state": None, "transition": "late"})
+        out.loc[fresh, "state"] = np.where(seen, "target", "lost")
+        out.loc[fresh, "transition"] = np.where(seen, np.where(before, "tracked", "reacquired"), np.where(before, "lost", "remain_lost"))
+        if len(seen):
+            last, was = int(frame[fresh][-1]), "target" if seen[-1] else "lost"
         state.update((int(last), was))
-        yield pd.DataFrame(rows, columns=["sequence_id", "frame_index", "state", "transition"])
+        yield out
 
     return frames.select("sequence_id", "frame_index", gate).groupBy("sequence_id").applyInPandasWithState(step, out, "last_frame long, state string", "append", GroupStateTimeout.NoTimeout)
 
