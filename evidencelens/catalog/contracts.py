@@ -185,10 +185,11 @@ SAMPLES = {"frame_index": "i % (CASE WHEN event_id % 23 = 0 THEN 1 ELSE 99 END)"
 OBS = {"observation_id": "'o' || CAST(i % (CASE WHEN event_id % 31 = 0 THEN 2 ELSE 99 END) AS STRING)", "sample_pos": "i % (1 + event_id % 3)",
        "frame_index": "CASE WHEN event_id % 37 = 0 THEN 77 ELSE (i % (1 + event_id % 3)) % (CASE WHEN event_id % 23 = 0 THEN 1 ELSE 99 END) END",
        "sequence_id": "CASE WHEN event_id % 41 = 0 AND i = 0 THEN 'other' ELSE 's' || CAST(event_id AS STRING) END",
+       "subject_id": "CASE WHEN event_id % 71 = 0 AND i = 1 THEN user_id + 1 ELSE user_id END",
        "observation_class": "CASE WHEN event_id % 43 = 0 THEN 'joint_angle' ELSE 'surface_landmark' END", "evidence_tier": "CASE (event_id + i) % 13 WHEN 0 THEN 'X1' WHEN 1 THEN 'G2' WHEN 2 THEN 'S1' ELSE 'S2' END",
        "quality": "CASE (event_id * 3 + i) % 4 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' WHEN 2 THEN 'bronze' ELSE 'unknown' END",
        "mean": "CASE WHEN event_id % 47 = 0 AND i = 1 THEN NULL ELSE CAST(0.5 AS DOUBLE) END", "has_uncertainty": "event_id % 53 > 0"}
-PACKAGE_SCALARS = """event_id, CASE WHEN event_id % 59 = 0 THEN event_id + 1 ELSE event_id END AS sidecar_event_id, 's' || CAST(event_id AS STRING) AS sequence_id, CASE WHEN event_id % 61 = 0 THEN 6000 ELSE 0 END AS window_start_ms,
+PACKAGE_SCALARS = """event_id, CASE WHEN event_id % 59 = 0 THEN event_id + 1 ELSE event_id END AS sidecar_event_id, user_id AS subject_id, CASE WHEN event_id % 73 = 0 THEN user_id + 1 ELSE user_id END AS sidecar_subject_id, 's' || CAST(event_id AS STRING) AS sequence_id, CASE WHEN event_id % 61 = 0 THEN 6000 ELSE 0 END AS window_start_ms,
  900 AS window_end_ms"""
 
 
@@ -199,7 +200,7 @@ def _package(d):
 
 
 PACKAGE_SQL = "WITH pk AS (SELECT " + _package("duckdb") + """ FROM events), sm AS (SELECT event_id, window_start_ms, window_end_ms, unnest(samples) AS x, unnest(range(len(samples))) AS pos FROM pk),
-ob AS (SELECT event_id, sequence_id, unnest(observations) AS x FROM pk), lg AS (SELECT *, lag(x.offset_ms) OVER (PARTITION BY event_id ORDER BY pos) AS p FROM sm), """
+ob AS (SELECT event_id, sequence_id, subject_id, unnest(observations) AS x FROM pk), lg AS (SELECT *, lag(x.offset_ms) OVER (PARTITION BY event_id ORDER BY pos) AS p FROM sm), """
 
 
 @query("validate_pose_packages", "V6", PACKAGE_SQL + collect_rules("pk", "event_id", [
@@ -209,6 +210,7 @@ ob AS (SELECT event_id, sequence_id, unnest(observations) AS x FROM pk), lg AS (
     ("'observation_sequence_differs'", "ob WHERE x.sequence_id <> ob.sequence_id"), ("'observation_frame_differs'", "ob JOIN sm ON sm.event_id = ob.event_id AND sm.pos = ob.x.sample_pos WHERE ob.x.frame_index <> sm.x.frame_index"),
     ("'observation_class_not_allowed'", "ob WHERE x.observation_class = 'joint_angle'"), ("'evidence_tier_not_allowed'", "ob WHERE x.evidence_tier = 'X1'"), ("'mean_missing'", "ob WHERE x.mean IS NULL"),
     ("'uncertainty_missing'", "ob WHERE NOT x.has_uncertainty"), ("'sidecar_event_differs'", "pk WHERE event_id <> sidecar_event_id"),
+    ("'observation_subject_differs'", "ob WHERE x.subject_id <> ob.subject_id"), ("'sidecar_subject_differs'", "pk WHERE subject_id <> sidecar_subject_id"),
 ]).replace("SELECT event_id, 'observation_frame_differs'", "SELECT ob.event_id, 'observation_frame_differs'"))
 def validate_pose_packages(spark, sf):
     return text(ct.validate_pose_packages(packages(spark, sf)), "event_id")

@@ -268,12 +268,12 @@ FROM c JOIN ap USING (event_id) JOIN r USING (event_id) JOIN p USING (event_id)
 def history_rows(spark, sf):
     out = history_feature_rows(documents(spark, sf))
     rounded = [c for c in out.columns if c.startswith(("seconds_since", "local_hour")) and not c.endswith("missing")]
-    return out.drop("household_id", "start_us", "source_event_ids", "max_source_us").withColumns({c: r6(c) for c in rounded})
+    return out.drop("household_id", "start_us", "source_event_ids", "max_source_us", "excluded_fields").withColumns({c: r6(c) for c in rounded})
 
 
 def rounded_rows(out):
     rounded = [c for c in out.columns if c.startswith(("seconds_since", "local_hour")) and not c.endswith("missing")]
-    return out.drop("household_id", "start_us", "source_event_ids", "max_source_us").withColumns({c: r6(c) for c in rounded})
+    return out.drop("household_id", "start_us", "source_event_ids", "max_source_us", "excluded_fields").withColumns({c: r6(c) for c in rounded})
 
 
 @query("history_feature_rows_absent", "L16", L16_SQL.replace(SQL_DOCS, SQL_SPARSE_EMPTY))
@@ -313,6 +313,15 @@ def episode_errors_from_files(spark, sf):
     return ct.validate_episodes(read_nested(spark, sf)).select("event_id", F.array_join("errors", ";").alias("errors"))
 
 
+@query("history_exclusions", "V10", """SELECT event_id, concat_ws(';', CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 'excluded_fields_missing' END,
+ CASE WHEN event_id % 5 = 4 THEN 'history_after_prediction_time' END) AS errors FROM events""")
+def history_exclusions(spark, sf):
+    named = ", ".join(f"'{f}'" for f in history.EXCLUDED_FIELDS)
+    rows = views.table(spark, sf, "events").selectExpr("event_id", "event_id AS start_us", "event_id + event_id % 5 - 3 AS max_source_us",
+                                                       f"CASE WHEN event_id % 7 = 0 THEN array('observations') WHEN event_id % 11 > 0 THEN array({named}) END AS excluded_fields")
+    return history.validate_history(rows).select("event_id", F.array_join("errors", ";").alias("errors"))
+
+
 @query("history_features", "L16 J2 J3 E5 E20", EP + f""", a AS ({ACT_SQL}), p AS ({PREV_SQL}), r AS ({ROLL_SQL}),
 ap AS (SELECT e.event_id, {ACT_COLS} FROM v_episodes e JOIN a USING (event_id) GROUP BY e.event_id, e.start_us)
 SELECT ap.*, r.* EXCLUDE (event_id), coalesce(p_loc, '__missing__') AS previous_location,

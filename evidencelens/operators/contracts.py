@@ -198,7 +198,9 @@ def validate_pose_packages(p: DataFrame) -> DataFrame:
         rule("observation_class_not_allowed", some(lambda o: ~o["observation_class"].isin(*ALLOWED_CLASSES))),
         rule("evidence_tier_not_allowed", some(lambda o: ~o["evidence_tier"].isin(*PROSPECTIVE_TIERS))),
         rule("mean_missing", some(lambda o: o["mean"].isNull())), rule("uncertainty_missing", some(lambda o: ~o["has_uncertainty"])),
-        rule("sidecar_event_differs", F.col("event_id") != F.col("sidecar_event_id")))))
+        rule("observation_subject_differs", some(lambda o: o["subject_id"] != F.col("subject_id"))),
+        rule("sidecar_event_differs", F.col("event_id") != F.col("sidecar_event_id")),
+        rule("sidecar_subject_differs", F.col("subject_id") != F.col("sidecar_subject_id")))))
 
 
 def validate_sidecars(s: DataFrame, version: str = "v0", cutoff_ms: int = 5000) -> DataFrame:

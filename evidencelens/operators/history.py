@@ -17,6 +17,9 @@ from evidencelens.functions import ACTION_KEYWORDS, MISSING_LABEL, SENTINEL
 from evidencelens.operators.segments import HOUR_US, running, segment_of
 
 CATEGORIES = tuple(ACTION_KEYWORDS)
+# Fields of the current episode that feature rows leave out, and those that every row must name.
+EXCLUDED_FIELDS = ("observations", "human_actions", "interventions", "outcomes", "hypotheses", "context.routine")
+REQUIRED_EXCLUSIONS = ("human_actions", "interventions", "outcomes", "hypotheses", "context.routine")
 WINDOWS_US = {"1h": HOUR_US, "24h": 24 * HOUR_US}
 
 
@@ -142,10 +145,12 @@ def history_provenance(t: DataFrame, categories: Sequence[str] = CATEGORIES) ->
     acts = [F.col(f"action_{c}") for c in categories]
     ids = F.array_compact(F.array(prev["event_id"], *[a["source"] for a in acts]))
     latest = F.greatest(prev["start_us"], known_us, *[a["us"] for a in acts])
-    return t.withColumns({"source_event_ids": F.array_sort(F.array_distinct(ids)), "max_source_us": latest})
+    return t.withColumns({"source_event_ids": F.array_sort(F.array_distinct(ids)), "max_source_us": latest, "excluded_fields": F.array(*map(F.lit, EXCLUDED_FIELDS))})
 
 
 def validate_history(df: DataFrame) -> DataFrame:
-    """Rows plus ``errors``: no source later than the prediction time."""
+    """Rows plus ``errors``: no source later than the prediction time, and every lifecycle field named as excluded."""
     late = F.when(F.col("max_source_us") > F.col("start_us"), F.lit("history_after_prediction_time"))
-    return df.withColumn("errors", F.array_compact(F.array(late)))
+    named = F.coalesce("excluded_fields", F.array().cast("array<string>"))
+    unnamed = F.when(F.size(F.array_except(F.array(*map(F.lit, REQUIRED_EXCLUSIONS)), named)) > 0, F.lit("excluded_fields_missing"))
+    return df.withColumn("errors", F.array_compact(F.array(unnamed, late)))

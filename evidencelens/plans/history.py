@@ -31,7 +31,7 @@ def history_feature_rows(docs: DataFrame, household: str = "household_id") -> Da
     timeline = history.history_provenance(history.timeline(slim, household=household))
     past = timeline.select(
         "event_id", *history.action_columns(), "episodes_last_1h", "episodes_last_24h",
-        *[c for c in history.previous_columns()][1:], "source_event_ids", "max_source_us",
+        *[c for c in history.previous_columns()][1:], "source_event_ids", "max_source_us", "excluded_fields",
     )
     now = docs.select("event_id", household, "start_us", value.alias("target_terminated"),
                       *[c.alias(k) for k, c in features.items()])
