@@ -28,8 +28,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
+from .text import prepared
+
 #: Words and runs that a worker remembers at most, and the longest remembered.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
 #: Places of the table that tells a second occurrence from a first.
 SEEN = 1 << 21
 #: Signs that end a run of letters and are a word of their own.
@@ -330,15 +332,8 @@ class Known(dict):
             self.once = bytearray(SEEN)
 
 
-_tokenizers: dict[str, Tokenizer] = {}
-
-
 def tokenizer(path: str) -> Tokenizer:
-    """One a worker, kept between tasks."""
-    if path not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[path] = Tokenizer(path)
-    return _tokenizers[path]
+    return prepared(("bpe", path), lambda: Tokenizer(path))
 
 
 def round_trip(docs: DataFrame, doc_id: Column, text: Column, path: str, with_ids: bool = False) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import prepared
+
 UNKNOWN = "und"
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -171,16 +173,8 @@ class Evaluator:
             names[i], scores[i] = self.net.languages[b], float(min(1.0, max(0.0, row[b])))
 
 
-_evaluators: dict[bytes, Evaluator] = {}
-
-
 def evaluator(net: Network) -> Evaluator:
-    """One a worker, kept between tasks."""
-    key = net.dense.tobytes()
-    if key not in _evaluators:
-        _evaluators.clear()
-        _evaluators[key] = Evaluator(net)
-    return _evaluators[key]
+    return prepared(("language", net.dense.tobytes()), lambda: Evaluator(net))
 
 
 def sample_windows(labelled: DataFrame, key: Column, lang: Column, text: Column, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:

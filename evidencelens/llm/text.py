@@ -6,10 +6,11 @@ polynomial modulo 2^64, so the hash of any word is a difference of two prefix su
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_tool: list = [None, None]
+
+
+def prepared(key: object, build: Callable[[], object]) -> object:
+    """What a worker prepares for its tasks (a tokenizer, tables of a network), kept between tasks.
+
+    Only one at a time: another operator's is given up first, so a worker that serves a whole pipeline never holds several.
+    """
+    if _tool[0] != key:
+        _tool[:] = [None, None]
+        gc.collect()
+        _tool[:] = [key, build()]
+    return _tool[1]
+
+
 _shipped: set[str] = set()
 
 

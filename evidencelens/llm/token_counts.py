@@ -17,20 +17,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .text import prepared
 
 RANGE = 1024
-_encoders: dict = {}
 
 
 def encoder(path: str, pattern: str):
-    """One a worker, kept between tasks."""
-    if path not in _encoders:
+    def build():
         import tiktoken
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _encoders[path] = tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        return tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return prepared(("lengths", path, pattern), build)
 
 
 def token_length(path: str, pattern: str):
