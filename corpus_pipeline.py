@@ -22,8 +22,7 @@ MIN_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language, ``lang`` set to it. Learns from the labelled documents that are not held out."""
-    guess = language_id.predictor(language_id.fit(docs))("text")
-    found = docs.withColumn("__guess", guess).filter((F.col("__guess.lang") != language_id.UNKNOWN) & (F.col("__guess.score") >= MIN_SCORE))
+    found = language_id.predicted(docs, "text", language_id.fit(docs), "__guess").filter((F.col("__guess.lang") != language_id.UNKNOWN) & (F.col("__guess.score") >= MIN_SCORE))
     return found.withColumn("lang", F.col("__guess.lang")).drop("__guess")
 
 
@@ -39,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of ``benchmark``."""
     items = table(spark, sf_dir, "benchmark")
-    return decontamination.without_items(docs, F.col("text"), items, F.col("item_id"), F.col("text"))
+    return decontamination.without_items(docs, "text", items, F.col("item_id"), F.col("text"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,11 +49,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language_id import fit, held_out, predictor
+    from .language_id import fit, held_out, predicted
 
     docs = table(spark, sf_dir, "documents")
-    predicted = predictor(fit(docs))("text")
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted.alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    rows = predicted(docs.select("doc_id", "text"), "text", fit(docs), "p")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 @query("op10_near_dedup")

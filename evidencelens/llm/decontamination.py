@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .text import alnum_table, fold, slices, word_hashes
+from .text import alnum_table, appended, fold, slices, word_hashes
 
 SHINGLE, PERCENT, SKETCH = 5, 80, 32
 MISS = 1e-9
@@ -146,12 +146,11 @@ def item_blocks(items: DataFrame, item_id: Column, text: Column, limit: int = BL
         yield ItemBlock.build([(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b).collect()])
 
 
-def finder(docs: DataFrame, block: ItemBlock):
-    """A column function: text to the contained items of ``block``."""
+def found_in(docs: DataFrame, text: str, block: ItemBlock, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` of the items of ``block`` that column ``text`` contains."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     row = pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("n_item", pa.int64())])
 
-    @F.arrow_udf(FOUND)
     def find(text: pa.Array) -> pa.Array:
         block = shared.value
         out = []
@@ -159,7 +158,7 @@ def finder(docs: DataFrame, block: ItemBlock):
             out += [[{"item_id": block.ids[i], "shared": n, "n_item": len(block.shingles[i])} for i, n in found] for found in block.find(texts)]
         return pa.array(out, pa.list_(row))
 
-    return find
+    return appended(docs, text, name, FOUND, find)
 
 
 def contained(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column) -> DataFrame:
@@ -167,7 +166,7 @@ def contained(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, i
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"))
     parts = []
     for block in item_blocks(items, item_id, item_text):
-        found = rows.select("doc_id", F.explode(finder(docs, block)("text")).alias("f")).select("doc_id", "f.*")
+        found = found_in(rows, "text", block, "found").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
         parts.append(found if not parts else materialise(found, "contained"))
     if not parts:
         parts = [rows.select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("item_id", "shared", "n_item"))).filter(F.lit(False))]
@@ -177,10 +176,10 @@ def contained(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, i
     return out.withColumn("containment", F.col("shared") / F.col("n_item"))
 
 
-def without_items(docs: DataFrame, text: Column, items: DataFrame, item_id: Column, item_text: Column) -> DataFrame:
+def without_items(docs: DataFrame, text: str, items: DataFrame, item_id: Column, item_text: Column) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
     for n, block in enumerate(item_blocks(items, item_id, item_text)):
-        docs = docs.filter(F.size(finder(docs, block)(text)) == 0)
+        docs = found_in(docs, text, block, "__found").filter(F.size("__found") == 0).drop("__found")
         if n:
             docs = materialise(docs, "clean")
     return docs

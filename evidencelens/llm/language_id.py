@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import prepared
+from .text import appended, prepared
 
 UNKNOWN = "und"
 WINDOW = 192
@@ -33,7 +33,7 @@ STEPS, BATCH, RATE = 1_200, 64, 0.01
 SPOTS = 2
 #: Windows evaluated at a time, so that their activations stay in the processor's cache.
 BLOCK_WINDOWS = 48
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -192,16 +192,15 @@ def sample_windows(labelled: DataFrame, key: Column, lang: Column, text: Column,
     return [(r["lang"], r["piece"].lower().encode()) for r in found]
 
 
-def predictor(net: Network | None):
-    """A column function: text to struct<lang: string, score: double>."""
+def predicted(docs: DataFrame, text: str, net: Network | None, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` struct<lang: string, score: double>."""
 
-    @F.arrow_udf("struct<lang:string,score:double>")
     def predict(text: pa.Array) -> pa.Array:
         values = text.to_pylist()
         names, scores = evaluator(net).predict(values) if net else ([UNKNOWN] * len(values), [0.0] * len(values))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return predict
+    return appended(docs, text, name, "struct<lang:string,score:double>", predict)
 
 
 def held_out(doc_id: Column) -> Column:

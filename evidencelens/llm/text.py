@@ -15,9 +15,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BLANKS = b" \t\n\x0b\x0c\r"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -115,6 +116,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def appended(docs: DataFrame, text: str, name: str, kind: str, fn: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``docs`` with a further column ``name`` of type ``kind``, which ``fn`` makes from Arrow batches of column ``text``.
+
+    All operators run in the same kind of Python worker this way, and a worker's memory is shared by the stages of a pipeline.
+    """
+    at = docs.columns.index(text)
+    schema = StructType([*docs.schema.fields, StructType.fromDDL(f"`{name}` {kind}")[0]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, fn(batch.column(at))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
 _tool: list = [None, None]
 
 

@@ -100,7 +100,7 @@ def test_decontamination_edges(spark):
     found = decontamination.contained(df, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
     got = {(r.doc_id, r.item_id, r.shared, r.n_item) for r in found.collect()}
     assert got == {(20, 1, 36, 36), (20, 2, 36, 36), (21, 1, 31, 36), (21, 2, 31, 36), (23, 3, 1, 1)}
-    clean = decontamination.without_items(df, F.col("text"), items, F.col("item_id"), F.col("text"))
+    clean = decontamination.without_items(df, "text", items, F.col("item_id"), F.col("text"))
     assert clean.columns == df.columns and clean.count() == len(docs) - 3
     none = decontamination.contained(df, F.col("doc_id"), F.col("text"), items.limit(0), F.col("item_id"), F.col("text"))
     assert none.count() == 0 and none.columns == found.columns
@@ -115,7 +115,7 @@ def test_decontamination_in_several_blocks(spark, monkeypatch):
     assert len(blocks) > 3 and sum(len(b.ids) for b in blocks) == 12
     got = set()
     for b in blocks:
-        found = df.select("doc_id", F.explode(decontamination.finder(df, b)("text")).alias("f")).select("doc_id", "f.item_id")
+        found = decontamination.found_in(df, "text", b, "found").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.item_id")
         got |= {tuple(r) for r in found.collect()}
     assert got == {(i, i) for i in range(12)}
 
@@ -204,7 +204,7 @@ def test_language_edges_and_no_leak(spark):
     rows += [(1000, None, "xx"), (1001, "", "yy"), (1002, "123 !!", "xx"), (1003, "stuv", None), (None, "zzyx tsv", "xx"), (1004, "stuv wxyz " * 20_000, "xx"), (1004, "s", "yy")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
     net = language_id.fit(df)
-    out = df.select("doc_id", "lang", language_id.held_out(F.col("doc_id")).alias("held"), language_id.predictor(net)("text").alias("p")).collect()
+    out = language_id.predicted(df, "text", net, "p").select("doc_id", "lang", language_id.held_out(F.col("doc_id")).alias("held"), "p").collect()
     assert len(out) == len(rows)
     assert np.mean([r.p.lang == r.lang for r in out if r.held and r.doc_id < 1000]) > 0.98
     assert [(r.p.lang, r.p.score) for r in out if r.doc_id in (1000, 1001, 1002)] == [("und", 0.0)] * 3
@@ -214,7 +214,7 @@ def test_language_edges_and_no_leak(spark):
     flipped = df.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
     assert language_id.fit(flipped).languages == net.languages  # held-out labels are not seen
     assert language_id.fit(df.limit(0)) is None
-    assert df.limit(3).select(language_id.predictor(None)("text").alias("p")).first().p.lang == "und"
+    assert language_id.predicted(df.limit(3), "text", None, "p").first().p.lang == "und"
 
 
 def test_language_tables_equal_the_convolution():
