@@ -2,8 +2,9 @@
 
 One pass over the texts finds candidates: the three fixed kinds (``assign``, ``access``, ``hex``) and generic random-looking tokens. Each
 candidate value is hashed; hashes are aggregated over the whole corpus by distinct repositories and distinct owners.
-A value that many owners hold is a widely copied example; a value that stays with few owners and looks random is
-live. The fixed kinds are always reported; a generic token becomes a span (``live``) only by the corpus decision.
+A value that many owners hold is a widely copied example; a value that stays with few owners is live. The fixed kinds are
+always reported and judged by their owners alone; a generic token is a candidate only if it looks random, and becomes a span
+(``live``) only by the corpus decision.
 
 Only hashes and positions are shuffled, never texts. Counts of distinct owners are partial sums over distinct
 (value, owner) pairs, so a value copied into a third of all documents is reduced before it is shuffled.
@@ -34,13 +35,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api")
 
-#: Generic candidates: mixed runs of this length and of at least this entropy in bits a character.
+#: Generic candidates: mixed runs of this length and of at least this entropy in bits a character, corrected for their length.
 GENERIC = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_ENTROPY = 3.5
 #: A value is a copied example from this many distinct owners on.
 EXAMPLE_OWNERS = 4
 
-CANDIDATE = "struct<kind:int,start:int,end:int,hash:long,strong:boolean>"
+CANDIDATE = "struct<kind:int,start:int,end:int,hash:long>"
 
 
 def entropy(value: str) -> float:
@@ -48,9 +49,14 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def corrected_entropy(value: str) -> float:
+    """Entropy of the source of ``value``: that of a short sample is too low by about (distinct - 1) / (2 n ln 2) bits (Miller-Madow)."""
+    return entropy(value) + (len(set(value)) - 1) / (2 * len(value) * math.log(2))
+
+
 def strong(value: str) -> bool:
     """Random-looking: enough entropy, letters and digits mixed, no word run of 12 letters."""
-    return entropy(value) >= MIN_ENTROPY and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not re.search(r"[a-z]{12}|[A-Z]{12}", value)
+    return corrected_entropy(value) >= MIN_ENTROPY and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not re.search(r"[a-z]{12}|[A-Z]{12}", value)
 
 
 def value_hash(value: str) -> int:
@@ -58,16 +64,19 @@ def value_hash(value: str) -> int:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
-    """(kind, start, end, hash of the value, looks random) by start and kind; positions in code points."""
+    """(kind, start, end, hash of the value, may be live) by start and kind; positions in code points.
+
+    The fixed kinds may always be live; generic tokens that do not look random are no candidates.
+    """
     found = []
     low = text.lower()
     if any(w in low for w in WORDS):
         for m in ASSIGN.finditer(text):
             if len(value := m[2]) >= 6:
-                found.append((0, m.start(), m.end(), value_hash(value), strong(value)))
+                found.append((0, m.start(), m.end(), value_hash(value), True))
     if "AKIA" in text:
         found += [(1, m.start(), m.end(), value_hash(m[0]), True) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(2, m.start(), m.end(), value_hash(m[0]), strong(m[0])) for m in HEX.finditer(text)]
+    found += [(2, m.start(), m.end(), value_hash(m[0]), True) for m in HEX.finditer(text)]
     base = [(s, e) for _, s, e, _, _ in found]
     for m in GENERIC.finditer(text):
         if strong(m[0]) and not any(s < m.end() and m.start() < e for s, e in base):
@@ -76,8 +85,8 @@ def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("strong", pa.bool_())]))
-    names = ("kind", "start", "end", "hash", "strong")
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
+    names = ("kind", "start", "end", "hash")
     for batch in batches:
         found = [[dict(zip(names, c)) for c in candidates(t.as_py() or "")] for t in batch.column(3)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, kind)], ["doc_id", "repo", "owner", "found"])
@@ -86,7 +95,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame, doc_id: Column, text: Column, repository: Column, owner: Column, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row per input row: doc_id, spans array<struct<kind,start,end,hash,owners,repositories,verdict>>.
 
-    ``verdict`` is ``example`` (``example_owners`` distinct owners or more), ``live`` (fewer, looks random) or ``weak``.
+    ``verdict`` is ``example`` (``example_owners`` distinct owners or more) or ``live`` (fewer).
     """
     rows = docs.select(doc_id.alias("doc_id"), repository.cast("string").alias("repo"), owner.cast("string").alias("owner"), text.alias("text"))
     scanned = rows.mapInArrow(_scan, f"doc_id long, repo string, owner string, found array<{CANDIDATE}>")
@@ -98,7 +107,7 @@ def scan_secrets(docs: DataFrame, doc_id: Column, text: Column, repository: Colu
         return pairs.groupBy("hash").agg(F.count("*").alias(f"{column}s"))
 
     spread = distinct_count("owner").join(distinct_count("repo"), "hash")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("strong"), "live").otherwise("weak")
+    verdict = F.when(F.col("owners") >= example_owners, "example").otherwise("live")
     kinds = F.array(*map(F.lit, KINDS))
     judged = flat.join(spread, "hash").withColumn("verdict", verdict).filter("kind < 3 OR verdict = 'live'")
     span = F.struct("start", F.col("kind").alias("order"), "end", F.get(kinds, F.col("kind")).alias("kind"), "hash", "owners", F.col("repos").alias("repositories"), "verdict")

@@ -260,6 +260,24 @@ def test_secret_spans_and_ownership(spark):
     assert secret_scans.scan_secrets(df.limit(0), F.col("doc_id"), F.col("text"), F.col("doc_id"), F.col("source")).count() == 0
 
 
+def test_secret_ownership_is_not_overruled_by_entropy(spark):
+    own = [(0, "token=abcdef"), (1, "password: a1b2c3d4e5f"), (2, f'secret = "{"0123456789ab" * 2 + "a" * 16}"'), (3, "x " + "ab12" * 8 + " y")]
+    docs = own + [(10 + i, "api_key=widely1") for i in range(secret_scans.EXAMPLE_OWNERS)]
+    df = frame(spark, docs).withColumn("source", F.col("doc_id").cast("string"))
+    rows = {r.doc_id: r for r in secret_scans.digest_rows(secret_scans.scan_secrets(df, F.col("doc_id"), F.col("text"), F.col("doc_id"), F.col("source"))).collect()}
+    assert all(rows[i].n_live >= 1 and rows[i].n_example == 0 for i, _ in own) and all(rows[i].n_live == 0 and rows[i].n_example == 1 for i, _ in docs[4:])
+    texts = {r.doc_id: r.text for r in secret_scans.redact(df, "text", F.col("doc_id"), F.col("source")).collect()}
+    assert [texts[i] for i in range(4)] == ["[secret]", "[secret]", '[secret]"', "x [secret] y"] and texts[10] == docs[4][1]
+
+
+def test_generic_entropy_is_corrected_for_length():
+    rng = np.random.default_rng(5)
+    tokens = ["".join(rng.choice(list("0123456789ABCDEF"), n)) for n in (24, 32, 40) for _ in range(200)]
+    mixed = [t for t in tokens if not re.search("[A-Z]{12}", t)]
+    assert sum(secret_scans.entropy(t) < secret_scans.MIN_ENTROPY for t in mixed) > 100 and sum(not secret_scans.strong(t) for t in mixed) < 40
+    assert not secret_scans.strong("abab1212" * 4)
+
+
 def base_spans(t):
     """Plain reading of the contract: every leftmost match, then the short ones dropped."""
     out = []
