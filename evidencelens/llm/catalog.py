@@ -169,3 +169,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licence_scans import scan_licences
 
     return scan_licences(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@query("op4_license_runs")
+def op4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in the midst of other text, too: runs of words besides the units."""
+    from .licence_scans import scan_licence_runs
+
+    return scan_licence_runs(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))

@@ -194,6 +194,48 @@ def test_size_bounds_lose_no_licence():
             assert {f["license"] for f in tool.scan([unit.replace(b"\n", b" ")])[0]} == want
 
 
+def test_licences_amid_other_text(spark):
+    from evidencelens.llm.licence_templates import APACHE_2_HEADER, BSD_2, GPL_3_HEADER, MIT, TEMPLATES, ZLIB
+
+    comment = lambda t: "\n".join(" * " + line for line in t.split("\n"))
+    bodies = {"MIT": MIT, "BSD-2-Clause": BSD_2, "BSD-3-Clause": dict(TEMPLATES)["BSD-3-Clause"], "Zlib": ZLIB, "Apache-2.0 header": APACHE_2_HEADER, "GPL-3.0 header": GPL_3_HEADER}
+    docs = [(i, f"/*\n{comment(b)}\n */\n" + text(i, 900)) for i, b in enumerate(bodies.values())] + [(50 + i, text(i, 700) + "\n\n## Licence\n\n" + b + "\n\n" + text(i, 90)) for i, b in enumerate(bodies.values())]
+    docs += [(90, f"{text(5, 30)} Licensed under the MIT License. Copyright (c) 2020 somebody {text(6, 40)}"), (91, text(5, 900)), *EDGE]
+    found = licence_scans.scan_licence_runs(frame(spark, docs), F.col("doc_id"), F.col("text")).collect()
+    got = {(r.doc_id, r.license): (r.dice, r.unit, r.position) for r in found}
+    for i, name in enumerate(bodies):
+        assert got[i, name] == (1.0, "run", 0) and got[50 + i, name] == (1.0, "run", 701)
+    assert got[90, "MIT notice"] == (1.0, "run", 30) and not any(d not in {*range(6), *range(50, 56), 90} for d, _ in got)
+    assert licence_scans.scan_licence_runs(frame(spark, docs).limit(0), F.col("doc_id"), F.col("text")).count() == 0
+
+
+def test_licence_runs_match_brute_force():
+    rng = np.random.default_rng(4)
+    templates = [t for t in licence_scans.TEMPLATES if "notice" in t[0] or t[0].startswith("MPL")]
+    tool = licence_scans.Templates(templates, 80)
+    words = sorted({w for _, t in templates for w in t.lower().split()}) + ["the", "under", "license", "licensed"] * 4
+    texts = []
+    for _ in range(60):
+        parts = [" ".join(rng.choice(words, rng.integers(1, 25))) for _ in range(3)]
+        for _ in range(2):
+            body = templates[rng.integers(len(templates))][1].lower().split()
+            parts.insert(rng.integers(4), " ".join(w if rng.random() > 0.06 else "or" for w in body))
+        texts.append(rng.choice(["\n", " "]).join(parts).encode())
+    seen = Counter()
+    for t, found in zip(texts, tool.scan(texts, runs=True)):
+        w, want = decontamination.words_of(t), {}
+        for (name, _), pairs in zip(templates, tool.pairs):
+            most = 120 * len(pairs) // 80
+            runs = [w[i : i + n] for i in range(len(w)) for n in range(2, min(most + 1, len(w) - i) + 1)] + [decontamination.words_of(t[s:e]) for _, _, s, e in licence_scans.units(t)]
+            sets = [decontamination.shingles_of(r, 2) for r in runs]
+            best = max((2 * len(s & pairs) / (len(s) + len(pairs)) for s in sets if 200 * len(s & pairs) >= 80 * (len(s) + len(pairs))), default=0)
+            if best:
+                want[name] = max(want.get(name, 0), best)
+        assert {f["license"]: f["dice"] for f in found} == want
+        seen.update(f["unit"] for f in found)
+    assert seen["run"] > 30 and seen["line"] > 5
+
+
 # --- language ID --------------------------------------------------------------------------------------------------------------------
 
 
