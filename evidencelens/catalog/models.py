@@ -80,7 +80,7 @@ def identity_invariance(spark, sf):
 
 @query("personalisation_evaluation", "L8 E8 E11 A1 A18 A19")
 def personalisation(spark, sf):
-    return md.personalisation_evaluation(gappy(spark, sf), "group_id", "session", "context", "path", FEATURES, 3, budgets=[1, 4], repeats=3, seed=11)
+    return md.personalisation_evaluation(gappy(spark, sf), "group_id", "session", "context", "path", FEATURES, 3, budgets=[1, 2, 4, 8, 16], repeats=20, seed=11)
 
 
 @query("chronological_evaluation", "L14 L4 L6 E16")

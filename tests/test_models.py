@@ -61,3 +61,13 @@ def test_discovery_reports_what_it_cannot_do(spark):
     got = {(r["k"], r["metric"], r["detail"]): r["value"] for r in report.collect()}
     assert got[12, "ineligible", "too_few_rows"] is None and (2, "ineligible", "no_feature_without:one") in got
     assert got[2, "stability", ""] == 1.0 and labels.count() == 12
+
+
+def test_personalisation_is_registered_with_all_budgets_and_repeats(monkeypatch):
+    from evidencelens.catalog import models
+
+    seen = {}
+    monkeypatch.setattr(models, "gappy", lambda spark, sf: None)
+    monkeypatch.setattr(models.md, "personalisation_evaluation", lambda *a, **b: seen.update(b))
+    models.personalisation(None, None)
+    assert seen["budgets"] == [1, 2, 4, 8, 16] and seen["repeats"] == 20
