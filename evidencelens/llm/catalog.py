@@ -177,3 +177,10 @@ def op4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licence_scans import scan_licence_runs
 
     return scan_licence_runs(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@query("op11_suffix_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
