@@ -184,3 +184,32 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import without_repeats
 
     return without_repeats(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+WITH e AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.uid <> b.uid),
+p AS (SELECT anchor, anchor_id, uid AS positive, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, uid) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor, positive ORDER BY score DESC, vec_id, uid) QUALIFY row_number() OVER w <= 5
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is changed, so that anchors have near rows of another label."""
+    from .hard_negatives import mine
+
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors, F.col("vec_id"), label, F.col("embedding"), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damage, repair
+
+    columns = [F.col(c) for c in ("conv_id", "turn", "role", "text")]
+    return repair(damage(table(spark, sf_dir, "conversations"), *columns), *columns, present=F.col("present"))
