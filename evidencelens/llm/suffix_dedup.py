@@ -333,8 +333,9 @@ def without_repeats(docs: DataFrame, doc_id: Column, text: Column, length: int =
     cut = texts.join(ranges.join(copies.filter("copies = 1"), ["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "text", "ranges")
     cut = cut.mapInArrow(_without(length), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
     whole = (F.col("copies") > 1) & (F.col("n") >= length)
+    verdicts = materialise(copies.join(cut, ["k1", "k2"], "left"), "verdicts")  # so that the last join reads two tables and can split a text of many rows
     return (
-        scanned.select("doc_id", "k1", "k2", "n", "sha").join(copies.join(cut, ["k1", "k2"], "left"), ["k1", "k2"])
+        scanned.select("doc_id", "k1", "k2", "n", "sha").join(verdicts, ["k1", "k2"])
         .select(
             "doc_id",
             F.col("n").alias("n_bytes"),
