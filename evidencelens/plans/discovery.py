@@ -1,27 +1,24 @@
-"""k-means structure: stability, silhouette, agreement with metadata, latent discovery."""
+"""k-means structure: stability, silhouette, agreement with metadata, latent discovery.
+
+All fits of a job (every k, subset, left-out family and restart) advance together in :mod:`evidencelens.plans.kmeans`; the rows are read once a
+step, whatever the number of fits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelens.functions import finite_double
 from evidencelens.operators import clusters as cl
-from evidencelens.operators.segments import hash_ranked
-from evidencelens.plans.models import median_impute, standardise
-from evidencelens.session import cut_lineage
-
+from evidencelens.plans import kmeans as km
+from evidencelens.session import cut_lineage, materialise
 
-def _prepared(rows: DataFrame, row_id: str, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Imputed and standardised features with their vector; predictor columns and the row id only."""
-    x = rows.select(row_id, *features)
-    x = standardise(full := median_impute(x, x, features), full, features)
-    return x.withColumn("vec", array_to_vector(F.array(*features)))
+#: A k that cannot be fitted is reported, not left out.
+INELIGIBLE = "ineligible"
 
 
 def _usable(rows: DataFrame, features: Sequence[str]) -> list[str]:
@@ -30,134 +27,94 @@ def _usable(rows: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if seen[f]]
 
 
-def _ineligible(like: DataFrame, k: int, reason: str) -> DataFrame:
-    return like.sparkSession.range(1).select(F.lit(k).alias("k"), F.lit("ineligible").alias("metric"), F.lit(reason).alias("detail"), F.lit(None).cast("double").alias("value"))
-
-
-def _fit(x: DataFrame, k: int, seed: int, restarts: int, max_iter: int):
-    """Best of several seeded k-means runs by training cost."""
-    models = [KMeans(k=k, seed=seed + 7919 * i, featuresCol="vec", maxIter=max_iter).fit(x) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
-def _subset(x: DataFrame, row_id: str, seed: int, fraction: float, k: int, n: int) -> DataFrame:
-    """Exactly max(k+1, floor(fraction*n)) rows, the first by hash."""
-    size = min(n, max(k + 1, int(fraction * n)))
-    order = hash_ranked(x.select(row_id).withColumn("__k", F.lit(0)), ["__k"], F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string")), 256), [row_id], "rank")
-    return x.join(order.where(F.col("rank") <= size).select(row_id), row_id)
+def _subsets(k: int, features: Sequence[str], repeats: int, seed: int, restarts: int, size: int) -> list[km.Sample]:
+    return [km.Sample(("subset", k, r), k, seed + 1000 * k + r, range(len(features)), restarts, size) for r in range(repeats)]
 
 
-def _centres(model, k: int) -> dict[int, int]:
-    """Raw cluster id to its canonical position by lexicographic centre; k short vectors."""
-    order = sorted(range(k), key=lambda i: tuple(float(v) for v in model.clusterCenters()[i]))
-    return {raw: position + 1 for position, raw in enumerate(order)}
+def _shapes(labels: DataFrame) -> list[DataFrame]:
+    shape = cl.cluster_shape(labels, ["k"], "cluster")
+    return [km.tidy(shape, c, F.col(c)) for c in ("smallest_fraction", "largest_fraction", "normalized_entropy")]
 
 
-def _label(model, x: DataFrame, name: str, mapping: dict[int, int] | None = None) -> DataFrame:
-    out = model.transform(x).drop("vec")
-    if mapping:
-        table = F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
-        out = out.withColumn(name, table[F.col("prediction")])
-    else:
-        out = out.withColumn(name, F.col("prediction"))
-    return out.drop("prediction")
+def _sizes(labels: DataFrame, k_values: Sequence[int]) -> DataFrame:
+    """Rows of every cluster, empty ones too."""
+    every = labels.sparkSession.createDataFrame([(k, c) for k in k_values for c in range(1, k + 1)], "k int, cluster long")
+    counts = labels.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return km.tidy(every.join(counts, ["k", "cluster"], "left"), "size", F.coalesce("n", F.lit(0)), F.col("cluster").cast("string"))
 
 
-def _refitted(raw: DataFrame, row_id: str, features: Sequence[str], k: int, n: int, fraction: float, seed: int, restarts: int, max_iter: int, name: str) -> DataFrame:
-    """Labels of all rows from imputer, scaler and k-means that saw the subset only."""
-    part = cut_lineage(_subset(raw, row_id, seed, fraction, k, n))
-    known = _usable(part, features)
-    vec = array_to_vector(F.array(*known))
-    filled = median_impute(part, part, known)
-    model = _fit(standardise(filled, filled, known).withColumn("vec", vec).persist(), k, seed, restarts, max_iter)
-    every = standardise(filled, median_impute(part, raw, known), known).withColumn("vec", vec)
-    return model.transform(every).select(row_id, F.col("prediction").alias(name))
+def _ami(labels: DataFrame, rows: DataFrame, row_id: str, metadata: Sequence[str]) -> DataFrame:
+    j = labels.select(row_id, "k", "cluster").join(rows.select(row_id, *metadata), row_id)
+    long = j.select("k", "cluster", F.explode(F.array(*[F.struct(F.lit(c).alias("detail"), F.col(c).cast("string").alias("b")) for c in metadata])).alias("r")).select("k", "cluster", "r.*")
+    return km.tidy(cl.contingency_ami(long, ["k", "detail"], "cluster", "b"), "ami", F.col("ami"), F.col("detail"))
 
 
-def _stability(x: DataFrame, row_id: str, k: int, n: int, repeats: int, fraction: float, seed: int, restarts: int, max_iter: int, raw: DataFrame | None = None, features: Sequence[str] = ()) -> DataFrame:
-    """Mean pairwise ARI of models fitted on hash subsets and applied to all rows.
+def cluster_stability(rows: DataFrame, row_id: str, features: Sequence[str], metadata: Sequence[str], k_values: Sequence[int] = tuple(range(2, 9)), *, repeats: int = 20, fraction: float = 0.8,
+                      seed: int = 20260821, restarts: int = 50, subset_restarts: int = 20, max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(report, labels). Report rows per k: silhouette (squared distance), stability, AMI with each metadata column, sizes and the frozen parameters.
 
-    With ``raw`` rows the imputer and the scaler are fitted on each subset too; otherwise ``x`` is used as prepared.
+    Imputation and scaling are those of all rows; subsets only move the centres. Labels: row id, k, cluster.
     """
-    labelled, names = x, []
-    for r in range(repeats):
-        s = seed + 1000 * k + r
-        if raw is not None:
-            names.append(f"rep{r}")
-            labelled = labelled.join(_refitted(raw, row_id, features, k, n, fraction, s, restarts, max_iter, names[-1]), row_id)
-            continue
-        part = _subset(x, row_id, s, fraction, k, n).persist()
-        model = _fit(part, k, s, restarts, max_iter)
-        part.unpersist()
-        names.append(f"rep{r}")
-        labelled = model.transform(labelled).withColumnRenamed("prediction", names[-1])
-    return cl.mean_pairwise_ari(labelled.select(row_id, *names), row_id, names)
-
-
-def cluster_stability(rows: DataFrame, row_id: str, features: Sequence[str], metadata: Sequence[str], k_values: Sequence[int], *, repeats: int = 20, fraction: float = 0.8,
-                      seed: int = 20260821, restarts: int = 20, max_iter: int = 20) -> DataFrame:
-    """Per k: silhouette (squared distance), stability, AMI with each metadata column, sizes; tidy rows."""
     features = _usable(rows, features)
-    x = cut_lineage(_prepared(rows, row_id, features))
+    x = cut_lineage(km.packed(rows, row_id, features))
     n = x.count()
-    parts = []
-    for k in k_values:
-        if n <= k:
-            parts.append(_ineligible(x, k, "too_few_rows"))
-            continue
-        model = _fit(x, k, seed + k, restarts, max_iter)
-        lab = _label(model, x, "cluster")
-        parts.append(cl.silhouette_squared(lab, "cluster", features).select(F.lit(k).alias("k"), F.lit("silhouette").alias("metric"), F.lit("").alias("detail"), F.col("silhouette").alias("value")))
-        parts.append(_stability(x, row_id, k, n, repeats, fraction, seed, restarts, max_iter).select(F.lit(k).alias("k"), F.lit("stability").alias("metric"), F.lit("").alias("detail"), F.col("stability").alias("value")))
-        j = lab.select(row_id, "cluster").join(rows.select(row_id, *metadata), row_id)
-        long = j.select("cluster", F.explode(F.array(*[F.struct(F.lit(c).alias("detail"), F.col(c).cast("string").alias("b")) for c in metadata])).alias("r")).select("cluster", "r.*")
-        parts.append(cl.contingency_ami(long, ["detail"], "cluster", "b").select(F.lit(k).alias("k"), F.lit("ami").alias("metric"), "detail", F.col("ami").alias("value")))
-        parts.append(lab.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(k).alias("k"), F.lit("size").alias("metric"), F.col("cluster").cast("string").alias("detail"), "value"))
-    return reduce(DataFrame.unionByName, parts)
+    fits = [k for k in k_values if n > k]
+    size = {k: min(n - 1, max(k + 1, round(fraction * n))) for k in fits}
+    whole = [km.Sample(("all", k), k, seed + k, range(len(features)), restarts) for k in fits]
+    parts = {k: _subsets(k, features, repeats, seed, subset_restarts, size[k]) for k in fits}
+    report = [(k, INELIGIBLE, "too_few_rows", None) for k in k_values if k not in fits]
+    if not fits:
+        return km.table(report, x), x.select(row_id, F.lit(0).alias("k"), F.lit(0).cast("long").alias("cluster")).limit(0)
+    km.fit(x, [*whole, *(s for p in parts.values() for s in p)], max_iter, alike=whole[0])
+    silhouette, stability = km.silhouettes(x, whole), km.mean_pairwise_ari(x, parts)
+    for s in whole:
+        report += [(s.k, "silhouette", "", silhouette[s.name]), (s.k, "stability", "", stability[s.k])]
+    report += km.parameters(whole, features)
+    labels = materialise(km.labels(x, whole, row_id).drop("sample"), "labels")
+    return reduce(DataFrame.unionByName, [km.table(report, x), _ami(labels, rows, row_id, metadata), _sizes(labels, fits)]), labels
 
 
 def latent_discovery(fit_features: DataFrame, row_id: str, families: dict[str, str], k_values: Sequence[int] = tuple(range(2, 9)), *, repeats: int = 20, fraction: float = 0.8,
-                     seed: int = 20260821, restarts: int = 20, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+                     seed: int = 20260821, restarts: int = 20, max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
     """(metric rows per k, canonical cluster id per row and k) from predictor columns alone.
 
     The input holds the row id and the manifest's features; audit columns live in another DataFrame and
-    cannot be reached from here.
+    cannot be reached from here. Every subset and every left-out family has an imputer and a scaler of its own.
     """
     features = list(families)
     extra = set(fit_features.columns) - {row_id, *features}
     if extra:
         raise ValueError(f"columns outside the feature manifest: {sorted(extra)}")
     features = _usable(fit_features, features)
-    raw = cut_lineage(fit_features.select(row_id, *features))
-    x = cut_lineage(_prepared(raw, row_id, features))
+    x = cut_lineage(km.packed(fit_features, row_id, features))
     n = x.count()
-    parts, labels = [], []
-    for k in k_values:
-        if n <= k:
-            parts.append(_ineligible(x, k, "too_few_rows"))
-            continue
-        fit = lambda cols, s: _fit(x.withColumn("vec", array_to_vector(F.array(*cols))), k, s, restarts, max_iter)  # noqa: B023,E731
-        model = fit(features, seed + k)
-        lab = _label(model, x, "cluster", _centres(model, k))
-        labels.append(lab.select(row_id, F.lit(k).alias("k"), F.format_string(f"Z{k:02d}-c%d", "cluster").alias("cluster_id")))
-        put = lambda df, metric, col, detail=None: df.select(F.lit(k).alias("k"), F.lit(metric).alias("metric"), F.lit(detail or "").alias("detail"), F.col(col).cast("double").alias("value"))  # noqa: B023,E731
-        whole = cl.silhouette_squared(lab, "cluster", features)
-        parts.append(put(whole, "silhouette", "silhouette"))
-        parts.append(put(_stability(x.select(row_id), row_id, k, n, repeats, fraction, seed, restarts, max_iter, raw, features), "stability", "stability"))
-        shape = cl.cluster_shape(lab, [], "cluster")
-        parts += [put(shape, c, c) for c in ("smallest_fraction", "largest_fraction", "normalized_entropy")]
-        for family in sorted(set(families.values())):
-            left = [f for f in features if families[f] != family]
-            if not left:
-                parts.append(_ineligible(x, k, f"no_feature_without:{family}"))
+    fits = [k for k in k_values if n > k]
+    report = [(k, INELIGIBLE, "too_few_rows", None) for k in k_values if k not in fits]
+    names = sorted(set(families.values()))
+    without = {f: [i for i, c in enumerate(features) if families[c] != f] for f in names}
+    empty = x.select(row_id, F.lit(0).alias("k"), F.lit("").alias("cluster_id")).limit(0)
+    if not fits:
+        return km.table(report, x), empty
+    whole = [km.Sample(("all", k), k, seed + k, range(len(features)), restarts) for k in fits]
+    parts = {k: _subsets(k, features, repeats, seed, restarts, min(n, max(k + 1, int(fraction * n)))) for k in fits}
+    left = [km.Sample(("without", k, f), k, seed + 10_000 + k, without[f], restarts) for k in fits for f in names if without[f]]
+    km.fit(x, [*whole, *left, *(s for p in parts.values() for s in p)], max_iter)
+    silhouette, stability = km.silhouettes(x, [*whole, *left]), km.mean_pairwise_ari(x, parts)
+    for s in whole:
+        full = silhouette[s.name]
+        report += [(s.k, "silhouette", "", full), (s.k, "stability", "", stability[s.k])]
+        for f in names:
+            if not without[f]:
+                report.append((s.k, INELIGIBLE, f"no_feature_without:{f}", None))
                 continue
-            reduced = fit(left, seed + 10_000 + k)
-            lab2 = _label(reduced, x.withColumn("vec", array_to_vector(F.array(*left))), "cluster")
-            without = cl.silhouette_squared(lab2, "cluster", left)
-            parts.append(put(without, "silhouette_without_family", "silhouette", family))
-            both = without.crossJoin(F.broadcast(whole.withColumnRenamed("silhouette", "full")))  # one row each
-            parts.append(put(both.withColumn("delta", F.col("silhouette") - F.col("full")), "delta_vs_full", "delta", family))
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, labels)
+            other = silhouette["without", s.k, f]
+            report.append((s.k, "silhouette_without_family", f, other))
+            report.append((s.k, "delta_vs_full", f, None if other is None or full is None else other - full))
+            report.append((s.k, "remaining_features", f, float(len(without[f]))))
+    report += km.parameters(whole, features)
+    labels = materialise(km.labels(x, whole, row_id).drop("sample"), "labels")
+    shown = labels.select(row_id, "k", F.format_string("Z%02d-c%d", "k", "cluster").alias("cluster_id"))
+    return reduce(DataFrame.unionByName, [km.table(report, x), *_shapes(labels), _sizes(labels, fits)]), shown
 
 
 def confound_report(labels: DataFrame, audit: DataFrame, row_id: str, attributes: Sequence[str]) -> DataFrame:
