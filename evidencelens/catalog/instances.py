@@ -24,6 +24,11 @@ def overlapping_instances(spark, sf):
     return ins.overlapping_instances(views.boxes(spark, sf)).withColumn("iou", r6("iou"))
 
 
+@query("overlap_frames", "J6", BOX + ", " + PAIR + " SELECT DISTINCT sequence_id, frame_index FROM pr WHERE iou > 0")
+def overlap_frames(spark, sf):
+    return ins.overlap_frames(views.boxes(spark, sf))
+
+
 GAPS = """vis AS (SELECT sequence_id, instance_id, frame_index, lead(frame_index) OVER (PARTITION BY sequence_id, instance_id ORDER BY frame_index) - frame_index - 1 AS gap
   FROM v_boxes WHERE visible)"""
 STATS = BOX + ", " + PAIR + ", " + GAPS + """,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelens.functions import angle_deg, bbox_iou_xywh, dist2
-from evidencelens.operators.segments import adjacent_summary, gap_summary, ranked, running, segment_of
+from evidencelens.operators.segments import adjacent_summary, gap_summary, global_rank, ranked, running, segment_of
 
 FRAME = ("sequence_id", "frame_index")
 SEQ = ("sequence_id",)
@@ -42,14 +45,41 @@ def overlapping_instances(boxes: DataFrame, keys: Sequence[str] = FRAME, cell: f
     return j.select(*keys, F.col("a_instance_id").alias("a"), F.col("b_instance_id").alias("b"), iou.alias("iou"))
 
 
-def overlap_frames(boxes: DataFrame, keys: Sequence[str] = FRAME, cell: float = 64.0) -> DataFrame:
-    """Frames holding any overlapping pair: a semi join, so a crowded frame never lists its pairs."""
-    cells = _cells(_usable(boxes).select(*keys, "instance_id", "bx", "by", "bw", "bh"), cell)
-    a, b = cells.alias("a"), cells.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "__cx", "__cy")]
-    box = lambda s: [F.col(f"{s}.{c}") for c in ("bx", "by", "bw", "bh")]
-    cond = same + [F.col("a.instance_id") < F.col("b.instance_id"), bbox_iou_xywh(*box("a"), *box("b")) > 0]
-    return a.join(b, cond, "left_semi").select(*keys).distinct()
+def overlap_frames(boxes: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Frames holding any overlapping pair, one row each.
+
+    A sweep along x: as long as nothing overlaps, the boxes under the line are disjoint intervals in y, so a new one can only meet its two
+    neighbours there. The sweep of a frame ends at its first overlap; no pair is listed. An instance has one box a frame.
+    """
+    rows = _usable(boxes).select(*keys, *[F.col(c).cast("double").alias(c) for c in ("bx", "by", "bw", "bh")])
+    width = len(keys)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, found, ends, starts, stops = None, False, [], [], []  # ends: (right edge, lower edge); starts, stops: the intervals in y
+        schema = None
+        for batch in batches:
+            schema, hits = batch.schema, []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key, (x, y, w, h) = row[:width], row[width:]
+                if key != frame:
+                    frame, found, ends, starts, stops = key, False, [], [], []
+                if found:
+                    continue
+                while ends and ends[0][0] <= x:
+                    at = bisect.bisect_left(starts, heapq.heappop(ends)[1])
+                    del starts[at], stops[at]
+                at = bisect.bisect_right(starts, y)
+                if (at and stops[at - 1] > y) or (at < len(starts) and starts[at] < y + h):
+                    found = True
+                    hits.append(key)
+                    continue
+                starts.insert(at, y)
+                stops.insert(at, y + h)
+                heapq.heappush(ends, (x + w, y))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in hits], schema.field(i).type) for i in range(width)], schema.names[:width])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "bx").mapInArrow(sweep, kinds)
 
 
 def interval_mask_runs(masks: DataFrame, keys: Sequence[str], counts: str = "counts") -> tuple[DataFrame, DataFrame]:
@@ -119,7 +149,7 @@ def mask_iou(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: int = 256) -
                         F.when(x + y - i == 0, F.lit(1.0)).otherwise(i / (x + y - i)).alias("iou"))
 
 
-def instance_sequence_stats(boxes: DataFrame, keys: Sequence[str] = SEQ, cell: float = 64.0) -> DataFrame:
+def instance_sequence_stats(boxes: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
     """Per sequence: instances, visible and co-visible frames, overlap frames, longest gap, stratum hints."""
     fk = [*keys, "frame_index"]
     vis = boxes.where("visible")
@@ -127,7 +157,7 @@ def instance_sequence_stats(boxes: DataFrame, keys: Sequence[str] = SEQ, cell: f
         F.sum("n_rows").alias("visible_track_frames"), F.coalesce(F.max("max_gap"), F.lit(0)).alias("max_internal_gap"),
         F.coalesce(F.sum("short_gaps"), F.lit(0)).alias("s"), F.coalesce(F.sum("long_gaps"), F.lit(0)).alias("l"))
     co = vis.groupBy(*fk).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy(*keys).agg(F.count(F.lit(1)).alias("co_visible_frames"))
-    over = overlap_frames(boxes, fk, cell).groupBy(*keys).agg(F.count(F.lit(1)).alias("overlap_frames"))
+    over = overlap_frames(boxes, fk).groupBy(*keys).agg(F.count(F.lit(1)).alias("overlap_frames"))
     count = boxes.groupBy(*keys).agg(F.count_distinct("instance_id").alias("instances"))
     j = count.join(per_track, list(keys), "left").join(co, list(keys), "left").join(over, list(keys), "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
@@ -141,15 +171,11 @@ def instance_sequence_stats(boxes: DataFrame, keys: Sequence[str] = SEQ, cell: f
 
 
 def rank_sequences(stats: DataFrame, key: str = "sequence_id", min_instances: int = 2) -> DataFrame:
-    """Sequences by (instances, co-visible, gap, overlap, visible) descending, then id; global rank.
-
-    Ranked inside buckets of the leading criteria, offsets carried over, so no single-task sort.
-    """
+    """Sequences by (instances, co-visible, gap, overlap, visible) descending, then id; global rank by ranges of that order."""
     s = stats.where(F.col("instances") >= min_instances)
     neg = lambda c: (-F.col(c)).cast("long")
-    bucket = F.struct(*[neg(c).alias(c) for c in ("instances", "co_visible_frames", "max_internal_gap", "overlap_frames")])
     order = [neg("instances"), neg("co_visible_frames"), neg("max_internal_gap"), neg("overlap_frames"), neg("visible_track_frames"), F.col(key)]
-    return ranked(s.withColumn("__all", F.lit(0)), ["__all"], bucket, order, "selection_rank").drop("__all")
+    return global_rank(s, order, "selection_rank", start=1)
 
 
 def stable_instance_ids(ann: DataFrame, keys: Sequence[str] = SEQ, limit: int = 255) -> DataFrame:

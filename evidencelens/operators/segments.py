@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidencelens.session import materialise
+
 HOUR_US = 3_600_000_000
 FRAME_BLOCK = 4096
 
@@ -190,3 +192,31 @@ def gap_summary(present: DataFrame, keys: Sequence[str], frame: str, block: int
         pair_maxes={"max_gap": gap},
         block=block,
     )
+
+
+def global_rank(df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
+    """``row_number`` over the whole table, from ``start``, without a window over one key.
+
+    Rows are dealt and sorted by ranges of ``order`` and written with their place in their range; the counts of the ranges, one short row a task,
+    give each range its offset. ``order`` must be total where the numbering of ties matters.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    keys = {f"__o{i}": o for i, o in enumerate(order)}
+    dealt = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = dealt.withColumns({"__task": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = materialise(placed.drop(*keys), "ranked")
+    counts = placed.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))  # one row a task
+    offsets = counts.select("__task", F.coalesce(before, F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(offsets), "__task").withColumn(name, F.col("__before") + F.col("__place") + F.lit(start)).drop("__task", "__place", "__before")
+
+
+def meet_all(rows: DataFrame, few: DataFrame, lanes: int | None = None) -> DataFrame:
+    """Every row of ``rows`` with every row of ``few``, for work that is rows x few by definition (folds, parameter tables).
+
+    An equi-join on a lane: ``rows`` are dealt over the lanes by a hash, ``few`` is repeated once a lane; nothing is collected or broadcast
+    by force, and ``few`` may have any length.
+    """
+    lanes = lanes or max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    lane = F.pmod(F.xxhash64(*rows.columns), F.lit(lanes)).cast("int")
+    return rows.withColumn("__lane", lane).join(few.withColumn("__lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), "__lane").drop("__lane")
