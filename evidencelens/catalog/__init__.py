@@ -28,7 +28,7 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 MODULES = (
-    "history", "keypoints", "scores", "folds", "contracts", "cohorts", "instances", "clusters", "files", "models",
+    "history", "keypoints", "scores", "folds", "contracts", "records", "cohorts", "instances", "clusters", "files", "models",
     "streams",
 )
 

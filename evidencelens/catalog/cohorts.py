@@ -58,12 +58,17 @@ def id_set_digest(spark, sf):
     return co.id_set_digest(table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey").distinct(), ["l_suppkey"], "l_orderkey")
 
 
-@query("package_counts", "A22", PACKAGE_SQL + """o2 AS (SELECT event_id % 10 AS k, x.observation_class AS c, x.evidence_tier AS t, x.quality AS q FROM ob)
-SELECT k, 'all' AS kind, '' AS value, count(*) AS n FROM o2 GROUP BY 1 UNION ALL SELECT k, 'observation_class', c, count(*) FROM o2 GROUP BY 1, 3 UNION ALL SELECT k, 'evidence_tier', t, count(*) FROM o2 GROUP BY 1, 3
+@query("id_set_digest_whole", "A21", """SELECT count(DISTINCT l_orderkey) AS n_ids, sha256(string_agg(DISTINCT l_orderkey::VARCHAR, chr(10) ORDER BY l_orderkey::VARCHAR)) AS digest FROM lineitem""")
+def id_set_digest_whole(spark, sf):
+    return co.id_set_digest(table(spark, sf, "lineitem").select("l_orderkey").distinct(), [], "l_orderkey")
+
+
+@query("package_counts", "A22", PACKAGE_SQL + """o2 AS (SELECT event_id % 10 AS k, event_id, x.sample_pos AS p, x.observation_class AS c, x.evidence_tier AS t, x.quality AS q FROM ob)
+SELECT k, 'samples' AS kind, '' AS value, count(DISTINCT (event_id, p)) AS n FROM o2 GROUP BY 1 UNION ALL SELECT k, 'all' AS kind, '' AS value, count(*) AS n FROM o2 GROUP BY 1 UNION ALL SELECT k, 'observation_class', c, count(*) FROM o2 GROUP BY 1, 3 UNION ALL SELECT k, 'evidence_tier', t, count(*) FROM o2 GROUP BY 1, 3
 UNION ALL SELECT k, 'quality', q, count(*) FROM o2 GROUP BY 1, 3""")
 def package_counts(spark, sf):
-    obs = packages(spark, sf).select((F.col("event_id") % 10).alias("k"), F.explode("observations").alias("o")).select("k", "o.observation_class", "o.evidence_tier", "o.quality")
-    return co.package_counts(obs, ["k"])
+    obs = packages(spark, sf).select("event_id", (F.col("event_id") % 10).alias("k"), F.explode("observations").alias("o")).select("k", "event_id", "o.sample_pos", "o.observation_class", "o.evidence_tier", "o.quality")
+    return co.package_counts(obs, ["k"], ["event_id", "sample_pos"])
 
 
 # ---- locks ---------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from evidencelens import views
 from evidencelens.catalog import query
-from evidencelens.functions import image_diagonal, r6
+from evidencelens.functions import centroid_of, image_diagonal, r6
 from evidencelens.operators import keypoints as kp
 from evidencelens.plans.scorecards import sequence_scorecard, validate_sequences
 from evidencelens.sources.pose_tables import detections_to_keypoints, wide_pose3d_to_long, wide_pose_to_long
@@ -408,3 +408,12 @@ def scorecard(spark, sf):
 @query("sequence_scorecard_full", "A34")
 def scorecard_full(spark, sf):
     return sequence_scorecard(views.keypoints(spark, sf), frames(spark, sf), diagonal=DIAG, edges=EDGES, depth_pairs=DEPTH, required=REQUIRED)
+
+
+@query("reference_centroids", "F14", KP + """, p AS (SELECT sequence_id, frame_index, list({'x_px': x_px, 'y_px': y_px}) FILTER (WHERE score >= 0.7) AS points FROM v_keypoints GROUP BY 1, 2)
+SELECT sequence_id, frame_index, round(list_avg(list_transform(points, lambda q: q.x_px)), 6) AS x, round(list_avg(list_transform(points, lambda q: q.y_px)), 6) AS y, CASE WHEN points IS NULL THEN 'reference_points_required' END AS error FROM p""")
+def reference_centroids(spark, sf):
+    """The centre of each frame's confident landmarks; a frame without any says why it has none."""
+    near = F.collect_list(F.when(F.col("score") >= 0.7, F.struct("x_px", "y_px")))  # four landmarks a frame
+    p = views.keypoints(spark, sf).groupBy("sequence_id", "frame_index").agg(near.alias("points"))
+    return p.select("sequence_id", "frame_index", centroid_of("points").alias("c")).select("sequence_id", "frame_index", r6("c.x").alias("x"), r6("c.y").alias("y"), "c.error")

@@ -181,6 +181,15 @@ def centroid(x: Column | str, y: Column | str) -> tuple[Column, Column]:
     return F.avg(col(x)), F.avg(col(y))
 
 
+def centroid_of(points: Column | str, x: str = "x_px", y: str = "y_px") -> Column:
+    """struct<x, y, error> of an array of points; without any, or with a coordinate that is not finite, there is only the error."""
+    points = col(points)
+    mean = lambda name: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[name].cast("double")) / F.size(points)
+    bad = F.exists(points, lambda p: finite_double(p[x]).isNull() | finite_double(p[y]).isNull())
+    error = F.when(points.isNull() | (F.size(points) == 0), F.lit("reference_points_required")).when(bad, F.lit("reference_point_not_finite"))
+    return F.struct(F.when(error.isNull(), mean(x)).alias("x"), F.when(error.isNull(), mean(y)).alias("y"), error.alias("error"))
+
+
 def lgamma(x: Column) -> Column:
     """ln Gamma for x >= 1: shift to x >= 8, then the Stirling series."""
     shift = F.greatest(F.lit(0.0), F.ceil(F.lit(8.0) - x).cast("double"))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelens.functions import lgamma
 from evidencelens.operators.quantiles import exact_quantiles
-from evidencelens.session import cut_lineage
+from evidencelens.session import cut_lineage, materialise
 from evidencelens.operators.segments import HOUR_US, adjacent_summary, running, segment_of
 
 
@@ -47,16 +48,39 @@ def contingency_ari(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataF
     return ari_from_cells(contingency(df, keys, a, b), keys)
 
 
+#: Terms of the hypergeometric sum that one unit of work holds.
+TERMS = 4096
+
+
+def _expected_parts(width: int):
+    """Of every unit (keys, size a, size b, N, weight, first and last count): its part of the expected mutual information."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lg = math.lgamma
+        for batch in batches:
+            out = []
+            for a, b, total, weight, first, last in zip(*(batch.column(width + i).to_pylist() for i in range(6))):
+                n = np.arange(first, last + 1, dtype=float)
+                start = lg(a + 1) + lg(b + 1) + lg(total - a + 1) + lg(total - b + 1) - lg(total + 1) - lg(first + 1) - lg(a - first + 1) - lg(b - first + 1) - lg(total - a - b + first + 1)
+                ratio = np.log((a - n[:-1]) * (b - n[:-1])) - np.log((n[:-1] + 1) * (total - a - b + n[:-1] + 1))
+                logp = start + np.concatenate(([0.0], np.cumsum(ratio)))
+                out.append(float(weight * np.sum(n / total * np.log(total * n / (float(a) * b)) * np.exp(logp))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(out, pa.float64())], [*batch.schema.names[:width], "emi"])
+
+    return run
+
+
 def contingency_ami(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Adjusted mutual information (arithmetic mean): NULL below two pairs, 0 for one distinct ``b``.
 
-    Everything after the contingency counts works on distinct marginal sizes. The hypergeometric sum runs over all feasible
+    Everything after the contingency counts works on distinct marginal sizes. The hypergeometric sum is dealt in ranges of TERMS counts, so one key's
+    terms fill many tasks; only the first of a range needs log-gammas, each further one follows from its neighbour. It runs over all feasible
     counts that Bernstein's inequality does not rule out: a count lies further than t from the mean mu with a probability of at most
     2 exp(-t^2 / (2 (v + t / 3))), with v = mu (1 - max(a, b) / N) the binomial variance, which bounds the hypergeometric one (Hoeffding). With
     L = ln(2e20), t = L / 3 + sqrt(L^2 / 9 + 2 L v) leaves out less than 1e-20, and each term is at most ln N times its probability.
     """
     k = list(keys)
-    cells = contingency(df, k, a, b)
+    cells = materialise(contingency(df, k, a, b), "cells")  # six branches read the counts
     rows, cols, total = _marginals(cells, k)
     xlogx = lambda n: n * F.ln(n.cast("double"))
     m = cells.groupBy(*k).agg(F.sum(xlogx(F.col("n"))).alias("lij"))
@@ -71,12 +95,10 @@ def contingency_ami(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataF
     spread = left_out / 3 + F.sqrt(left_out * left_out / 9 + 2 * left_out * mu * (1.0 - F.greatest(A, B) / N))
     lo = F.greatest(F.lit(1.0), A + B - N, F.floor(mu - spread).cast("double"))
     hi = F.least(A, B, F.ceil(mu + spread).cast("double"))
-    terms = p.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long")}).where("lo <= hi").withColumn("n", F.explode(F.sequence("lo", "hi")))
-    n = F.col("n").cast("double")
-    one = F.lit(1.0)
-    logp = (lgamma(A + one) + lgamma(B + one) + lgamma(N - A + one) + lgamma(N - B + one) - lgamma(N + one) - lgamma(n + one)
-            - lgamma(A - n + one) - lgamma(B - n + one) - lgamma(N - A - B + n + one))
-    emi = terms.groupBy(*k).agg(F.sum(F.col("ca") * F.col("cb") * n / N * F.ln(N * n / (A * B)) * F.exp(logp)).alias("emi"))
+    ranges = p.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long")}).where("lo <= hi").withColumn("__from", F.explode(F.sequence("lo", "hi", F.lit(TERMS).cast("long"))))
+    units = ranges.select(*k, F.col("ai").cast("long").alias("__a"), F.col("bj").cast("long").alias("__b"), F.col("total").cast("long").alias("__t"), (F.col("ca") * F.col("cb")).cast("double").alias("__w"),
+                          "__from", F.least(F.col("__from") + F.lit(TERMS - 1), F.col("hi")).alias("__to"))
+    emi = units.repartition(*units.columns).mapInArrow(_expected_parts(len(k)), units.select(*k).schema.add("emi", "double")).groupBy(*k).agg(F.sum("emi").alias("emi"))
     j = total.join(m, k).join(ha, k).join(hb, k).join(emi, k, "left")
     ln_n = F.ln(F.col("total").cast("double"))
     mi = F.col("lij") / F.col("total") + ln_n - F.col("la") / F.col("total") - F.col("lb") / F.col("total")

@@ -83,15 +83,19 @@ def id_set_digest(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
 
     columns = "".join(f"`{k}` {t}, " for k, t in kept)
     cut = ids.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, f"{columns}__task long, __part long, __n long, __text string")
-    dealt = cut.repartition(*keys) if keys else cut.coalesce(1)
+    dealt = cut.repartition(*keys) if keys else cut.repartition(1)  # an exchange of its own: the blocks above keep their ranges
     return dealt.sortWithinPartitions(*keys, "__task", "__part").mapInArrow(digests, f"{columns}n_ids long, digest string")
 
 
-def package_counts(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Observation counts in total and by class, tier and quality as tidy rows."""
+def package_counts(obs: DataFrame, keys: Sequence[str], sample: Sequence[str] = ()) -> DataFrame:
+    """Observation counts in total and by class, tier and quality as tidy rows, and the number of distinct samples where ``sample`` names them."""
     kinds = F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")), *[
         F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("observation_class", "evidence_tier", "quality")])
-    return obs.select(*keys, F.explode(kinds).alias("__k")).select(*keys, "__k.*").groupBy(*keys, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = obs.select(*keys, F.explode(kinds).alias("__k")).select(*keys, "__k.*").groupBy(*keys, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    if not sample:
+        return counts
+    samples = obs.select(*keys, *sample).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(samples.select(*keys, F.lit("samples").alias("kind"), F.lit("").alias("value"), "n"))
 
 
 # ---- cohort --------------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ MODALITIES = (
 )
 EPISODE_ARRAYS = ("observations", "hypotheses", "human_actions", "interventions", "outcomes", "missing_modalities")
 NON_EMPTY_ARRAYS = ("observations", "hypotheses")
-NON_EMPTY_IDS = ("event_id", "episode_id")
+NON_EMPTY_IDS = ("event_id", "episode_id", "subject_id", "household_id")
 ALLOWED_CLASSES = ("surface_landmark", "surface_curve", "derived_temporal")
 PROSPECTIVE_TIERS = ("G2", "G3", "S1", "S2")
 FORBIDDEN_FIT_TOKENS = (
@@ -79,9 +79,9 @@ def with_episode_errors(docs: DataFrame, name: str = "errors") -> DataFrame:
         "__t0": iso_micros("start_time"), "__t1": iso_micros("end_time"), "__hyp": listed(F.transform("hypotheses", lambda h: h["hypothesis_id"])),
         "__acts": listed(F.transform("human_actions", lambda a: a["action_id"]))})
     staged = staged.withColumn("__structure", rules(
-        rule("event_id_missing", F.col("event_id").isNull()), *[rule(f"missing:{c}", F.col(c).isNull()) for c in EPISODE_ARRAYS], *[rule(f"empty:{c}", F.size(c) == 0) for c in NON_EMPTY_ARRAYS],
+        rule("event_id_missing", F.col("event_id").isNull()), *[rule(f"missing:{c}", F.col(c).isNull()) for c in (*NON_EMPTY_IDS[1:], *EPISODE_ARRAYS)], *[rule(f"empty:{c}", F.size(c) == 0) for c in NON_EMPTY_ARRAYS],
         *[rule(f"empty:{c}", F.col(c).cast("string") == "") for c in NON_EMPTY_IDS], rule("offset_negative", F.exists("observations", lambda o: o["start_offset_ms"] < 0)), rule("modality_unknown", F.exists("observations", lambda o: ~o["modality"].isin(*MODALITIES))),
-        rule("schema_version", F.col("schema_version") != "0.1.0"), rule("time_malformed", F.col("__t0").isNull() | F.col("__t1").isNull())))
+        rule("probability_out_of_range", F.exists("hypotheses", lambda h: ~F.isnan(h["probability"]) & ((h["probability"] < 0) | (h["probability"] > 1)))), rule("schema_version", ~F.col("schema_version").eqNullSafe(F.lit("0.1.0"))), rule("time_malformed", F.col("__t0").isNull() | F.col("__t1").isNull())))
     unique = lambda ids: F.size(F.array_distinct(ids)) < F.size(ids)
     deeper = merge(
         rules(rule("time_end_before_start", F.col("__t1") < F.col("__t0")), rule("offsets_reversed", end < 0), rule("hypothesis_ids_not_unique", unique(hyp)),

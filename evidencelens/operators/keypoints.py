@@ -292,9 +292,9 @@ def candidate_layer_summary(candidates: DataFrame, frames: DataFrame, keys: Sequ
 
 def select_keyframe(kp: DataFrame, ends: tuple[str, str], diagonal: float, keys: Sequence[str] = SEQ,
                     min_score: float = MIN_SCORE, separation: float = 0.03) -> DataFrame:
-    """Frame with both ends confident and apart, by (weaker score, separation); earliest wins ties."""
+    """Frame with both ends confident and apart, by (weaker score, separation); earliest wins ties. Values that are not finite are absent."""
     a, b = ends
-    pick = lambda n, c: F.max(F.when(F.col("name") == n, F.col(c)))
+    pick = lambda n, c: F.max(F.when(F.col("name") == n, finite_double(c)))
     f = kp.where(F.col("name").isin(a, b)).groupBy(*keys, "frame_index").agg(
         pick(a, "score").alias("sa"), pick(b, "score").alias("sb"), *[pick(n, c).alias(f"{c}_{t}") for n, t in ((a, "a"), (b, "b")) for c in ("x_px", "y_px")])
     f = f.withColumns({"weakest": F.least("sa", "sb"), "separation": dist2("x_px_a", "y_px_a", "x_px_b", "y_px_b") / F.lit(float(diagonal))})
@@ -308,8 +308,9 @@ def select_negatives(kp: DataFrame, keyframe: DataFrame, names: Sequence[str], d
     """Listed landmarks of the key frame, confident and away from both ends; fewer than two is an error."""
     kf = keyframe.select(*keys, "frame_index", "x_px_a", "y_px_a", "x_px_b", "y_px_b")
     near = F.lit(separation * diagonal)
-    j = kp.where(F.col("name").isin(*names) & (F.col("score") >= min_score)).join(kf, [*keys, "frame_index"])
-    j = j.where((dist2("x_px", "y_px", "x_px_a", "y_px_a") >= near) & (dist2("x_px", "y_px", "x_px_b", "y_px_b") >= near))
+    j = kp.where(F.col("name").isin(*names) & (finite_double("score") >= min_score)).join(kf, [*keys, "frame_index"])
+    away = lambda end: finite_double(dist2("x_px", "y_px", f"x_px_{end}", f"y_px_{end}")) >= near
+    j = j.where(away("a") & away("b"))
     n = j.groupBy(*keys).agg(F.count_distinct("name").alias("n_negatives"), F.array_sort(F.collect_set("name")).alias("negatives"))
     return keyframe.select(*keys).join(n, list(keys), "left").select(
         *keys, F.coalesce("n_negatives", F.lit(0)).cast("long").alias("n_negatives"), "negatives",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +13,18 @@ LOCK_SUFFIX = "lock.json"
 
 EPISODE_DDL = """
  schema_version string, event_id string, episode_id string, subject_id string, household_id string, session_id string,
- time struct<start_time: string, end_time: string, start_offset_ms: bigint, end_offset_ms: bigint, clock_source: string, clock_uncertainty_ms: double>,
- observations array<struct<observation_ref: string, modality: string, schema_ref: string, record_ids: array<string>, start_offset_ms: bigint, end_offset_ms: bigint, features: map<string, string>>>,
- hypotheses array<struct<hypothesis_id: string, label: string, kind: string, probability: double>>,
- human_actions array<struct<action_id: string, action_type: string, offset_ms: bigint, actor_id: string, target_id: string>>,
- interventions array<struct<intervention_id: string, action_ref: string, candidate_hypotheses: array<string>, predictions: array<struct<hypothesis_ref: string, observables: array<string>>>>>,
- outcomes array<struct<outcome_id: string, outcome_type: string, start_offset_ms: bigint, end_offset_ms: bigint, signalling_terminated: boolean, supports_hypotheses: array<string>, contradicts_hypotheses: array<string>>>,
- context struct<location: string, objects: array<struct<object_id: string, object_type: string, state: map<string, string>>>, social: array<struct<entity_id: string, entity_type: string, distance_m: double>>,
+ time struct<start_time: string, end_time: string, start_offset_ms: bigint, end_offset_ms: bigint, clock_source: string, uncertainty_ms: double>,
+ observations array<struct<observation_ref: string, modality: string, schema_ref: string, record_ids: array<string>, source_uri: string, start_offset_ms: bigint, end_offset_ms: bigint, features: map<string, string>, uncertainty: map<string, string>>>,
+ hypotheses array<struct<hypothesis_id: string, kind: string, label: string, state_ref: string, probability: double, source: string, calibration_model: string, evidence_refs: array<string>>>,
+ human_actions array<struct<action_id: string, action_type: string, offset_ms: bigint, actor_id: string, target_id: string, parameters: map<string, string>>>,
+ interventions array<struct<intervention_id: string, action_ref: string, candidate_hypotheses: array<string>, predictions: array<struct<hypothesis_ref: string, expected_response: string, response_window_ms: bigint>>, selection_policy: string, safety_class: string>>,
+ outcomes array<struct<outcome_id: string, outcome_type: string, start_offset_ms: bigint, end_offset_ms: bigint, observation_source: string, description: string, signalling_terminated: boolean, supports_hypotheses: array<string>, contradicts_hypotheses: array<string>>>,
+ context struct<location: string, objects: array<struct<object_id: string, object_type: string, state: map<string, string>, relation_to_subject: string>>, social: array<struct<entity_id: string, entity_type: string, relationship: string, distance_m: double, orientation: string>>,
    environment: map<string, string>, routine: map<string, string>>,
  missing_modalities array<string>,
- provenance struct<source_ids: array<string>, lineage: array<string>, annotation_source: string, software_versions: map<string, string>>,
- privacy struct<contains_human_audio: boolean, contains_human_image: boolean>,
+ provenance struct<source_ids: array<string>, lineage: array<string>, annotation_source: string, annotator_ids: array<string>, software_versions: map<string, string>>,
+ uncertainty struct<episode_confidence: double, notes: string>,
+ privacy struct<data_class: string, consent_status: string, consent_record_id: string, retention_policy: string, contains_human_audio: boolean, contains_human_image: boolean>,
  notes string"""
 
 
@@ -34,8 +37,8 @@ def read_episodes(spark: SparkSession, path: str, schema: str = EPISODE_DDL, mul
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
-def flatten_episodes(docs: DataFrame) -> DataFrame:
-    """Rows of ``read_episodes`` in the flat shape that validators and feature operators take; one row each.
+def flatten_episodes(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``read_episodes`` in the flat shape that validators and feature operators take; one row each, with the ``keep`` columns.
 
     Absent arrays stay NULL, so the contract can name them. A door's state is its ``open`` entry; the snapshot's own time and
     location are taken from an observation's features.
@@ -44,7 +47,7 @@ def flatten_episodes(docs: DataFrame) -> DataFrame:
     stamp = lambda o: iso_micros(F.try_element_at(o["features"], F.lit("captured_at")))
     named = lambda x, *names: [x[n].alias(n) for n in names]
     return docs.select(
-        "schema_version", "event_id", "episode_id", "subject_id", "household_id", "session_id", "missing_modalities",
+        *keep, "schema_version", "event_id", "episode_id", "subject_id", "household_id", "session_id", "missing_modalities",
         F.col("time.start_time").alias("start_time"), F.col("time.end_time").alias("end_time"), F.col("time.end_offset_ms").alias("end_offset_ms"),
         iso_micros(F.col("time.start_time")).alias("start_us"), F.col("context.location").alias("location"),
         F.transform("observations", lambda o: F.struct(*named(o, "observation_ref", "modality", "schema_ref", "start_offset_ms", "end_offset_ms"), stamp(o).alias("captured_us"),

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from evidencelens.functions import angle_deg, bbox_iou_xywh, iso_micros, keyword_category, lgamma, local_hour, norm_token
 from evidencelens.operators import clusters, cohorts, context, contracts, history, instances, keypoints, metrics
-from evidencelens.plans.logistic import Fit, fit_all, group_moments, predict, prepare
+from evidencelens.plans.logistic import Model, fit_all, loaded, predict
 from evidencelens.streaming import capture
+from tests.conftest import SMALL
 
 
 def one(spark, *cols):
@@ -210,12 +212,9 @@ def test_grouped_logistic_matches_single_fits(spark):
     x, g = rng.normal(size=(120, 2)), rng.integers(0, 4, 120)
     y = (x[:, 0] + 0.3 * rng.normal(size=120) > 0.3).astype(int) + (x[:, 1] > 0.8).astype(int)
     rows = spark.createDataFrame([(int(a), int(b), [float(v) for v in r]) for a, b, r in zip(g, y, x)], "g long, y int, x array<double>").repartition(5)
-    fits = [Fit("m", i, [0, 1]) for i in range(4)]
-    moments = group_moments(rows, 2, 3)
-    prepare(fits, moments, True)
-    fit_all(rows, fits, moments, leave_out=True)
-    for f in fits:
-        want = newton_reference(x[g != f.group], y[g != f.group], 3)
+    fits = fit_all(rows, [Model("m", [0, 1])], 3, leave_out=True)
+    for f in (loaded(r["state"]) for r in fits.collect()):
+        want = newton_reference(x[g != int(f.group)], y[g != int(f.group)], 3)
         assert np.abs(f.beta - f.beta.mean(axis=0) - (want - want.mean(axis=0))).max() < 1e-5
     p = predict(rows, fits, ["g", "y"], 3).toPandas()
     assert len(p) == 120 and np.allclose(p[["p0", "p1", "p2"]].sum(axis=1), 1.0)
@@ -227,20 +226,15 @@ def test_centred_fit_equals_explicit_residuals(spark):
     x = rng.normal(size=(100, 2)) + g[:, None]
     y = (x[:, 0] - g + 0.5 * rng.normal(size=100) > 0).astype(int)
     rows = spark.createDataFrame([(int(a), int(b), [float(v) for v in r]) for a, b, r in zip(g, y, x)], "g long, y int, x array<double>")
-    fits = [Fit("shrunk", 0, [0, 1], 4.0)]
-    moments = group_moments(rows, 2, 2)
-    prepare(fits, moments, True)
-    fit_all(rows, fits, moments, leave_out=True)
+    fits = fit_all(rows, [Model("shrunk", [0, 1], tau=4.0)], 2, leave_out=True)
     keep = g != 0
     xt, gt = x[keep], g[keep]
     a = 25 / 29
     res = xt - np.vstack([a * xt[gt == i].mean(axis=0) + (1 - a) * xt.mean(axis=0) for i in gt])
     plain = spark.createDataFrame([(1, int(b), [float(v) for v in r]) for b, r in zip(y[keep], res)], "g long, y int, x array<double>")
-    want = [Fit("m", 1, [0, 1])]
-    moments = group_moments(plain, 2, 2)
-    prepare(want, moments, False)
-    fit_all(plain, want, moments, leave_out=False)
-    assert np.abs(fits[0].beta - want[0].beta).max() < 1e-6
+    want = fit_all(plain, [Model("m", [0, 1])], 2, leave_out=False)
+    beta = lambda table, group: loaded(table.where(F.col("gs") == group).first()["state"]).beta
+    assert np.abs(beta(fits, "0") - beta(want, "1")).max() < 1e-6
 
 
 def test_bundle_extremes(spark):
@@ -279,6 +273,71 @@ def test_discovery_of_documents(spark, tmp_path):
     assert read_episodes(spark, str(tmp_path / "list.json")).count() == 2
 
 
+def test_keyless_digest_over_many_ranges_and_blocks(spark, monkeypatch):
+    """Ids of several ranges, each of several blocks, come out in one order (89 characters an id, blocks of 1 MB)."""
+    import hashlib
+
+    ids = [f"{i:09d}" + "x" * 80 for i in range(60_000)]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").repartition(7)
+    want = hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts, coalesce in (("4", "true"), ("4", "false"), ("20", "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = cohorts.id_set_digest(df, [], "id").first()
+        assert (got["n_ids"], got["digest"]) == (60_000, want)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_values_that_are_not_finite_select_no_frame(spark):
+    nan = float("nan")
+    rows = [(1, f, n, s, x, 0.0) for f in range(3) for n, s, x in (("a", nan if f == 0 else 0.9, 0.0), ("b", 0.9, nan if f == 1 else 100.0), ("c", nan, 50.0), ("d", 0.9, 50.0), ("e", 0.9, nan))]
+    kp = spark.createDataFrame(rows, "sequence_id long, frame_index long, name string, score double, x_px double, y_px double")
+    frame = keypoints.select_keyframe(kp, ("a", "b"), 100.0)
+    assert [r["frame_index"] for r in frame.collect()] == [2]
+    assert keypoints.select_negatives(kp, frame, ["c", "d", "e"], 100.0).first()["negatives"] == ["d"]
+
+
+def test_sweep_finds_every_overlap(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for frame in range(60):
+        for i in range(int(rng.integers(1, 8))):
+            x, y, w, h = (int(v) for v in rng.integers(0, 40, 4))
+            rows.append((1, frame, i, float(x), float(y), float(w % 12), float(h % 12), bool(rng.random() < 0.9)))
+    df = spark.createDataFrame(rows, "sequence_id long, frame_index long, instance_id long, bx double, by double, bw double, bh double, visible boolean")
+    pairs = {r["frame_index"] for r in instances.overlapping_instances(df).collect()}
+    got = [r["frame_index"] for r in instances.overlap_frames(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs and 5 < len(pairs) < 60
+
+
+def test_flat_documents_with_null_constants_are_errors(spark):
+    from evidencelens.docs_view import documents
+    docs = documents(spark, SMALL)
+    changed = {"schema_version": None, "subject_id": None, "household_id": None, "episode_id": ""}
+    docs = docs.withColumns({c: F.lit(v).cast(docs.schema[c].dataType) for c, v in changed.items()})
+    docs = docs.withColumn("hypotheses", F.transform("hypotheses", lambda h: h.withField("probability", F.lit(7.5))))
+    rows = contracts.validate_episodes(docs).select("errors").collect()
+    assert len(rows) == 1000 and all({"schema_version", "missing:subject_id", "missing:household_id", "empty:episode_id", "probability_out_of_range"} <= set(r["errors"]) for r in rows)
+
+
+def test_every_schema_rule_fails_somewhere(spark):
+    from evidencelens.catalog import records
+
+    seen = {}
+    for fields, spec, check in ((records.episode_fields("spark"), records.EPISODE, records.rc.validate_documents), (records.plan_fields("spark"), records.PLAN, records.rc.validate_plan_documents)):
+        docs = records.typed(records.records(spark, SMALL, fields), spec)
+        seen[id(spec)] = {re.sub("[.][0-9]+", ".#", e) for r in check(docs, ["row_id"]).select("errors").collect() for e in r["errors"]}
+        singles, lists = records.sql_checks(spec, "", "", 0)
+        named = {c.split("THEN '")[1].split("'")[0] for c in singles}
+        assert named <= seen[id(spec)], sorted(named - seen[id(spec)])
+    inner = {e for e in seen[id(records.EPISODE)] if ".#" in e}
+    for code in ("hypotheses.#.probability:maximum", "hypotheses.#.label:not", "hypotheses.#.state_ref:required", "observations.#.record_ids:minItems", "observations.#.record_ids.#:minLength", "interventions.#.predictions.#.hypothesis_ref:required",
+                 "interventions.#.candidate_hypotheses:uniqueItems", "interventions.#.safety_class:const", "context.social.#.entity_type:enum", "context.social.#.distance_m:minimum", "missing_modalities.#:enum"):
+        assert code in inner
+
+
 def test_csv_contract(spark, tmp_path):
     from evidencelens.sources.tables import read_table_csv
 
