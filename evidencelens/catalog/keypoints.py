@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from evidencelens import views
-from evidencelens.catalog import query
+from evidencelens.catalog import SQL, query
 from evidencelens.functions import centroid_of, image_diagonal, r6
 from evidencelens.operators import keypoints as kp
 from evidencelens.plans.scorecards import sequence_scorecard, validate_sequences
@@ -405,9 +405,26 @@ def scorecard(spark, sf):
     return shown.withColumn("value", r6("value"))
 
 
-@query("sequence_scorecard_full", "A34")
+def _rows(name, detail, *metrics):
+    """Registered SQL as tidy rows; ``metrics`` are columns or (column, shown name)."""
+    pairs = [m if isinstance(m, tuple) else (m, m) for m in metrics]
+    items = ", ".join(f"{{'metric': '{shown}', 'value': {column}::DOUBLE}}" for column, shown in pairs)
+    return f"SELECT sequence_id, {detail} AS detail, unnest([{items}], recursive := true) FROM ({SQL.get(name, name)})"
+
+
+LATENCY = "WITH " + FRAMES_SQL + " SELECT sequence_id, round(avg(inference_ms), 6) AS mean_ms, round(quantile_disc(inference_ms, 0.95), 6) AS p95_ms, round(1000.0 / avg(inference_ms), 6) AS fps FROM v_frames GROUP BY 1"
+FULL_CARD = " UNION ALL ".join([
+    _rows("keypoint_coverage", "name", "coverage"), _rows("dropout_runs", "name", "dropout_runs", "bounded_recoveries", "max_dropout_frames", "mean_bounded_frames"),
+    _rows("overall_coverage", "''", "n_names", ("coverage", "overall_coverage")), _rows("motion_curvature", "''", "mean_curvature", "spike_rate", "samples"),
+    _rows("bone_length_stability", "a || '--' || b", "samples", "mean_length", "cv"), _rows("sign_flips", "a || '--' || b", ("samples", "flip_samples"), "flips"),
+    _rows("topology_coverage", "required_group", ("coverage", "group_coverage")), _rows(LATENCY, "''", "mean_ms", "p95_ms", "fps")])
+
+
+@query("sequence_scorecard_full", "A34", FULL_CARD)
 def scorecard_full(spark, sf):
-    return sequence_scorecard(views.keypoints(spark, sf), frames(spark, sf), diagonal=DIAG, edges=EDGES, depth_pairs=DEPTH, required=REQUIRED)
+    """All metric names."""
+    card = sequence_scorecard(views.keypoints(spark, sf), frames(spark, sf), diagonal=DIAG, edges=EDGES, depth_pairs=DEPTH, required=REQUIRED)
+    return card.withColumn("value", r6("value"))
 
 
 @query("reference_centroids", "F14", KP + """, p AS (SELECT sequence_id, frame_index, list({'x_px': x_px, 'y_px': y_px}) FILTER (WHERE score >= 0.7) AS points FROM v_keypoints GROUP BY 1, 2)

@@ -64,22 +64,26 @@ def coverage(kept: DataFrame, frames: DataFrame, keys: Sequence[str] = SEQ) -> D
 
 def overall_coverage(kept: DataFrame, frames: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
     """Present / (distinct observed names x frames); a never-seen landmark does not lower it."""
-    per = coverage(kept, frames, keys)
+    return pooled_coverage(coverage(kept, frames, keys), keys)
+
+
+def pooled_coverage(per: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
+    """``overall_coverage`` from the coverage of each name."""
     return per.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_names"),
         (F.sum("present") / (F.count(F.lit(1)) * F.max("n_frames"))).alias("coverage"),
     )
 
 
-def dropout_runs(kept: DataFrame, frames: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
-    """Absent runs per keypoint: all, bounded on both sides, longest, mean bounded length."""
+def name_facts(kept: DataFrame, counts: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
+    """Everything about a keypoint's presence in one pass over its frames: present, coverage and absent runs. ``counts``: see ``frame_counts``."""
     gaps = gap_summary(kept.select(*keys, "name", "frame_index"), [*keys, "name"], "frame_index")
-    j = gaps.join(frame_counts(frames, keys), list(keys))
+    j = gaps.join(counts, list(keys))
     lead = F.col("first_frame_index") - F.col("lo")
     trail = F.col("hi") - F.col("last_frame_index")
     bounded = F.coalesce("bounded_gaps", F.lit(0))
     return j.select(
-        *keys, "name",
+        *keys, "name", F.col("n_rows").alias("present"), (F.col("n_rows") / F.col("n_frames")).alias("coverage"), "n_frames",
         (bounded + (lead > 0).cast("long") + (trail > 0).cast("long")).cast("long").alias("dropout_runs"),
         bounded.cast("long").alias("bounded_recoveries"),
         F.greatest(F.coalesce("max_gap", F.lit(0)), lead, trail).cast("long").alias("max_dropout_frames"),
@@ -87,6 +91,11 @@ def dropout_runs(kept: DataFrame, frames: DataFrame, keys: Sequence[str] = SEQ)
     )
 
 
+def dropout_runs(kept: DataFrame, frames: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
+    """Absent runs per keypoint: all, bounded on both sides, longest, mean bounded length."""
+    return name_facts(kept, frame_counts(frames, keys), keys).drop("present", "coverage", "n_frames")
+
+
 def motion_curvature(kept: DataFrame, diagonal: Column | float, keys: Sequence[str] = SEQ, spike: float = SPIKE) -> DataFrame:
     """Normalised second difference over three consecutive frames: mean, spike rate, samples."""
     d = F.lit(float(diagonal)) if isinstance(diagonal, (int, float)) else diagonal
@@ -131,10 +140,15 @@ def landmark_pairs(kept3d: DataFrame, pairs: Sequence[tuple[str, str]], keys: Se
     return out.where("pa IS NOT NULL AND pb IS NOT NULL AND pa.coordinate_frame = pb.coordinate_frame")
 
 
+def _declared(pairs: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows of ``landmark_pairs`` that belong to the wanted pairs."""
+    return pairs.where(F.concat_ws("|", "a", "b").isin(*[f"{a}|{b}" for a, b in wanted]))
+
+
 def bone_length_stability(kept3d: DataFrame, edges: Sequence[tuple[str, str]], sequences: DataFrame,
-                          keys: Sequence[str] = SEQ) -> DataFrame:
-    """Per edge: samples, mean length, population coefficient of variation; listed even at n = 0."""
-    p = landmark_pairs(kept3d, edges, keys)
+                          keys: Sequence[str] = SEQ, met: DataFrame | None = None) -> DataFrame:
+    """Per edge: samples, mean length, population coefficient of variation; listed even at n = 0. ``met``: pairs that have met already."""
+    p = landmark_pairs(kept3d, edges, keys) if met is None else _declared(met, edges)
     length = dist3(*[F.col(f"pa.{c}") for c in ("x_px", "y_px", "z")], *[F.col(f"pb.{c}") for c in ("x_px", "y_px", "z")])
     stats = p.withColumn("len", length).groupBy(*keys, "a", "b").agg(
         F.count(F.lit(1)).alias("n"), F.avg("len").alias("m"), F.stddev_pop("len").alias("s"))
@@ -147,9 +161,9 @@ def bone_length_stability(kept3d: DataFrame, edges: Sequence[tuple[str, str]], s
                     .when((F.col("n") > 1) & (F.col("m") > 0), F.col("s") / F.col("m")).otherwise(F.lit(0.0)).alias("cv"))
 
 
-def sign_flips(kept3d: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = SEQ) -> DataFrame:
-    """Changes of depth order along each declared pair, ignoring near-ties."""
-    p = landmark_pairs(kept3d, pairs, keys).withColumn("d", F.col("pa.z") - F.col("pb.z")).where(F.abs("d") > 1e-8)
+def sign_flips(kept3d: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = SEQ, met: DataFrame | None = None) -> DataFrame:
+    """Changes of depth order along each declared pair, ignoring near-ties. ``met``: pairs that have met already."""
+    p = (landmark_pairs(kept3d, pairs, keys) if met is None else _declared(met, pairs)).withColumn("d", F.col("pa.z") - F.col("pb.z")).where(F.abs("d") > 1e-8)
     signed = p.withColumn("sign", F.when(F.col("d") > 0, 1).otherwise(-1))
     out = adjacent_summary(
         signed, [*keys, "a", "b"], "frame_index", ["sign"],

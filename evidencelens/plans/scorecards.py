@@ -24,24 +24,24 @@ def validate_sequences(frames: DataFrame, width: str, height: str, keys: Sequenc
 
 def sequence_scorecard(points: DataFrame, frames: DataFrame, *, diagonal: float, edges, depth_pairs, required,
                        keys: Sequence[str] = kp.SEQ, min_score: float = kp.MIN_SCORE) -> DataFrame:
-    """Coverage, dropout, curvature, bones, depth flips, topology and latency, keyed by sequence."""
+    """Coverage, dropout, curvature, bones, depth flips, topology and latency, keyed by sequence.
+
+    The kept keypoints are shuffled three times: by name for everything about presence, by name with neighbours for curvature, and by frame, where
+    all declared pairs meet at once. What these leave is a row per name or pair and frame, and feeds the rest.
+    """
     kept = materialise(kp.confident_keypoints(points, min_score, keys), "keypoints")
     frames = materialise(frames, "frames")
-    cov = kp.coverage(kept, frames, keys)
+    counts = materialise(kp.frame_counts(frames, keys), "frame-counts")
+    facts = materialise(kp.name_facts(kept, counts, keys), "names")
+    met = materialise(kp.landmark_pairs(kept, list(dict.fromkeys([*edges, *depth_pairs])), keys), "pairs")
     edge_name = F.concat_ws("--", "a", "b")
     parts = [
-        kp.tidy(cov, keys, "name", ["coverage"]),
-        kp.tidy(kp.dropout_runs(kept, frames, keys), keys, "name",
-                ["dropout_runs", "bounded_recoveries", "max_dropout_frames", "mean_bounded_frames"]),
-        kp.tidy(kp.overall_coverage(kept, frames, keys).withColumnRenamed("coverage", "overall_coverage"), keys, None,
-                ["n_names", "overall_coverage"]),
+        kp.tidy(facts, keys, "name", ["coverage", "dropout_runs", "bounded_recoveries", "max_dropout_frames", "mean_bounded_frames"]),
+        kp.tidy(kp.pooled_coverage(facts, keys).withColumnRenamed("coverage", "overall_coverage"), keys, None, ["n_names", "overall_coverage"]),
         kp.tidy(kp.motion_curvature(kept, diagonal, keys), keys, None, ["mean_curvature", "spike_rate", "samples"]),
-        kp.tidy(kp.bone_length_stability(kept, edges, frames, keys).withColumn("edge", edge_name), keys, "edge",
-                ["samples", "mean_length", "cv"]),
-        kp.tidy(kp.sign_flips(kept, depth_pairs, keys).withColumn("pair", edge_name).withColumnRenamed("samples", "flip_samples"),
-                keys, "pair", ["flip_samples", "flips"]),
-        kp.tidy(kp.topology_coverage(kept, required, frames, keys).withColumnRenamed("coverage", "group_coverage"), keys,
-                "required_group", ["group_coverage"]),
+        kp.tidy(kp.bone_length_stability(kept, edges, counts, keys, met).withColumn("edge", edge_name), keys, "edge", ["samples", "mean_length", "cv"]),
+        kp.tidy(kp.sign_flips(kept, depth_pairs, keys, met).withColumn("pair", edge_name).withColumnRenamed("samples", "flip_samples"), keys, "pair", ["flip_samples", "flips"]),
+        kp.tidy(kp.topology_coverage(facts, required, counts, keys).withColumnRenamed("coverage", "group_coverage"), keys, "required_group", ["group_coverage"]),
         kp.tidy(kp.latency_summary(frames, keys), keys, None, ["mean_ms", "p95_ms", "fps"]),
     ]
     return kp.stack(parts)
