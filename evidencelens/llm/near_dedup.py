@@ -5,9 +5,10 @@ value only the count of leading zeros and the first bits of its mantissa, in one
 filled by further rounds of hashing, so two sets agree in a register with about their Jaccard similarity at every size.
 
 Eight registers form a band. Documents that agree in a band are tied to the bucket's first document; the ties'
-components are the candidate groups, so no pair of a bucket is ever written. Within a group, blocks of documents meet in pairs of blocks: the
-register agreement, corrected for accidental collisions, selects candidate pairs, and these are confirmed on the full sets. A task
-emits only a spanning forest of the confirmed links. Exact copies of a set are one node from the start.
+components are the candidate groups, so no pair of a bucket is ever written. Within a group, blocks of documents meet in pairs of blocks,
+with their registers only: the agreement, corrected for accidental collisions, selects candidate pairs, of which a meeting proposes a spanning
+forest. Proposed pairs are confirmed on the full sets, and what is connected asks no more. Documents that share boilerplate tie large groups
+together, but no pair of theirs is a candidate, so none of their texts is moved. Exact copies of a set are one node from the start.
 
 Miss rate of a link: at similarity 0.85 two sets agree in a band with 0.85^8 = 0.27; that all 64 bands differ has
 a probability of 1.5e-9. The estimate prunes six standard deviations below the threshold.
@@ -36,8 +37,8 @@ BUCKETS = 1 << BUCKET_BITS
 ZERO_BITS, MANTISSA_BITS = 4, 4
 ROWS = 8  # registers of a band: one 64-bit word
 ROUNDS = 16
-#: Documents of a block; a task holds two blocks.
-BLOCK = 1024
+#: Documents of a block, and bytes where a block holds texts, about; a task holds two blocks.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -154,70 +155,167 @@ class Forest:
         self.parent[self.root(i)] = self.root(j)
 
 
-def forest(sets: list[np.ndarray], regs: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning links of the documents; ``sides`` are 0 or 1, and two blocks are compared across unless they are one."""
-    sizes = np.array([len(s) for s in sets])
+def similar_pairs(regs: np.ndarray, sizes: np.ndarray, sides: np.ndarray, labels: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, candidates, estimates): the later documents that the registers may link with i, of other labels; two blocks only meet across ``sides``."""
     cut = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
     across = sides.any()
-    found = []
-    for i in range(len(sets)):
-        others = np.arange(i + 1, len(sets))
-        fits = 100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])
+    for i in range(len(sizes)):
+        others = np.arange(i + 1, len(sizes))
+        fits = (100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])) & (labels[others] != labels[i])
         others = others[fits & (sides[others] != sides[i] if across else True)]
         if len(others):
             agree = (regs[others] == regs[i]).mean(axis=1)
             chance = accidental(sizes[i : i + 1], sizes[others])[0]
             similar = (agree - chance) / (1 - chance)
-            found += [(-similar[k], i, others[k]) for k in np.flatnonzero(similar >= cut)]
-    union, links = Forest(len(sets)), []
-    for _, i, j in sorted(found):
-        if union.root(i) != union.root(j):
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                union.join(i, j)
-                links.append((i, j))
-    return links
+            use = similar >= cut
+            if use.any():
+                yield i, others[use], similar[use]
 
 
-def _confirm(k: int, percent: int):
-    table = lower_table()
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets are as similar as asked."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common) and common > 0
+
+
+def _sides(blocks: np.ndarray) -> np.ndarray:
+    return (blocks != blocks.min()).astype(np.int8)
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], ["u", "v"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (part, meeting), the first two columns, by which they are sorted."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, meeting = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        edges = np.concatenate(([0], np.flatnonzero((np.diff(part) != 0) | (np.diff(meeting) != 0)) + 1, [batch.num_rows]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if (part[a], meeting[a]) != key:
+                if held:
+                    yield pa.Table.from_batches(held)
+                key, held = (part[a], meeting[a]), []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
 
-    def close(rows: list[tuple]) -> list[tuple[int, int]]:
-        unique = list({(r[3], r[2]): r for r in rows}.values())  # a repeated row is one node
-        sets = shingle_sets([r[5] for r in unique], table, k)
-        regs = np.frombuffer(b"".join(r[4] for r in unique), np.uint8).reshape(len(unique), BUCKETS)
-        sides = np.array([r[3] for r in unique])
-        sides = (sides != sides.min()).astype(np.int8)
-        return [(unique[i][2], unique[j][2]) for i, j in forest(sets, regs, sides, percent)]
+def _met(percent: int, forest: bool):
+    """Of the registers of two blocks: a forest of the most similar pairs of different labels, or (u, u) for every node that is in any such pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        for rows in _grouped(batches):
+            if rows.num_rows < 2:
+                continue
+            nid, block, n, label = (np.asarray(rows[c].combine_chunks()) for c in ("nid", "block", "n", "label"))
+            regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint8).reshape(len(nid), BUCKETS)
+            found = similar_pairs(regs, n, _sides(block), label, percent)
+            if not forest:
+                seen = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.append(others, i) for i, others, _ in found)]))
+                yield _pairs([(int(x), int(x)) for x in nid[seen]])
+                continue
+            names, at = np.unique(label, return_inverse=True)
+            union, links = Forest(len(names)), []
+            for _, i, j in sorted((-s, i, int(j)) for i, others, estimates in found for j, s in zip(others, estimates)):
+                if union.root(at[i]) != union.root(at[j]):
+                    union.join(at[i], at[j])
+                    links.append((int(nid[i]), int(nid[j])))
+            yield _pairs(links)
+
+    return run
 
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], ["u", "v"])
 
+def _verified(k: int, percent: int):
+    """Of (u, v, text of u, text of v): the pairs that are linked on their full sets."""
+    table = lower_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), (t.as_py() for t in batch.column(5).cast(pa.binary()))):
-                if (row[0], row[1]) != key:
-                    if len(rows) > 1:
-                        links += close(rows)
-                    key, rows = (row[0], row[1]), []
-                rows.append(row)
-            yield out(links)
-        if len(rows) > 1:
-            yield out(close(rows))
+            for u, v, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
+                if linked(*shingle_sets([a.as_py(), b.as_py()], table, k), percent):
+                    links.append((u, v))
+            yield _pairs(links)
 
     return run
 
 
+def _confirm(k: int, percent: int):
+    """Links of two blocks from their texts: pairs of different labels in the order of their estimates, until they are connected."""
+    table = lower_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            nid, block, label = (np.asarray(rows[c].combine_chunks()) for c in ("nid", "block", "label"))
+            _, first = np.unique(nid, return_index=True)  # a repeated row is one node
+            if len(first) < 2:
+                continue
+            rows, nid, block, label = rows.take(pa.array(first)), nid[first], block[first], label[first]
+            sets = shingle_sets([t.as_py() for t in rows["text"].cast(pa.binary())], table, k)
+            regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint8).reshape(len(nid), BUCKETS)
+            names, at = np.unique(label, return_inverse=True)
+            union, links = Forest(len(names)), []
+            found = similar_pairs(regs, np.array([len(s) for s in sets]), _sides(block), label, percent)
+            for _, i, j in sorted((-s, i, int(j)) for i, others, estimates in found for j, s in zip(others, estimates)):
+                if union.root(at[i]) != union.root(at[j]) and linked(sets[i], sets[j], percent):
+                    union.join(at[i], at[j])
+                    links.append((int(nid[i]), int(nid[j])))
+            yield _pairs(links)
+
+    return run
+
+
+def _meetings(members: DataFrame, *columns: str, diagonal: bool = False) -> DataFrame:
+    """Rows of (part, block, blocks) once for every pair of blocks that theirs is in, dealt and sorted by it; ``diagonal``: with their own block only."""
+    with_ = F.array("block") if diagonal else F.sequence(F.lit(0), F.col("blocks") - 1)
+    meet = F.transform(with_, lambda b: F.least(b, "block") * F.col("blocks").cast("long") + F.greatest(b, "block"))
+    return members.select("part", F.explode(meet).alias("meeting"), "nid", "block", *columns).repartition("part", "meeting").sortWithinPartitions("part", "meeting")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the component that ``links`` put them in."""
+    known = components(links).select(F.col("node").alias("nid"), F.col("component").alias("__c"))
+    return members.join(known, "nid", "left").withColumn("label", F.coalesce("__c", "nid")).drop("__c")
+
+
+def _links(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) that connect whatever is linked inside the parts of ``members`` (nid, part, block, blocks, regs, n).
+
+    1. Each block proposes a forest of its most similar pairs by registers alone; only their texts are fetched, pair by pair, and compared.
+    2. Blocks meet in pairs, registers only, and propose forests between what is not yet connected.
+    3. Nodes that still have a similar node elsewhere (near the threshold, or refuted in the first rounds) meet with their texts.
+
+    A family of near copies is connected after the first two, with two texts a node; documents that share much but are not similar never
+    fetch a text.
+    """
+    pair = lambda found: found.distinct().join(texts.select(F.col("nid").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("nid").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    columns = ("regs", "n", "label")
+    shape = "u long, v long"
+    rows = members.withColumn("label", F.col("nid"))
+    found = _meetings(rows, *columns, diagonal=True).mapInArrow(_met(percent, True), shape)
+    links = materialise(pair(found).mapInArrow(_verified(shingle, percent), shape), "links")
+    rows = materialise(_labelled(members, links), "members")
+    found = _meetings(rows.filter("blocks > 1"), *columns).mapInArrow(_met(percent, True), shape)
+    links = materialise(links.unionByName(pair(found).mapInArrow(_verified(shingle, percent), shape)), "links")
+    rows = materialise(_labelled(members, links), "members")
+    left = _meetings(rows, *columns).mapInArrow(_met(percent, False), shape).select(F.col("u").alias("nid")).distinct()
+    rows = materialise(rows.join(left, "nid").drop("block", "blocks").join(texts, "nid"), "open")
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
+    rows = rows.join(rows.groupBy("part").agg(size.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
+    return links.unionByName(_meetings(rows, "regs", "label", "text").mapInArrow(_confirm(shingle, percent), shape))
+
+
 def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, shingle: int = 3, percent: int = 85) -> DataFrame:
     """One row per input row: doc_id, text_hash, n, and the winner (doc_id, text_hash) of its group of linked documents."""
     minimum = -(-percent // (100 - percent))  # smaller sets are linked only if equal
     rows = docs.select(doc_id.cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     signed = materialise(rows.mapInArrow(_signatures(shingle, minimum), "doc_id long, text_hash long, n long, k1 long, k2 long, regs binary"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    nodes = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("best"), F.max("regs").alias("regs"))
+    nodes = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("best"), F.max("regs").alias("regs"), F.max("n").alias("n"))
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     bands = nodes.filter("regs IS NOT NULL").select("nid", "regs").mapInArrow(_bands, "band long, nid long")
@@ -226,17 +324,14 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, shingle: int
     groups = materialise(groups.select(F.col("node").alias("nid"), F.col("component").alias("part")), "groups")
 
     sizes = groups.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sizes, "part").join(nodes.select("nid", "regs", F.col("best.doc_id").alias("doc_id"), F.col("best.text_hash").alias("text_hash")), "nid")
-    members = members.withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
+    members = groups.join(sizes, "part").join(nodes.select("nid", "regs", "n", F.col("best.doc_id").alias("doc_id"), F.col("best.text_hash").alias("text_hash")), "nid")
+    members = materialise(members.withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int")), "members")
     left, right = members.alias("m"), rows.alias("r")
-    full = left.join(right, (F.col("m.text_hash") == F.col("r.text_hash")) & F.col("m.doc_id").eqNullSafe(F.col("r.doc_id")))
-    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, "block") * F.col("blocks").cast("long") + F.greatest(b, "block"))
-    dealt = full.select("part", F.explode(meet).alias("meeting"), "nid", "block", "regs", "text")
-    links = dealt.repartition("part", "meeting").sortWithinPartitions("part", "meeting").mapInArrow(_confirm(shingle, percent), "u long, v long")
-    linked = components(links)
-
-    best = linked.join(nodes.select("nid", "best"), linked["node"] == F.col("nid")).groupBy("component").agg(F.min("best").alias("best"))
-    label = linked.join(best, "component").select("node", F.col("best").alias("winner"))
+    texts = left.join(right, (F.col("m.text_hash") == F.col("r.text_hash")) & F.col("m.doc_id").eqNullSafe(F.col("r.doc_id"))).select("nid", "text").dropDuplicates(["nid"])
+    found = components(_links(members.drop("doc_id", "text_hash"), materialise(texts, "texts"), shingle, percent))
+
+    best = found.join(nodes.select("nid", "best"), found["node"] == F.col("nid")).groupBy("component").agg(F.min("best").alias("best"))
+    label = found.join(best, "component").select("node", F.col("best").alias("winner"))
     named = nodes.select("nid", "k1", "k2", "best").join(label, F.col("nid") == F.col("node"), "left").select("k1", "k2", F.coalesce("winner", "best").alias("winner"))
     own = F.struct("doc_id", "text_hash")
     return signed.select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(

@@ -44,7 +44,7 @@ def test_language_stage(spark, steps):
 
 
 def test_near_dedup_stage(steps):
-    groups = brute_components([(r.doc_id, r.text) for r in steps[1]])
+    groups = brute_components([(r.doc_id, r.text) for r in steps[1]], 5, 80)
     assert sorted(r.doc_id for r in steps[2]) == sorted({g for _, _, g in groups})
 
 
