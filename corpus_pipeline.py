@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id (of equal ids, one text; of repeated rows, one)."""
-    groups = near_dedup.near_duplicates(docs, F.col("doc_id"), F.col("text"))
+    """Of each group of documents that are linked at five words and 80 % that with the smallest id (of equal ids, one text; of repeated rows, one)."""
+    groups = near_dedup.near_duplicates(docs, F.col("doc_id"), F.col("text"), shingle=5, percent=80)
     winners = groups.select(F.col("winner.doc_id").alias("__id"), F.col("winner.text_hash").alias("__hash")).distinct()
     rows = docs.withColumn("__hash_of", F.xxhash64("text"))
     kept = rows.join(winners, (F.col("__hash_of") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
