@@ -7,8 +7,8 @@ and a document that contains at least 80 % of the set contains about that share
 hits; a partition of larger items needs the hits that a contained item misses with a probability below 1e-9. A document is probed
 only with partitions whose smallest need it can meet. Candidates are verified on the word sequences themselves.
 
-The item side is sent to the executors in blocks of at most ``BLOCK_BYTES`` of text, whose size is checked; a larger benchmark
-takes several passes. Documents are neither shuffled nor cut.
+The item side is sent to the executors in blocks of at most ``BLOCK_BYTES`` of text, whose size is checked; a block holds the texts and arrays, a
+small multiple of them; a larger benchmark takes several passes. Documents are neither shuffled nor cut.
 
 Defined results: null or wordless text contains nothing and a wordless item is contained nowhere; an item of fewer than
 five words is one shingle of all its words; equal items and repeated documents are reported each; empty tables give an empty
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ FOUND = "array<struct<item_id:long,shared:long,n_item:long>>"
 _TABLE = alnum_table()
 _BYTES = bytes(_TABLE)
 _PROBE_BITS = 20
+#: Items whose shingles a worker keeps between documents.
+KEPT_SETS = 256
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -77,41 +79,56 @@ class Partition:
     probe: np.ndarray
 
 
-@dataclass
 class ItemBlock:
-    """A bounded part of the benchmark as the executors need it."""
-
-    ids: list[int | None]
-    shingles: list[set[tuple[bytes, ...]]]
-    needs: list[int]
-    lengths: list[int]
-    partitions: list[Partition] = field(default_factory=list)
-
-    @classmethod
-    def build(cls, rows: list[tuple[int | None, str]]) -> ItemBlock:
-        texts = [t.as_py() for t in lowered(pa.array([r[1] for r in rows], pa.string())).cast(pa.binary())]
-        words = [words_of(t) for t in texts]
-        lengths = [min(SHINGLE, len(w)) for w in words]
-        sets = [shingles_of(w, k) if k else set() for w, k in zip(words, lengths)]
-        block = cls([r[0] for r in rows], sets, [needed_hits(len(s)) if s else 0 for s in sets], lengths)
-        classes = defaultdict(list)
-        hashes, first, _, _ = word_hashes(texts, _TABLE)
-        for i, s in enumerate(sets):
-            if s:
-                classes[lengths[i], len(s).bit_length()].append(i)
-        for (k, _), members in sorted(classes.items()):
-            pairs = [(h, i) for i in members for h in np.unique(fold(hashes[first[i] : first[i + 1]], k))[:SKETCH]]
-            pairs.sort()
-            values, start = np.unique(np.array([h for h, _ in pairs], np.uint64), return_index=True)
+    """A bounded part of the benchmark as the executors need it: the items' texts in one buffer, their sketches in arrays.
+
+    About 2.5 times the texts; the shingles of an item are only made when a document has enough hits.
+    """
+
+    def __init__(self, ids: pa.Array, texts: pa.Array):
+        """``ids`` long, ``texts`` lowered binary."""
+        self.ids, self.texts = ids, texts
+        self.sizes, self.lengths = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int8)
+        hashes, owners = [], []
+        for at, part in slices(texts):
+            words, first, _, _ = word_hashes(part, _TABLE)
+            runs = {k: fold(words, k) for k in range(1, SHINGLE + 1)}
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                k = min(SHINGLE, b - a)
+                if k:
+                    own = np.unique(runs[k][a : b - k + 1])
+                    self.sizes[at + i], self.lengths[at + i] = len(own), k
+                    hashes.append(own[:SKETCH].copy())
+                    owners.append(at + i)
+        need_of = {int(n): needed_hits(int(n)) for n in np.unique(self.sizes) if n}
+        self.needs = np.array([need_of.get(n, 0) for n in self.sizes.tolist()], np.int64)
+        self.partitions: list[Partition] = []
+        owner = np.repeat(np.array(owners, np.int64), [len(h) for h in hashes])
+        value = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        kind = self.lengths[owner].astype(np.int64) << 8 | np.frexp(self.sizes[owner].astype(float))[1]
+        for c in np.unique(kind):
+            use = kind == c
+            held, values = owner[use], value[use]
+            order = np.lexsort((held, values))
+            held, values = held[order], values[order]
+            distinct, start = np.unique(values, return_index=True)
             probe = np.zeros(1 << _PROBE_BITS, bool)
-            probe[values >> np.uint64(64 - _PROBE_BITS)] = True
-            block.partitions.append(Partition(k, min(block.needs[i] for i in members), values, np.append(start, len(pairs)), np.array([i for _, i in pairs]), probe))
-        return block
-
-    def find(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
-        """Per text the contained items, as (position of the item, shared shingles)."""
+            probe[distinct >> np.uint64(64 - _PROBE_BITS)] = True
+            self.partitions.append(Partition(int(c) >> 8, int(self.needs[held].min()), distinct, np.append(start, len(values)), held, probe))
+        self._sets: dict[int, set] = {}
+
+    def shingles(self, i: int) -> set[tuple[bytes, ...]]:
+        """The exact shingles of an item; those of the last few are kept."""
+        if i not in self._sets:
+            if len(self._sets) >= KEPT_SETS:
+                self._sets.clear()
+            self._sets[i] = shingles_of(words_of(self.texts[i].as_py()), int(self.lengths[i]))
+        return self._sets[i]
+
+    def find(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """Per text the contained items, as (position of the item, shared shingles, all of the item's)."""
         hashes, first, _, _ = word_hashes(texts, _TABLE)
-        found: list[list[tuple[int, int]]] = [[] for _ in texts]
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         sizes = np.diff(first)
         runs = {k: fold(hashes, k) for k in {p.k for p in self.partitions}}
         hits: dict[int, Counter] = defaultdict(Counter)
@@ -129,11 +146,12 @@ class ItemBlock:
             likely = sorted(i for i, n in counts.items() if n >= self.needs[i])
             if likely:
                 words = words_of(texts[text])
-                own = {k: shingles_of(words, k) for k in {self.lengths[i] for i in likely}}
+                own = {k: shingles_of(words, k) for k in {int(self.lengths[i]) for i in likely}}
                 for i in likely:
-                    shared = len(self.shingles[i] & own[self.lengths[i]])
-                    if 100 * shared >= PERCENT * len(self.shingles[i]):
-                        found[text].append((i, shared))
+                    item = self.shingles(i)
+                    shared = len(item & own[int(self.lengths[i])])
+                    if 100 * shared >= PERCENT * len(item):
+                        found[text].append((i, shared, len(item)))
         return found
 
 
@@ -143,7 +161,8 @@ def item_blocks(items: DataFrame, item_id: Column, text: Column, limit: int = BL
     size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     count = -(-size // limit)
     for b in range(count):
-        yield ItemBlock.build([(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b).collect()])
+        part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b).toArrow().combine_chunks()
+        yield ItemBlock(part["i"].combine_chunks(), lowered(part["t"].combine_chunks()).cast(pa.binary()))
 
 
 def found_in(docs: DataFrame, text: str, block: ItemBlock, name: str) -> DataFrame:
@@ -155,7 +174,7 @@ def found_in(docs: DataFrame, text: str, block: ItemBlock, name: str) -> DataFra
         block = shared.value
         out = []
         for _, texts in slices(lowered(text)):
-            out += [[{"item_id": block.ids[i], "shared": n, "n_item": len(block.shingles[i])} for i, n in found] for found in block.find(texts)]
+            out += [[{"item_id": block.ids[i].as_py(), "shared": n, "n_item": size} for i, n, size in found] for found in block.find(texts)]
         return pa.array(out, pa.list_(row))
 
     return appended(docs, text, name, FOUND, find)
