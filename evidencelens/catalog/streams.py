@@ -52,6 +52,29 @@ def assemble_stream(spark, sf):
     return spark.read.schema(cap.RECORD).parquet(out)
 
 
+@query("assemble_episodes_state", "R1", LIFE + " SELECT event_id, record, ref, reason, n_actions, outcome FROM res")
+def assemble_state(spark, sf):
+    """The same with keyed state and timers; the record that only moves the watermark is left out."""
+    out = scratch_path(spark, "episodes-out")
+    with cap.timed_state(spark):
+        cap.drain(cap.assemble_episodes_state(lifecycle(closed_stream(spark, sf))), out, scratch_path(spark, "checkpoint"))
+    return spark.read.schema(cap.RECORD).parquet(out).where("event_id >= 0")
+
+
+TRACK = views.with_views("v_track") + """,
+s AS (SELECT sequence_id, frame_index, CASE WHEN x <= 60 THEN 'target' ELSE 'lost' END AS state FROM v_track), l AS (SELECT *, lag(state, 1, 'target') OVER (PARTITION BY sequence_id ORDER BY frame_index) AS was FROM s)
+SELECT sequence_id, frame_index, state, CASE WHEN state = 'target' THEN CASE WHEN was = 'target' THEN 'tracked' ELSE 'reacquired' END ELSE CASE WHEN was = 'target' THEN 'lost' ELSE 'remain_lost' END END AS transition FROM l"""
+
+
+@query("track_state_expiring", "R2 E6", TRACK)
+def track_expiring(spark, sf):
+    out = scratch_path(spark, "track-out")
+    frames = events_stream(spark, sf).selectExpr("event_id div 250 AS sequence_id", "event_id % 250 AS frame_index", "value <= 60 AS accepted")
+    with cap.timed_state(spark, idle_batches=False):
+        cap.drain(cap.track_state_expiring(frames), out, scratch_path(spark, "checkpoint"))
+    return spark.read.schema("sequence_id long, frame_index long, state string, transition string").parquet(out)
+
+
 @query("track_state_stream", "R2 E6", views.with_views("v_track") + """,
 s AS (SELECT sequence_id, frame_index, CASE WHEN x <= 60 THEN 'target' ELSE 'lost' END AS state FROM v_track), l AS (SELECT *, lag(state, 1, 'target') OVER (PARTITION BY sequence_id ORDER BY frame_index) AS was FROM s)
 SELECT sequence_id, frame_index, state, CASE WHEN state = 'target' THEN CASE WHEN was = 'target' THEN 'tracked' ELSE 'reacquired' END ELSE CASE WHEN was = 'target' THEN 'lost' ELSE 'remain_lost' END END AS transition FROM l""")

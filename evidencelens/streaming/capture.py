@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# The helpers below travel with the task, so executors need NumPy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WINDOW_US = 60_000_000
 GAP = "2 minutes"
 
@@ -50,6 +58,132 @@ def assemble_episodes_stream(events: DataFrame, time: str = "ts", delay: str = "
     return assemble_episodes(events.withWatermark(time, delay), time, gap)
 
 
+def assemble_episodes_state(events: DataFrame, time: str = "ts", delay: str = "2 minutes", keep_us: int = 2 * WINDOW_US) -> DataFrame:
+    """:func:`assemble_episodes` with keyed state and timers instead of a list a session.
+
+    An event's state is its start, the number of its actions, its first outcome so far and the rows that came before its start. A timer closes
+    the episode once the watermark has passed start + 60 s; rows that the state can judge are answered at once (outside the window, another
+    outcome than the first), and a second timer forgets the event, ``keep_us`` after its start at the earliest. Rows whose start does not come within
+    ``keep_us`` are rejected. Of several starts the first to arrive counts.
+    """
+
+    class Episodes(StatefulProcessor):
+        """One value a started event: (start, actions, closed, first outcome's time, reference and flag); the list holds rows without a start."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.event = handle.getValueState("event", "start long, n long, closed boolean, us long, ref string, flag boolean")
+            self.early = handle.getListState("early", "us long, kind string, ref string, flag boolean")
+
+        def judged(self, event: tuple, row: tuple, out: list) -> tuple:
+            """The state after a row (us, kind, ref, flag) of a started event."""
+            start, n, closed, *best = event
+            us, kind, ref, flag = row
+            if not 0 <= us - start <= WINDOW_US:
+                out.append(("rejected", ref, "outside_window", None, None))
+            elif kind == "action":
+                n += 1
+            elif best[0] is None:
+                best = [us, ref, flag]
+            elif (us, ref) != (best[0], best[1]):
+                if (us, ref) < (best[0], best[1]):
+                    best, ref = [us, ref, flag], best[1]
+                out.append(("rejected", ref, "already_finalized", None, None))
+            return start, n, closed, *best
+
+        def rows(self, key: tuple, out: list) -> Iterator[pd.DataFrame]:
+            if out:
+                frame = pd.DataFrame(out, columns=["record", "ref", "reason", "n_actions", "outcome"])
+                frame.insert(0, "event_id", key[0])
+                yield frame.astype({"n_actions": "Int64", "outcome": "boolean"})
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            out: list = []
+            event = before = self.event.get()
+            event = None if event is None else tuple(event)
+            waiting = []
+            for batch in rows:
+                for us, kind, ref, flag in zip(batch["us"].tolist(), batch["kind"], batch["ref"], batch["flag"]):
+                    waiting.append((us, kind, ref, None if flag is None or pd.isna(flag) else bool(flag)))
+            starts = sorted(r for r in waiting if r[1] == "start")
+            if event is None and starts:
+                start = starts[0][0]
+                event = start, 0, False, None, None, None
+                self.handle.registerTimer((start + WINDOW_US) // 1000 + 1)
+                if self.early.exists():
+                    waiting += [tuple(r) for r in self.early.get()]
+                    self.early.clear()
+            waiting = sorted((r for r in waiting if r[1] != "start"), key=lambda r: (r[0], r[2] or ""))
+            if event is None:
+                for row in waiting:
+                    self.early.appendValue(row)
+                if waiting:
+                    self.handle.registerTimer((waiting[-1][0] + keep_us) // 1000 + 1)
+            else:
+                for row in waiting:
+                    event = self.judged(event, row, out)
+                if before is None or event != tuple(before):
+                    self.event.update(event)
+            yield from self.rows(key, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            out: list = []
+            event = self.event.get()
+            if event is not None:
+                start, n, closed, us, ref, flag = event
+                if not closed:
+                    out.append(("episode", ref, None, n, flag))
+                    self.event.update((start, n, True, us, ref, flag))
+                    self.handle.registerTimer(max((start + keep_us) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+                elif expiredTimerInfo.getExpiryTimeInMs() > (start + keep_us) // 1000:
+                    self.event.clear()
+            elif self.early.exists():
+                out += [("rejected", r[2], "no_start", None, None) for r in self.early.get()]
+                self.early.clear()
+            yield from self.rows(key, out)
+
+        def close(self) -> None:
+            pass
+
+    rows = events.withWatermark(time, delay).select("event_id", F.unix_micros(time).alias("us"), "kind", "ref", "flag", time)
+    return rows.groupBy("event_id").transformWithStateInPandas(Episodes(), RECORD, "append", "eventTime")
+
+
+def _stepped(sequence: int, pdf: pd.DataFrame, gate: str, last: int, was: str) -> tuple[tuple[int, str], pd.DataFrame]:
+    """((last frame, its state), rows) of a sequence's further frames."""
+    pdf = pdf.sort_values("frame_index", kind="stable")
+    frame, ok = pdf["frame_index"].to_numpy(), pdf[gate].to_numpy(bool)
+    fresh = frame > np.maximum(np.concatenate(([last], frame[:-1])), last)
+    seen = ok[fresh]
+    before = np.concatenate(([was == "target"], seen))[: len(seen)]
+    out = pd.DataFrame({"sequence_id": sequence, "frame_index": frame, "state": None, "transition": "late"})
+    out.loc[fresh, "state"] = np.where(seen, "target", "lost")
+    out.loc[fresh, "transition"] = np.where(seen, np.where(before, "tracked", "reacquired"), np.where(before, "lost", "remain_lost"))
+    if len(seen):
+        last, was = int(frame[fresh][-1]), "target" if seen[-1] else "lost"
+    return (int(last), was), out
+
+
+def track_state_expiring(frames: DataFrame, gate: str = "accepted", idle: timedelta = timedelta(days=1)) -> DataFrame:
+    """:func:`track_state_stream` whose sequences are forgotten after ``idle`` without a frame: a later frame starts the sequence anew."""
+    out = "sequence_id long, frame_index long, state string, transition string"
+
+    class Track(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "frame long, state string", int(idle.total_seconds() * 1000))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            frame, was = tuple(self.last.get()) if self.last.exists() else (-1, "target")
+            (frame, was), shown = _stepped(key[0], pd.concat(list(rows)), gate, frame, was)
+            self.last.update((frame, was))
+            yield shown
+
+        def close(self) -> None:
+            pass
+
+    return frames.select("sequence_id", "frame_index", gate).groupBy("sequence_id").transformWithStateInPandas(Track(), out, "append", "processingTime")
+
+
 def track_state_stream(frames: DataFrame, gate: str = "accepted") -> DataFrame:
     """Target state over an unbounded frame stream; state is (last frame, last state) per sequence.
 
@@ -59,18 +193,9 @@ def track_state_stream(frames: DataFrame, gate: str = "accepted") -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, was = state.get if state.exists else (-1, "target")
-        pdf = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
-        frame, ok = pdf["frame_index"].to_numpy(), pdf[gate].to_numpy(bool)
-        fresh = frame > np.maximum(np.concatenate(([last], frame[:-1])), last)
-        seen = ok[fresh]
-        before = np.concatenate(([was == "target"], seen))[: len(seen)]
-        out = pd.DataFrame({"sequence_id": key[0], "frame_index": frame, "state": None, "transition": "late"})
-        out.loc[fresh, "state"] = np.where(seen, "target", "lost")
-        out.loc[fresh, "transition"] = np.where(seen, np.where(before, "tracked", "reacquired"), np.where(before, "lost", "remain_lost"))
-        if len(seen):
-            last, was = int(frame[fresh][-1]), "target" if seen[-1] else "lost"
-        state.update((int(last), was))
-        yield out
+        now, shown = _stepped(key[0], pd.concat(list(batches)), gate, last, was)
+        state.update(now)
+        yield shown
 
     return frames.select("sequence_id", "frame_index", gate).groupBy("sequence_id").applyInPandasWithState(step, out, "last_frame long, state string", "append", GroupStateTimeout.NoTimeout)
 
@@ -84,6 +209,26 @@ def capture_status_stream(records: DataFrame, time: str = "ts", delay: str = "1
     return g.select(F.col("window.start").alias("window_start"), key, "records", "finalized_records", "ready", "invalid", "terminated", "continued", "unknown")
 
 
+#: State with timers and expiry is kept by this provider.
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Expiry by the clock asks for another batch without rows again and again; a bounded run does without.
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+@contextmanager
+def timed_state(spark: SparkSession, idle_batches: bool = True) -> Iterator[None]:
+    """A session in which streams with timers can start; the settings are put back."""
+    wanted = {STATE_PROVIDER[0]: STATE_PROVIDER[1], IDLE_BATCHES: str(idle_batches).lower()}
+    old = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Runs the stream over all available input into parquet files and stops."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
