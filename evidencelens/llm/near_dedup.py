@@ -276,14 +276,25 @@ def _meetings(members: DataFrame, *columns: str, diagonal: bool = False) -> Data
     return members.select("part", F.explode(meet).alias("meeting"), "nid", "block", *columns).repartition("part", "meeting").sortWithinPartitions("part", "meeting")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with the component that ``links`` put them in."""
-    known = components(links).select(F.col("node").alias("nid"), F.col("component").alias("__c"))
+def _block_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of the links (part, block, u, v) of one block at a time, whose nodes are few: the smallest node of each component."""
+    for rows in _grouped(batches):
+        ends = np.stack([np.asarray(rows[c].combine_chunks()) for c in ("u", "v")])
+        nodes, at = np.unique(ends, return_inverse=True)
+        union = Forest(len(nodes))
+        for i, j in at.reshape(2, -1).T.tolist():
+            union.join(max(union.root(i), union.root(j)), min(union.root(i), union.root(j)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[union.root(i) for i in range(len(nodes))]])], ["node", "component"])
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the component (node, component) that they are in so far."""
+    known = labels.select(F.col("node").alias("nid"), F.col("component").alias("__c"))
     return members.join(known, "nid", "left").withColumn("label", F.coalesce("__c", "nid")).drop("__c")
 
 
-def _links(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) that connect whatever is linked inside the parts of ``members`` (nid, part, block, blocks, regs, n).
+def _connected(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of what is linked inside the parts of ``members`` (nid, part, block, blocks, regs, n).
 
     1. Each block proposes a forest of its most similar pairs by registers alone; only their texts are fetched, pair by pair, and compared.
     2. Blocks meet in pairs, registers only, and propose forests between what is not yet connected.
@@ -295,18 +306,26 @@ def _links(members: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     pair = lambda found: found.distinct().join(texts.select(F.col("nid").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("nid").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
     columns = ("regs", "n", "label")
     shape = "u long, v long"
-    rows = members.withColumn("label", F.col("nid"))
-    found = _meetings(rows, *columns, diagonal=True).mapInArrow(_met(percent, True), shape)
+    found = _meetings(members.withColumn("label", F.col("nid")), *columns, diagonal=True).mapInArrow(_met(percent, True), shape)
     links = materialise(pair(found).mapInArrow(_verified(shingle, percent), shape), "links")
-    rows = materialise(_labelled(members, links), "members")
-    found = _meetings(rows.filter("blocks > 1"), *columns).mapInArrow(_met(percent, True), shape)
-    links = materialise(links.unionByName(pair(found).mapInArrow(_verified(shingle, percent), shape)), "links")
-    rows = materialise(_labelled(members, links), "members")
+    home = members.select(F.col("nid").alias("u"), "part", F.col("block").cast("long").alias("block"))
+    inside = links.join(home, "u").select("part", "block", "u", "v").repartition("part", "block").sortWithinPartitions("part", "block")
+    labels = materialise(inside.mapInArrow(_block_labels, "node long, component long"), "labels")
+    rows = materialise(_labelled(members, labels), "members")
+    if rows.filter("blocks > 1").limit(1).count():
+        found = _meetings(rows.filter("blocks > 1"), *columns).mapInArrow(_met(percent, True), shape)
+        links = materialise(links.unionByName(pair(found).mapInArrow(_verified(shingle, percent), shape)), "links")
+        labels = materialise(components(links), "labels")
+        rows = materialise(_labelled(members, labels), "members")
     left = _meetings(rows, *columns).mapInArrow(_met(percent, False), shape).select(F.col("u").alias("nid")).distinct()
-    rows = materialise(rows.join(left, "nid").drop("block", "blocks").join(texts, "nid"), "open")
+    open_ = materialise(rows.join(left, "nid").drop("block", "blocks").join(texts, "nid"), "open")
     size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
-    rows = rows.join(rows.groupBy("part").agg(size.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
-    return links.unionByName(_meetings(rows, "regs", "label", "text").mapInArrow(_confirm(shingle, percent), shape))
+    open_ = open_.join(open_.groupBy("part").agg(size.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
+    last = _meetings(open_, "regs", "label", "text").mapInArrow(_confirm(shingle, percent), shape)
+    named = rows.select("nid", "label")
+    merged = components(last.join(named.select(F.col("nid").alias("u"), F.col("label").alias("a")), "u").join(named.select(F.col("nid").alias("v"), F.col("label").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    joined = merged.select(F.col("node").alias("label"), "component")
+    return named.join(joined, "label", "left").select(F.col("nid").alias("node"), F.coalesce("component", "label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -328,7 +347,7 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, shingle: int
     members = materialise(members.withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int")), "members")
     left, right = members.alias("m"), rows.alias("r")
     texts = left.join(right, (F.col("m.text_hash") == F.col("r.text_hash")) & F.col("m.doc_id").eqNullSafe(F.col("r.doc_id"))).select("nid", "text").dropDuplicates(["nid"])
-    found = components(_links(members.drop("doc_id", "text_hash"), materialise(texts, "texts"), shingle, percent))
+    found = _connected(members.drop("doc_id", "text_hash"), materialise(texts, "texts"), shingle, percent)
 
     best = found.join(nodes.select("nid", "best"), found["node"] == F.col("nid")).groupBy("component").agg(F.min("best").alias("best"))
     label = found.join(best, "component").select("node", F.col("best").alias("winner"))
