@@ -18,6 +18,7 @@ HEADLINE = (
     "latency_summary", "bone_length_stability", "sign_flips", "sequence_scorecard", "metric_bundle", "binary_bundle", "class_group_features", "fold_feasibility", "bootstrap_ci",
     "validate_episodes", "validate_score_packets", "cohort_support", "id_set_digest", "lock_integrity", "tolerance_diff", "instance_sequence_stats", "overlapping_instances",
     "mask_stats", "mask_iou", "resample_curve", "curve_error", "contingency_ami", "outcome_dependence", "instrumentation_audit",
+    "validate_documents", "sequence_scorecard_full", "variance_ratios", "unit_equal_deltas", "fold_medians", "grouped_evaluation", "assemble_episodes_stream",
 )
 
 
