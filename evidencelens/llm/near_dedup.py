@@ -255,7 +255,7 @@ def _confirm(k: int, percent: int):
             if len(first) < 2:
                 continue
             rows, nid, block, label = rows.take(pa.array(first)), nid[first], block[first], label[first]
-            sets = shingle_sets([t.as_py() for t in rows["text"].cast(pa.binary())], table, k)
+            sets = [s for _, part in slices(rows["text"].combine_chunks()) for s in shingle_sets(part, table, k)]
             regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint8).reshape(len(nid), BUCKETS)
             names, at = np.unique(label, return_inverse=True)
             union, links = Forest(len(names)), []

@@ -149,8 +149,8 @@ def prepared(key: object, build: Callable[[], object]) -> object:
 _shipped: set[str] = set()
 
 
-#: Rows of an Arrow batch, unless the session says otherwise: long texts make large rows.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch, unless the session says otherwise: long texts make large rows.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -158,6 +158,7 @@ def ship(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":
         spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
