@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from evidencelens import views
 from evidencelens.catalog import SQL, query
-from evidencelens.functions import centroid_of, image_diagonal, r6
+from evidencelens.functions import centroid_of, image_diagonal, r6, round_scaled
 from evidencelens.operators import keypoints as kp
 from evidencelens.plans.scorecards import sequence_scorecard, validate_sequences
 from evidencelens.sources.pose_tables import detections_to_keypoints, wide_pose3d_to_long, wide_pose_to_long
@@ -233,7 +233,7 @@ m AS (SELECT sequence_id, frame_index, individual, coalesce(avg(score) FILTER (W
 r AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, frame_index ORDER BY s DESC, individual DESC) AS rn FROM m)
 SELECT sequence_id, frame_index, individual, round(s, 6) AS mean_score FROM r WHERE rn = 1""")
 def best_individual(spark, sf):
-    return kp.best_individual(individuals(spark, sf)).withColumn("mean_score", r6("mean_score"))
+    return kp.best_individual(individuals(spark, sf)).withColumn("mean_score", round_scaled("mean_score"))
 
 
 CAND = "WITH " + INDIV + """,
@@ -249,7 +249,7 @@ SELECT sequence_id, frame_index, individual, round(mean_score, 6) AS mean_score,
   ORDER BY n_confident DESC, mean_score DESC, individual DESC) AS rank FROM g""")
 def frame_candidates(spark, sf):
     out = kp.frame_candidates(individuals(spark, sf))
-    return out.withColumns({c: r6(c) for c in ("mean_score", "x0", "y0", "x1", "y1", "cx", "cy")})
+    return out.withColumns({c: r6(c) for c in ("x0", "y0", "x1", "y1", "cx", "cy")}).withColumn("mean_score", round_scaled("mean_score"))
 
 
 @query("candidate_layer_summary", "A35", CAND + """,

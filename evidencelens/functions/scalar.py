@@ -28,6 +28,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def round_scaled(c: Column | str, digits: int = 6) -> Column:
+    """The double nearest to ``c * 10^digits`` rounded half away from zero, over ``10^digits``: the rule of DuckDB's ``round``.
+
+    Spark's ``round`` goes by the decimal text of the double, so that 41.0 / 640 (0.0640625, in binary a little less) becomes another value.
+    """
+    x, scale = col(c).cast("double"), F.lit(10.0 ** digits)
+    return F.when(F.abs(x * scale) < float("inf"), F.round(x * scale) / scale).otherwise(x) + F.lit(0.0)
+
+
 def r6(c: Column | str, digits: int = 6) -> Column:
     """Round for display and comparison; adding 0.0 turns -0.0 into 0.0."""
     return F.round(col(c).cast("double"), digits) + F.lit(0.0)
