@@ -315,9 +315,15 @@ def advancement_decision(reports: DataFrame, metrics: DataFrame, max_ece_loss: f
     return j.select("report_id", "strongest", delta.alias("delta_log_loss"), (F.size(errs) == 0).alias("advances"), errs.alias("errors"))
 
 
-def cohort_equality(a: DataFrame, b: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
-    """Whether two id sets per key are identical, with the counts of one-sided ids."""
-    tag = lambda d, t: d.select(*keys, id_col).distinct().withColumn("s", F.lit(t))
-    per = tag(a, 1).unionByName(tag(b, 2)).groupBy(*keys, id_col).agg(F.sum("s").alias("s"))
+def cohort_equality(a: DataFrame, b: DataFrame, keys: Sequence[str], id_col: str, rows: int = 1 << 20) -> DataFrame:
+    """Whether two id sets per key are identical, with the counts of one-sided ids.
+
+    Ids are dealt by (key, id) over as many tasks as hold about ``rows`` each, so a task's table of ids does not grow with the input. All
+    copies of one id of one key meet in one task, which keeps a single entry for them.
+    """
+    tag = lambda d, t: d.select(*keys, id_col, F.lit(t).alias("s"))
+    both = tag(a, 1).unionByName(tag(b, 2))
+    tasks = max(1, -(-both.count() // rows))
+    per = both.repartition(tasks, *keys, id_col).groupBy(*keys, id_col).agg(F.bit_or("s").alias("s"))
     return per.groupBy(*keys).agg(F.count_if(F.col("s") == 1).alias("only_a"), F.count_if(F.col("s") == 2).alias("only_b"),
                                   (F.count_if(F.col("s") != 3) == 0).alias("equal"))
