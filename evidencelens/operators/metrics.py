@@ -227,26 +227,37 @@ def adapt_centre(test: DataFrame, adaptation: DataFrame, population: DataFrame,
     return j.select(*[c for c in test.columns if c not in features], *[(F.col(f) - (a * F.col(f"__a_{f}") + (1 - a) * F.col(f"__p_{f}"))).alias(f) for f in features])
 
 
-def stable_order(rows: DataFrame, seed: int, repeat: Column, group: Sequence[str], session: str, path: str) -> DataFrame:
+def stable_order(rows: DataFrame, seed: int, repeat: Column, group: Sequence[str], session: str, path: str, tasks: int | None = None, digits: int = 3) -> DataFrame:
     """Rank within (repeat, group, session) by SHA-256; the first b rows are the budget b. Labels unused."""
     r = rows.withColumn("repeat", repeat)
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), *[F.col(c).cast("string") for c in (*group, session, path)]), 256)
-    return hash_ranked(r, ["repeat", *group, session], digest, [path], "rank")
+    return hash_ranked(r, ["repeat", *group, session], digest, [path], "rank", digits, tasks)
 
 
-def pseudo_groups(rows: DataFrame, seed: int, fold: Sequence[str], repeat: Column, group: str, path: str) -> DataFrame:
-    """Group labels permuted within a fold, keeping the size of every group.
+#: Ranks of a block in which rows meet the groups whose slots lie there.
+SLOT_BLOCK = 256
 
-    Rows get a hash rank; the slots get the rank of (label, hash). Both ranks are segmented, then meet
-    on (fold, repeat, rank).
+
+def pseudo_groups(rows: DataFrame, seed: int, fold: Sequence[str], repeat: Column, group: str, path: str, keep: Sequence[str] = (), tasks: int | None = None,
+                  digits: int = 3) -> DataFrame:
+    """Group labels permuted within a fold, keeping the size of every group: fold, repeat, path, true_group, ``keep``, pseudo_group.
+
+    Rows get a hash rank. The slots are the groups in order, each as long as its rows: a group's first and last slot follow from the sizes alone,
+    and a row takes the group whose slots hold its rank, found by block of ranks. ``tasks``: over how many tasks the rows are dealt; ``digits``: of
+    the digest that make a segment.
     """
-    base = rows.select(*fold, path, group).withColumn("repeat", repeat)
+    base = rows.select(*fold, path, group, *keep).withColumn("repeat", repeat)
     parts = lambda *c: F.concat_ws("|", F.lit(str(seed)), *[F.col(x).cast("string") for x in c])
-    base = base.withColumn("__d", F.sha2(parts(*fold, "repeat", path), 256))
     keys = [*fold, "repeat"]
-    ranked_rows = hash_ranked(base, keys, F.col("__d"), [path], "__rank").select(*keys, path, F.col(group).alias("true_group"), "__rank")
-    slots = running(base, keys, F.struct(F.col(group).alias("g"), F.substring("__d", 1, 3).alias("h")), [group, "__d", path], sums={"__rank": F.lit(1).cast("long")})
-    return ranked_rows.join(slots.select(*keys, "__rank", F.col(group).alias("pseudo_group")), [*keys, "__rank"]).drop("__rank")
+    block = lambda rank: F.floor((rank - 1) / SLOT_BLOCK).cast("long")
+    ranked_rows = hash_ranked(base, keys, F.sha2(parts(*fold, "repeat", path), 256), [path], "__rank", digits, tasks)
+    ranked_rows = ranked_rows.select(*keys, path, F.col(group).alias("true_group"), *keep, "__rank", block(F.col("__rank")).alias("__block"))
+    sizes = base.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("__n"))
+    last = F.sum("__n").over(Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, 0))  # one row a group
+    slots = sizes.select(*keys, F.col(group).alias("pseudo_group"), (last - F.col("__n") + 1).alias("__first"), last.alias("__last"))
+    slots = slots.withColumn("__block", F.explode(F.sequence(block(F.col("__first")), block(F.col("__last")))))
+    dealt = ranked_rows.repartition(tasks, *keys, "__block") if tasks else ranked_rows
+    return dealt.join(slots, [*keys, "__block"]).where(F.col("__rank").between(F.col("__first"), F.col("__last"))).drop("__rank", "__block", "__first", "__last")
 
 
 def two_level_mean(df: DataFrame, unit: str, sub: str, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -11,13 +11,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidencelens.session import materialise
 
 HOUR_US = 3_600_000_000
 FRAME_BLOCK = 4096
+#: Rows of a task, about, where the caller knows how many there are.
+TASK_ROWS = 1 << 19
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Tasks that hold about TASK_ROWS each; None where the session's shuffle partitions are as many."""
+    tasks = -(-rows // TASK_ROWS)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits of a digest by which a key of ``rows`` rows falls into segments of a few thousand."""
+    digits = 1
+    while rows > 8192 * 16**digits:
+        digits += 1
+    return digits
 
 
 def segment_of(order: Column | str, width: int) -> Column:
@@ -35,10 +51,12 @@ def running(
     maxes: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     inclusive: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Running sum, maximum and last non-NULL value per key in ``order``.
 
-    ``segment`` must be non-decreasing along ``order``. ``order`` must be total where ties matter.
+    ``segment`` must be non-decreasing along ``order``. ``order`` must be total where ties matter. ``tasks``: over how many tasks the
+    segments are dealt, otherwise the session's shuffle partitions.
     """
     sums, maxes, lasts = sums or {}, maxes or {}, lasts or {}
     keys = list(keys)
@@ -68,20 +86,21 @@ def running(
         local[f"__l_{name}"] = F.last(expr, ignorenulls=True).over(inner)
         combined[name] = F.coalesce(F.col(f"__l_{name}"), F.col(f"__c_{name}"))
     summary = base.groupBy(*keys, "__seg").agg(*totals).select(*keys, "__seg", *carried)
-    joined = base.withColumns(local).join(summary, [*keys, "__seg"], "left")
+    dealt = base.repartition(tasks, *keys, "__seg") if tasks else base
+    joined = dealt.withColumns(local).join(summary, [*keys, "__seg"], "left")
     out = joined.withColumns(combined)
     return out.select(*df.columns, *combined)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], segment: Column, order: Sequence[Column | str], name: str) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], segment: Column, order: Sequence[Column | str], name: str, tasks: int | None = None) -> DataFrame:
     """``row_number`` over ``keys`` in ``order`` without one task per key."""
-    return running(df, keys, segment, order, sums={name: F.lit(1).cast("long")})
+    return running(df, keys, segment, order, sums={name: F.lit(1).cast("long")}, tasks=tasks)
 
 
-def hash_ranked(df: DataFrame, keys: Sequence[str], digest: Column, ties: Sequence[Column | str], name: str, digits: int = 3) -> DataFrame:
+def hash_ranked(df: DataFrame, keys: Sequence[str], digest: Column, ties: Sequence[Column | str], name: str, digits: int = 3, tasks: int | None = None) -> DataFrame:
     """Rank by a uniformly spread hex digest; segments are its prefixes (16^digits equal shares of a key)."""
     base = df.withColumn("__h", digest)
-    return ranked(base, keys, F.substring("__h", 1, digits), ["__h", *ties], name).drop("__h")
+    return ranked(base, keys, F.substring("__h", 1, digits), ["__h", *ties], name, tasks).drop("__h")
 
 
 def previous_row(

@@ -29,6 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidencelens.operators.segments import tasks_for
 from evidencelens.session import cut_lineage, materialise
 
 # The helpers below travel with the task, so executors need NumPy and Arrow but not this package.
@@ -355,15 +356,19 @@ def _part(rows: pa.Table) -> Part:
 
 
 def _dealt(rows: DataFrame, mixed: bool) -> tuple[DataFrame, DataFrame | int]:
-    """(rows by lane, and either the number of lanes or the lanes of each group). ``rows``: written, with gs and uid."""
+    """(rows dealt over tasks by lane, and either the number of lanes or the lanes of each group). ``rows``: written, with gs and uid.
+
+    The tasks grow with the rows, so that what a task sorts by lane does not.
+    """
     n = rows.count()
+    tasks = [t for t in [tasks_for(rows.sparkSession, n)] if t]
     if mixed:
         lanes = max(-(-n // LANE_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 512)), 1)
-        return rows.withColumn("lane", F.pmod(F.xxhash64("uid"), F.lit(lanes)).cast("string")), lanes
+        return rows.withColumn("lane", F.pmod(F.xxhash64("uid"), F.lit(lanes)).cast("string")).repartition(*tasks, "lane"), lanes
     parts = rows.groupBy("gs").agg(F.ceil(F.count(F.lit(1)) / LANE_ROWS).cast("int").alias("parts"))
     dealt = rows.join(parts, "gs").withColumn("lane", F.concat_ws("#", "gs", F.pmod(F.xxhash64("uid"), "parts").cast("string"))).drop("parts")
     index = parts.select("gs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("gs", F.concat_ws("#", "gs", F.col("part").cast("string")).alias("lane"))
-    return dealt, index
+    return dealt.repartition(*tasks, "lane"), index
 
 
 def _own_moments(rows: DataFrame, dim: int) -> DataFrame:
@@ -469,7 +474,7 @@ def fit_all(rows: DataFrame, models: Sequence[Model], classes: int, *, leave_out
     if any(m.tau is not None for m in models):
         rows = _own_moments(rows, rows.select(F.size("x")).first()[0])
     lanes, index = _dealt(rows, leave_out)
-    lanes = lanes.repartition("lane").persist()
+    lanes = lanes.persist()
     blocks = -(-fits.count() // BLOCK_FITS) if leave_out else 1
     done = []
     try:

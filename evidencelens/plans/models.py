@@ -11,7 +11,7 @@ from evidencelens.functions import finite_double
 from evidencelens.operators import metrics as m
 from evidencelens.operators.keypoints import stack
 from evidencelens.operators.quantiles import exact_quantiles
-from evidencelens.operators.segments import global_rank, meet_all
+from evidencelens.operators.segments import digits_for, global_rank, meet_all, tasks_for
 from evidencelens.plans import logistic as lg
 from evidencelens.session import cut_lineage, materialise
 
@@ -34,7 +34,8 @@ def fold_medians(rows: DataFrame, group: str, features: Sequence[str], folds: Se
     """
     long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), finite_double(f).alias("v")) for f in features])).alias("r")).select(group, "r.*").where("v IS NOT NULL")
     others = meet_all(long, _folds(rows, group, folds)).where(~F.col("fold").eqNullSafe(F.col(group)))
-    return exact_quantiles(others, ["fold", "feature"], "v", {"median": (0.5, "linear")})
+    # One bracket a fold and feature, as many as there are fits: broadcast, so that the rows x folds are not sorted to meet it.
+    return exact_quantiles(others, ["fold", "feature"], "v", {"median": (0.5, "linear")}, small_keys=True)
 
 
 def _folds(rows: DataFrame, group: str, folds: Sequence | None = None) -> DataFrame:
@@ -300,13 +301,14 @@ def identity_invariance(rows: DataFrame, group: str, label: str, path: str, feat
     # Permuted labels within each fold's training pool; the control refits multiply rows by folds and repeats, written once.
     pool = meet_all(rows.select(path, group, label, *features), _folds(rows, group)).where(~F.col("fold").eqNullSafe(F.col(group)))
     pool = _imputed(pool, medians, "fold", features)
-    pseudo = m.pseudo_groups(pool, seed, ["fold"], F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))), group, path)
-    joined = pool.join(pseudo.select("fold", "repeat", path, "pseudo_group"), ["fold", path])
-    pmeans = joined.groupBy("fold", "repeat", "pseudo_group").agg(*[F.avg(f).alias(f"__g_{f}") for f in features])
-    centred = joined.join(pmeans, ["fold", "repeat", "pseudo_group"]).select("fold", "repeat", group, F.col(label).cast("int").alias("y"), *[(F.col(f) - F.col(f"__g_{f}")).alias(f) for f in features])
-    centred = materialise(centred.withColumn("uid", F.monotonically_increasing_id()), "controls")
+    size = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.count(F.lit(1))).first()
+    tasks = tasks_for(rows.sparkSession, (size[0] or 0) * max(size[1] - 1, 0) * repeats)
+    joined = m.pseudo_groups(pool, seed, ["fold"], F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))), group, path, [label, *features], tasks, digits_for(size[0] or 0))
+    joined = materialise(joined.select("fold", "repeat", "pseudo_group", F.col("true_group").alias(group), F.col(label).cast("int").alias("y"), *features), "controls")
+    pmeans = materialise(joined.groupBy("fold", "repeat", "pseudo_group").agg(*[F.avg(f).alias(f"__g_{f}") for f in features]), "means")
+    centred = joined.join(pmeans, ["fold", "repeat", "pseudo_group"]).select("fold", "repeat", group, "y", *[(F.col(f) - F.col(f"__g_{f}")).alias(f) for f in features])
     key = F.concat_ws("#", lg.group_text(F.col("fold")), F.col("repeat").cast("string"))
-    controls = lg.fit_all(centred.select(key.alias("g"), "y", F.array(*features).alias("x"), "uid"), [lg.Model("pseudo", range(len(features)))], classes, leave_out=False)
+    controls = lg.fit_all(centred.select(key.alias("g"), "y", F.array(*features).alias("x")), [lg.Model("pseudo", range(len(features)))], classes, leave_out=False)
 
     scored = lg.predict(_asked(tested, [("raw", "raw"), ("centred", "zero"), ("shrunk", "zero")]), _named_fits(fits), [path, "own", "y"], classes)
     again = tested.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
