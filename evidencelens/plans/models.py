@@ -369,7 +369,10 @@ def personalisation_evaluation(rows: DataFrame, group: str, session: str, label:
     pm = _fold_means(rows, group, features, medians)
     rows = _imputed(rows, medians, group, features)
     adaptation = rows.join(feasible, group).where(F.col(session) != F.col("test_session"))
-    order = m.stable_order(adaptation.select(path, group, "test_session", *features), seed, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))), [group], "test_session", path)
+    n = rows.count()
+    sessions = feasible.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    tasks = tasks_for(rows.sparkSession, n * sessions * repeats)
+    order = m.stable_order(adaptation.select(path, group, "test_session", *features), seed, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))), [group], "test_session", path, tasks, digits_for(n))
     means = order.groupBy(group, "test_session", "repeat").agg(*[F.avg(F.when(F.col("rank") <= b, F.col(f))).alias(f"am{b}_{f}") for b in budgets for f in features])
     test = rows.join(feasible, group).where(F.col(session) == F.col("test_session")).join(pm, group)
     raw = F.array(*[F.col(f) for f in features])

@@ -36,3 +36,10 @@ def test_pseudo_groups_with_tasks_are_the_permutation(spark):
 
 def test_digits_keep_segments_small():
     assert [segments.digits_for(n) for n in (0, 131_072, 131_073, 615_000, 10**9)] == [1, 1, 2, 2, 5]
+
+
+def test_stable_order_is_the_same_over_any_tasks(spark):
+    df = spark.createDataFrame([(i, "g" + str(i % 3), i % 2) for i in range(400)], "path long, g string, session long")
+    repeat = F.explode(F.array(F.lit(0), F.lit(1)))
+    plain, dealt = (metrics.stable_order(df, 4, repeat, ["g"], "session", "path", *more) for more in ((), (25, 1)))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.select(plain.columns).collect()))
