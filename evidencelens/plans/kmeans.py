@@ -29,6 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROUNDS = 2
 CHUNK = 4096
+SLICE = 1024  # rows whose distances to all centres of a sample stay in the processor's cache
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SIGN = np.uint64(1 << 63)
 
@@ -80,9 +81,14 @@ def unordered(key: int) -> float:
 
 
 def packed(rows: DataFrame, row_id: str, features: Sequence[str]) -> DataFrame:
-    """(row id, h, x): the id's hash and the finite values as one array, NaN where there is none."""
+    """(row id, h, x): the id's hash and the finite values as one array, NaN where there is none.
+
+    Rows are dealt evenly over the session's cores, as a pass costs far more than its rows' bytes, and files may be few; they are in the order of the
+    hash in a task, so that sums do not depend on timing.
+    """
     value = lambda f: F.coalesce(F.when(~F.isnan(c := F.col(f).cast("double")) & (F.abs(c) != float("inf")), c), F.lit(float("nan")))
-    return rows.select(F.col(row_id), F.xxhash64(F.col(row_id).cast("string")).alias("h"), F.array(*[value(f) for f in features]).alias("x"))
+    out = rows.select(F.col(row_id), F.xxhash64(F.col(row_id).cast("string")).alias("h"), F.array(*[value(f) for f in features]).alias("x"))
+    return out.repartition(rows.sparkSession.sparkContext.defaultParallelism, "h").sortWithinPartitions("h")
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -135,8 +141,12 @@ def used(s: Sample, h: np.ndarray) -> np.ndarray | None:
 
 
 def scaled(s: Sample, x: np.ndarray) -> np.ndarray:
-    z = x[:, list(s.cols)]
-    return (np.where(np.isnan(z), s.fill, z) - s.mean) / s.scale
+    cols = list(s.cols)
+    z = x if cols == list(range(x.shape[1])) else x[:, cols]
+    z = np.where(np.isnan(z), s.fill, z)
+    z -= s.mean
+    z /= s.scale
+    return z
 
 
 def _seen(s: Sample, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,14 +280,42 @@ def _seeded(rows: DataFrame, samples: Sequence[Sample]) -> None:
 
     def near(s: Sample, h: np.ndarray, x: np.ndarray):
         x = _seen(s, h, x)[1]
-        return _hot(squared(scaled(s, x), s.centres)).sum(axis=0) if len(x) else None
+        return nearest(scaled(s, x), s.centres)[1] if len(x) else None
 
-    weights = merged_pass(rows, samples, near, plus)
+    weights = merged_pass(rows, samples, near, plus)  # restarts x candidates
     for s in samples:
         s.centres = np.stack([_reduced(s.centres[r], weights[s.name][r], s.k, np.random.default_rng([s.seed % (1 << 32), r])) for r in range(s.restarts)])
         s.moving = np.ones(s.restarts, bool)
 
 
+def nearest(z: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cost, counts, sums) by fit and centre of the rows next to it, the first of equal centres.
+
+    Distances stand centre by centre, all fits side by side, for a slice of rows at a time; a row's own square is added to its least distance only.
+    """
+    fits, k, d = centres.shape
+    flat = np.ascontiguousarray(centres.transpose(1, 0, 2)).reshape(k * fits, d)
+    turned, norms = -2.0 * flat.T, (flat * flat).sum(axis=1)
+    cost, counts, sums = np.zeros(fits), np.zeros(k * fits), np.zeros((k * fits, d))
+    for at in range(0, len(z), SLICE):
+        part = z[at : at + SLICE]
+        g = part @ turned
+        g += norms
+        g = g.reshape(len(part), k, fits)
+        least = g.min(axis=1)
+        hot = g == least[:, None, :]
+        taken = hot[:, 0].copy()
+        for c in range(1, k):
+            hot[:, c] &= ~taken
+            taken |= hot[:, c]
+        least += (part * part).sum(axis=1)[:, None]
+        cost += np.maximum(least, 0.0).sum(axis=0)
+        hot = hot.reshape(len(part), -1).astype(np.float64)
+        counts += hot.sum(axis=0)
+        sums += hot.T @ part
+    return cost, counts.reshape(k, fits).T, sums.reshape(k, fits, d).transpose(1, 0, 2)
+
+
 def _hot(d: np.ndarray) -> np.ndarray:
     """Rows x fits x centres: 1 at the nearest centre."""
     out = np.zeros(d.shape)
@@ -307,10 +345,7 @@ def _lloyd(s: Sample, h: np.ndarray, x: np.ndarray):
     x = _seen(s, h, x)[1]
     if not len(x):
         return None
-    z = scaled(s, x)
-    d = squared(z, s.centres[s.moving])
-    hot = _hot(d).reshape(len(z), -1)
-    return d.min(axis=2).sum(axis=0), hot.sum(axis=0), hot.T @ z
+    return nearest(scaled(s, x), s.centres[s.moving])
 
 
 def _add_all(a, b):
@@ -334,7 +369,6 @@ def fit(rows: DataFrame, samples: Sequence[Sample], max_iter: int = 50, tol: flo
             for s in todo:
                 _, counts, sums = found[s.name]
                 old = s.centres[s.moving]
-                counts, sums = counts.reshape(old.shape[:2]), sums.reshape(old.shape)
                 new = np.where(counts[..., None] > 0, sums / np.maximum(counts, 1)[..., None], old)
                 s.centres[s.moving] = new
                 still = ((new - old) ** 2).sum(axis=(1, 2)) > tol * tol
