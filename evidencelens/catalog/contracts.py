@@ -159,8 +159,8 @@ PACKET_SCALARS = """event_id, CASE WHEN event_id % 47 = 0 THEN event_id + 1 ELSE
 
 
 def _packet(d):
-    return (f"{PACKET_SCALARS}, {array_of(d, '(1 + event_id % 4)', PACKET_FRAMES)} AS frames, "
-            f"{array_of(d, '(CASE WHEN event_id % 61 = 0 THEN 4 ELSE 3 END)', PACKET_CLASSES)} AS class_map")
+    return (f"{PACKET_SCALARS}, {array_of(d, '(1 + event_id % 4)', PACKET_FRAMES, 4)} AS frames, "
+            f"{array_of(d, '(CASE WHEN event_id % 61 = 0 THEN 4 ELSE 3 END)', PACKET_CLASSES, 4)} AS class_map")
 
 
 PACKET_SQL = "WITH pk AS (SELECT " + _packet("duckdb") + """ FROM events), fr AS (SELECT event_id, audio_start_ms, audio_end_ms, len(class_map) AS k, unnest(frames) AS x, unnest(range(len(frames))) AS pos FROM pk),
@@ -195,7 +195,7 @@ PACKAGE_SCALARS = """event_id, CASE WHEN event_id % 59 = 0 THEN event_id + 1 ELS
 
 def _package(d):
     lst = "list_value" if d == "duckdb" else "array"
-    return (f"{PACKAGE_SCALARS}, {array_of(d, '(1 + event_id % 3)', SAMPLES)} AS samples, {array_of(d, '(2 + event_id % 4)', OBS)} AS observations, "
+    return (f"{PACKAGE_SCALARS}, {array_of(d, '(1 + event_id % 3)', SAMPLES)} AS samples, {array_of(d, '(2 + event_id % 4)', OBS, 5)} AS observations, "
             f"{lst}('Video/mp4', CASE WHEN event_id % 67 = 0 THEN 'audio/wav' ELSE 'image/png' END) AS media_types")
 
 

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from evidencelens.catalog import query
 from evidencelens.catalog.contracts import DEEP_SQL, DUP, UN, collect_rules
-from evidencelens.docs_view import ISO
+from evidencelens.docs_view import ISO, first_items
 from evidencelens.operators import record_contracts as rc
 from evidencelens.operators.record_schemas import EPISODE, PLAN
-from evidencelens.operators.schemas import Flag, Free, Items, Number, Text, columns
+from evidencelens.operators.schemas import Flag, Free, Items, Number, Record, Text, ddl
 from evidencelens.views import spread, table
 
 # ---- the schema in SQL ---------------------------------------------------------------------------
@@ -85,7 +85,9 @@ class Writer:
         return f"{'array' if self.spark else 'list_value'}({', '.join(items)})"
 
     def many(self, n: str, i: str, item: str) -> str:
-        return f"transform(sequence(0, CAST({n} AS INT) - 1), {i} -> {item})" if self.spark else f"list_transform(range(CAST({n} AS BIGINT)), lambda {i}: {item})"
+        """``n`` items, 1 to 3."""
+        most = {"1": 1, "2": 2, "(1 + E % 2)": 2}.get(n, 3)
+        return first_items(n, i, item, most, "{}") if self.spark else f"list_transform(range(CAST({n} AS BIGINT)), lambda {i}: {item})"
 
     def emptied(self, items: str) -> str:
         """Without items on some rows."""
@@ -187,9 +189,22 @@ def sql_records(fields: dict) -> str:
     return "SELECT E AS row_id, " + ",\n ".join(f"{v} AS {k}" for k, v in fields.items()) + " FROM (SELECT event_id AS E, user_id, ts FROM events)"
 
 
+def declared(v, have, spec):
+    """``v`` of type ``have`` in the declared type: fields by name, those that are left out NULL."""
+    if have.simpleString() == "void" or have.simpleString().replace(" ", "") == ddl(spec).replace(" ", ""):
+        return v.cast(ddl(spec))
+    if isinstance(spec, Record):
+        parts = {n: declared(v[n], have[n].dataType, s) if n in have.names else F.lit(None).cast(ddl(s)) for n, s in spec.fields.items()}
+        return F.when(v.isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
+    if isinstance(spec, Items):
+        return F.transform(v, lambda x: declared(x, have.elementType, spec.of))
+    return v.cast(ddl(spec))
+
+
 def typed(docs, spec):
-    """Columns cast to the declared types; fields that the documents leave out are NULL."""
-    return docs.select("row_id", F.from_json(F.to_json(F.struct(*[c for c in docs.columns if c != "row_id"])), columns(spec)).alias("d")).select("row_id", "d.*")
+    """Columns in the declared types; fields that the documents leave out are NULL."""
+    have = {f.name: f.dataType for f in docs.schema.fields}
+    return docs.select("row_id", *[(declared(F.col(n), have[n], s) if n in have else F.lit(None).cast(ddl(s))).alias(n) for n, s in spec.fields.items()])
 
 
 def joined(df):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidencelens.functions import iso_micros
 from evidencelens.operators.contracts import rule, rules, validate_plans, with_episode_errors
 from evidencelens.operators.record_schemas import EPISODE, PLAN
-from evidencelens.operators.schemas import Free, Items, Record, ddl, table_problems
+from evidencelens.operators.schemas import Free, Items, Record, ddl, with_problems
 from evidencelens.sources.documents import flatten_episodes
 
 #: What a time-zero snapshot says of itself, and the parts of the context that it repeats.
@@ -20,7 +20,7 @@ SNAPSHOT_FIELDS = ("location", "objects", "social", "environment")
 
 def validate_documents(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Flat rows of nested episode documents with ``errors``: broken schema rules, or, for a sound record, broken rules between its fields."""
-    staged = docs.withColumn("__schema", F.array_sort(F.array_distinct(table_problems(EPISODE))))
+    staged = with_problems(docs, EPISODE, "__schema")
     flat = with_episode_errors(flatten_episodes(staged, [*keep, "__schema"]), "__deep")
     return flat.withColumn("errors", F.when(F.size("__schema") > 0, F.col("__schema")).otherwise(F.col("__deep"))).drop("__schema", "__deep")
 
@@ -29,8 +29,8 @@ def validate_plan_documents(plans: DataFrame, keep: Sequence[str] = ()) -> DataF
     """Prospective plans as nested records: broken schema rules, or, for a sound plan, broken rules between its fields."""
     entry = lambda name: F.try_element_at(F.col("action.parameters"), F.lit(name))
     flag = lambda name: F.lower(entry(name)).try_cast("boolean")
-    flat = plans.select(
-        *keep, F.array_sort(F.array_distinct(table_problems(PLAN))).alias("__schema"), "plan_id", "event_id", "phase", "recorded_offset_ms", F.col("action.scheduled_offset_ms").alias("scheduled_offset_ms"),
+    flat = with_problems(plans, PLAN, "__schema").select(
+        *keep, "__schema", "plan_id", "event_id", "phase", "recorded_offset_ms", F.col("action.scheduled_offset_ms").alias("scheduled_offset_ms"),
         F.col("action.action_type").alias("action_type"), "hypotheses", F.transform("predictions", lambda p: p["hypothesis_ref"]).alias("predictions"),
         flag("feeding_due").alias("feeding_due"), flag("necessary_care_pending").alias("care_pending"), entry("duration_ms").try_cast("long").alias("duration_ms"),
         F.coalesce("selection_policy", F.lit("naturalistic")).alias("policy"))

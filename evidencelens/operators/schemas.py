@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,57 +83,71 @@ def columns(spec: Record) -> str:
     return ", ".join(f"{n} {ddl(s)}" for n, s in spec.fields.items())
 
 
-def _code(path: str, keyword: str, bad: Column) -> Column:
-    return F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{path}:{keyword}"))
+def _checks(spec: object, v: Column, path: str, sure: bool = False) -> tuple[list[tuple[Column, str]], list[tuple[Column, Callable[[], Column]]]]:
+    """((condition, code) pairs, (condition, maker of an array of codes) pairs) of a value; ``path`` leads to it.
 
-
-def _checks(spec: object, v: Column, path: str) -> tuple[list[Column], list[Column]]:
-    """(codes or NULL, arrays of codes) of a value that may be NULL; ``path`` leads to it."""
+    A condition that is NULL does not hold. Arrays of codes are made only where their condition holds. ``sure``: the value is not NULL.
+    """
     if isinstance(spec, Text):
-        out = [_code(path, "minLength", F.length(v) < spec.min_length)] if spec.min_length else []
-        out += [_code(path, "enum", ~v.isin(*spec.enum))] if spec.enum else []
-        out += [_code(path, "const", v != spec.const)] if spec.const is not None else []
-        return out + ([_code(path, spec.keyword, v.isNotNull() & spec.bad(v))] if spec.bad else []), []
+        out = [(F.length(v) < spec.min_length, f"{path}:minLength")] if spec.min_length else []
+        out += [(reduce(and_, [v != e for e in spec.enum]), f"{path}:enum")] if spec.enum else []
+        out += [(v != spec.const, f"{path}:const")] if spec.const is not None else []
+        return out + ([(v.isNotNull() & spec.bad(v), f"{path}:{spec.keyword}")] if spec.bad else []), []
     if isinstance(spec, Number):
         real = ~F.isnan(v.cast("double"))  # NaN is in no order; whether it may occur is a rule of its own
-        out = [_code(path, "minimum", real & (v < spec.low))] if spec.low is not None else []
-        return out + ([_code(path, "maximum", real & (v > spec.high))] if spec.high is not None else []), []
+        out = [((v < spec.low) & real, f"{path}:minimum")] if spec.low is not None else []
+        return out + ([((v > spec.high) & real, f"{path}:maximum")] if spec.high is not None else []), []
     if isinstance(spec, Flag):
-        return ([_code(path, "const", v != spec.const)] if spec.const is not None else []), []
+        return ([(v != spec.const, f"{path}:const")] if spec.const is not None else []), []
     if isinstance(spec, Items):
-        out = [_code(path, "minItems", F.size(v) < spec.min_items)] if spec.min_items else []
-        out += [_code(path, "uniqueItems", F.size(F.array_distinct(v)) < F.size(v))] if spec.unique else []
+        out = [(F.size(v) < spec.min_items, f"{path}:minItems")] if spec.min_items else []
+        out += [(F.size(F.array_distinct(v)) < F.size(v), f"{path}:uniqueItems")] if spec.unique else []
         lead = F.lit(path + ".")
 
         def item(x: Column, i: Column) -> Column:
-            found = F.when(x.isNull(), F.array(F.lit(":type"))).otherwise(problems(spec.of, x))
+            found = F.when(x.isNull(), F.array(F.lit(":type"))).otherwise(problems(spec.of, x, sure=True))
             return F.transform(found, lambda e: F.concat(lead, i.cast("string"), F.when(e.startswith(":"), e).otherwise(F.concat(F.lit("."), e))))
 
-        return out, [F.coalesce(F.flatten(F.transform(v, item)), F.array().cast("array<string>"))]
+        return out, [(F.exists(v, lambda x: x.isNull() | broken(spec.of, x, sure=True)), lambda: F.flatten(F.transform(v, item)))]
     if isinstance(spec, Record):
         singles, arrays = [], []
         lead = f"{path}." if path else ""
         for name, part in spec.fields.items():
             own = v[name]
             if name in spec.required:
-                singles.append(_code(lead + name, "required", v.isNotNull() & own.isNull()))
+                singles.append((own.isNull() if sure else v.isNotNull() & own.isNull(), f"{lead}{name}:required"))
             s, a = _checks(part, own, lead + name)
             singles, arrays = singles + s, arrays + a
         for rule in spec.rules:
             here = v[rule.field] == rule.const
-            singles += [_code(lead + n, "required", here & v[n].isNull()) for n in rule.require]
-            singles += [_code(lead + n, "not", here & v[n].isNotNull()) for n in rule.forbid]
+            singles += [(here & v[n].isNull(), f"{lead}{n}:required") for n in rule.require]
+            singles += [(here & v[n].isNotNull(), f"{lead}{n}:not") for n in rule.forbid]
         return singles, arrays
     return [], []
 
 
-def problems(spec: object, value: Column) -> Column:
+def broken(spec: object, value: Column, sure: bool = False) -> Column:
+    """Whether ``value`` breaks any rule; NULL or false if none. No codes are made, so a sound value costs its conditions only."""
+    singles, arrays = _checks(spec, value, "", sure)
+    return reduce(or_, [c for c, _ in [*singles, *arrays]], F.lit(False))
+
+
+def problems(spec: object, value: Column, sure: bool = False) -> Column:
     """Codes of all rules that ``value`` breaks, not NULL."""
-    singles, arrays = _checks(spec, value, "")
-    found = F.array_compact(F.array(*singles)) if singles else F.array().cast("array<string>")
-    return F.concat(found, *arrays) if arrays else found
+    singles, arrays = _checks(spec, value, "", sure)
+    none = F.array().cast("array<string>")
+    codes = F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in singles])) if singles else none
+    found = F.when(reduce(or_, [c for c, _ in singles]), codes).otherwise(none) if singles else none
+    return F.concat(found, *[F.when(c, make()).otherwise(none) for c, make in arrays]) if arrays else found
 
 
 def table_problems(spec: Record) -> Column:
     """:func:`problems` of a table whose columns are the fields of ``spec``."""
     return problems(spec, F.struct(*[F.col(n) for n in spec.fields]))
+
+
+def with_problems(df: DataFrame, spec: Record, name: str) -> DataFrame:
+    """``df`` with the sorted distinct codes of :func:`table_problems`; they are found in a projection of their own, and few rows have any to sort."""
+    found = F.col("__found")
+    several = F.when(F.size(found) > 1, F.array_sort(F.array_distinct(found))).otherwise(found)
+    return df.withColumn("__found", table_problems(spec)).withColumn(name, several).drop("__found")
