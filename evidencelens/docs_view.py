@@ -25,10 +25,11 @@ def _render(dialect: str, text: str) -> str:
 def first_items(count: str, i: str, item: str, most: int, position: str) -> str:
     """The first ``count`` (1 to ``most``) of ``most`` items, each written out with its position in the place of ``i``.
 
-    Written out they are compiled with their projection; in a lambda they would be interpreted, at several times the cost.
+    Written out they are compiled; in a lambda they would be interpreted, at several times the cost. The count goes through a lambda on
+    purpose: a projection that has one is compiled in many small methods, where a whole stage would be one method too large for the JVM's compiler.
     """
     items = ", ".join(re.sub(rf"\b{i}\b", position.format(k), item) for k in range(most))
-    return f"slice(array({items}), 1, CAST({count} AS INT))"
+    return f"slice(array({items}), 1, aggregate(array(CAST({count} AS INT)), 0, (none, n) -> n))"
 
 
 def array_of(dialect: str, count: str, fields: dict[str, str], most: int = 3) -> str:

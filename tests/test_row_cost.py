@@ -30,3 +30,21 @@ def test_codes_of_an_array_are_made_behind_a_test(spark):
     spec = records.rc.Items(records.rc.Record({"a": records.Text(min_length=1, enum=("y", "z")), "n": records.rc.Items(records.Text(min_length=1), unique=True)}, ("a",)))
     box = records.rc.Record({"v": spec})
     assert one.select(problems(box, F.struct("v")).alias("e")).first()["e"] == ["v.0.a:enum", "v.0.n:uniqueItems", "v.1:type", "v.2.a:required", "v.2.n.0:minLength"]
+
+
+def test_history_documents_are_evaluated_once(spark):
+    from evidencelens.docs_view import documents
+    from evidencelens.plans.history import history_feature_rows
+
+    text = plan_of(history_feature_rows(documents(spark, SMALL)))
+    assert "events.parquet" not in text and "human_actions" not in text and "objects" not in text.replace("n_objects", "")
+
+
+def test_words_of_a_keyword_are_one_pattern(spark):
+    from evidencelens.functions import keyword_category, keyword_flags
+
+    rows = spark.sql("SELECT explode(array('Garden Gate', 'pet-contact', 'open  window', 'x', NULL, 'play meal')) AS t")
+    text = rows.select(keyword_category("t").alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("lower(") == 4
+    out = rows.select("t", keyword_category("t").alias("c"), keyword_flags("t")["door"].alias("door")).collect()
+    assert [(r["c"], r["door"]) for r in out] == [("access", True), ("social", False), ("access", True), (None, False), (None, False), ("food", False)]
