@@ -284,7 +284,8 @@ def history_rows_absent(spark, sf):
 
 def nested_json(docs):
     """The flat documents in the nested form of episode files."""
-    items = lambda c, f: F.transform(c, f)
+    # Named twice, an array stays a column of the projection below, where it is compiled; as a lambda's argument it would be interpreted.
+    items = lambda c, f: F.when(F.col(c).isNotNull(), F.transform(c, f)) if isinstance(c, str) else F.transform(c, f)
     return docs.select(
         "schema_version", F.col("event_id").cast("string").alias("event_id"), "episode_id", F.col("subject_id").cast("string").alias("subject_id"), F.col("household_id").cast("string").alias("household_id"), "missing_modalities",
         F.struct("start_time", "end_time", F.lit(0).alias("start_offset_ms"), "end_offset_ms").alias("time"), "hypotheses", "human_actions",

@@ -1,10 +1,12 @@
 """Whole records against their declared schema: nested documents in which every rule fails somewhere, and the same rules rendered for SQL."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from evidencelens.catalog import query
 from evidencelens.catalog.contracts import DEEP_SQL, DUP, UN, collect_rules
-from evidencelens.docs_view import ISO, first_items
+from evidencelens.docs_view import ISO
 from evidencelens.operators import record_contracts as rc
 from evidencelens.operators.record_schemas import EPISODE, PLAN
 from evidencelens.operators.schemas import Flag, Free, Items, Number, Record, Text, ddl
@@ -85,9 +87,10 @@ class Writer:
         return f"{'array' if self.spark else 'list_value'}({', '.join(items)})"
 
     def many(self, n: str, i: str, item: str) -> str:
-        """``n`` items, 1 to 3."""
+        """``n`` items, 1 to 3; for Spark each is written out."""
         most = {"1": 1, "2": 2, "(1 + E % 2)": 2}.get(n, 3)
-        return first_items(n, i, item, most, "{}") if self.spark else f"list_transform(range(CAST({n} AS BIGINT)), lambda {i}: {item})"
+        written = lambda: ", ".join(re.sub(rf"\b{i}\b", str(k), item) for k in range(most))
+        return f"slice(array({written()}), 1, CAST({n} AS INT))" if self.spark else f"list_transform(range(CAST({n} AS BIGINT)), lambda {i}: {item})"
 
     def emptied(self, items: str) -> str:
         """Without items on some rows."""

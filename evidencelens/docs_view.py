@@ -28,7 +28,8 @@ def first_items(count: str, i: str, item: str, most: int, position: str) -> str:
     Written out they are compiled; in a lambda they would be interpreted, at several times the cost. The count goes through a lambda on
     purpose: a projection that has one is compiled in many small methods, where a whole stage would be one method too large for the JVM's compiler.
     """
-    items = ", ".join(re.sub(rf"\b{i}\b", position.format(k), item) for k in range(most))
+    one = [re.sub(rf"\b{i}\b", position.format(k), item) for k in range(most)]
+    items = ", ".join([one[0], *[f"CASE WHEN {count} > {k} THEN {x} END" for k, x in enumerate(one[1:], 1)]])
     return f"slice(array({items}), 1, aggregate(array(CAST({count} AS INT)), 0, (none, n) -> n))"
 
 

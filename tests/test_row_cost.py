@@ -48,3 +48,11 @@ def test_words_of_a_keyword_are_one_pattern(spark):
     assert text.count("lower(") == 4
     out = rows.select("t", keyword_category("t").alias("c"), keyword_flags("t")["door"].alias("door")).collect()
     assert [(r["c"], r["door"]) for r in out] == [("access", True), ("social", False), ("access", True), (None, False), (None, False), ("food", False)]
+
+
+def test_made_arrays_are_columns_below_the_nested_form(spark):
+    from evidencelens.catalog.history import nested_json
+    from evidencelens.docs_view import sparse_documents
+
+    text = plan_of(nested_json(sparse_documents(spark, SMALL)))
+    assert "transform(observations#" in text and "transform(outcomes#" in text and "sequence(" not in text
