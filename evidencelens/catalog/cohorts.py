@@ -211,8 +211,12 @@ def ablation(spark, sf):
     episodes = episodes.where("NOT (report_id = 3 AND row_id = 'V' AND event_id % 400 = 3) AND NOT (report_id = 5 AND row_id = 'BA')").drop("event_id")
     episodes = episodes.unionByName(episodes.where("report_id = 7 AND row_id = 'A' AND episode_id = 'ep7'"))
     ids = e.select("report_id").distinct()
-    digest = co.id_set_digest(episodes.distinct(), ["report_id", "row_id"], "episode_id").select("report_id", "row_id", "digest")
-    rows = ids.select("report_id", sp.alias("s")).select("report_id", "s.*").join(digest, ["report_id", "row_id"], "left").where("NOT (report_id = 9 AND row_id = 'VA')").selectExpr(
+    # What a report declares: the digest of its episodes, which all of its rows share but V of report 3 and BA of report 5.
+    own = F.filter(F.array(F.lit("all"), F.when((F.col("report_id") == 3) & (F.col("event_id") % 400 != 3), "V")), lambda x: x.isNotNull())
+    sets = co.id_set_digest(e.select("report_id", F.explode(own).alias("of"), F.concat(F.lit("ep"), "event_id").alias("episode_id")), ["report_id", "of"], "episode_id", unique=True)
+    of = F.when((F.col("report_id") == 3) & (F.col("row_id") == "V"), "V").when((F.col("report_id") == 5) & (F.col("row_id") == "BA"), F.lit(None)).otherwise("all")
+    digest = sets.select("report_id", "of", "digest")
+    rows = ids.select("report_id", sp.alias("s")).select("report_id", "s.*").withColumn("of", of).join(digest, ["report_id", "of"], "left").where("NOT (report_id = 9 AND row_id = 'VA')").selectExpr(
         "report_id", "row_id", "IF(report_id = 11 AND row_id = 'BVA-V', 'predictive', mode) AS mode", "IF(report_id = 13 AND row_id = 'B0', array('V1'), inputs) AS inputs",
         "IF(report_id = 15 AND row_id = 'V', 'x', concat('split-manifest-', report_id)) AS split_sha256", "CASE row_id WHEN 'BVA-V' THEN 'BVA/V1' WHEN 'BVA-A' THEN IF(report_id = 31, 'BVA/V1', 'BVA/A1') END AS stress",
         "IF(report_id = 33 AND row_id = 'B0', 'other/60', 'signalling_terminated/60') AS row_target", "IF(report_id = 17 AND row_id = 'A', 'x', digest) AS declared_sha256")

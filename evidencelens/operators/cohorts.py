@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +30,13 @@ STRESS = {"BVA-V": ("BVA", "V1"), "BVA-A": ("BVA", "A1")}
 RESAMPLING_UNITS = ("subject", "household", "day", "session")
 
 
-def id_set_digest(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+def id_set_digest(df: DataFrame, keys: Sequence[str], id_col: str, unique: bool = False) -> DataFrame:
     """Count and SHA-256 of the sorted ids joined by newlines, per key, in one form at every size.
 
     Ids are dealt and sorted by ranges of (key, id), so a large set fills many tasks, each of which joins its ids into blocks of text.
     Only the digest itself is sequential: one task per key takes the finished blocks in order, in constant memory.
+    ``unique``: ids given more than once count once, and ``repeated`` says whether there were any. Copies of an id meet in its range,
+    so they need no grouping of their own.
     """
     keys = list(keys)
     ids = df.select(*keys, F.col(id_col).cast("string").alias("__id")).where(F.col("__id").isNotNull())
@@ -39,27 +44,41 @@ def id_set_digest(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     kept = [(k, ids.schema[k].dataType.simpleString()) for k in keys]
     width = len(keys)
 
+    def changes(column):
+        """Whether each value but the first differs from the one before; nulls are alike."""
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        return ~same.to_numpy(zero_copy_only=False)
+
     def blocks(batches):
-        """Sorted rows to (keys, task, part, n, text) blocks of at most about 1 MB."""
-        task, part, key, rows, size = TaskContext.get().partitionId(), 0, None, [], 0
-        schema = None
+        """Sorted rows to (keys, task, part, n, n_repeated, text) blocks of at most about 1 MB."""
+        task, part, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            schema = batch.schema
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and (row[:width] != key or size >= 1 << 20):
-                    out.append((*key, task, part, len(rows), "\n".join(rows)))
-                    part, rows, size = part + 1, [], 0
-                key = row[:width]
-                rows.append(row[width])
-                size += len(row[width])
-            yield table(out, schema)
-        if rows:
-            yield table([(*key, task, part, len(rows), "\n".join(rows))], schema)
-
-    def table(rows, schema):
-        types = [schema.field(i).type for i in range(width)] + [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [*keys, "__task", "__part", "__n", "__text"])
+            rows = batch.num_rows
+            if not rows:
+                continue
+            columns = batch.columns
+            if last is not None:
+                columns = [pa.concat_arrays([x, c]) for x, c in zip(last, columns)]
+            else:
+                columns = [pa.concat_arrays([c.slice(0, 1), c]) for c in columns]
+            keyed = reduce(np.logical_or, [changes(c) for c in columns[:width]], np.zeros(rows, bool))
+            again = ~(keyed | changes(columns[width])) if unique else np.zeros(rows, bool)
+            if last is None:
+                again[0] = False
+            last = [c.slice(rows) for c in columns]
+            size = np.cumsum(np.where(again, 0, np.asarray(pc.binary_length(batch.column(width)))))
+            keyed[0] = True
+            keyed[1:] |= size[1:] >> 20 != size[:-1] >> 20
+            starts = np.flatnonzero(keyed)
+            fresh = np.concatenate(([0], np.cumsum(~again)))[np.append(starts, rows)]
+            texts = batch.column(width).filter(pa.array(~again))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(fresh, pa.int32()), texts), pa.scalar("\n", texts.type)).cast(pa.string())
+            n = np.diff(fresh)
+            numbers = [np.full(len(starts), task), part + np.arange(len(starts)), n, np.diff(np.append(starts, rows)) - n]
+            part += len(starts)
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays([c.take(at) for c in batch.columns[:width]] + [pa.array(v, pa.int64()) for v in numbers] + [joined], [*keys, "__task", "__part", "__n", "__more", "__text"])
 
     def digests(batches):
         key, state, schema, done = None, None, None, []
@@ -67,24 +86,28 @@ def id_set_digest(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
             schema = batch.schema
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is not None and row[:width] != key:
-                    done.append((*key, state[0], state[1].hexdigest()))
+                    done.append((*key, state[0], state[1].hexdigest(), state[2]))
                     state = None
+                n, more, text = row[width + 2 :]
                 if state is None:
-                    key, state = row[:width], [0, hashlib.sha256()]
-                else:
-                    state[1].update(b"\n")
-                state[0] += row[width + 2]
-                state[1].update(row[width + 3].encode())
+                    key, state = row[:width], [0, hashlib.sha256(), False]
+                state[2] |= more > 0
+                if n:
+                    if state[0]:
+                        state[1].update(b"\n")
+                    state[0] += n
+                    state[1].update(text.encode())
         if state is not None:
-            done.append((*key, state[0], state[1].hexdigest()))
+            done.append((*key, state[0], state[1].hexdigest(), state[2]))
         if done:
-            types = [schema.field(i).type for i in range(width)] + [pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], [*keys, "n_ids", "digest"])
+            types = [schema.field(i).type for i in range(width)] + [pa.int64(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], [*keys, "n_ids", "digest", "repeated"])
 
     columns = "".join(f"`{k}` {t}, " for k, t in kept)
-    cut = ids.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, f"{columns}__task long, __part long, __n long, __text string")
+    cut = ids.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, f"{columns}__task long, __part long, __n long, __more long, __text string")
     dealt = cut.repartition(*keys) if keys else cut.repartition(1)  # an exchange of its own: the blocks above keep their ranges
-    return dealt.sortWithinPartitions(*keys, "__task", "__part").mapInArrow(digests, f"{columns}n_ids long, digest string")
+    out = dealt.sortWithinPartitions(*keys, "__task", "__part").mapInArrow(digests, f"{columns}n_ids long, digest string, repeated boolean")
+    return out if unique else out.drop("repeated")
 
 
 def package_counts(obs: DataFrame, keys: Sequence[str], sample: Sequence[str] = ()) -> DataFrame:
@@ -254,13 +277,15 @@ def validate_ablation_reports(reports: DataFrame, rows: DataFrame, metrics: Data
     spec = F.array(*[F.struct(F.lit(r).alias("row_id"), F.lit(mode).alias("want_mode"), F.lit(",".join(sorted(inputs))).alias("want_inputs"),
                               F.lit("/".join(STRESS[r]) if r in STRESS else None).cast("string").alias("want_stress")) for r, (mode, inputs) in ABLATION_ROWS.items()])
     want = reports.select("report_id", "split_sha256", F.explode(spec).alias("w")).select("report_id", "split_sha256", "w.*")
-    counts = episodes.groupBy("report_id", "row_id", "episode_id").agg(F.count(F.lit(1)).alias("c")).groupBy("report_id", "row_id").agg(
-        F.bool_or(F.col("c") > 1).alias("dup"))
-    digest = id_set_digest(episodes.select("report_id", "row_id", "episode_id").distinct(), ["report_id", "row_id"], "episode_id")
+    # One sort of the ids finds the digest and the repeated ones; rows without an id only count as such.
+    cohort = id_set_digest(episodes, ["report_id", "row_id"], "episode_id", unique=True)
+    nameless = episodes.where("episode_id IS NULL").groupBy("report_id", "row_id").agg(F.count(F.lit(1)).alias("nameless"))
+    cohort = cohort.join(nameless, ["report_id", "row_id"], "full_outer").select(
+        "report_id", "row_id", "digest", (F.coalesce("repeated", F.lit(False)) | (F.coalesce("nameless", F.lit(0)) > 1)).alias("dup"))
     m = metrics_wide(metrics)
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     j = (want.join(rows.withColumn("present", F.lit(True)).withColumnRenamed("split_sha256", "row_split"), ["report_id", "row_id"], "left")
-         .join(counts, ["report_id", "row_id"], "left").join(digest, ["report_id", "row_id"], "left").join(m, ["report_id", "row_id"], "left"))
+         .join(cohort, ["report_id", "row_id"], "left").join(m, ["report_id", "row_id"], "left"))
     here = F.col("present").isNotNull()
     item = rules(
         rule("row_missing", ~here), rule("mode_differs", here & (F.col("mode") != F.col("want_mode"))), rule("inputs_differ", here & (F.array_join(F.array_sort("inputs"), ",") != F.col("want_inputs"))),
