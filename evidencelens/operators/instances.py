@@ -386,8 +386,8 @@ def validate_curves(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when((F.abs("u0.u") > 1e-9) | (F.abs(F.col("u1.u") - 1) > 1e-9), F.lit("u_ends_not_0_1")))).alias("errors"))
 
 
-def resample_curve(curve: DataFrame, keys: Sequence[str], n: int = 32) -> DataFrame:
-    """``n`` points at equal arc length; every segment emits the targets that fall on it.
+def _points(curve: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Samples of the curves with ``points``: the targets (j, x, y) at equal arc length that fall on the segment after a sample.
 
     A curve is one frame's centreline, a few dozen samples, so its window is small.
     """
@@ -396,35 +396,57 @@ def resample_curve(curve: DataFrame, keys: Sequence[str], n: int = 32) -> DataFr
     seg = seg.withColumn("d", F.coalesce(dist2("x", "y", "nx", "ny"), F.lit(0.0)))
     seg = seg.withColumns({"c1": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)),
                            "total": F.sum("d").over(Window.partitionBy(*keys)), "m": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    seg = seg.where("nx IS NOT NULL").withColumn("c0", F.coalesce(F.lag("c1").over(w), F.lit(0.0)))
+    # Only samples with a successor have a segment; the length before it is that of the last such sample.
+    before = F.last(F.when(F.col("nx").isNotNull(), F.col("c1")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seg = seg.withColumn("c0", F.coalesce(before, F.lit(0.0)))
     at = lambda j: F.col("total") * j / F.lit(float(n - 1))
     flat = F.col("total") <= 1e-12
     mine = lambda j: F.when(flat, F.col("k") == 1).otherwise(
         ((F.col("k") == 1) | (at(j) > F.col("c0"))) & ((F.col("k") == F.col("m") - 1) | (at(j) <= F.col("c1"))))
-    out = seg.withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), mine)))
-    alpha = F.when(flat | (F.col("d") <= 1e-12), F.lit(0.0)).otherwise((at(F.col("j")) - F.col("c0")) / F.col("d"))
-    return out.select(*keys, F.col("j").cast("long").alias("j"), (F.col("x") + alpha * (F.col("nx") - F.col("x"))).alias("x"),
-                      (F.col("y") + alpha * (F.col("ny") - F.col("y"))).alias("y"))
+    alpha = lambda j: F.when(flat | (F.col("d") <= 1e-12), F.lit(0.0)).otherwise((at(j) - F.col("c0")) / F.col("d"))
+    # A segment is tried with the targets around it, one more on either side for rounding; a length that is no number with all.
+    place = lambda c: F.col(c) * F.lit(float(n - 1)) / F.col("total")
+    usual = (F.col("total") > 1e-12) & (F.col("total") < 1e300)
+    lo = F.when(usual & (F.col("k") > 1), F.greatest(F.lit(0), F.floor(place("c0")).cast("int") - 1)).otherwise(F.lit(0))
+    hi = F.when(usual & (F.col("k") < F.col("m") - 1), F.least(F.lit(n - 1), F.ceil(place("c1")).cast("int") + 1)).otherwise(F.lit(n - 1))
+    point = lambda j: F.struct(j.cast("long").alias("j"), (F.col("x") + alpha(j) * (F.col("nx") - F.col("x"))).alias("x"), (F.col("y") + alpha(j) * (F.col("ny") - F.col("y"))).alias("y"))
+    return seg.withColumn("points", F.when(F.col("nx").isNotNull(), F.transform(F.filter(F.sequence(F.least(lo, hi), hi), mine), point)))
+
+
+def resample_curve(curve: DataFrame, keys: Sequence[str], n: int = 32) -> DataFrame:
+    """``n`` points at equal arc length; every segment emits the targets that fall on it."""
+    return _points(curve, keys, n).select(*keys, F.explode("points").alias("p")).select(*keys, "p.j", "p.x", "p.y")
 
 
 def curve_error(ref: DataFrame, pred: DataFrame, keys: Sequence[str], diagonal: float, n: int = 32) -> DataFrame:
-    """Base, tip and ordered-curve error / diagonal, the latter only for fully observable references."""
-    seen = lambda c: F.col(c).isin(*OBSERVABLE)
-    def ends(df: DataFrame, t: str) -> DataFrame:
-        pt = F.struct("x", "y", seen("visibility").alias("seen"))
-        return df.groupBy(*keys).agg(F.min_by(pt, "pos").alias(f"{t}_base"), F.max_by(pt, "pos").alias(f"{t}_tip"),
-                                     F.avg(seen("visibility").cast("double")).alias(f"{t}_observable"), F.count(F.lit(1)).alias(f"{t}_n"))
-    e = ends(ref, "r").join(ends(pred, "p"), list(keys))
-    q = resample_curve(pred, keys, n).select(*keys, "j", F.col("x").alias("px"), F.col("y").alias("py"))
-    d = resample_curve(ref, keys, n).join(q, [*keys, "j"]).groupBy(*keys).agg(
-        F.avg(dist2("x", "y", "px", "py")).alias("mean_d"), F.max(dist2("x", "y", "px", "py")).alias("max_d"))
-    j = e.join(d, list(keys), "left")
+    """Base, tip and ordered-curve error / diagonal, the latter only for fully observable references.
+
+    Both curves' samples meet once, by curve; the points of a curve stay one array a side and are never dealt or sorted as rows.
+    """
+    keys = list(keys)
+    side = lambda df, pred: df.select(*keys, F.lit(pred).alias("__pred"), "pos", "x", "y", F.col("visibility").isin(*OBSERVABLE).alias("__seen"))
+    both = side(ref, False).unionByName(side(pred, True)).dropna(subset=keys).repartition(*keys)
+    own = Window.partitionBy(*keys).orderBy("__pred", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of = lambda pred, c: F.when(F.col("__pred") == pred, c)
+    pt = F.struct("x", "y", F.col("__seen").alias("seen"))
+    found = {"__k": F.row_number().over(Window.partitionBy(*keys).orderBy("__pred", "pos")), "r_observable": F.avg(of(False, F.col("__seen").cast("double"))).over(own)}
+    for t, pred_ in (("r", False), ("p", True)):
+        found |= {f"{t}_base": F.min_by(pt, of(pred_, F.col("pos"))).over(own), f"{t}_tip": F.max_by(pt, of(pred_, F.col("pos"))).over(own),
+                  f"{t}_n": F.count(of(pred_, F.lit(1))).over(own), f"{t}_points": F.flatten(F.collect_list(of(pred_, F.col("points"))).over(own))}
+    j = _points(both, [*keys, "__pred"], n).withColumns(found).where("__k = 1 AND r_n > 0 AND p_n > 0")
+    gap = lambda a, b: dist2(a["x"], a["y"], b["x"], b["y"])
+    places = lambda t: F.transform(f"{t}_points", lambda p: p["j"])
+    # Points of one place meet: side by side, or by search where a side lacks some.
+    pairs = F.when(places("r") == places("p"), F.zip_with("r_points", "p_points", gap)).otherwise(
+        F.flatten(F.transform("r_points", lambda a: F.transform(F.filter("p_points", lambda b: b["j"] == a["j"]), lambda b: gap(a, b)))))
+    full = F.col("r_observable") == 1.0
+    j = j.withColumn("__gaps", F.when(full, F.filter(pairs, lambda g: g.isNotNull())))
+    total = F.aggregate("__gaps", F.lit(0.0), lambda s, g: s + g)
     dia = F.lit(float(diagonal))
     end = lambda t: F.when(F.col(f"r_{t}.seen") & F.col(f"p_{t}.seen"),
                            dist2(F.col(f"r_{t}.x"), F.col(f"r_{t}.y"), F.col(f"p_{t}.x"), F.col(f"p_{t}.y")) / dia)
-    full = F.col("r_observable") == 1.0
     return j.select(*keys, F.col("r_observable").alias("observable_fraction"), end("base").alias("base_error"), end("tip").alias("tip_error"),
-                    F.when(full, F.col("mean_d") / dia).alias("curve_mean_error"), F.when(full, F.col("max_d") / dia).alias("curve_max_error"))
+                    F.when(F.size("__gaps") > 0, total / F.size("__gaps") / dia).alias("curve_mean_error"), (F.array_max("__gaps") / dia).alias("curve_max_error"))
 
 
 def align_frames(ref: DataFrame, pred: DataFrame, keys: Sequence[str] = SEQ) -> DataFrame:
