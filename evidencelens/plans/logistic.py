@@ -358,17 +358,17 @@ def _part(rows: pa.Table) -> Part:
 def _dealt(rows: DataFrame, mixed: bool) -> tuple[DataFrame, DataFrame | int]:
     """(rows dealt over tasks by lane, and either the number of lanes or the lanes of each group). ``rows``: written, with gs and uid.
 
-    The tasks grow with the rows, so that what a task sorts by lane does not.
+    The tasks grow with the rows, so that what a task sorts by lane does not. Rows are kept sorted by lane: a pass over kept lanes sorts nothing.
     """
     n = rows.count()
     tasks = [t for t in [tasks_for(rows.sparkSession, n)] if t]
     if mixed:
         lanes = max(-(-n // LANE_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 512)), 1)
-        return rows.withColumn("lane", F.pmod(F.xxhash64("uid"), F.lit(lanes)).cast("string")).repartition(*tasks, "lane"), lanes
+        return rows.withColumn("lane", F.pmod(F.xxhash64("uid"), F.lit(lanes)).cast("string")).drop("uid").repartition(*tasks, "lane").sortWithinPartitions("lane"), lanes
     parts = rows.groupBy("gs").agg(F.ceil(F.count(F.lit(1)) / LANE_ROWS).cast("int").alias("parts"))
-    dealt = rows.join(parts, "gs").withColumn("lane", F.concat_ws("#", "gs", F.pmod(F.xxhash64("uid"), "parts").cast("string"))).drop("parts")
+    dealt = rows.join(parts, "gs").withColumn("lane", F.concat_ws("#", "gs", F.pmod(F.xxhash64("uid"), "parts").cast("string"))).drop("parts", "gs", "uid")
     index = parts.select("gs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("gs", F.concat_ws("#", "gs", F.col("part").cast("string")).alias("lane"))
-    return dealt.repartition(*tasks, "lane"), index
+    return dealt.repartition(*tasks, "lane").sortWithinPartitions("lane"), index
 
 
 def _own_moments(rows: DataFrame, dim: int) -> DataFrame:
