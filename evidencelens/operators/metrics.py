@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelens.functions import finite_double
+from evidencelens.operators.permutation import packed_keys
 from evidencelens.operators.quantiles import exact_quantiles
 from evidencelens.operators.segments import hash_ranked, running
 
@@ -186,10 +187,13 @@ def feature_sets(columns: Sequence[str], meta: Sequence[str], duration_f0: Seque
             "all_acoustic": sorted({*interpretable, *mfcc})}
 
 
-def between_group_variance_ratio(df: DataFrame, group: str, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Mean over features of SSB/SST; features with SST <= 1e-12 are left out, 0 if none remains."""
+def between_group_variance_ratio(df: DataFrame, group: str, features: Sequence[str], keys: Sequence[str] = (), moments: bool = False) -> DataFrame:
+    """Mean over features of SSB/SST; features with SST <= 1e-12 are left out, 0 if none remains.
+
+    ``moments``: ``df`` holds a row per key and group instead, with rows, mean and variance of every feature as n_, m_ and v_.
+    """
     aggs = [a for f in features for a in (F.count(f).alias(f"n_{f}"), F.avg(f).alias(f"m_{f}"), F.var_pop(f).alias(f"v_{f}"))]
-    g = df.groupBy(*keys, group).agg(*aggs)
+    g = df if moments else df.groupBy(*keys, group).agg(*aggs)
     tot = []
     for f in features:
         n, m, v = F.col(f"n_{f}"), F.col(f"m_{f}"), F.col(f"v_{f}")
@@ -239,13 +243,18 @@ SLOT_BLOCK = 256
 
 
 def pseudo_groups(rows: DataFrame, seed: int, fold: Sequence[str], repeat: Column, group: str, path: str, keep: Sequence[str] = (), tasks: int | None = None,
-                  digits: int = 3) -> DataFrame:
+                  digits: int = 3, heads: Sequence[str] | None = None) -> DataFrame:
     """Group labels permuted within a fold, keeping the size of every group: fold, repeat, path, true_group, ``keep``, pseudo_group.
 
     Rows get a hash rank. The slots are the groups in order, each as long as its rows: a group's first and last slot follow from the sizes alone,
     and a row takes the group whose slots hold its rank, found by block of ranks. ``tasks``: over how many tasks the rows are dealt; ``digits``: of
     the digest that make a segment.
+
+    ``heads``: the beginnings of the digests' texts (``permutation.head``) of given folds and repeats. Then every row comes back once and whole, with
+    ``keys``: the first bytes of its digest under each, from which, and the sizes of the groups, ``permutation`` tells the same labels.
     """
+    if heads is not None:
+        return rows.withColumn("keys", packed_keys(heads, F.col(path)))
     base = rows.select(*fold, path, group, *keep).withColumn("repeat", repeat)
     parts = lambda *c: F.concat_ws("|", F.lit(str(seed)), *[F.col(x).cast("string") for x in c])
     keys = [*fold, "repeat"]

@@ -7,6 +7,8 @@ Leave-one-group-out needs one fit per group and model, households one per househ
   that a hot group fills as many lanes as it needs. A step sends the fits to the lanes they learn from, never the rows to the fits.
 * A lane adds the loss, gradient and Hessian of its rows for each of its fits into one packed vector; vectors are summed by fit in two
   levels, and the task that ends the sum solves the fit's step and writes its new row.
+* Fits with permuted groups (``Model.permuted``) are leave-one-group-out fits whose rows are centred by the mean of a permuted group. Rows carry a
+  few bytes of a digest for each fit of the block at hand; the label, the centre and the centred row are made in the lane, in every pass.
 * Categories are one index a feature and row. A fit has columns for the values its own training rows hold, found in its first pass, so a
   feature may have any number of values. Up to DENSE coefficients a step is Newton's; beyond, a limited-memory quasi-Newton step whose
   pass gathers by index and sends gradients and the Hessian's diagonal only. Both end at the same minimum.
@@ -26,9 +28,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidencelens.operators import permutation as pt
 from evidencelens.operators.segments import tasks_for
 from evidencelens.session import cut_lineage, materialise
 
@@ -37,6 +40,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of a lane, about; fits that are sent to the lanes together; partial sums of a fit that meet in one task, about.
 LANE_ROWS, BLOCK_FITS, FAN = 1 << 16, 512, 64
+#: Rows of a lane, about, whose rows carry the digests of a block of fits.
+KEYED_ROWS = 1 << 14
 #: Coefficients up to which a step is Newton's.
 DENSE = 400
 CHUNK = 4096
@@ -50,13 +55,14 @@ class Model:
     """What the fits of one name have in common. ``cols`` index the row's numbers, ``cats`` its category indices.
 
     ``tau`` None trains on x itself, otherwise on x minus a*mean_g + (1-a)*mu with a = n_g/(n_g+tau), where mean_g is the row's group mean
-    and mu the training mean; tau = 0 is plain group centring.
+    and mu the training mean; tau = 0 is plain group centring. ``permuted``: (seed, repeat) of the permuted labels by whose means it is centred.
     """
 
     name: str
     cols: Sequence[int]
     cats: Sequence[int] = ()
     tau: float | None = None
+    permuted: tuple[int, int] | None = None
 
 
 @dataclass
@@ -85,6 +91,27 @@ class Fit:
     supported: bool = True
     converged: bool = False
     active: bool = True
+    #: Permuted: rows of every group in order, the held-out one's place, that of the missing group (or -1), where the other groups begin (bucket and
+    #: place in it, then the row itself), the centres of the permuted groups, the moments of the true ones.
+    sizes: np.ndarray = field(default=None)
+    at: int = -1
+    missing: int = -1
+    begins: tuple = field(default=None)
+    bounds: np.ndarray = field(default=None)
+    centres: np.ndarray = field(default=None)
+    moments: tuple = field(default=None)
+
+    @property
+    def head(self) -> str:
+        return pt.head(self.model.permuted[0], self.group, self.model.permuted[1])
+
+    @property
+    def bits(self) -> int:
+        return pt.bits_for(len(self.sizes))
+
+    @property
+    def others(self) -> np.ndarray:
+        return np.delete(np.arange(len(self.sizes)), self.at)
 
     @property
     def dense(self) -> bool:
@@ -104,15 +131,21 @@ def group_text(c: Column) -> Column:
 
 @dataclass
 class Part:
-    """Rows of a lane: classes, numbers, category indices, and for centred models the moments of each row's group."""
+    """Rows of a lane: classes, numbers, category indices, for centred models the moments of each row's group, and for permuted ones the row's group,
+    the digest's first bytes under the fit, path and unique number, and the label once it is known."""
 
     y: np.ndarray
     x: np.ndarray
     c: np.ndarray
     own: tuple | None = None
+    at: np.ndarray | None = None
+    keyed: tuple | None = None
+    label: np.ndarray | None = None
 
     def of(self, mask: np.ndarray) -> Part:
-        return Part(self.y[mask], self.x[mask], self.c[mask], None if self.own is None else tuple(o[mask] for o in self.own))
+        one = lambda v: None if v is None else v[mask]
+        every = lambda v: None if v is None else tuple(o[mask] for o in v)
+        return Part(self.y[mask], self.x[mask], self.c[mask], every(self.own), one(self.at), every(self.keyed), one(self.label))
 
     def chunks(self) -> Iterator[Part]:
         for at in range(0, len(self.y), CHUNK):
@@ -120,7 +153,8 @@ class Part:
 
 
 def _filled(f: Fit, p: Part) -> np.ndarray:
-    return np.where(np.isnan(p.x), 0.0 if f.fill is None else f.fill, p.x)
+    z = np.where(np.isnan(p.x), 0.0 if f.fill is None else f.fill, p.x)
+    return z if f.centres is None or p.label is None else z - f.centres[p.label]
 
 
 def _centred(f: Fit, p: Part) -> np.ndarray:
@@ -239,8 +273,76 @@ def _spread(f: Fit, p: Part) -> tuple:
     return _moments(_centred(f, p))
 
 
+# ---- permuted groups -----------------------------------------------------------------------------
+
+
+def _outside(f: Fit, p: Part, key: np.ndarray) -> Part:
+    """The rows that a permuted fit learns from. Once its groups' first rows are known, with their labels; rows labelled as the missing group go."""
+    mask = p.at != f.at
+    if f.bounds is None:
+        return Part(p.y, p.x, p.c, None, p.at, (key, *p.keyed)).of(mask)
+    label = f.others[pt.places(f.bounds, f.head, key, *p.keyed)]
+    return Part(p.y, p.x, p.c, None, p.at, None, label).of(mask & (label != f.missing))
+
+
+def _bucket_counts(f: Fit, p: Part) -> np.ndarray:
+    return np.bincount(pt.buckets(p.keyed[0], f.bits), minlength=1 << f.bits)
+
+
+def _near_begins(f: Fit, p: Part) -> np.ndarray:
+    """The order of the rows in whose buckets a group begins."""
+    asked = np.zeros(1 << f.bits, bool)
+    asked[f.begins[0]] = True
+    hit = asked[pt.buckets(p.keyed[0], f.bits)]
+    return pt.words(f.head, p.keyed[1][hit], p.keyed[2][hit])
+
+
+def _label_sums(f: Fit, p: Part) -> np.ndarray:
+    """Rows, and sums of the filled numbers, of every label."""
+    z = _filled(f, p)
+    return np.stack([np.bincount(p.label, w, len(f.sizes)) for w in (None, *z.T)])
+
+
+def _group_moments(f: Fit, p: Part) -> tuple:
+    """Rows, mean and squared distances of the centred numbers in every true group."""
+    z, g = _filled(f, p), len(f.sizes)
+    n = np.bincount(p.at, minlength=g)[:, None]
+    mean = np.stack([np.bincount(p.at, v, g) for v in z.T], axis=1) / np.maximum(n, 1)
+    return n, mean, np.stack([np.bincount(p.at, v, g) for v in ((z - mean[p.at]) ** 2).T], axis=1)
+
+
+def _add_group_moments(a: tuple, b: tuple) -> tuple:
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / np.maximum(n, 1)), a[2] + b[2] + gap * gap * (a[0] * b[0] / np.maximum(n, 1))
+
+
 #: What a pass adds up for a fit, and how two sums meet.
-PASSES: dict[str, tuple[Callable, Callable]] = {"first": (_first, _add_first), "spread": (_spread, _add_moments), "step": (_contribution, np.add)}
+PASSES: dict[str, tuple[Callable, Callable]] = {
+    "first": (_first, _add_first), "spread": (_spread, _add_moments), "step": (_contribution, np.add),
+    "buckets": (_bucket_counts, np.add), "begins": (_near_begins, lambda a, b: np.concatenate([a, b])), "centres": (_label_sums, np.add),
+    "within": (_group_moments, _add_group_moments),
+}
+
+
+def _find_buckets(f: Fit, counts: np.ndarray | None) -> None:
+    f.supported = counts is not None
+    if f.supported:
+        f.begins = pt.starts_in(counts, f.sizes[f.others])
+
+
+def _find_bounds(f: Fit, found: np.ndarray | None) -> None:
+    f.bounds = np.zeros((0, 5), np.uint64) if found is None or not len(f.begins[0]) else pt.bounds(found, f.bits, *f.begins)
+    f.begins = None
+
+
+def _find_centres(f: Fit, sums: np.ndarray | None) -> None:
+    f.supported = sums is not None
+    if f.supported:
+        f.centres = (sums[1:] / np.maximum(sums[0], 1)).T
+
+
+def _keep_moments(f: Fit, moments: tuple | None) -> None:
+    f.moments = moments
 
 
 # ---- what becomes of a fit -----------------------------------------------------------------------
@@ -352,7 +454,17 @@ def _part(rows: pa.Table) -> Part:
     own = None
     if "own_rows" in rows.column_names:
         own = np.asarray(rows["own_rows"], float)[:, None], _matrix(rows["own_n"], float), _matrix(rows["own_mean"], float)
-    return Part(np.asarray(rows["y"], np.int64), _matrix(rows["x"], float), _matrix(rows["c"], np.int64), own)
+    part = Part(np.asarray(rows["y"], np.int64), _matrix(rows["x"], float), _matrix(rows["c"], np.int64), own)
+    if "keys" in rows.column_names:
+        part.at = np.asarray(rows["at"], np.int64)
+        part.keyed = np.array(rows["path"].to_pylist(), object), np.asarray(rows["uid"], np.int64)
+    return part
+
+
+def _keys(column: pa.ChunkedArray) -> np.ndarray:
+    """The digests' first bytes, a row for each fit of the block."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), f">u{pt.KEY_BYTES}").reshape(len(column), -1)
+    return np.ascontiguousarray(packed.T).astype(np.uint32)
 
 
 def _dealt(rows: DataFrame, mixed: bool) -> tuple[DataFrame, DataFrame | int]:
@@ -371,6 +483,22 @@ def _dealt(rows: DataFrame, mixed: bool) -> tuple[DataFrame, DataFrame | int]:
     return dealt.repartition(*tasks, "lane").sortWithinPartitions("lane"), index
 
 
+def _dealt_keyed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows dealt as mixed lanes that are small enough to carry the digests of a block of fits, a task a lane."""
+    n = rows.count()
+    lanes = max(-(-n // KEYED_ROWS), min(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-n // 512)), 1)
+    return rows.withColumn("lane", F.pmod(F.xxhash64("uid"), F.lit(lanes)).cast("string")).repartition(lanes, "lane").sortWithinPartitions("lane"), lanes
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """(gs, at, sizes, missing): each group's place in the order of groups, the rows of all, the place of the missing group; one row a group."""
+    sizes = rows.groupBy("gs").agg(F.min("g").alias("g"), F.count(F.lit(1)).alias("n"))
+    placed = sizes.withColumn("at", F.row_number().over(Window.orderBy("g", "gs")) - 1)
+    every = F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda s: s["n"])
+    missing = F.coalesce(F.max(F.when(F.col("gs") == NONE, F.col("at"))), F.lit(-1))
+    return placed.select("gs", "at").crossJoin(F.broadcast(placed.agg(every.alias("sizes"), missing.alias("missing"))))  # one row
+
+
 def _own_moments(rows: DataFrame, dim: int) -> DataFrame:
     """Rows with the size of their group and, per number, the count and mean of its finite values there."""
     value = lambda i: F.when(~F.isnan(F.col("x")[i]), F.col("x")[i])
@@ -381,8 +509,8 @@ def _own_moments(rows: DataFrame, dim: int) -> DataFrame:
     return rows.join(stats, "gs")
 
 
-def _passed(lanes: DataFrame, index: DataFrame | int, fits: DataFrame, kind: str, update: Callable) -> DataFrame:
-    """The active fits after ``update(fit, sum over their rows)``; ``kind`` names what is summed."""
+def _passed(lanes: DataFrame, index: DataFrame | int, fits: DataFrame, kind: str, update: Callable, order: dict | None = None) -> DataFrame:
+    """The active fits after ``update(fit, sum over their rows)``; ``kind`` names what is summed, ``order`` the place of permuted fits in the rows' keys."""
     take, add = PASSES[kind]
     mixed = isinstance(index, int)
     asked = fits.select("model", "gs", "state")
@@ -392,9 +520,10 @@ def _passed(lanes: DataFrame, index: DataFrame | int, fits: DataFrame, kind: str
         out = []
         if rows.num_rows and fits.num_rows:
             part, gs = _part(rows), np.asarray(rows["gs"]) if mixed else None
+            keys = _keys(rows["keys"]) if order else None
             for model, group, state in zip(*(fits[n].to_pylist() for n in ("model", "gs", "state"))):
                 f = loaded(state)
-                use = part if not mixed else part.of(gs != group)
+                use = _outside(f, part, keys[order[model, group]]) if order else part if not mixed else part.of(gs != group)
                 sums = [take(f, p) for p in use.chunks()]
                 if sums:
                     out.append((model, group, pickle.dumps(reduce(add, sums), 5)))
@@ -453,47 +582,99 @@ def _passed(lanes: DataFrame, index: DataFrame | int, fits: DataFrame, kind: str
 
 
 def fit_all(rows: DataFrame, models: Sequence[Model], classes: int, *, leave_out: bool, fill: DataFrame | None = None, c: float = 1.0, penalise_intercept: bool = False, centre: bool = True,
-            max_iter: int = 100, tol: float = 1e-7) -> DataFrame:
+            max_iter: int = 100, tol: float = 1e-7, path: str | None = None, labels: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None) -> DataFrame:
     """The table of fits, one for every model and group of ``rows`` (g, y, x array<double>, optionally c array<long>: category indices).
 
     ``leave_out``: a group's fits learn from all other groups, otherwise from the group itself. ``fill``: (g, fill array<double>), what missing
     numbers of a group's fits hold. Columns model, gs (the group as text), state, supported, converged, gradient, steps.
+
+    ``labels(rows, heads)`` is given if and only if all models are permuted: it adds ``keys``, see ``permutation``, to the rows, which have a ``path``.
+    Then a missing group has no fits, a group without rows to learn from neither, and ``group_moments`` reads the fits' moments.
     """
     models = list(models)
     categories = F.col("c") if "c" in rows.columns else F.array().cast("array<long>")
-    rows = rows.select(group_text(F.col("g")).alias("gs"), F.col("y").cast("int").alias("y"), "x", categories.alias("c"))
+    more = ["g", F.col(path).cast("string").alias("path")] if labels else []
+    rows = rows.select(group_text(F.col("g")).alias("gs"), F.col("y").cast("int").alias("y"), "x", categories.alias("c"), *more)
     rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
     groups = rows.select("gs").distinct()
     groups = groups.withColumn("fill", F.lit(None).cast("array<double>")) if fill is None else groups.join(fill.select(group_text(F.col("g")).alias("gs"), "fill"), "gs", "left")
 
+    if labels:
+        placed = cut_lineage(_places(rows))
+        groups = groups.join(placed, "gs").where(F.col("gs") != NONE)
+        rows = rows.join(placed.select("gs", "at"), "gs").drop("g")
+
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _fit_batch([_row(Fit(m, g, None if v is None else np.nan_to_num(np.array(v, float)), classes)) for g, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in models])
+            made = []
+            for g, v, *p in zip(*(c.to_pylist() for c in batch.columns)):
+                own = {"at": p[0], "sizes": np.array(p[1], np.int64), "missing": p[2]} if p else {}
+                made += [_row(Fit(m, g, None if v is None else np.nan_to_num(np.array(v, float)), classes, **own)) for m in models]
+            yield _fit_batch(made)
 
     fits = materialise(groups.mapInArrow(begun, _FITS), "fits")
     if any(m.tau is not None for m in models):
         rows = _own_moments(rows, rows.select(F.size("x")).first()[0])
-    lanes, index = _dealt(rows, leave_out)
+    lanes, index = _dealt_keyed(rows) if labels else _dealt(rows, leave_out)
     lanes = lanes.persist()
     blocks = -(-fits.count() // BLOCK_FITS) if leave_out else 1
+
+    def fitted(lanes: DataFrame, block: DataFrame, order: dict | None = None) -> list[DataFrame]:
+        block = materialise(_passed(lanes, index, block, "first", lambda f, found: _begin(f, found, centre), order), "fits")
+        centred = F.col("supported") & F.col("model").isin([m.name for m in models if m.tau is not None])
+        if any(m.tau is not None for m in models):
+            spread = _passed(lanes, index, block.filter(centred), "spread", lambda f, found: _scale(f, found, centre))
+            block = materialise(block.filter(~centred).unionByName(spread), "fits")
+        ended = []
+        while block.filter("active").limit(1).count():
+            ended.append(block.filter("NOT active"))
+            block = materialise(_passed(lanes, index, block.filter("active"), "step", lambda f, found: _advance(f, found, c, penalise_intercept, max_iter, tol), order), "fits")
+        return [*ended, block]
+
+    def permuted(block: DataFrame) -> list[DataFrame]:
+        """The keys of a block's fits are kept beside the rows while the block is fitted."""
+        drawn = {m.name: m.permuted for m in models}
+        order = {(model, gs): i for i, (model, gs) in enumerate(sorted(map(tuple, block.select("model", "gs").collect())))}  # BLOCK_FITS, about
+        if not order:
+            return [block]
+        keyed = labels(lanes, [pt.head(drawn[model][0], gs, drawn[model][1]) for model, gs in order]).persist()
+        try:
+            for kind, update in (("buckets", _find_buckets), ("begins", _find_bounds), ("centres", _find_centres)):
+                block = materialise(_passed(keyed, index, block, kind, update, order).filter("supported"), "fits")
+            block = reduce(DataFrame.unionByName, fitted(keyed, block, order))
+            return [materialise(_passed(keyed, index, block, "within", _keep_moments, order), "fits")]
+        finally:
+            keyed.unpersist()
+
     done = []
     try:
         for b in range(blocks):
             block = fits if blocks == 1 else fits.filter(F.pmod(F.xxhash64("gs", "model"), F.lit(blocks)) == b)
-            block = materialise(_passed(lanes, index, block, "first", lambda f, found: _begin(f, found, centre)), "fits")
-            centred = F.col("supported") & F.col("model").isin([m.name for m in models if m.tau is not None])
-            if any(m.tau is not None for m in models):
-                spread = _passed(lanes, index, block.filter(centred), "spread", lambda f, found: _scale(f, found, centre))
-                block = materialise(block.filter(~centred).unionByName(spread), "fits")
-            while block.filter("active").limit(1).count():
-                done.append(block.filter("NOT active"))
-                block = materialise(_passed(lanes, index, block.filter("active"), "step", lambda f, found: _advance(f, found, c, penalise_intercept, max_iter, tol)), "fits")
-            done.append(block)
-        return cut_lineage(reduce(DataFrame.unionByName, done).drop("active"))
+            done += permuted(block) if labels else fitted(lanes, block)
+        return cut_lineage(reduce(DataFrame.unionByName, done or [fits]).drop("active"))
     finally:
         lanes.unpersist()
 
 
+def group_moments(fits: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(fold, repeat, at, and of every feature n_, m_, v_): rows, mean and variance of what permuted fits learnt from, in each true group."""
+    names = ["fold", "repeat", "at", *[f"{t}_{f}" for f in features for t in "nmv"]]
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for state in batch.column(0).to_pylist():
+                f = loaded(state)
+                n, mean, m2 = f.moments
+                for at in np.flatnonzero(n[:, 0]):
+                    own = int(n[at, 0])
+                    rows.append((f.group, f.model.permuted[1], int(at), *[v for j in range(len(features)) for v in (own, float(mean[at, j]), float(m2[at, j]) / own)]))
+            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.int64(), pa.float64(), pa.float64()] * len(features)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names)
+
+    return fits.select("state").mapInArrow(exploded, "fold string, repeat int, at int, " + ", ".join(f"`n_{f}` long, `m_{f}` double, `v_{f}` double" for f in features))
+
+
 def predict(rows: DataFrame, fits: DataFrame, keep: Sequence[str], classes: int) -> DataFrame:
     """Probabilities of every fit of the row's group: ``keep…, model, p0…, converged``. Unsupported fits give no row.
 

@@ -290,7 +290,7 @@ def identity_invariance(rows: DataFrame, group: str, label: str, path: str, feat
     fold deltas with resampled intervals; ``variance_ratio`` per fold and their mean; ``fit`` (converged, gradient, steps).
     """
     medians = _median_table(rows, group, features)
-    base = rows.select(F.col(group).alias("g"), F.col(label).cast("int").alias("y"), vector(features).alias("x"))
+    base = rows.select(F.col(group).alias("g"), F.col(label).cast("int").alias("y"), vector(features).alias("x"), F.col(path).alias("path"))
     fits = lg.fit_all(base, _variants(features, tau), classes, leave_out=True, fill=_fills(medians, features))
     pm = _fold_means(rows, group, features, medians)
     test = _imputed(rows, medians, group, features).join(pm, group)
@@ -298,24 +298,16 @@ def identity_invariance(rows: DataFrame, group: str, label: str, path: str, feat
     raw = F.array(*[F.col(f) for f in features])
     tested = materialise(test.select(path, F.col(group).alias("own"), F.col(label).cast("int").alias("y"), raw.alias("raw"), zero.alias("zero")), "tested")
 
-    # Permuted labels within each fold's training pool; the control refits multiply rows by folds and repeats, written once.
-    pool = meet_all(rows.select(path, group, label, *features), _folds(rows, group)).where(~F.col("fold").eqNullSafe(F.col(group)))
-    pool = _imputed(pool, medians, "fold", features)
-    size = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.count(F.lit(1))).first()
-    tasks = tasks_for(rows.sparkSession, (size[0] or 0) * max(size[1] - 1, 0) * repeats)
-    joined = m.pseudo_groups(pool, seed, ["fold"], F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))), group, path, [label, *features], tasks, digits_for(size[0] or 0))
-    joined = materialise(joined.select("fold", "repeat", "pseudo_group", F.col("true_group").alias(group), F.col(label).cast("int").alias("y"), *features), "controls")
-    pmeans = materialise(joined.groupBy("fold", "repeat", "pseudo_group").agg(*[F.avg(f).alias(f"__g_{f}") for f in features]), "means")
-    centred = joined.join(pmeans, ["fold", "repeat", "pseudo_group"]).select("fold", "repeat", group, "y", *[(F.col(f) - F.col(f"__g_{f}")).alias(f) for f in features])
-    key = F.concat_ws("#", lg.group_text(F.col("fold")), F.col("repeat").cast("string"))
-    controls = lg.fit_all(centred.select(key.alias("g"), "y", F.array(*features).alias("x")), [lg.Model("pseudo", range(len(features)))], classes, leave_out=False)
+    # Permuted labels within each fold's training pool: rows carry their digests under a block of folds and repeats, and the lanes that fit the controls
+    # label and centre them. Rows x folds x repeats are passed over, as the controls are by definition, but never written, joined or shuffled.
+    drawn = [lg.Model(f"pseudo_{r}", range(len(features)), permuted=(seed, r)) for r in range(repeats)]
+    permuted = lambda lanes, heads: m.pseudo_groups(lanes, seed, ["fold"], F.col("repeat"), "gs", "path", heads=heads)
+    controls = lg.fit_all(base, drawn, classes, leave_out=True, fill=_fills(medians, features), path="path", labels=permuted)
 
     scored = lg.predict(_asked(tested, [("raw", "raw"), ("centred", "zero"), ("shrunk", "zero")]), _named_fits(fits), [path, "own", "y"], classes)
-    again = tested.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    again = again.select(path, "own", "y", "repeat", F.concat_ws("#", lg.group_text(F.col("own")), F.col("repeat").cast("string")).alias("g"), F.col("zero").alias("x"))
-    pscored = materialise(lg.predict(again, controls, [path, "own", "y", "repeat"], classes), "controls")
+    again = tested.select(path, "own", "y", F.col("own").alias("g"), F.col("zero").alias("x"))
+    pscored = materialise(lg.predict(again, controls, [path, "own", "y"], classes), "controls")
     mean = pscored.groupBy(path, "own", "y").agg(*[F.avg(p).alias(p) for p in PROBS(classes)]).withColumn("model", F.lit("pseudo_mean"))
-    pscored = pscored.withColumn("model", F.concat_ws("_", F.lit("pseudo"), F.col("repeat").cast("string")))
     cols = [F.col("own").alias("fold"), "y", "model", *PROBS(classes)]
     every = stack([scored.select(*cols), pscored.select(*cols), mean.select(*cols)])
     bundle = materialise(m.metric_bundle(every, "y", PROBS(classes), [["model", "fold"], ["model"]]), "bundle")
@@ -332,11 +324,12 @@ def identity_invariance(rows: DataFrame, group: str, label: str, path: str, feat
         values = ("true_delta", "control_mean", "control_min", "control_max", "fraction_as_good")
         long = found.select("metric", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(v).alias("value")) for v in values])).alias("r"))
         parts.append(_named(long.select(F.lit(model).alias("model"), F.lit("raw").alias("baseline"), F.concat_ws(":", "metric", "r.v").alias("metric"), "r.value"), "specificity"))
-    ratios = variance_ratios(rows, group, features, tau, medians)
-    control = m.between_group_variance_ratio(centred, group, features, ["fold", "repeat"]).select("fold", F.lit("pseudo").alias("model"), "ratio")
+    ratios = variance_ratios(rows, group, features, tau, medians).withColumn("fold", F.col("fold").cast("string"))
+    control = m.between_group_variance_ratio(lg.group_moments(controls, features), "at", features, ["fold", "repeat"], moments=True).select("fold", F.lit("pseudo").alias("model"), "ratio")
     ratios = materialise(ratios.unionByName(control.groupBy("fold", "model").agg(F.avg("ratio").alias("ratio"))), "ratios")
     parts += [report_rows(ratios, "variance_ratio", ["ratio"]), report_rows(ratios.groupBy("model").agg(F.avg("ratio").alias("ratio")), "variance_ratio", ["ratio"])]
-    return stack([*parts, fit_rows(fits.unionByName(controls))])
+    named = controls.withColumns({"model": F.lit("pseudo"), "gs": F.concat_ws("#", "gs", F.substring_index("model", "_", -1))})
+    return stack([*parts, fit_rows(fits.unionByName(named))])
 
 
 def _against(pooled: DataFrame, baseline: str) -> DataFrame:
